@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from mosaiq.llm.line_dedup import OP8_SQL, op8_line_dedup
 from mosaiq.llm.mixing import OP1_SQL, op1_mixing
+from mosaiq.llm.ngram_join import op3_ngram_join
 from mosaiq.llm.ogg import op5_ogg
 from mosaiq.llm.packing import op9_packing
 from mosaiq.llm.sharding import op10_sharding
 from mosaiq.llm.token_files import op4_token_files
+from mosaiq.llm.vector_dedup import OP7_SQL, op7_vector_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
     "op5_ogg": op5_ogg,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-SQL = {"op1_mixing": OP1_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op7_vector_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}

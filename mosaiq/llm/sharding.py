@@ -42,6 +42,7 @@ def shard(df: DataFrame, size, key, n_shards: int, **options) -> DataFrame:
     rows = external_shuffle(df, size, key, **options)
     n = rows.count()
     bases = prefix_sums(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "n").select("bucket", "base")
+    bases = staged(bases, "bases")  # its size is known then: rows need no shuffle to meet a small table
     ranked = rows.join(bases, "bucket").withColumn("rank", F.col("base") + F.col("pos"))
     at = F.expr(f"rank * {n_shards} div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {n_shards - 1}) div {n_shards}")
