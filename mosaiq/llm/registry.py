@@ -9,6 +9,7 @@ from mosaiq.llm.ogg import op5_ogg
 from mosaiq.llm.packing import op9_packing
 from mosaiq.llm.sharding import op10_sharding
 from mosaiq.llm.token_files import op4_token_files
+from mosaiq.llm.toxicity import op6_toxicity
 from mosaiq.llm.vector_dedup import OP7_SQL, op7_vector_dedup
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
     "op5_ogg": op5_ogg,
+    "op6_toxicity": op6_toxicity,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
