@@ -8,12 +8,14 @@ from mosaiq.llm.ngram_join import op3_ngram_join
 from mosaiq.llm.ogg import op5_ogg
 from mosaiq.llm.packing import op9_packing
 from mosaiq.llm.sharding import op10_sharding
+from mosaiq.llm.suffix_dedup import op2_suffix_dedup
 from mosaiq.llm.token_files import op4_token_files
 from mosaiq.llm.toxicity import op6_toxicity
 from mosaiq.llm.vector_dedup import OP7_SQL, op7_vector_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
     "op5_ogg": op5_ogg,
