@@ -73,7 +73,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, ids (binary, uint16 or uint32), width, doc_tokens, sequence_id, offset.
+    """Pieces: doc_id, start, length, ids (binary, uint16 or uint32), width, doc_tokens, sequence_id, offset, ids_crc32.
 
     A worker is an input partition; nothing is shuffled and open bins hold a few hundred
     thousand ids at most. sequence_id is unique, not dense: the partition's number above
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = 20
     """
     from pyspark import TaskContext
 
-    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("width", pa.int32()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("width", pa.int32()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = 20
         def out() -> pa.RecordBatch:
             doc, n, start, ids, seq, offset = zip(*packer.done, strict=True)
             packer.done = []
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, start, ids, [enc.dtype.itemsize] * len(doc), n, [base + s for s in seq], offset), schema.types, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, start, ids, [enc.dtype.itemsize] * len(doc), n, [base + s for s in seq], offset, [crc(i, enc.dtype) for i in ids]), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
             for doc, ids in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
@@ -105,19 +105,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int = 20
         if packer.done:
             yield out()
 
-    pieces = keyed(docs, id_col, text_col).mapInArrow(work, "id long, start long, ids binary, width int, doc_tokens long, sequence_id long, offset long")
-    return pieces.select(back(F.col("id")).alias("doc_id"), "start", F.expr("cast(octet_length(ids) div width as long)").alias("length"), "ids", "width", "doc_tokens", "sequence_id", "offset")
+    pieces = keyed(docs, id_col, text_col).mapInArrow(work, "id long, start long, ids binary, width int, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return pieces.select(back(F.col("id")).alias("doc_id"), "start", F.expr("cast(octet_length(ids) div width as long)").alias("length"), "ids", "width", "doc_tokens", "sequence_id", "offset", "ids_crc32")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs = [crc(x, np.dtype(f"<u{w}")) for x, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(crcs, pa.int64()) if c == "ids_crc32" else b.column(c) for c in names], names)
-
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).mapInArrow(digest, ", ".join(f"{c} long" for c in names))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).drop("ids", "width")
