@@ -56,7 +56,7 @@ class Columns:
 
     def _class(self, size: int) -> int:
         while self.tops[-1] < size:
-            self.tops.append(self.tops[-1] * 3 // 2)
+            self.tops.append(self.tops[-1] * 4 // 3)
         return int(np.searchsorted(self.tops, size))
 
     def differ(self, size: int) -> int:
@@ -66,24 +66,28 @@ class Columns:
     def digests(self, s: np.ndarray) -> np.ndarray:
         """A digest of each column block of a set, for its own size class and those that a larger partner can be in.
 
-        Two linked sets agree on more blocks than `spare`; if all those are empty in both,
-        both have more than `spare` empty blocks. So only such sets post empty blocks too.
+        Two linked sets agree on more blocks than `spare`; if all those are thin (no n-gram
+        or one, which a frequent n-gram could bring together) in both, both have more than
+        `spare` thin blocks. So only such sets post their thin blocks too.
         """
         out = []
         largest = len(s) * 100 // self.percent
         values = mixed(s + np.uint64(0x2545F4914F6CDD1D))
         for c in range(self._class(len(s)), self._class(largest) + 1):
             need = self.differ(self.tops[c]) + 1
-            spare = -(-need // 25) if need >= 25 else 0
+            spare = -(-need * 3 // 20) if need >= 8 else 0
             n = np.uint64(need + spare)
             block = ((s >> np.uint64(32)) * n) >> np.uint64(32)  # s is sorted, so blocks are runs
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             sums = np.add.reduceat(values, starts)
             salt = np.uint64(self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            out.append(mixed(sums ^ mixed(block[starts] + salt)))
-            if need + spare - len(starts) > spare:
-                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block[starts])
-                out.append(mixed(mixed(empty + salt) + np.uint64(1)))
+            digest = mixed(sums ^ mixed(block[starts] + salt))
+            full = np.diff(np.r_[starts, len(s)]) > 1
+            if need + spare - full.sum() <= spare:
+                out.append(digest[full])
+                continue
+            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block[starts])
+            out += [digest, mixed(mixed(empty + salt) + np.uint64(1))]
         return np.concatenate(out)
 
 
