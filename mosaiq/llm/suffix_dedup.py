@@ -12,11 +12,12 @@ bytes the positions at which a hash of 8 bytes is least, of those where 16 bytes
 no repeat is missed.
 
 Round 1, offset 8: rank of 16 bytes at each anchor; alone in its document: dropped.
-Round 2, whole windows: rank of all bytes that any window with this anchor can cover.
-  If a smaller document has this rank, all those windows are repeats: done.
-Round 3, the threshold: of anchors whose 16 bytes have several surroundings, each
-  window start gets its rank of `length` bytes; starts that a smaller document has
-  too are repeats.
+Round 2, offsets to both sides: rank of all bytes that any window with this anchor can
+  cover. If a smaller document has this rank, all those windows are repeats: done. Of
+  the others, a window reaches half way to the left or to the right of its anchor at
+  least: ranks of 33 bytes to each side; a side alone in its document is dropped.
+Round 3, the threshold: each window start that is left gets its rank of `length`
+  bytes; starts that a smaller document has too are repeats.
 """
 
 from __future__ import annotations
@@ -158,33 +159,41 @@ def _by_doc(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, kind: int) -> p
     order = np.lexsort((pos, marks, ids))
     ids, marks, pos = ids[order], marks[order], pos[order]
     cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    blobs = [pos[a:b].astype("<u4").tobytes() for a, b in zip(cut, np.r_[cut[1:], len(ids)], strict=True)]
+    blobs = [pos[a:b].astype("<u4").tobytes() for a, b in zip(cut, [*cut[1:], len(ids)], strict=False)]
     return pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64()), pa.array(marks[cut].astype(np.int64), pa.int64()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], ["id", "mark", "kind", "pos"])
 
 
 PLACES = "id long, mark long, kind int, pos binary"
 RANKED = "bucket long, cols binary, docs binary"
-REPEAT, UNSURE, START = 0, 1, 2
+REPEAT, LEFT, RIGHT, START = 0, 1, 2, 3
 
 
 def _rounds_1_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket of anchors: those whose surroundings a smaller document has (REPEAT), and those to look into (UNSURE)."""
+    """Of each bucket of anchors: those whose surroundings a smaller document has, and those to look into on a side."""
     for t in groups(batches, ["bucket"]):
-        rank, ids, marks, around, pos = _received(t, ["<u8", "<u4"])
+        rank, ids, marks, around, left, right, pos = _received(t, ["<u8", "<u4", "<u4", "<u4"])
         order = np.lexsort((ids, around, rank))
-        rank, ids, marks, around, pos = (x[order] for x in (rank, ids, marks, around, pos))
+        rank, ids, marks, around, left, right, pos = (x[order] for x in (rank, ids, marks, around, left, right, pos))
         new = np.r_[True, rank[1:] != rank[:-1]]
         inner = new | np.r_[True, around[1:] != around[:-1]]
-        group, part = np.cumsum(new) - 1, np.cumsum(inner) - 1
-        first = ids[inner][part]
-        starts = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(ids, starts)[group], np.maximum.reduceat(ids, starts)[group]
-        several = np.add.reduceat(inner.astype(np.int64), starts)[group] > 1
+        first = ids[inner][np.cumsum(inner) - 1]
         repeat = ids > first
-        # the smallest document of each surroundings stands for all of them
-        unsure = several & (low < high) & ~repeat
         yield _by_doc(ids[repeat], marks[repeat], pos[repeat], REPEAT)
-        yield _by_doc(ids[unsure], marks[unsure], pos[unsure], UNSURE)
+        # the smallest document of each surroundings stands for all of them
+        rank, ids, marks, left, right, pos = (x[~repeat] for x in (rank, ids, marks, left, right, pos))
+        for side, kind in ((left, LEFT), (right, RIGHT)):
+            order = np.lexsort((side, rank))
+            some = order[_shared(ids[order], rank[order], side[order]) & (side[order] > 0)]
+            yield _by_doc(ids[some], marks[some], pos[some], kind)
+
+
+def _shared(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of rows sorted by keys: whether two documents or more have the row's keys."""
+    if not len(ids):
+        return np.zeros(0, bool)
+    new = np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    return (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))[group]
 
 
 def _round_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +224,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
+    buckets = max(64, -(-total // BUCKET))
     back_, ahead = length - SEED, length
+    half = -(-(length - SEED) // 2)
 
     def around(w: np.ndarray, data: np.ndarray, ends: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Ranks of the bytes that windows over an anchor can cover; at a text's edge, of fewer, told apart by how many."""
@@ -230,6 +240,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
         out[~whole] = mixed(ranks(w, a, length) * M1 + ranks(w, b - length, length) + edge)
         return out
 
+    def sides(w: np.ndarray, ends: np.ndarray, at: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+        """Ranks of half a window's reach to the left and to the right of each anchor; 0 where the text ends before."""
+        starts = np.concatenate([[0], ends[:-1]])
+        out = []
+        for a, ok in ((at - half, at - half >= starts[row]), (at, at + SEED + half <= ends[row])):
+            h = np.zeros(len(at), "<u4")
+            h[ok] = (ranks(w, a[ok], SEED + half) >> np.uint64(32)).astype("<u4") | np.uint32(1)
+            out.append(h)
+        return out
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, ends in _work(batch):
@@ -239,14 +259,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                     continue
                 row = np.searchsorted(ends, at, "right")
                 pos = (at - np.concatenate([[0], ends[:-1]])[row]).astype("<u4")
-                sent = list(_sent(buckets, ranks(w, at, SEED), row, part.column("id").to_numpy(), _marks(part, data, ends), around(w, data, ends, at, row), pos))
+                sent = list(_sent(buckets, ranks(w, at, SEED), row, part.column("id").to_numpy(), _marks(part, data, ends), around(w, data, ends, at, row), *sides(w, ends, at, row), pos))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*sent, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "cols", "docs"])
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def gathered(df: DataFrame, name: str) -> DataFrame:
-        kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("pos"))).alias(c) for k, c in ((REPEAT, "repeat"), (UNSURE, "unsure"), (START, "start"))]
+        kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("pos"))).alias(c) for k, c in enumerate(("repeat", "left", "right", "start"))]
         return staged(df.groupBy("id", "mark").agg(*kinds), name)
 
     found = gathered(dealt(rows.mapInArrow(find, RANKED)).mapInArrow(_rounds_1_2, PLACES), "anchors")
@@ -258,18 +278,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                 w = words_at(data)
                 at, lo, hi = anchors(w, ends, length)
                 starts = np.concatenate([[0], ends[:-1]])
-                want = np.concatenate([_places(u) + s for u, s in zip(part.column("unsure").to_pylist(), starts, strict=True)])
-                k = np.flatnonzero(np.isin(at, want))
+                left, right = (np.isin(at, np.concatenate([_places(u) + s for u, s in zip(part.column(c).to_pylist(), starts, strict=True)])) for c in ("left", "right"))
+                k = np.flatnonzero(left | right)
                 if not len(k):
                     continue
-                n = hi[k] - lo[k] + 1
-                s = np.repeat(lo[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                # windows that reach `half` to the left of the anchor start at `turn` or before, those to the right at it or after
+                turn = at[k] - half
+                lo = np.where(left[k], lo[k], np.maximum(lo[k], turn))
+                hi = np.where(right[k], hi[k], np.minimum(hi[k], turn))
+                n = np.maximum(hi - lo + 1, 0)
+                s = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                if not len(s):
+                    continue
                 row = np.searchsorted(ends, s, "right")
                 sent = list(_sent(buckets, ranks(w, s, length), row, part.column("id").to_numpy(), part.column("mark").to_numpy(), (s - starts[row]).astype("<u4")))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "cols", "docs"])
 
-    unsure = found.where(F.size("unsure") > 0).select("id", "mark", "unsure")
-    starts_ = gathered(dealt(marked.join(unsure, ["id", "mark"]).select("id", "mark", "text", "unsure").mapInArrow(look, RANKED)).mapInArrow(_round_3, PLACES), "starts")
+    unsure = found.where((F.size("left") > 0) | (F.size("right") > 0)).select("id", "mark", "left", "right")
+    starts_ = gathered(dealt(marked.join(unsure, ["id", "mark"]).select("id", "mark", "text", "left", "right").mapInArrow(look, RANKED)).mapInArrow(_round_3, PLACES), "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,7 +58,7 @@ class Parts(dict):
 
 
 class Encoder:
-    ROOM = 400_000
+    ROOM = 300_000
     PIECE = 2 << 20
 
     def __init__(self, path: str):
