@@ -5,10 +5,11 @@ all overlaps; a pair links if its overlap reaches what the two sizes ask for.
 
 Which rows can meet: if two sets of at most m n-grams link, they differ in at most
 h(m) = floor(2 m (100 - p) / (100 + p)) n-grams. Columns are dealt by hash into more than
-h(m) column blocks, so the two rows agree wholly on one block at least. Each row posts
-a digest of each of its column blocks; rows that share a digest are put into one row
-block. This bound loses no pair and sends no pairs. A frequent n-gram in a column block
-does no harm, as the whole block must agree.
+h(m) / 2 column blocks of three strips each, so the two rows differ in one n-gram at most
+on one block at least, and agree wholly on two of its strips. Each row posts a digest of
+each two strips of a block; rows that share a digest are put into one row block. This
+bound loses no pair and sends no pairs. Two strips hold some seven n-grams and all must
+agree, so frequent n-grams (lines, passages) bring hardly any rows together.
 
 What meets is decided exactly: the product of a row block accumulates overlap counts
 (rare columns pair by pair, frequent ones as dense slabs), in tiles of bounded size,
@@ -51,6 +52,8 @@ def text_sets(texts: list[str], known: WordHash, n: int) -> Iterator[np.ndarray]
 class Columns:
     """The column blocks of each size class for a threshold of `percent`."""
 
+    STRIPS = ((0, 1), (0, 2), (1, 2))
+
     def __init__(self, percent: int):
         self.percent, self.tops = percent, [6]
 
@@ -64,30 +67,33 @@ class Columns:
         return 2 * size * (100 - self.percent) // (100 + self.percent)
 
     def digests(self, s: np.ndarray) -> np.ndarray:
-        """A digest of each column block of a set, for its own size class and those that a larger partner can be in.
+        """Digests of each two strips of each block, for a set's own size class and those that a larger partner can be in.
 
-        Two linked sets agree on more blocks than `spare`; if all those are thin (no n-gram
-        or one, which a frequent n-gram could bring together) in both, both have more than
-        `spare` thin blocks. So only such sets post their thin blocks too.
+        Two linked sets agree on two strips in more than `spare` blocks. All sets post
+        strips that hold 3 n-grams or more. A set with more than `spare` blocks where some
+        two strips hold fewer posts those with 2 as well, and if there are too many still,
+        those with 1 and none. The fuller of two linked sets so posts enough for the pair.
         """
         out = []
         largest = len(s) * 100 // self.percent
         values = mixed(s + np.uint64(0x2545F4914F6CDD1D))
         for c in range(self._class(len(s)), self._class(largest) + 1):
-            need = self.differ(self.tops[c]) + 1
-            spare = -(-need * 3 // 20) if need >= 8 else 0
-            n = np.uint64(need + spare)
-            block = ((s >> np.uint64(32)) * n) >> np.uint64(32)  # s is sorted, so blocks are runs
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            sums = np.add.reduceat(values, starts)
-            salt = np.uint64(self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            digest = mixed(sums ^ mixed(block[starts] + salt))
-            full = np.diff(np.r_[starts, len(s)]) > 1
-            if need + spare - full.sum() <= spare:
-                out.append(digest[full])
-                continue
-            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block[starts])
-            out += [digest, mixed(mixed(empty + salt) + np.uint64(1))]
+            need = self.differ(self.tops[c]) // 2 + 1
+            spare = -(-need * 3 // 20) if need >= 4 else 0
+            n = need + spare
+            strip = ((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)  # s is sorted, so strips are runs
+            starts = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
+            at = strip[starts].astype(np.int64)
+            sums, held = np.zeros(3 * n, np.uint64), np.zeros(3 * n, np.int64)
+            sums[at] = np.add.reduceat(values, starts)
+            held[at] = np.diff(np.r_[starts, len(s)])
+            sums, held = mixed(sums).reshape(n, 3), held.reshape(n, 3)
+            salt = np.arange(n, dtype=np.uint64) + np.uint64(self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
+            both = np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
+            least = both.min(0)
+            floor = next((f for f in (3, 2) if (least < f).sum() <= spare), 0)
+            out.append(digest[both >= floor])
         return np.concatenate(out)
 
 
