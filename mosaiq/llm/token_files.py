@@ -59,7 +59,7 @@ def _mapped(folder: str, i: int, kind: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, *, part_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, *, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts into files below folder; the manifest: part, n_docs, n_tokens, width, base.
 
     Documents ascend by id (null last, ties by text). Null and empty texts have the end
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts or max(1, docs.select(id_col).rdd.getNumPartitions())
     if (local := _local(folder)) is not None:
         os.makedirs(local, exist_ok=True)
 
@@ -95,13 +95,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             part.done()
             yield pa.RecordBatch.from_pydict({"part": [i], "n_docs": [n_docs], "n_tokens": [at], "width": [enc.dtype.itemsize]}, schema=pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    ordered = rows.repartitionByRange(max(1, -(-total // part_bytes)), "id").sortWithinPartitions("id", "text")
-    parts = staged(ordered.mapInArrow(encode, "part long, n_docs long, n_tokens long, width int"), "manifest")
-    return prefix_sums(parts, "part", "n_tokens")
+    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    done = staged(ordered.mapInArrow(encode, "part long, n_docs long, n_tokens long, width int"), "manifest")
+    return prefix_sums(done, "part", "n_tokens")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids before it in all parts), ids (binary, `width` bytes each), width: from the mapped files."""
+    """doc_id, start (ids before it in all parts), n_tokens, ids (binary, `width` bytes each), width, ids_crc32 (as 32-bit ids): from the mapped files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,12 +111,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 a = 0
                 while a < len(ids):  # by some MB at a time
                     b = max(a + 1, int(np.searchsorted(idx, idx[a] + (1 << 21), "right")) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(idx[a:b] + row["base"]), pa.array([data[x:y].tobytes() for x, y in zip(idx[a:b], idx[a + 1 : b + 1], strict=True)], pa.binary()), pa.array(np.full(b - a, row["width"], np.int32))], ["id", "start", "ids", "width"])
+                    each = [data[x:y].tobytes() for x, y in zip(idx[a:b], idx[a + 1 : b + 1], strict=True)]
+                    cols = [ids[a:b], idx[a:b] + row["base"], np.diff(idx[a : b + 1]), pa.array(each, pa.binary()), np.full(b - a, row["width"], np.int32), pa.array([crc(x, dtype) for x in each], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "n_tokens", "ids", "width", "ids_crc32"])
                     a = b
 
     spread = manifest.select("part", "base", "width").repartition(F.col("part"))
-    rows = spread.mapInArrow(read, "id long, start long, ids binary, width int")
-    return rows.select(back(F.col("id")).alias("doc_id"), "start", "ids", "width")
+    rows = spread.mapInArrow(read, "id long, start long, n_tokens long, ids binary, width int, ids_crc32 long")
+    return rows.select(back(F.col("id")).alias("doc_id"), "start", "n_tokens", "ids", "width", "ids_crc32")
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
@@ -126,9 +128,4 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     manifest = write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, widths = b.column("ids").to_pylist(), b.column("width").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array([len(x) // w for x, w in zip(ids, widths, strict=True)], pa.int64()), pa.array([crc(x, np.dtype(f"<u{w}")) for x, w in zip(ids, widths, strict=True)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(manifest, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(manifest, folder).drop("ids", "width")

@@ -73,7 +73,7 @@ class Encoder:
         pattern, self.lower = _steps(path)
         self.split = regex.compile(pattern).findall if pattern else None
         self.model = self.tokenizer.model
-        self.words = Parts(self._word, self.ROOM)
+        self.words = Parts(self._word, self.ROOM // 4)
         self.first = Parts(functools.partial(self._part, ""), self.ROOM)
         self.spaced = self.first if self.loose else Parts(functools.partial(self._part, " "), self.ROOM)
 
@@ -89,12 +89,14 @@ class Encoder:
         """None: white space at an end, where the part's neighbours matter."""
         if not self.loose and not (part and not part[0].isspace() and not part[-1].isspace()):
             return None
-        if self.split is None or (part and max(part) > "ɏ"):
+        if not part or self.split is None or max(part) > "ɏ":
             return self._ids([lead + part])[0]
         if self.lower:
             part = (part if part.isascii() else unicodedata.normalize("NFC", part)).lower()
         if part.isalpha():
-            return self.words[lead + part]
+            return self._word(lead + part)
+        if part[:-1].isalpha() and part[-1] in ".,;:!?":  # no letter, number or apostrophe: a word of its own
+            return (self.spaced if lead else self.first)[part[:-1]] + self.words[part[-1]]
         return b"".join(map(self.words.__getitem__, self.split(lead + part)))
 
     def _known(self, text: str) -> bytes:
