@@ -154,12 +154,11 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links_of_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def links_of_block(ids: np.ndarray, side: np.ndarray, block: tuple[int, int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links in a block of one tile, or between the two tiles of a block."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    first = side == side.min()
-    a = np.flatnonzero(first)
-    b = None if first.all() else np.flatnonzero(~first)
+    a = np.flatnonzero(side == block[0])
+    b = None if block[0] == block[1] else np.flatnonzero(side == block[1])
     c = overlaps(sets, a, b).astype(np.int64)
     other = a if b is None else b
     linked = 100 * c >= percent * (sizes[a][:, None] + sizes[other][None, :] - c)
@@ -198,13 +197,19 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     sets = staged(rows.mapInArrow(post, "id long, rep long, n long, digests array<long>"), "sets")
     posts = sets.select(F.explode("digests").alias("digest"), "id")
     hubs = posts.withColumn("hub", F.min("id").over(W.partitionBy("digest"))).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    members = staged(components(hubs, "blocks").select(F.col("node").alias("id"), F.col("root").alias("grp")), "members")
+    blocks = components(hubs, "blocks").select(F.col("node").alias("id"), F.col("root").alias("grp"))
+    # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones
+    sizes = sets.where(F.size("digests") > 0).groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    band = F.when(F.col("n") == F.col("least"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99) * 1.000001))))
+    members = staged(blocks.join(sizes.hint("merge"), "id").select("id", "grp", F.coalesce(band, F.lit(0)).cast("int").alias("band"), (F.col("n") != F.col("least")).alias("mixed")), "members")
+    # an id with rows of several sizes has no band: its group is cut without bands
+    members = members.withColumn("mixed", F.max("mixed").over(W.partitionBy("grp"))).select("id", "grp", F.when(F.col("mixed"), 0).otherwise(F.col("band")).alias("band"))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = WordHash(), []
         for t in groups(batches, ["grp", "ti", "tj"]):
             block = list(text_sets(t.column("text").to_pylist(), known, words))
-            out += links_of_block(t.column("id").to_numpy(), t.column("side").to_numpy(), block, percent)
+            out += links_of_block(t.column("id").to_numpy(), t.column("side").to_numpy(), (t["ti"][0].as_py(), t["tj"][0].as_py()), block, percent)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []

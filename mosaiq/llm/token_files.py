@@ -116,7 +116,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "n_tokens", "ids", "width", "ids_crc32"])
                     a = b
 
-    spread = manifest.select("part", "base", "width").repartition(F.col("part"))
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("part", "base", "width").repartition(n, "part")  # a number, or so few rows would meet in one task
     rows = spread.mapInArrow(read, "id long, start long, n_tokens long, ids binary, width int, ids_crc32 long")
     return rows.select(back(F.col("id")).alias("doc_id"), "start", "n_tokens", "ids", "width", "ids_crc32")
 

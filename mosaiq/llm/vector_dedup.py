@@ -83,17 +83,16 @@ def vector_links(vectors: DataFrame, *, cosine: float = 0.98, seed: int = 5, id_
     kind = usable.schema["label"].dataType.simpleString()
     posts = usable.mapInArrow(post, f"key long, id long, label {kind}")
     hubs = posts.withColumn("hub", F.min("id").over(W.partitionBy("label", "key"))).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    members = staged(components(hubs, "vector_blocks").select(F.col("node").alias("id"), F.col("root").alias("grp")), "vector_members")
+    members = staged(components(hubs, "vector_blocks").select(F.col("node").alias("id"), F.col("root").alias("grp"), F.lit(0).alias("band")), "vector_members")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["grp", "ti", "tj"]):
             good, x = unit(t.column("v"))
             ids, side = t.column("id").to_numpy()[good], t.column("side").to_numpy()[good]
             labels = np.unique(np.array(t.column("label").to_pylist(), object)[good].astype(str), return_inverse=True)[1]
-            first = side == side.min() if len(side) else side
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            same = not len(b)
-            b = a if same else b
+            ti, tj = t["ti"][0].as_py(), t["tj"][0].as_py()
+            same = ti == tj
+            a, b = np.flatnonzero(side == ti), np.flatnonzero(side == tj)
             linked = (x[a] @ x[b].T >= cosine) & (labels[a][:, None] == labels[b][None, :])
             if same:
                 np.fill_diagonal(linked, False)
