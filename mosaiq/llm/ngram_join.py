@@ -71,8 +71,8 @@ class Columns:
 
         Two linked sets agree on two strips in more than `spare` blocks. All sets post
         strips that hold 3 n-grams or more. A set with more than `spare` blocks where some
-        two strips hold fewer posts those with 2 as well, and if there are too many still,
-        those with 1 and none. The fuller of two linked sets so posts enough for the pair.
+        two strips hold fewer posts those with 2 as well; with too many still, those with 1, and
+        at last those with none. The fuller of two linked sets so posts enough for the pair.
         """
         out = []
         largest = len(s) * 100 // self.percent
@@ -92,7 +92,7 @@ class Columns:
             digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
             both = np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
             least = both.min(0)
-            floor = next((f for f in (3, 2) if (least < f).sum() <= spare), 0)
+            floor = next((f for f in (3, 2, 1) if (least < f).sum() <= spare), 0)
             out.append(digest[both >= floor])
         return np.concatenate(out)
 
