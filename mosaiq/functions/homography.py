@@ -46,23 +46,30 @@ def implausible(h: list[Column], w: Column, ht: Column, max_scale: float = 6.0,
     """Why a homography can't be a view of one plane by a hand-held camera; 'ok' if it can. The first rule that fails names it."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     every = lambda cs: _all([finite(c) for c in cs])
-    p = [dehomogenised(h, x, y) for x, y in corners(w, ht)]
-    edge = [(p[(i + 1) % 4][0] - p[i][0], p[(i + 1) % 4][1] - p[i][1]) for i in range(4)]
-    cross = [edge[i][0] * edge[(i + 1) % 4][1] - edge[i][1] * edge[(i + 1) % 4][0] for i in range(4)]
-    area = F.abs(sum((p[i][0] * p[(i + 1) % 4][1] - p[(i + 1) % 4][0] * p[i][1] for i in range(1, 4)), p[0][0] * p[1][1] - p[1][0] * p[0][1])) / 2
-    side = [F.sqrt(x * x + y * y) for x, y in edge]
-    ratio = F.try_divide(area, w * ht)
-    return (
-        F.when(~every(h), "non-finite")
-        .when(~every([c for q in p for c in q]), "non-finite corners")
-        .when(~(_all([c > 0 for c in cross]) | _all([c < 0 for c in cross])), "warped outline not convex")
-        .when(cross[0] < 0, "warp mirrors the image")
-        .when(~(area > 0), "zero area")
-        .when(~((ratio > 1 / max_scale) & (ratio < max_scale)), "area ratio")
-        .when((F.least(*side) < 1e-6) | (F.greatest(*side) > max_sides * F.least(*side)), "sliver")
-        .when(F.greatest(F.abs(h[6]), F.abs(h[7])) * F.sqrt(w * w + ht * ht) > max_tilt, "extreme perspective")
-        .otherwise("ok")
-    )
+    named = F.struct(*[c.alias(f"{n}{i}") for i, q in enumerate(dehomogenised(h, x, y) for x, y in corners(w, ht)) for n, c in zip("xy", q, strict=True)], *[v.alias(f"h{k}") for k, v in enumerate(h)], w.alias("w"), ht.alias("ht"))
+
+    def rules(s: Column) -> Column:
+        h, w, ht = [s[f"h{k}"] for k in range(9)], s["w"], s["ht"]
+        p = [(s[f"x{i}"], s[f"y{i}"]) for i in range(4)]
+        edge = [(p[(i + 1) % 4][0] - p[i][0], p[(i + 1) % 4][1] - p[i][1]) for i in range(4)]
+        cross = [edge[i][0] * edge[(i + 1) % 4][1] - edge[i][1] * edge[(i + 1) % 4][0] for i in range(4)]
+        area = F.abs(sum((p[i][0] * p[(i + 1) % 4][1] - p[(i + 1) % 4][0] * p[i][1] for i in range(1, 4)), p[0][0] * p[1][1] - p[1][0] * p[0][1])) / 2
+        side = [F.sqrt(x * x + y * y) for x, y in edge]
+        ratio = F.try_divide(area, w * ht)
+        return (
+            F.when(~every(h), "non-finite")
+            .when(~every([c for q in p for c in q]), "non-finite corners")
+            .when(~(_all([c > 0 for c in cross]) | _all([c < 0 for c in cross])), "warped outline not convex")
+            .when(cross[0] < 0, "warp mirrors the image")
+            .when(~(area > 0), "zero area")
+            .when(~((ratio > 1 / max_scale) & (ratio < max_scale)), "area ratio")
+            .when((F.least(*side) < 1e-6) | (F.greatest(*side) > max_sides * F.least(*side)), "sliver")
+            .when(F.greatest(F.abs(h[6]), F.abs(h[7])) * F.sqrt(w * w + ht * ht) > max_tilt, "extreme perspective")
+            .otherwise("ok")
+        )
+
+    # Bound once: written out, the corners would repeat in every rule and outgrow compiled code.
+    return F.transform(F.array(named), rules)[0]
 
 
 def _all(conditions: list[Column]) -> Column:
