@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from mosaiq.llm.shared import keyed
 
 BITS, STEMS, EDGE = 20, (4, 5, 6), b".,;:!?\"'()[]"
+#: Texts that score this much and more are toxic, for op6 and for the pipeline.
+TOXIC = 0.3
 
 
 def terms(word: bytes) -> tuple[int, ...]:
@@ -166,4 +168,4 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held_out())
     scored = with_scores(docs, train(docs, labels)).select("row.doc_id", "score")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -106,6 +106,18 @@ def test_stages_against_brute_force(spark, folder, rows):
         assert list(np.frombuffer(b"".join(g.sort_values("start").ids.map(bytes)), "<u2")) == [*t.encode(rows[i][1], add_special_tokens=False).ids, 1]
 
 
+def test_what_op6_rejects_goes(spark, folder, rows, monkeypatch):
+    from mosaiq.llm.toxicity import Machine, op6_toxicity
+
+    stage, docs = dict(pipeline.STAGES)["toxicity"], spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in stage(spark, docs, folder).collect()}
+    assert left == {r.doc_id for r in op6_toxicity(spark, folder).where("predicted = 0").collect()}
+    assert left == {r[0] for r in rows if "vile" not in r[1]}
+    # a score between 0.3 and 0.5
+    monkeypatch.setattr(pipeline, "train", lambda *_: Machine(np.zeros(0, np.int64), -0.4, np.zeros(0), np.zeros((0, 6))))
+    assert stage(spark, docs, folder).count() == 0
+
+
 def test_whole_run(spark, folder, rows):
     got = pipeline.run(spark, folder).toPandas()
     assert len(got) and set(got.doc_id) <= {r[0] for r in rows} and (got.groupby("sequence_id").length.sum() <= 2048).all()
