@@ -226,25 +226,23 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are the smallest of their component; rows without words all stay.
 
-    Of rows that repeat both an id and its text one stays (the smallest hash of all its
-    columns); rows of the smallest id with other texts stay beside it.
+    Each row is linked by its own text alone, so where ids are null or repeat, a row goes
+    only if a smaller row is reachable from this text. Rows go by id (null last), those of
+    one id by a hash of all their columns; of rows that repeat one stays.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    c = jaccard_components(docs, **options)
-    inner = F.coalesce("doc_id", F.lit(NULL_ID))
-    gone = c.where(F.col("component_id") < inner).select(inner.alias("_gone")).distinct()
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
-    kept = docs.join(gone, key == gone["_gone"], "left_anti")
-    again = staged(c.where("n_shingles > 0").groupBy(inner.alias("_again")).count().where("count > 1").select("_again"), "again")
-    if not again.limit(1).count():
-        return kept
-    single = kept.join(again, key == again["_again"], "left_anti")
-    rows = kept.join(again, key == again["_again"], "left_semi")
-    spoken = F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # partial aggregates: a row that comes very often is one row a task before it is dealt
-    first = rows.where(spoken).groupBy(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t")).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return single.unionByName(rows.where(~spoken)).unionByName(first.select("_row.*"))
+    inner = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    if not docs.groupBy(inner.alias("_id")).count().where("count > 1").limit(1).count():
+        c = jaccard_components(docs, **options)
+        gone = c.where(F.col("component_id") < F.coalesce("doc_id", F.lit(NULL_ID))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone"))
+        return docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == gone["_gone"], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the last key spreads rows that come very often; staged, so that a row has one number in both reads
+    held = docs.select(inner.alias("_id"), F.xxhash64(*columns).alias("_hash"), F.monotonically_increasing_id().alias("_at"), F.struct(*columns).alias("_row"))
+    numbered = staged(held.orderBy("_id", "_hash", "_at").select(F.monotonically_increasing_id().alias("_n"), "_row"), "numbered")
+    c = jaccard_components(numbered.select("_n", F.col(f"_row.`{text_col}`").alias("_text")), **options | {"id_col": "_n", "text_col": "_text"})
+    gone = c.where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
+    return numbered.join(gone, F.col("_n") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -146,6 +146,19 @@ def test_stages_on_odd_rows(spark, folder, odd, k):
     assert stage(spark, odd.limit(0), folder).count() == 0
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    from mosaiq.llm.ngram_join import one_of_each
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    stay = [(3, text("a")), (7, text("b")), (12, text("f")), (None, text("c")), (None, text("d")), (None, None), (None, None), (None, " "), (7, ""), (12, text("g"))]
+    go = [(7, text("a")), (9, text("b") + " more"), (None, text("a")), (None, text("b")), (None, text("d")), (12, text("f")), (20, text("g"))]
+    # the larger rows' neighbours don't meet through a shared id: 12 is two texts, 7 is a copy of 3 and a text of its own
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in stay + go], SCHEMA).repartition(3)
+    out = one_of_each(docs, words=5, percent=80)
+    order = lambda rows: sorted(rows, key=str)
+    assert out.columns == docs.columns and order((r.doc_id, r.text) for r in out.collect()) == order(stay)
+
+
 def test_operators_on_odd_rows(odd, spark, tmp_path):
     import public_tokenizers as p
 
