@@ -9,6 +9,7 @@ the shuffle files behind it can go at once.
 from __future__ import annotations
 
 import contextlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -135,19 +136,22 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
     edges: columns a, b (long). Alternating large-star and small-star rounds; each
     is one shuffle by node with a running minimum, so a hub of any degree never sits
     in memory. Every round is staged. No edges: no rows. Loops and repeats are fine.
+    Rounds go on until the edges stay; it is an error if they don't within `rounds`.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
     before = None
-    for _ in range(rounds):
+    for done in itertools.count():
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before or not seen[0]:
             break
+        if done == rounds:
+            raise RuntimeError(f"{name}: the edges still change after {rounds} rounds")
         before = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -61,6 +61,15 @@ def test_ngram_join(docs, rows, none, n, percent):
     assert jaccard_components(none).count() == 0
 
 
+def test_components_end_with_whole_components(spark):
+    from mosaiq.llm.shared import components
+
+    path = spark.range(40).selectExpr("(id * 7) % 41 AS a", "((id + 1) * 7) % 41 AS b")
+    assert {(r.node, r.root) for r in components(path).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+
+
 def test_repeats(docs, rows, none):
     from mosaiq.llm.suffix_dedup import remove_repeats
 
