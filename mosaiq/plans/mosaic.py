@@ -183,18 +183,35 @@ ABLATIONS: dict[str, dict] = {
     "no photometric gate": {"min_ncc": -1.0},
     "no bundle adjustment": {"bundle": False},
     "+ ECC polish": {"ecc_refine": True},
+    "no LoFTR fallback": {"use_deep_fallback": False},
     "2000 features": {"n_features": 2000},
     "no plausibility gate": {"plausibility_gate": False},
 }
+#: Changes that only pictures show; for ablate(..., out=).
+RENDERINGS: dict[str, dict] = {
+    "render_full": {},
+    "render_no_seam_no_blend": {"seam": "none", "blend": "none"},
+    "render_voronoi_feather": {"seam": "voronoi", "blend": "feather"},
+    "render_no_exposure": {"exposure": "none"},
+    "render_graphcut_feather": {"blend": "feather"},
+}
+
 
+def ablate(spark: SparkSession, root: str, changes: dict[str, dict] | None = None, out: str | None = None, quality: int = 88) -> DataFrame:
+    """config, store, n, used, rms, ncc, min_ncc, seconds, error: geometry of all stores under each change; a failed run is a row.
 
-def ablate(spark: SparkSession, root: str, changes: dict[str, dict] | None = None) -> DataFrame:
-    """config, store, n, used, rms, ncc, min_ncc, seconds, error: geometry of all stores under each change; a failed run is a row."""
+    With `out`, the changes (RENDERINGS, if none are given) are rendered as well, to <out>/<config>_<store>.jpg.
+    """
     rows = []
-    for name, change in (ABLATIONS if changes is None else changes).items():
+    for name, change in ((RENDERINGS if out else ABLATIONS) if changes is None else changes).items():
         t = time.time()
         try:
-            g = solve(S.read_images(spark, root, many=True, on_bad="skip"), Config(**change))
+            cfg = Config(**change)
+            g = solve(S.read_images(spark, root, many=True, on_bad="skip"), cfg)
+            if out:
+                mosaic, plan, _, _ = render(g, cfg)
+                for r in plan.select("store").distinct().toLocalIterator():
+                    S.write_image(spark, f"{out}/{name}_{r.store}.jpg", C.assembled(mosaic, r.store, cfg.crop), quality)
             used = g.layout.groupBy("store").agg(F.count("*").alias("n"), F.count("h").alias("used"))
             for r in used.join(P.layout_metrics(g.work, g.layout, g.pairs), "store").toLocalIterator():
                 rows.append((name, r.store, r.n, r.used, r.reproj_rms_px, r.mean_overlap_ncc, r.min_overlap_ncc, time.time() - t, None))

@@ -50,6 +50,14 @@ def test_many_stores_and_exit_code(spark, root, tmp_path):
     assert main(["--data-root", str(tmp_path), "--out", str(tmp_path), "--quiet"]) == 1
 
 
+def test_ablations_are_whole_and_rendered(spark, root, tmp_path):
+    assert len(M.ABLATIONS) == 11 and len(M.RENDERINGS) == 5 and [M.Config(**c) for c in {**M.ABLATIONS, **M.RENDERINGS}.values()]
+    plain = "render_no_seam_no_blend"
+    rows = M.ablate(spark, root, {plain: M.RENDERINGS[plain]}, out=str(tmp_path)).collect()
+    assert {(r.config, r.store, r.error) for r in rows} >= {(plain, "store_1", None)} and all(r.error is None for r in rows)
+    assert (tmp_path / f"{plain}_store_1.jpg").stat().st_size > 1000
+
+
 def test_bad_files(spark, root):
     where = f"{root}/store_2/images"
     assert [r.reason for r in S.read_images(spark, where, on_bad="report").orderBy("idx").collect()] == [None, None, "cannot be decoded"]
