@@ -45,18 +45,39 @@ class _Part:
     def done(self) -> None:
         for k in self.KINDS:
             self.out[k].close()
-            os.replace(self.temp[k], self.names[k]) if self.local else self.fs.move(self.temp[k], self.names[k])
+            if self.local:
+                os.replace(self.temp[k], self.names[k])
+                continue
+            try:
+                self.fs.move(self.temp[k], self.names[k])
+            except OSError:  # some stores don't move onto a name that an earlier attempt left; its bytes are the same
+                from pyarrow import fs
+
+                if self.fs.get_file_info(self.names[k]).type == fs.FileType.NotFound:
+                    raise
+                self.fs.delete_file(self.temp[k])
+
+
+class _Ranged:
+    """A file in a store, read by ranges of items as a mapped one is."""
+
+    def __init__(self, file, dtype):
+        self.file, self.dtype = file, np.dtype(dtype)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start = 0 if part.start is None else int(part.start)
+        stop = self.file.size() // self.dtype.itemsize if part.stop is None else int(part.stop)
+        return np.frombuffer(self.file.read_at((stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
 
 
-def _mapped(folder: str, i: int, kind: str, dtype) -> np.ndarray:
+def _mapped(folder: str, i: int, kind: str, dtype) -> np.ndarray | _Ranged:
     if (local := _local(folder)) is not None:
         name = f"{local}/part-{i:07d}.{kind}"
         return np.memmap(name, dtype, "r") if os.path.getsize(name) else np.zeros(0, dtype)
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(folder)
-    with store.open_input_file(f"{at}/part-{i:07d}.{kind}") as f:
-        return np.frombuffer(f.read(), dtype)
+    return _Ranged(store.open_input_file(f"{at}/part-{i:07d}.{kind}"), dtype)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, *, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +116,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             part.done()
             yield pa.RecordBatch.from_pydict({"part": [i], "n_docs": [n_docs], "n_tokens": [at], "width": [enc.dtype.itemsize]}, schema=pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # the texts' beginnings too, or rows of one id (or none) would all meet in one part
+    ordered = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
     done = staged(ordered.mapInArrow(encode, "part long, n_docs long, n_tokens long, width int"), "manifest")
     return prefix_sums(done, "part", "n_tokens")
 
@@ -107,11 +129,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 dtype = np.dtype(f"<u{row['width']}")
-                data, idx, ids = _mapped(folder, row["part"], "bin", dtype), _mapped(folder, row["part"], "idx", "<i8"), _mapped(folder, row["part"], "ids", "<i8")
+                data, idx, ids = _mapped(folder, row["part"], "bin", dtype), _mapped(folder, row["part"], "idx", "<i8")[:], _mapped(folder, row["part"], "ids", "<i8")[:]
                 a = 0
                 while a < len(ids):  # by some MB at a time
                     b = max(a + 1, int(np.searchsorted(idx, idx[a] + (1 << 21), "right")) - 1)
-                    each = [data[x:y].tobytes() for x, y in zip(idx[a:b], idx[a + 1 : b + 1], strict=True)]
+                    some = data[idx[a] : idx[b]]
+                    each = [some[x:y].tobytes() for x, y in zip(idx[a:b] - idx[a], idx[a + 1 : b + 1] - idx[a], strict=True)]
                     cols = [ids[a:b], idx[a:b] + row["base"], np.diff(idx[a : b + 1]), pa.array(each, pa.binary()), np.full(b - a, row["width"], np.int32), pa.array([crc(x, dtype) for x in each], pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "start", "n_tokens", "ids", "width", "ids_crc32"])
                     a = b

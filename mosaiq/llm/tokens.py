@@ -8,6 +8,11 @@ other spacing (for tokenizers that keep white space) is encoded as it is.
 A part that is not known yet is split as the tokenizer's file says and goes to the
 library's model word by word, without the library's bookkeeping of places; parts with
 letters beyond Latin, and tokenizers whose file has other steps, go to its encode().
+
+Added tokens (such as an end-of-text mark written out in a text) are cut out first, as the
+library does: what lies between them is encoded as texts of their own. A file whose added
+tokens ask for more than their literal text (stripping, whole words, normalised matching)
+has all texts encoded by the library.
 """
 
 from __future__ import annotations
@@ -65,7 +70,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().items())
+        self.literal = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
+        self.added = {t.content: i for i, t in added}
+        #: The longest at a place counts.
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         #: White space gives no ids: cutting at any space is safe.
@@ -130,7 +139,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes of `dtype`; "" has none."""
         for text in texts:
-            yield b"" if not text else self._known(text) if len(text) <= 2 * self.PIECE else self._long(text)
+            if not self.literal:
+                yield self._ids([text])[0]
+            elif any(c in text for c in self.added):
+                between = self.marks.split(text)  # texts and marks in turn
+                yield b"".join(array(self.code, [self.added[x]]).tobytes() if k % 2 else self._text(x) for k, x in enumerate(between))
+            else:
+                yield self._text(text)
+
+    def _text(self, text: str) -> bytes:
+        return b"" if not text else self._known(text) if len(text) <= 2 * self.PIECE else self._long(text)
 
 
 @functools.lru_cache(2)
