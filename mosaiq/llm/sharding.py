@@ -10,28 +10,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.shared import prefix_sums, staged
+from mosaiq.llm.shared import prefix_sums, setting, staged
 
 
-def external_shuffle(df: DataFrame, size, key, *, bucket_bytes: int = 16 << 20, seed: int = 7) -> DataFrame:
+def external_shuffle(df: DataFrame, size, key, *, bucket_bytes: int = 16 << 20, seed: int = 7, most: int = 16_384, most_heavy: int = 100_000) -> DataFrame:
     """All rows in random order: columns row (struct of df's columns), bucket, pos (0.. in the bucket).
 
-    size: a column of bytes a row takes; key: a column that tells rows apart. The hash
-    also takes the input partition's number, so rows that repeat spread over buckets
-    too; it does not take a row's place in it, so a task that runs again deals alike.
-    The number of buckets follows the bytes, so a bucket's memory does not grow with
-    the input. Nulls anywhere are values like others; an empty table gives no rows; the
-    input's columns live in `row`, so none can clash. Same files and seed, same order.
+    size: a column of bytes a row takes; key: a column that is hashed first. A row's bucket
+    follows from hashes of the key and of all its columns, and its place in it from those
+    and the seed, so the order hangs on rows, sizes, seed, bucket_bytes and `most` alone,
+    not on files, splits or the cluster. Rows alike in all columns share a bucket, unless
+    they would fill a quarter of one: such rows are counted, dealt anew by number, so they
+    spread over all buckets. The number of buckets follows the bytes, so a bucket's memory
+    does not grow with the input; `most` partitions at most hold them, one bucket in memory
+    at a time. Nulls anywhere are values like others; an empty table gives no rows; the
+    input's columns live in `row`, so none can clash. Columns are of types that Spark can
+    hash and compare (no maps).
     """
+    spark = df.sparkSession
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), size.cast("long").alias("size"), key.alias("key"))
+    rows = rows.select(F.xxhash64(F.lit(seed), "key", "row").alias("h"), F.xxhash64(F.lit(seed + 1), "row", "key").alias("g"), "key", "size", "row")
     total = rows.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
-    dealt = rows.withColumn("h", F.xxhash64(F.lit(seed), "key", F.spark_partition_id())).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(n)))
-    buckets = dealt.repartition(n, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("h", "key", "size", "row")).alias("rows"))
-    # the order in which rows arrive is chance: sort first, then permute by the seed
-    shuffled = buckets.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.array_sort("rows"), F.lit(seed)).alias("rows"))
-    out = shuffled.select("bucket", F.posexplode("rows").alias("pos", "r")).select("r.row", "bucket", F.col("pos").cast("long").alias("pos"), "r.size")
-    return staged(out, "shuffled")
+    bucket = lambda *c: F.pmod(F.xxhash64(F.lit(seed + 2), "h", "g", *c), F.lit(n))
+    heavy = rows.groupBy("h", "g").agg(F.count("*").alias("copies"), F.max("size").alias("each")).where(f"copies > 1 and copies * each * 4 > {bucket_bytes}").select("h", "g")
+    heavy = staged(heavy, "heavy")
+    many = heavy.count()
+    dealt = rows.withColumn("bucket", bucket())
+    if many:
+        small = F.broadcast(heavy) if many <= most_heavy else heavy.hint("merge")
+        copied = rows.join(small, ["h", "g"]).groupBy("h", "g").agg(F.any_value("key").alias("key"), F.any_value("size").alias("size"), F.any_value("row").alias("row"), F.count("*").alias("copies"))
+        runs = copied.withColumn("run", F.explode(F.expr("sequence(0L, (copies - 1) div 4096)"))).repartition("h", "g", "run")
+        copies = runs.withColumn("copy", F.explode(F.expr("sequence(run * 4096, least(copies, (run + 1) * 4096) - 1)")))
+        dealt = rows.join(small, ["h", "g"], "left_anti").withColumn("bucket", bucket()).unionByName(copies.select(*rows.columns, bucket("copy").alias("bucket")))
+    # sorted by bucket, so that one bucket's rows are in memory at a time, not those of all buckets of a partition
+    with setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        buckets = dealt.repartition(min(n, most), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("h", "g", "key", "size", "row")).alias("rows"))
+        # the order in which rows arrive is chance: sort first, then permute by the seed
+        shuffled = buckets.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.array_sort("rows"), F.lit(seed)).alias("rows"))
+        out = shuffled.select("bucket", F.posexplode("rows").alias("pos", "r")).select("r.row", "bucket", F.col("pos").cast("long").alias("pos"), "r.size")
+        return staged(out, "shuffled")
 
 
 def shard(df: DataFrame, size, key, n_shards: int, **options) -> DataFrame:
