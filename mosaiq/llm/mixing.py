@@ -1,31 +1,37 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source's documents are shuffled (order of a seeded hash) and laid end to end as
-one stream of words, cut into blocks of equal length. Slots t = 0, 1, 2, ... get the
-points frac(t * golden ratio), mapped through the cumulated weights to a source; the
-r-th slot of a source takes the r-th block of its stream, which starts again from its
-beginning when it ends. Any run of slots so keeps the weights to within a few blocks.
+one stream of words, cut into blocks of equal length; the stream starts again from its
+beginning when it ends, as often as documents may repeat. The points frac(t * golden
+ratio), t = 0, 1, 2, ..., are mapped through the cumulated shares of the targets to
+sources; the r-th point of a source takes the r-th block of its stream. Points go on until
+every source has its target, and pass over sources that have it (these differ from their
+share of the points by a few blocks only). The points that take a block, in order, are the
+slots 0, 1, 2, ... of the mix: any run of them keeps the shares to within a few blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from mosaiq.llm.shared import staged
+from mosaiq.llm.shared import NULL_ID, back, met, prefix_sums, staged
 
 #: Words: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: frac(golden ratio) and the interval [0, 1), in units of 2**-31; products stay below 2**62.
 GOLDEN, UNIT, CELL = 1327217885, 1 << 31, 1 << 19
+#: Words of a block: the most, and how many blocks a small mix has at least.
+BLOCK, BLOCKS = 1024, 1 << 16
 
 
 @dataclass
 class Mix:
-    documents: DataFrame  # sid, id, text hash key, source, size, source_size, target, taken
-    segments: DataFrame  # slot, sid, id, begin (in the source's stream), size, word_from, word_to, epoch
+    documents: DataFrame  # sid, id, tie (hash of the row), source, size, source_size, target, begin (in the source's stream), taken, first_slot, n_pieces
+    segments: DataFrame  # slot, sid, id, tie, begin, size, epoch, word_from, word_to
     sources: DataFrame  # sid, source, source_size, weight, target, take
+    block_words: int
 
 
 def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
@@ -49,85 +55,107 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeats
     return s.select("sid", "source", "source_size", "weight", "target", "take")
 
 
+def _bases(counts: DataFrame, fine: str, coarse: Column) -> DataFrame:
+    """counts (sid, fine, n) with `base`: the sum of n over smaller `fine` of the source; two levels, so no task orders a whole source."""
+    c = counts.withColumn("_c", coarse)
+    totals = c.groupBy("sid", "_c").agg(F.sum("n").alias("_t"))
+    totals = totals.select("sid", "_c", (F.sum("_t").over(W.partitionBy("sid").orderBy("_c")) - F.col("_t")).alias("_before"))
+    inner = c.withColumn("_in", F.sum("n").over(W.partitionBy("sid", "_c").orderBy(fine)) - F.col("n"))
+    return inner.join(totals, ["sid", "_c"]).select("sid", fine, (F.col("_before") + F.col("_in")).alias("base"))
+
+
+def _points(sources: DataFrame, n: int, first: int, end: int) -> DataFrame:
+    """(t, sid, need): golden-ratio points `first` to `end` through the cumulated needs (blocks; n of all sources) that fall on a source of these."""
+    cells = sources.where("hi > lo").select("sid", "need", "lo", "hi", F.explode(F.expr(f"sequence(lo div {CELL}, (hi - 1) div {CELL})")).alias("cell"))
+    points = sources.sparkSession.range(first, end).withColumn("u", (F.col("id") % UNIT) * GOLDEN % UNIT).withColumn("cell", F.expr(f"u div {CELL}"))
+    return points.join(cells, "cell").where("u >= lo and u < hi").select(F.col("id").alias("t"), "sid", "need")
+
+
 def _schedule(sources: DataFrame, block: int) -> DataFrame:
-    """(slot, sid, rank): golden-ratio points through the cumulated weights, ranked per source; n slots and a few more."""
-    spark = sources.sparkSession
+    """(slot, sid, rank): each source's first points, as many as its target has blocks, ranked; slots number all of them in order."""
     s = sources.withColumn("need", F.expr(f"(take + {block - 1}) div {block}"))
     n = s.agg(F.sum("need")).first()[0] or 0
     upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow)
     s = s.withColumn("hi", F.floor(F.sum("need").over(upto) / F.lit(float(max(n, 1))) * UNIT)).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0)))
-    s = s.select("sid", "need", "lo", "hi")
-    cells = s.where("hi > lo").withColumn("cell", F.explode(F.expr(f"sequence(lo div {CELL}, (hi - 1) div {CELL})")))
-    slots = spark.range(n).withColumn("u", (F.col("id") % UNIT) * GOLDEN % UNIT).withColumn("cell", F.expr(f"u div {CELL}"))
-    slots = slots.join(cells, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "sid", "need", F.shiftright("id", 16).alias("chunk"))
-    # ranks in two levels: counts of chunks of slots, then inside a chunk
-    counts = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
-    bases = counts.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("base"))
-    ranked = slots.join(bases, ["sid", "chunk"]).withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1)
-    ranked = ranked.where("rank < need").select("slot", "sid", "rank")
-    # what the points left over of a source, a few blocks at most, comes at the end
+    s = staged(s.select("sid", "need", "lo", "hi"), "shares")
+    chunk = F.shiftright("t", 16)
+    points = _points(s, n, 0, n)
+    have = points.groupBy("sid").agg(F.count("*").alias("have"))
+    late = staged(s.join(have, "sid", "left").where("need > coalesce(have, 0)").select(s.columns), "late_sources")
+    # a golden-ratio point falls into an interval of length 1 / n in any 2.62 n in a row
+    points = points.unionByName(_points(late, n, n, 3 * n + 16)).withColumn("chunk", chunk)
+    counts = staged(points.groupBy("sid", "chunk").agg(F.count("*").alias("n")), "point_counts")
+    inside = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("t")) - 1
+    ranked = points.join(_bases(counts, "chunk", F.shiftright("chunk", 8)), ["sid", "chunk"]).withColumn("rank", F.col("base") + inside)
+    ranked = ranked.where("rank < need").select("t", "sid", "rank")
+    # intervals too short for the points' 31 bits (past some billion blocks): the rest comes last
     have = counts.groupBy("sid").agg(F.sum("n").alias("have"))
-    late = s.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    late = late.withColumn("lag", F.sum(F.col("need") - F.col("have")).over(W.orderBy("sid")) - (F.col("need") - F.col("have")))
-    late = late.select("sid", "have", "lag", F.explode(F.expr("sequence(have, need - 1)")).alias("rank")).select((F.lit(n) + F.col("lag") + F.col("rank") - F.col("have")).alias("slot"), "sid", "rank")
-    return ranked.unionByName(late)
+    rest = late.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
+    rest = rest.select("sid", F.explode(F.expr("sequence(have, need - 1)")).alias("rank")).select((F.lit(3 * n + 16) + F.col("rank")).alias("t"), "sid", "rank")
+    kept = staged(ranked.unionByName(rest).withColumn("chunk", chunk), "points")
+    bases = prefix_sums(kept.groupBy("chunk").agg(F.count("*").alias("n")), "chunk", "n").select("chunk", "base")
+    place = F.row_number().over(W.partitionBy("chunk").orderBy("t", "sid")) - 1
+    return kept.join(bases, "chunk").select((F.col("base") + place).alias("slot"), "sid", "rank")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int = 1024, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Mix sources (weights repeat over them, in code point order, null last) to `share` of all words.
 
     A source's target is at most `repeats` times its size; the excess goes to the others
-    by weight. Each source's taken words equal its target, rounded. A null source is a
-    source; null and empty texts have no words and are never taken, but are listed. Rows
-    that repeat are documents of their own. An empty table gives empty results. A source
-    of any size is dealt over 65,536 hash buckets before words are summed in order.
+    by weight. Each source's taken words equal its target, rounded. block_words: 1024, or a 65,536th of the mix where that is
+    less. A null source is a source; null and empty texts have no words and are never
+    taken, but are listed. Rows that repeat are documents of their own; rows of one id and
+    size go in the order of a hash of all their columns. An empty table gives empty
+    results. No task orders a whole source.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    sizes = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), every.alias("tie"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = staged(sizes, "sizes")
     sources = staged(_targets(sizes, weights, share, repeats), "sources")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 4))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    bases = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
-    placed = rows.join(bases, ["sid", "bucket"]).withColumn("begin", F.col("base") + F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
-    placed = staged(placed.select("sid", "id", "source", "size", "source_size", "target", "take", "begin"), "placed")
-    b = block_words
+    b = block_words or max(1, min(BLOCK, (sources.agg(F.sum("take")).first()[0] or 0) // BLOCKS))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
+    named, n = sources.select(name, *[c for c in sources.columns if c != "source"]), sources.count()
+    rows = sizes.select("*", name)
+    rows = rows.join(F.broadcast(named), "name") if n <= 100_000 else met(rows, "name", named, sizes.count())
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(back(F.col("id")).cast("string"), F.lit("null"))).cast("binary"))
+    rows = rows.drop("name").withColumn("key", key).withColumn("bucket", F.substring("key", 1, 4))
+    bases = _bases(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "bucket", F.substring("bucket", 1, 2))
+    before = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("key", "id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    placed = rows.join(bases, ["sid", "bucket"]).withColumn("begin", F.col("base") + before)
+    placed = staged(placed.select("sid", "id", "tie", "source", "size", "source_size", "target", "take", "begin"), "placed")
     passes = placed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("at", F.col("epoch") * F.col("source_size") + F.col("begin")).withColumn("end", F.least(F.col("at") + F.col("size"), F.col("take"))).where("at < end")
     parts = passes.withColumn("rank", F.explode(F.expr(f"sequence(at div {b}, (end - 1) div {b})"))).withColumn("word_from", F.greatest("at", F.col("rank") * b) - F.col("at")).withColumn("word_to", F.least("end", (F.col("rank") + 1) * b) - F.col("at"))
-    segments = parts.join(_schedule(sources, b), ["sid", "rank"]).select("slot", "sid", "id", "begin", "size", "epoch", "word_from", "word_to")
-    segments = staged(segments, "segments")
-    taken = segments.groupBy("sid", "begin", "id", "size").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken")).withColumnRenamed("id", "tid")
-    docs_out = placed.join(taken, (placed["sid"] == taken["sid"]) & (placed["begin"] == taken["begin"]) & (placed["size"] == taken["size"]) & placed["id"].eqNullSafe(taken["tid"]), "left")
-    docs_out = docs_out.select(placed["sid"], placed["id"], placed["source"], placed["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return Mix(docs_out, segments, sources)
+    segments = staged(parts.join(_schedule(sources, b), ["sid", "rank"]).select("slot", "sid", "id", "tie", "begin", "size", "epoch", "word_from", "word_to"), "segments")
+    # a document with words has its place in its source's stream to itself
+    taken = segments.groupBy(F.col("sid").alias("s2"), F.col("begin").alias("b2")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
+    documents = placed.join(taken, (F.col("sid") == F.col("s2")) & (F.col("begin") == F.col("b2")) & (F.col("size") > 0), "left")
+    documents = documents.select("sid", back(F.col("id")).alias("id"), "tie", "source", "size", "source_size", "target", "begin", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"))
+    return Mix(documents, segments.withColumn("id", back(F.col("id"))), sources, b)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them: a row stands for each pass that takes over half of its words.
 
-    Rows of one id are told apart by their number of words.
+    Whole documents, so a source is off its target by half a document at most. Each
+    partition's rows are in the order of their first slots; a document's partition is
+    chance, so each partition is a thinned schedule.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     m = mix(docs, **options)
-    each = m.segments.groupBy("sid", "begin", "id", "size", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n")).where("2 * n > size")
-    copies = each.groupBy("id", "size").agg(F.count("*").alias("copies"))
-    rows = each.select("id", "size", "begin", "sid").distinct().groupBy("id", "size").agg(F.count("*").alias("rows"))
-    # rows alike in id and size are alike in the mix: they share its copies evenly, the first ones taking what is over
-    copies = copies.join(rows, [copies["id"].eqNullSafe(rows["id"]), copies["size"] == rows["size"]]).select(copies["id"].alias("_mid"), copies["size"].alias("_msize"), "copies")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    same = W.partitionBy("_id", "_size").orderBy(F.xxhash64("_id", "_size"))
-    joined = held.join(copies, held["_id"].eqNullSafe(copies["_mid"]) & (held["_size"] == copies["_msize"]))
-    joined = joined.withColumn("_k", F.row_number().over(same)).withColumn("_n", F.count("*").over(W.partitionBy("_id", "_size")))
-    joined = joined.withColumn("_c", F.expr("copies div _n") + F.when(F.col("_k") <= F.expr("copies % _n"), 1).otherwise(0)).where("_c > 0")
-    return joined.select("row", F.explode(F.expr("sequence(1, _c)"))).select("row.*")
+    passes = m.segments.groupBy("sid", "begin", "id", "tie", "size", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"), F.min("slot").alias("slot")).where("2 * n > size")
+    passes = passes.select(F.coalesce("id", F.lit(NULL_ID)).alias("_id"), F.col("tie").alias("_tie"), "slot")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(options.get("id_col", "doc_id")).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(*columns).alias("_tie"))
+    if m.documents.groupBy("id", "tie").count().where("count > 1").limit(1).count():  # rows alike in all columns: one stands for all
+        held = held.dropDuplicates(["_id", "_tie"])
+    return held.join(passes, ["_id", "_tie"]).sortWithinPartitions("slot").select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs).documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
-#: Every block that the schedule hands out is taken, so what a document gives follows from its place in its source's stream.
+#: The same points, ranked by source; what they give a document follows from its place in its source's stream.
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
@@ -135,7 +163,17 @@ w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELS
 o AS (SELECT *, sum(cap) OVER (ORDER BY cap / weight, sid) - cap AS before, sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, sid) + weight AS rest FROM w),
 f AS (SELECT *, cap * rest <= weight * (total - before) AS is_full FROM o),
 t AS (SELECT sid, source, source_size, CASE WHEN is_full THEN cap ELSE weight * (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS target FROM f),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
- (sum(d.size) OVER (PARTITION BY t.sid ORDER BY md5('1:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(pos + size, take % source_size) - pos) END::BIGINT AS taken FROM p
+n AS (SELECT greatest(1, least(1024, sum(floor(target + 0.5)::BIGINT)::BIGINT // 65536)) AS b FROM t),
+a AS (SELECT sid, source, source_size, target, floor(target + 0.5)::BIGINT AS take, b, (floor(target + 0.5)::BIGINT + b - 1) // b AS need FROM t, n),
+k AS (SELECT sid, need, floor(sum(need) OVER (ORDER BY sid)::DOUBLE / greatest(sum(need) OVER (), 1)::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS hi FROM a),
+l AS (SELECT sid, need, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, hi FROM k),
+g AS (SELECT t, t % 2147483648 * 1327217885 % 2147483648 AS u FROM (SELECT unnest(range(0, 3 * sum(need)::BIGINT + 16)) AS t FROM a)),
+j AS (SELECT sid, need, t, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS rank FROM g JOIN l ON u >= lo AND u < hi),
+h AS (SELECT sid, rank, row_number() OVER (ORDER BY t) - 1 AS slot FROM j WHERE rank < need),
+p AS (SELECT d.doc_id, d.size, a.sid, a.b, a.source_size, a.target, a.take AS given,
+ (sum(d.size) OVER (PARTITION BY a.sid ORDER BY md5('1:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS x FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+q AS (SELECT *, greatest(0, least(x + size, given) - x) AS one, greatest(0, least(x + source_size + size, given) - x - source_size) AS two FROM p)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken, h.slot AS first_slot,
+ (CASE WHEN one > 0 THEN (x + one - 1) // b - x // b + 1 ELSE 0 END + CASE WHEN two > 0 THEN (x + source_size + two - 1) // b - (x + source_size) // b + 1 ELSE 0 END)::BIGINT AS n_pieces
+FROM q LEFT JOIN h ON q.sid = h.sid AND q.one > 0 AND h.rank = x // b
 """
