@@ -4,12 +4,23 @@ The matrix has a row a document and a column an n-gram. Its product with itself
 all overlaps; a pair links if its overlap reaches what the two sizes ask for.
 
 Which rows can meet: if two sets of at most m n-grams link, they differ in at most
-h(m) = floor(2 m (100 - p) / (100 + p)) n-grams. Columns are dealt by hash into more than
-h(m) / 2 column blocks of three strips each, so the two rows differ in one n-gram at most
-on one block at least, and agree wholly on two of its strips. Each row posts a digest of
-each two strips of a block; rows that share a digest are put into one row block. This
-bound loses no pair and sends no pairs. Two strips hold some seven n-grams and all must
-agree, so frequent n-grams (lines, passages) bring hardly any rows together.
+h(m) = floor(2 m (100 - p) / (100 + p)) n-grams. Each row posts digests of parts of its
+set, chosen so that two linked rows post one in common; rows that share a digest are put
+into one row block. This bound loses no pair and sends no pairs.
+
+* h = 0: the sets are equal; the digest is that of the whole set.
+* h = 1 to 4 (small sets): columns are dealt by hash to k strips, and each k - h strips have
+  a digest: h n-grams touch h strips at most, so two linked rows agree on all others.
+* above: columns are dealt into more than h / 2 column blocks of three strips each, so two
+  linked rows differ in one n-gram at most on one block at least, and agree wholly on two of
+  its strips. Each two strips of a block have a digest.
+
+Empty strips say nothing and are never posted. A set that would need them is dealt again by
+another hash (both of two linked sets that need it are), up to LEVELS times; a set that needs
+them at every level posts its n-grams one by one, and two linked ones share one of these.
+All of a digest's n-grams must agree, so frequent n-grams (lines, passages) bring hardly any
+rows together. Rows of one batch that share a digest are joined there and post it once, so
+a digest that very many rows have comes once a batch to the task that joins it.
 
 What meets is decided exactly: the product of a row block accumulates overlap counts
 (rare columns pair by pair, frequent ones as dense slabs), in tiles of bounded size,
@@ -19,6 +30,7 @@ and pairs below their bound are discarded. Only a spanning forest of the links l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +41,8 @@ from mosaiq.llm.shared import NULL_ID, WordHash, back, components, groups, keyed
 from mosaiq.llm.tiles import tiled
 
 TILE, DENSE = 2048, 8
+#: Strips for sets that differ in at most 0 to 4 n-grams, and how often a set is dealt again.
+COVER, LEVELS = (1, 3, 5, 7, 8), 8
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -50,16 +64,27 @@ def text_sets(texts: list[str], known: WordHash, n: int) -> Iterator[np.ndarray]
 
 
 class Columns:
-    """The column blocks of each size class for a threshold of `percent`."""
+    """The digests of sets, by size class, for a threshold of `percent`."""
 
     STRIPS = ((0, 1), (0, 2), (1, 2))
 
     def __init__(self, percent: int):
-        self.percent, self.tops = percent, [6]
+        self.percent, self.tops = percent, []
+        while self.differ(self._next()) < len(COVER) and (not self.tops or self.tops[-1] < 1000):  # a class for each h
+            self.tops.append(self._next())
+        self.few = len(self.tops)
+        self.parts = [np.array(list(combinations(range(k), k - h)), np.int64) for h, k in enumerate(COVER)]
+
+    def _next(self) -> int:
+        """The largest size above all classes' at which h is still that of the size after the last class."""
+        size = self.tops[-1] + 1 if self.tops else 1
+        while self.differ(size + 1) == self.differ(size) and size < 1000:
+            size += 1
+        return size
 
     def _class(self, size: int) -> int:
-        while self.tops[-1] < size:
-            self.tops.append(self.tops[-1] * 4 // 3)
+        while not self.tops or self.tops[-1] < size:
+            self.tops.append(max(self.tops[-1] * 4 // 3, self.tops[-1] + 1) if self.tops else 1)
         return int(np.searchsorted(self.tops, size))
 
     def differ(self, size: int) -> int:
@@ -67,34 +92,61 @@ class Columns:
         return 2 * size * (100 - self.percent) // (100 + self.percent)
 
     def digests(self, s: np.ndarray) -> np.ndarray:
-        """Digests of each two strips of each block, for a set's own size class and those that a larger partner can be in.
+        """Digests for a set's own size class and those that a larger partner can be in; s is sorted."""
+        out = []
+        for c in range(self._class(len(s)), self._class(len(s) * 100 // self.percent) + 1):
+            seed = self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            h, t = self.differ(self.tops[c]), s
+            for level in range(LEVELS):
+                if level:
+                    t = np.sort(mixed(t + np.uint64(0x2545F4914F6CDD1D)))
+                    seed = (seed + 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF
+                some, whole = self._covers(t, h, seed) if h < len(COVER) else self._blocks(t, h, seed)
+                out.append(some)
+                if whole:
+                    break
+            else:
+                out.append(mixed(t + np.uint64(seed)))
+        return np.concatenate(out)
+
+    @staticmethod
+    def _strips(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of k strips of equal ranges: a hash of each one's n-grams, and their number."""
+        strip = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # s is sorted, so strips are runs
+        starts = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
+        at = strip[starts].astype(np.int64)
+        sums, held = np.zeros(k, np.uint64), np.zeros(k, np.int64)
+        sums[at] = np.add.reduceat(mixed(s + np.uint64(0x2545F4914F6CDD1D)), starts)
+        held[at] = np.diff(np.r_[starts, len(s)])
+        return mixed(sums + np.arange(k, dtype=np.uint64)), held
+
+    def _covers(self, s: np.ndarray, h: int, seed: int) -> tuple[np.ndarray, bool]:
+        """Digests of each k - h of k strips that hold any n-gram, and whether all do."""
+        sums, held = self._strips(s, COVER[h])
+        digest = mixed((sums * np.uint64(3))[self.parts[h]].sum(1, dtype=np.uint64) + np.arange(len(self.parts[h]), dtype=np.uint64) + np.uint64(seed))
+        full = held[self.parts[h]].sum(1) > 0
+        return digest[full], bool(full.all())
+
+    def _blocks(self, s: np.ndarray, h: int, seed: int) -> tuple[np.ndarray, bool]:
+        """Digests of each two strips of each block, and whether they are enough.
 
         Two linked sets agree on two strips in more than `spare` blocks. All sets post
         strips that hold 3 n-grams or more. A set with more than `spare` blocks where some
-        two strips hold fewer posts those with 2 as well; with too many still, those with 1, and
-        at last those with none. The fuller of two linked sets so posts enough for the pair.
+        two strips hold fewer posts those with 2 as well; with too many still, those with 1.
+        The fuller of two linked sets so posts enough for the pair, unless both are short of
+        n-grams even then.
         """
-        out = []
-        largest = len(s) * 100 // self.percent
-        values = mixed(s + np.uint64(0x2545F4914F6CDD1D))
-        for c in range(self._class(len(s)), self._class(largest) + 1):
-            need = self.differ(self.tops[c]) // 2 + 1
-            spare = -(-need * 3 // 20) if need >= 4 else 0
-            n = need + spare
-            strip = ((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)  # s is sorted, so strips are runs
-            starts = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
-            at = strip[starts].astype(np.int64)
-            sums, held = np.zeros(3 * n, np.uint64), np.zeros(3 * n, np.int64)
-            sums[at] = np.add.reduceat(values, starts)
-            held[at] = np.diff(np.r_[starts, len(s)])
-            sums, held = mixed(sums).reshape(n, 3), held.reshape(n, 3)
-            salt = np.arange(n, dtype=np.uint64) + np.uint64(self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
-            both = np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
-            least = both.min(0)
-            floor = next((f for f in (3, 2, 1) if (least < f).sum() <= spare), 0)
-            out.append(digest[both >= floor])
-        return np.concatenate(out)
+        need = h // 2 + 1
+        spare = -(-need * 3 // 20) if need >= 4 else 0
+        n = need + spare
+        sums, held = self._strips(s, 3 * n)
+        sums, held = sums.reshape(n, 3), held.reshape(n, 3)
+        salt = np.arange(n, dtype=np.uint64) + np.uint64(seed)
+        digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
+        both = np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
+        least = both.min(0)
+        floor = next((f for f in (3, 2, 1) if (least < f).sum() <= spare), 0)
+        return digest[both >= max(floor, 1)], floor > 0
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
@@ -179,31 +231,36 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, columns, seen = WordHash(), Columns(percent), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, n, rep, digests = part.column("id").to_pylist(), [], [], []
-                for i, s in zip(ids, text_sets(part.column("text").to_pylist(), known, words), strict=True):
-                    first = i
-                    if len(s):
-                        first = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i)
-                    n.append(len(s))
-                    rep.append(first)
-                    digests.append(columns.digests(s) if len(s) and first == i else np.zeros(0, np.uint64))
-                offsets = np.r_[0, np.cumsum([len(d) for d in digests])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(digests).view(np.int64)))], ["id", "rep", "n", "digests"])
+            if not batch.num_rows:
+                continue
+            ids, n, near, digests = batch.column("id").to_pylist(), [], [], []
+            for i, s in zip(ids, text_sets(batch.column("text").to_pylist(), known, words), strict=True):
+                first = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i) if len(s) else i
+                n.append(len(s))
+                near.append((first,) if first != i else ())
+                digests.append(columns.digests(s) if len(s) and first == i else np.zeros(0, np.uint64))
+            # what rows of this batch share is posted once; the others point at the row that does
+            every, owner = np.concatenate(digests), np.repeat(np.arange(len(ids)), [len(d) for d in digests])
+            first, back_ = np.unique(every, return_index=True, return_inverse=True)[1:]
+            again = first[back_] != np.arange(len(every))
+            links = np.unique(np.stack([owner[again], owner[first[back_]][again]], 1), axis=0)
+            told = [list(x) for x in near]
+            for i, j in links[links[:, 0] != links[:, 1]].tolist():
+                told[i].append(ids[j])
+            offsets = np.r_[0, np.cumsum(np.bincount(owner[~again], minlength=len(ids)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] if x else None for x in near], pa.int64()), pa.array([x[len(y) :] for x, y in zip(told, near, strict=True)], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[~again].view(np.int64)))], ["id", "same", "near", "n", "digests"])
             if len(seen) > 200_000:  # a set that comes again later posts again
                 seen.clear()
 
-    sets = staged(rows.mapInArrow(post, "id long, rep long, n long, digests array<long>"), "sets")
+    sets = staged(rows.mapInArrow(post, "id long, same long, near array<long>, n long, digests array<long>"), "sets")
     posts = sets.select(F.explode("digests").alias("digest"), "id")
     hubs = posts.withColumn("hub", F.min("id").over(W.partitionBy("digest"))).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = hubs.unionByName(sets.select(F.col("id").alias("a"), F.explode("near").alias("b")))
     blocks = components(hubs, "blocks").select(F.col("node").alias("id"), F.col("root").alias("grp"))
-    # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones
-    sizes = sets.where(F.size("digests") > 0).groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    band = F.when(F.col("n") == F.col("least"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99) * 1.000001))))
-    members = staged(blocks.join(sizes.hint("merge"), "id").select("id", "grp", F.coalesce(band, F.lit(0)).cast("int").alias("band"), (F.col("n") != F.col("least")).alias("mixed")), "members")
-    # an id with rows of several sizes has no band: its group is cut without bands
-    members = members.withColumn("mixed", F.max("mixed").over(W.partitionBy("grp"))).select("id", "grp", F.when(F.col("mixed"), 0).otherwise(F.col("band")).alias("band"))
+    # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones; an id with rows of several sizes is in several
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99) * 1.000001))).cast("int")
+    sizes = sets.where("n > 0 and same is null").select("id", band.alias("band")).distinct()
+    members = staged(blocks.join(sizes.hint("merge"), "id").select("id", "grp", "band"), "members")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = WordHash(), []
@@ -217,7 +274,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     found = tiled(members, rows, TILE).select("id", "text", "grp", "ti", "tj", "side").mapInArrow(product, "a long, b long")
-    links = staged(found, "links").unionByName(sets.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = staged(found, "links").unionByName(sets.where("same is not null").select(F.col("id").alias("a"), F.col("same").alias("b")))
     roots = components(links, "linked")
     out = sets.select("id", "n").join(roots, sets["id"] == roots["node"], "left")
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "id")).alias("component_id"))

@@ -24,8 +24,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or a local one where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`; in local mode one of this machine where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file:///tmp/checkpoints"
+    return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,26 +47,36 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def dropping_shuffles(spark: SparkSession):
-    """Shuffle files of the actions inside go as soon as the action has ended."""
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session, for what is planned and run inside."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if old is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(CLEANUP, old)
+            spark.conf.set(name, old)
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it from there."""
+def dropping_shuffles(spark: SparkSession):
+    """Shuffle files of the actions inside go as soon as the action has ended."""
+    return setting(spark, CLEANUP, "true")
+
+
+def stage(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """Write df to the shared folder; the table read from there, and its path."""
     spark = df.sparkSession
     path = scratch(spark, name)
     with dropping_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it from there."""
+    return stage(df, name, codec)[0]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -136,28 +151,48 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def met(rows: DataFrame, key: str | list[str], table: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of table (one row a key at most) by `key`, nulls where it has none; keys are never null.
+
+    A key of more than a thousandth of the `total` rows is hot: of these there are at most
+    a thousand, so they are broadcast, and their rows stay where they are. All others
+    shuffle. So no task gets one key's rows, however many they are.
+    """
+    keys = [key] if isinstance(key, str) else key
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > total).select(*keys, F.lit(True).alias("_hot"))
+    there = rows.join(F.broadcast(hot.join(table, keys, "left")), keys, "left")
+    names = [*rows.columns, *[c for c in table.columns if c not in keys]]
+    return there.where("_hot").select(names).unionByName(there.where("_hot is null").select(rows.columns).join(table.hint("merge"), keys, "left").select(names))
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
-    edges: columns a, b (long). Alternating large-star and small-star rounds; each
-    is one shuffle by node with a running minimum, so a hub of any degree never sits
-    in memory. Every round is staged. No edges: no rows. Loops and repeats are fine.
-    Rounds go on until the edges stay; it is an error if they don't within `rounds`.
+    edges: columns a, b (long). Alternating rounds over edges a > b. Large star: a's edge
+    to b moves to b's least neighbour. Small star: all smaller neighbours of a, and a, go
+    to a's least. Least neighbours are partial minima, and edges get them from met(), so
+    a hub of any degree is never in one task. Every round is staged, and the one before
+    removed. No edges: no rows. Loops and repeats are fine. Rounds go on until every node
+    points at a root; it is an error if they don't end within `rounds`.
     """
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
-    before = None
+    spark = edges.sparkSession
+    least = lambda df: df.groupBy("a").agg(F.min("b").alias("low"))
+    now, path = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
     for done in itertools.count():
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == before or not seen[0]:
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up")))).alias("e")).select("e.v", "e.up")
+        moving = ends.groupBy("v").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)").limit(1).count()
+        if not moving:
             break
         if done == rounds:
             raise RuntimeError(f"{name}: the edges still change after {rounds} rounds")
-        before = seen
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.where("a != b").distinct().withColumn("m", F.min("b").over(W.partitionBy("a")))
-        small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = staged(small.where("a != b").distinct(), name)
+        total = now.count()
+        large, between = stage(met(now, "b", least(now).withColumnRenamed("a", "b"), total).select("a", F.coalesce("low", "b").alias("b")).distinct(), name)
+        low = least(large)
+        small = met(large, "a", low, total).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        now, after = stage(small.distinct(), name)
+        remove(spark, path)
+        remove(spark, between)
+        path = after
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 
