@@ -151,50 +151,98 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def met(rows: DataFrame, key: str | list[str], table: DataFrame, total: int) -> DataFrame:
+#: Rows that are broadcast or joined up in one task at most: some ten MB.
+FEW = 500_000
+
+
+def met(rows: DataFrame, key: str | list[str], table: DataFrame, total: int, few: int = FEW) -> DataFrame:
     """rows with the columns of table (one row a key at most) by `key`, nulls where it has none; keys are never null.
 
-    A key of more than a thousandth of the `total` rows is hot: of these there are at most
-    a thousand, so they are broadcast, and their rows stay where they are. All others
-    shuffle. So no task gets one key's rows, however many they are.
+    total: how many rows there are; table has no more. `few` rows at most: table is
+    broadcast. Else a key of more than a thousandth of the rows is hot: of these there are
+    at most a thousand, so they are broadcast, and their rows stay where they are. All
+    others shuffle. So no task gets one key's rows, however many they are.
     """
     keys = [key] if isinstance(key, str) else key
+    if total <= few:
+        return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *[c for c in table.columns if c not in keys])
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > total).select(*keys, F.lit(True).alias("_hot"))
     there = rows.join(F.broadcast(hot.join(table, keys, "left")), keys, "left")
     names = [*rows.columns, *[c for c in table.columns if c not in keys]]
     return there.where("_hot").select(names).unionByName(there.where("_hot is null").select(rows.columns).join(table.hint("merge"), keys, "left").select(names))
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a graph's edges: (node, the smallest node it is joined with), for all nodes but the smallest ones."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if not (lo < hi).any():
+            k = np.flatnonzero(root < np.arange(len(nodes)))
+            return nodes[k], nodes[root[k]]
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _spanned(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+        for batch in batches:
+            a.append(batch.column("a").to_numpy())
+            b.append(batch.column("b").to_numpy())
+            held += batch.num_rows
+            if held > most:
+                x, y = spanning(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                a, b, held = [], [], 0
+        if held:
+            x, y = spanning(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return run
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int | None = None, few: int = FEW) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
-    edges: columns a, b (long). Alternating rounds over edges a > b. Large star: a's edge
-    to b moves to b's least neighbour. Small star: all smaller neighbours of a, and a, go
-    to a's least. Least neighbours are partial minima, and edges get them from met(), so
-    a hub of any degree is never in one task. Every round is staged, and the one before
-    removed. No edges: no rows. Loops and repeats are fine. Rounds go on until every node
-    points at a root; it is an error if they don't end within `rounds`.
+    edges: columns a, b (long). First each task joins up its own edges, a million at a time,
+    which leaves an edge a node at most. `few` edges at most are then joined up in one task.
+    More go through alternating rounds over edges a > b. Large star: a's edge to b moves to
+    b's least neighbour. Small star: all smaller neighbours of a, and a, go to a's least.
+    Least neighbours are partial minima, and edges get them from met(), so a hub of any
+    degree is never in one task. Every round is staged, and the one before removed. No
+    edges: no rows. Loops and repeats are fine. Rounds go on until every node points at a
+    root; it is an error if they don't end within `rounds` (if given, there is no joining up
+    in one task).
     """
     spark = edges.sparkSession
     least = lambda df: df.groupBy("a").agg(F.min("b").alias("low"))
-    now, path = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
+    now, path = stage(edges.select("a", "b").mapInArrow(_spanned(1 << 20), "a long, b long"), name)
+    total = now.count()
+    if total <= few and rounds is None:
+        now, after = stage(now.coalesce(1).mapInArrow(_spanned(few), "a long, b long"), name)
+        remove(spark, path)
+        return _rooted(now)
     for done in itertools.count():
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up")))).alias("e")).select("e.v", "e.up")
         moving = ends.groupBy("v").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)").limit(1).count()
         if not moving:
-            break
+            return _rooted(now)
         if done == rounds:
             raise RuntimeError(f"{name}: the edges still change after {rounds} rounds")
-        total = now.count()
-        large, between = stage(met(now, "b", least(now).withColumnRenamed("a", "b"), total).select("a", F.coalesce("low", "b").alias("b")).distinct(), name)
+        large, between = stage(met(now, "b", least(now).withColumnRenamed("a", "b"), total, few).select("a", F.coalesce("low", "b").alias("b")).distinct(), name)
         low = least(large)
-        small = met(large, "a", low, total).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        small = met(large, "a", low, total, few).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
         now, after = stage(small.distinct(), name)
         remove(spark, path)
         remove(spark, between)
-        path = after
-    roots = now.select("b").distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        path, total = after, now.count()
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def prefix_sums(counts: DataFrame, key: str, value: str, span: int = 4096) -> DataFrame:

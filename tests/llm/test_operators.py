@@ -227,3 +227,142 @@ def test_toxicity(docs, none, spark):
     assert with_scores(none, train(none, labels)).count() == 0
 
 
+def test_components_by_rounds_with_hubs(spark):
+    """The way of large graphs, on a small one: a hub of most edges, chains, repeats and loops."""
+    from mosaiq.llm.shared import components, met, spanning
+
+    rng = random.Random(5)
+    edges = [(7, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(300)] + [(5, 5), (7, 100)]
+    root = {v: v for e in edges for v in e if e[0] != e[1]}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for few in (0, 10**6):
+        assert {r.node: r.root for r in components(df, few=few).collect() if r.node != 5} == {v: find(v) for v in root}
+    assert components(df.limit(0), few=0).count() == 0
+    x, y = spanning(np.array([3, 2, 9]), np.array([2, 1, 9]))
+    assert dict(zip(x, y)) == {3: 1, 2: 1}
+    table = spark.createDataFrame([(7, "hub"), (1000, "x")], "a long, v string")
+    for few in (0, 10**6):
+        got = sorted((r.a, r.b, r.v) for r in met(df, "a", table, len(edges), few).collect())
+        assert got == sorted((a, b, {7: "hub", 1000: "x"}.get(a)) for a, b in edges)
+
+
+def test_ids_are_the_librarys(spark):
+    """20,000 random strings with added tokens written out, odd spaces and letters beyond Latin."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    from mosaiq.llm.tokens import Encoder
+
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "  ", "\n", "\t", "a", "B", "don't", "'S", "Éa", "e\u0301", "日本", "ß", "İ", "123", "4", "...", "!", "\u00a0", "\u3000", "word", "Word ", "<", "endoftext", "🙂", "\u200b", "\x1c"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, e = Tokenizer.from_file(p.path(name)), Encoder(p.path(name))
+        for text, ids in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_digests_meet(spark):
+    """Linked sets of all small sizes share a digest; sets that share nothing share none."""
+    from mosaiq.llm.ngram_join import Columns
+
+    rng = np.random.default_rng(3)
+    for percent in (85, 80, 50):
+        c = Columns(percent)
+        for size in [*range(1, 70), 150, 400]:
+            for _ in range(6):
+                x = np.unique(rng.integers(0, 2**63, size, np.int64).view(np.uint64))
+                k = rng.integers(0, c.differ(size) + 1)
+                y = np.unique(np.r_[x[int(k) // 2 :], rng.integers(0, 2**63, int(k) - int(k) // 2, np.int64).view(np.uint64)])
+                both = len(np.intersect1d(x, y))
+                if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+                    assert len(np.intersect1d(c.digests(x), c.digests(y))), (percent, size, k)
+                z = np.unique(rng.integers(0, 2**63, size, np.int64).view(np.uint64))
+                assert not len(np.intersect1d(c.digests(x), c.digests(z)))
+
+
+def test_short_texts_do_not_meet(spark, monkeypatch):
+    """Thousands of distinct texts of one to eight words bring no row block of more than a few together."""
+    from mosaiq.llm import ngram_join
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(1 + i % 8))) for i in range(6000)]
+    seen = []
+    tiled = ngram_join.tiled
+    monkeypatch.setattr(ngram_join, "tiled", lambda m, *a: seen.append(max([r["count"] for r in m.groupBy("grp").count().collect()], default=0)) or tiled(m, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ngram_join.jaccard_components(docs).where("component_id <> doc_id").count() == 0
+    assert seen[0] <= 4
+
+
+def test_vectors_on_odd_rows(spark, monkeypatch):
+    from mosaiq.llm import vector_dedup
+
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(5, v, 1), (5, v, 1), (7, w, 1), (7, w, 1), (8, w, 1), (9, v, None), (10, [1.0, 2.0], 1), (11, [2.0, 4.0], 1), (12, [], 1), (None, w, 1), (13, [0.0, -0.0, 0.0], 1), (14, v, 2), (15, [2.0, 4.0, 6.0], 2), (16, [float("inf"), 1.0, 1.0], 2)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, keys int, same int").repartition(3)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_links(df).collect()), key=str)
+    want = [(5, 1, 5, True)] * 2 + [(7, 3, 7, True)] * 2 + [(8, 3, 7, False), (None, 3, 7, False), (9, 0, 9, True), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True), (13, 0, 13, True), (14, 1, 14, True), (15, 1, 14, False), (16, 0, 16, True)]
+    assert got == sorted(want, key=str)
+    assert vector_dedup.vector_links(df.limit(0)).count() == 0
+    # groups of near vectors larger than a tile: every link counts once, in whichever tables the pair meets
+    monkeypatch.setattr(vector_dedup, "TILE", 16)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 12)) + rng.normal(size=(90, 12)) * 0.1, rng.normal(size=(60, 12))])
+    near = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.98).sum(1) - 1
+    n = np.array([r.n_links for r in vector_dedup.vector_links(near).orderBy("vec_id").collect()])
+    assert (n <= true).all() and n.sum() >= 0.99 * true.sum() and true.sum() > 1000
+
+
+def test_shards_hang_on_rows_alone(spark):
+    from pyspark.sql import functions as F
+
+    from mosaiq.llm.sharding import external_shuffle, shard
+
+    rows = [(None if i % 3 else i, "same" if i % 2 else f"text {i} " + "x" * (i % 50)) for i in range(600)] + [(1, "long " * 20_000), (None, None)]
+    out = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out.append(sorted(((x.row.doc_id, x.row.text, x.shard, x.slot) for x in shard(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, F.col("doc_id"), 7, bucket_bytes=1000).collect()), key=str))
+    assert out[0] == out[1] and sorted(((a, b) for a, b, *_ in out[0]), key=str) == sorted(rows, key=str)
+    # a third of all rows alike in all columns, no ids: no bucket holds them all
+    docs = spark.createDataFrame([(None, "copy") for _ in range(900)] + [(None, f"t{i}") for i in range(1800)], "doc_id long, text string")
+    sizes = [r["count"] for r in external_shuffle(docs, F.lit(20), F.col("doc_id"), bucket_bytes=2000).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 2700 and max(sizes) < 220
+
+
+def test_mix_in_order(docs):
+    """Every prefix of the slots keeps the shares of the targets, and slots have no gaps."""
+    from mosaiq.llm.mixing import GOLDEN, UNIT, mix
+
+    m = mix(docs, block_words=16)
+    sources = m.sources.orderBy("sid").collect()
+    need = [-(-s.take // 16) for s in sources]
+    total, edges = sum(need), [0]
+    for n in need:
+        edges.append(int((sum(need[: len(edges) - 1]) + n) / sum(need) * UNIT))
+    want, left, t = [], list(need), 0
+    while any(left):  # the points one by one
+        u = t % UNIT * GOLDEN % UNIT
+        s = next(k for k in range(len(need)) if edges[k] <= u < edges[k + 1])
+        if left[s]:
+            left[s] -= 1
+            want.append(s)
+        t += 1
+    slots = {r.slot: r.sid for r in m.segments.select("slot", "sid").distinct().collect()}
+    assert [slots[k] for k in range(total)] == want and len(slots) == total
+    for n in range(1, total):
+        for k in range(len(need)):
+            assert abs(want[:n].count(k) - n * need[k] / total) < 4
