@@ -1,40 +1,48 @@
 """Duplicate passages by prefix doubling on a sparse suffix array.
 
-A position's rank stands for the string of the round's length that starts there (or
-around it). Each round sorts ranks, gives new ranks to pairs of ranks at a growing
-offset, and drops positions whose rank is unique; past the threshold the ranks left
-are the repeated strings.
-
-Ranking every byte from length 1 up would carry a row a byte through six sorts, many
-times the input. So only anchors are ranked at first: in every window of `length`
-bytes the positions at which a hash of 8 bytes is least, of those where 16 bytes fit
-(one position in 17). Strings of `length` bytes that are equal have equal anchors, so
-no repeat is missed.
-
-Round 1, offset 8: rank of 16 bytes at each anchor; alone in its document: dropped.
-Round 2, offsets to both sides: rank of all bytes that any window with this anchor can
-  cover. If a smaller document has this rank, all those windows are repeats: done. Of
-  the others, a window reaches half way to the left or to the right of its anchor at
-  least: ranks of 33 bytes to each side; a side alone in its document is dropped.
-Round 3, the threshold: each window start that is left gets its rank of `length`
-  bytes; starts that a smaller document has too are repeats.
+A position's rank stands for the string of the round's length that starts there. Each
+round makes pairs of a position's rank and the rank at the round's offset, Spark sorts
+them, equal pairs get one new rank (their number in the order), and positions whose pair
+is in one document only are dropped. Ranks are numbers of exact pairs, so equal ranks are
+equal strings; the ranks of 8 bytes are the bytes.
+
+Ranking every byte would carry a row a byte through all rounds, many times the input. So
+anchors are ranked: in every window of `length` bytes the positions at which a hash of 8
+bytes is least, of those where 16 bytes fit (one position in 17). Strings of `length`
+bytes that are equal have equal anchors, so no repeat is missed. As windows lie around
+their anchor, ranks grow to both sides. For the default of 50:
+
+Round 1, offset 8: 16 bytes at each anchor.
+Round 2, offset 16: 32 bytes at the anchor, and 32 bytes from 16 before it. Every window
+  with this anchor covers one of the two.
+Round 3, offset 16: the ranks of both, and the 18 bytes on either side (by 128 bits): all
+  that windows with this anchor can cover. If a smaller document has the same, all of them
+  are repeats; the smallest document stands for it.
+Round 4, the threshold: of what is left, documents of one rank of 32 bytes are put
+  together, and each window is told by that rank, its place and its other 18 bytes; those
+  that a smaller document has too are repeats.
+
+Tasks stream through sorted pairs and hold one position's document at a time, never all
+that share a rank. Only round 4 holds the windows of one rank; of a rank in more than
+CLASS positions they become rows that Spark sorts.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.shared import back, groups, keyed, mixed, staged, text_bytes
+from mosaiq.llm.shared import back, keyed, mixed, remove, stage, text_bytes
 
-SEED = 16
+SEED, HALF = 16, 32
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Text a batch of work holds, and text a bucket of ranks stands for.
-WORK, BUCKET = 1 << 20, 16 << 20
+#: Text a batch of work holds, and text that a partition of pairs stands for; partitions at most.
+WORK, BUCKET, MOST = 1 << 20, 16 << 20, 16_384
+#: Positions of one rank whose windows are compared in memory at most; rows that are worked on at once.
+CLASS, CHUNK = 50_000, 1 << 16
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -47,14 +55,6 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out[: len(data)]
 
 
-def ranks(w: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit ranks of `length` (8 or more) bytes from each place, from 8-byte words at growing offsets."""
-    h = np.full(len(at), length, np.uint64)
-    for o in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        h = mixed((h + M2) * M1 ^ w[at + o])
-    return h
-
-
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     """f over each w neighbours; len(x) - w + 1 values."""
     done = 1
@@ -112,196 +112,363 @@ def _work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, n
         a = b
 
 
-def _marks(part: pa.RecordBatch, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A checksum of each text: tells rows of one id apart."""
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.array([zlib.crc32(data[a:b]) for a, b in zip(starts, ends, strict=True)], np.int64)
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def _sent(buckets: int, rank: np.ndarray, row: np.ndarray, ids: np.ndarray, marks: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, columns in rank order, documents) of one run's ranks, dealt by rank."""
-    # `rank` is scrambled: its high bits pick the bucket, so a sort brings buckets together
-    order = np.argsort(rank, kind="stable")
-    rank, row, more = rank[order], row[order], [m[order] for m in more]
-    which = ((rank >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.r_[cut[1:], len(rank)], strict=True):
-        used, local = np.unique(row[a:b], return_inverse=True)
-        docs = zlib.compress(_packed(np.diff(ids[used], prepend=0), marks[used].astype("<u4")), 1)
-        yield int(which[a]), _packed(rank[a:b], local.astype("<u2"), *[m[a:b] for m in more]), docs
-
-
-def _received(t: pa.Table, dtypes: list) -> list[np.ndarray]:
-    """All columns of a bucket, end to end: rank, id, mark, then `dtypes`."""
-    out: list[list[np.ndarray]] = [[] for _ in range(3 + len(dtypes))]
-    for blob, docs in zip(t.column("cols").to_pylist(), t.column("docs").to_pylist(), strict=True):
-        docs = zlib.decompress(docs)
-        k = len(docs) // 12
-        ids, marks = np.cumsum(np.frombuffer(docs, "<i8", k)), np.frombuffer(docs, "<u4", k, 8 * k)
-        n = len(blob) // (10 + sum(np.dtype(d).itemsize for d in dtypes))
-        local = np.frombuffer(blob, "<u2", n, 8 * n)
-        at = 10 * n
-        cols = [np.frombuffer(blob, "<u8", n), ids[local], marks[local]]
-        for d in dtypes:
-            cols.append(np.frombuffer(blob, d, n, at))
-            at += n * np.dtype(d).itemsize
-        for o, c in zip(out, cols, strict=True):
-            o.append(c)
-    return [np.concatenate(o) for o in out]
-
-
-def _by_doc(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, kind: int) -> pa.RecordBatch:
-    """(id, mark, kind, pos): a row a document, its places packed."""
+REPEAT, LEFT, RIGHT, START, BIG = range(5)
+PLACES = "id long, mark long, kind int, pos binary, val binary"
+
+
+def _by_doc(kind: int, ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, *vals: np.ndarray) -> pa.RecordBatch:
+    """(id, mark, kind, pos, val): a row a document, its places packed, and their values (8 bytes each, place by place)."""
     order = np.lexsort((pos, marks, ids))
-    ids, marks, pos = ids[order], marks[order], pos[order]
+    ids, marks, pos = ids[order], marks[order], pos[order].astype("<u4")
+    val = np.stack([v[order] for v in vals], 1) if vals else np.zeros((len(pos), 0), np.int64)
     cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    blobs = [pos[a:b].astype("<u4").tobytes() for a, b in zip(cut, [*cut[1:], len(ids)], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64()), pa.array(marks[cut].astype(np.int64), pa.int64()), pa.array(np.full(len(cut), kind, np.int32)), pa.array(blobs, pa.binary())], ["id", "mark", "kind", "pos"])
-
-
-PLACES = "id long, mark long, kind int, pos binary"
-RANKED = "bucket long, cols binary, docs binary"
-REPEAT, LEFT, RIGHT, START = 0, 1, 2, 3
-
-
-def _rounds_1_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket of anchors: those whose surroundings a smaller document has, and those to look into on a side."""
-    for t in groups(batches, ["bucket"]):
-        rank, ids, marks, around, left, right, pos = _received(t, ["<u8", "<u4", "<u4", "<u4"])
-        order = np.lexsort((ids, around, rank))
-        rank, ids, marks, around, left, right, pos = (x[order] for x in (rank, ids, marks, around, left, right, pos))
-        new = np.r_[True, rank[1:] != rank[:-1]]
-        inner = new | np.r_[True, around[1:] != around[:-1]]
-        first = ids[inner][np.cumsum(inner) - 1]
-        repeat = ids > first
-        yield _by_doc(ids[repeat], marks[repeat], pos[repeat], REPEAT)
-        # the smallest document of each surroundings stands for all of them
-        rank, ids, marks, left, right, pos = (x[~repeat] for x in (rank, ids, marks, left, right, pos))
-        for side, kind in ((left, LEFT), (right, RIGHT)):
-            order = np.lexsort((side, rank))
-            some = order[_shared(ids[order], rank[order], side[order]) & (side[order] > 0)]
-            yield _by_doc(ids[some], marks[some], pos[some], kind)
-
-
-def _shared(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Of rows sorted by keys: whether two documents or more have the row's keys."""
-    if not len(ids):
-        return np.zeros(0, bool)
-    new = np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])
-    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-    return (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))[group]
+    ends = np.r_[cut[1:], len(ids)]
+    blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()) for x in (pos, val)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[cut], pa.int64()), pa.array(marks[cut], pa.int64()), pa.array(np.full(len(cut), kind, np.int32)), *blobs], ["id", "mark", "kind", "pos", "val"])
+
+
+class _Out:
+    """Collects places and gives them by document, a million at a time."""
+
+    def __init__(self):
+        self.held, self.n = {}, 0
+
+    def add(self, kind: int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(cols[0]):
+            self.held.setdefault(kind, []).append(cols)
+            self.n += len(cols[0])
+        if self.n > 1 << 20:
+            yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        for kind, parts in self.held.items():
+            yield _by_doc(kind, *map(np.concatenate, zip(*parts, strict=True)))
+        self.held, self.n = {}, 0
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK:
+            t = pa.Table.from_batches(held)
+            yield {c: t.column(c).to_numpy() for c in t.column_names}
+            held, n = [], 0
+    if n:
+        t = pa.Table.from_batches(held)
+        yield {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+class Run:
+    """Runs of equal keys in rows that come sorted by keys and id: streams through them, of any length.
+
+    shared(): the rows of runs in two documents or more, with the run's number. later():
+    the rows of larger documents than the run's first.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.last, self.first, self.many, self.number, self.pending = keys, None, None, False, 0, []
+
+    def _cut(self, c: dict[str, np.ndarray]):
+        """Of each row: how many runs after the one before this chunk it is; of these runs: first id and whether there is another."""
+        n, ids = len(c["id"]), c["id"]
+        new = np.zeros(n, bool)
+        for k in self.keys:
+            new[1:] |= c[k][1:] != c[k][:-1]
+        new[0] = self.last is None or any(c[k][0] != v for k, v in zip(self.keys, self.last, strict=True))
+        run, starts = np.cumsum(new), np.flatnonzero(new)
+        first = np.r_[ids[0] if self.first is None else self.first, ids[starts]]
+        end = np.r_[starts, n] - 1  # of the runs before each start, and the last
+        many = np.r_[self.many or (end[0] >= 0 and self.last is not None and ids[end[0]] > first[0]), ids[end[1:]] > first[1:]]
+        self.last = tuple(c[k][-1] for k in self.keys)
+        return run, first, many
+
+    def later(self, batches) -> Iterator[dict[str, np.ndarray]]:
+        for c in _chunks(batches):
+            run, first, many = self._cut(c)
+            at = c["id"] > first[run]
+            self.first, self.many = first[run[-1]], many[run[-1]]
+            yield {k: v[at] for k, v in c.items()}
+
+    def shared(self, batches) -> Iterator[dict[str, np.ndarray]]:
+        for c in _chunks(batches):
+            run, first, many = self._cut(c)
+            if many[0] and self.pending:
+                for p in self.pending:
+                    yield p | {"run": np.full(len(p["id"]), self.number)}
+                self.pending = []
+            at, top = many[run], run[-1]
+            yield {k: v[at] for k, v in c.items()} | {"run": self.number + run[at]}
+            if top:
+                self.pending = []
+            if not many[top]:  # of one document so far
+                self.pending.append({k: v[run == top] for k, v in c.items()})
+            self.first, self.many, self.number = first[top], many[top], self.number + int(top)
+
+
+def _number() -> int:
+    """What a task's numbers of runs start from: no two tasks' numbers meet."""
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 40) + 1
+
+
+def _round_1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, base = _Out(), _number()
+    for c in Run(["a", "b"]).shared(batches):
+        yield from out.add(RIGHT, c["id"], c["mark"], c["pos"], c["run"] + base)
+    yield from out.end()
+
+
+def _round_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, base = _Out(), _number()
+    for c in Run(["r", "a", "b"]).shared(batches):
+        right = (c["r"] & 1).astype(bool)
+        for kind, k in ((LEFT, ~right), (RIGHT, right)):
+            yield from out.add(kind, c["id"][k], c["mark"][k], c["pos"][k], c["run"][k] + base, c["o1"][k], c["o2"][k])
+    yield from out.end()
 
 
 def _round_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window starts whose rank a smaller document has too."""
-    for t in groups(batches, ["bucket"]):
-        rank, ids, marks, pos = _received(t, ["<u4"])
-        order = np.argsort(rank, kind="stable")
-        rank, ids, marks, pos = rank[order], ids[order], marks[order], pos[order]
-        new = np.r_[True, rank[1:] != rank[:-1]]
-        low = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
-        again = ids > low
-        yield _by_doc(ids[again], marks[again], pos[again], START)
+    out = _Out()
+    for c in Run(["a", "b", "o1", "o2"]).later(batches):
+        yield from out.add(REPEAT, c["id"], c["mark"], c["pos"])
+    yield from out.end()
+
+
+def _round_5(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out()
+        for c in Run(["r", *names]).later(batches):
+            yield from out.add(START, c["id"], c["mark"], c["pos"])
+        yield from out.end()
+
+    return run
+
+
+def _windows(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """Of positions with their bytes on both sides: the row, the start and the telling bytes (3 words) of each window."""
+    over = length - HALF
+    least, most = c["least"].astype(np.int64), c["most"].astype(np.int64)  # bytes of a window before the ranked string
+    n = np.maximum(most - least + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[row]
+    sides = np.frombuffer(b"".join(c["sides"]), np.uint8)  # `over` bytes before the ranked string and after it
+    told = np.zeros((len(row), -(-(over + 1) // 8) * 8), np.uint8)
+    for k in range(0, len(row), CHUNK):
+        told[k : k + CHUNK, :over] = sides[((row * 2 + 1) * over - e)[k : k + CHUNK, None] + np.arange(over)]
+    told[:, over] = e
+    return row, c["pos"].astype(np.int64)[row] - e, told.view("<i8")
+
+
+def _round_4(length: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of positions of one rank (rows come sorted by rank and id) that a smaller document has too."""
+        out, held, big = _Out(), None, False
+
+        def spread(c) -> Iterator[pa.RecordBatch]:
+            """Of a rank in very many positions: its windows, to become rows."""
+            row, at, told = _windows(c, length)
+            yield from out.add(BIG, c["id"][row], c["mark"][row], at, c["r"][row], *told.T)
+
+        def small(c) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, c["r"][1:] != c["r"][:-1]])
+            ends = np.r_[starts[1:], len(c["r"])]
+            some = np.repeat(c["id"][ends - 1] > c["id"][starts], ends - starts)  # ranks of two documents or more
+            c = {k: v[some] for k, v in c.items()}
+            if not len(c["id"]):
+                return
+            row, at, told = _windows(c, length)
+            keys = [c["r"][row], *told.T]
+            h = np.zeros(len(row), np.uint64)
+            for k in keys:
+                h = mixed((h + M2) * M1 ^ k.view(np.uint64))
+            order = np.argsort(h, kind="stable")  # rows of one rank are sorted by id, and stay so
+            same = h[order][1:] == h[order][:-1]
+            differ = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys]) if len(row) else same
+            if (same & differ).any():  # one hash for two windows
+                order = np.lexsort((c["id"][row], *keys))
+                differ = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            new = np.r_[True, differ] if len(row) else differ
+            ids = c["id"][row][order]
+            again = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            k = order[again]
+            yield from out.add(START, c["id"][row[k]], c["mark"][row[k]], at[k])
+
+        for c in _chunks(batches):
+            if held is not None:
+                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
+                held = None
+            last = int(np.searchsorted(c["r"], c["r"][-1]))  # the last rank may go on in the next chunk
+            if big:  # the rank before this chunk is being spread
+                a = int(np.searchsorted(c["r"], big, "right"))
+                yield from spread({k: v[:a] for k, v in c.items()})
+                c = {k: v[a:] for k, v in c.items()}
+                if not len(c["id"]):
+                    continue
+                last, big = last - a, False
+            if last:
+                yield from small({k: v[:last] for k, v in c.items()})
+            held = {k: v[last:] for k, v in c.items()}
+            if len(held["id"]) > most:
+                yield from spread(held)
+                big, held = held["r"][0], None
+        if held is not None:
+            yield from small(held)
+        yield from out.end()
+
+    return run
 
 
 def _places(blobs: list[bytes] | None) -> np.ndarray:
     return np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in blobs])).astype(np.int64) if blobs else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _valued(rows: list | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, sorted, and their values, (n, width). Rows of one id and text share a list, in which each place comes once a row: one stands for all."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, width), np.int64)
+    pos = np.concatenate([np.frombuffer(r["pos"], "<u4") for r in rows]).astype(np.int64)
+    val = np.concatenate([np.frombuffer(r["val"], "<i8").reshape(-1, width) for r in rows])
+    pos, first = np.unique(pos, return_index=True)
+    return pos, val[first]
+
+
+def _located(rows: list, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's texts: places in the bytes of all, their texts' numbers, and values."""
+    each = [_valued(r, width) for r in rows]
+    row = np.repeat(np.arange(len(each)), [len(p) for p, _ in each])
+    return np.concatenate([p for p, _ in each]) + begins[row], row, np.concatenate([v for _, v in each])
+
+
+def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of begin, end), kept (binary).
 
-    A byte goes if a string of `length` (24 or more) bytes over it also starts in a
-    document of smaller id; what stays may not be valid UTF-8. Null and empty texts have
-    no bytes; shorter texts lose nothing. Of rows that share an id none is smaller; each
-    keeps its own result. Null ids come last. An empty table gives no rows.
+    A byte goes if a string of `length` (48 to 128) bytes over it also starts in a document
+    of smaller id; what stays may not be valid UTF-8. Null and empty texts have no bytes;
+    shorter texts lose nothing. Of rows that share an id none is smaller; each keeps its own
+    result. Null ids come last. An empty table gives no rows. most: positions of one rank
+    whose windows are compared in memory.
     """
-    assert length >= SEED + 8
+    assert 48 <= length <= 128
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, -(-total // BUCKET))
-    back_, ahead = length - SEED, length
-    half = -(-(length - SEED) // 2)
-
-    def around(w: np.ndarray, data: np.ndarray, ends: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Ranks of the bytes that windows over an anchor can cover; at a text's edge, of fewer, told apart by how many."""
-        starts = np.concatenate([[0], ends[:-1]])
-        a, b = np.maximum(at - back_, starts[row]), np.minimum(at + ahead, ends[row])
-        whole = b - a == back_ + ahead
-        out = np.empty(len(at), np.uint64)
-        out[whole] = ranks(w, a[whole], back_ + ahead)
-        a, b, at = a[~whole], b[~whole], at[~whole]  # two windows cover what is there
-        edge = ((b - a) * 1009 + at - a).astype(np.uint64)
-        out[~whole] = mixed(ranks(w, a, length) * M1 + ranks(w, b - length, length) + edge)
-        return out
-
-    def sides(w: np.ndarray, ends: np.ndarray, at: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-        """Ranks of half a window's reach to the left and to the right of each anchor; 0 where the text ends before."""
-        starts = np.concatenate([[0], ends[:-1]])
-        out = []
-        for a, ok in ((at - half, at - half >= starts[row]), (at, at + SEED + half <= ends[row])):
-            h = np.zeros(len(at), "<u4")
-            h[ok] = (ranks(w, a[ok], SEED + half) >> np.uint64(32)).astype("<u4") | np.uint32(1)
-            out.append(h)
-        return out
+    parts = min(MOST, max(64, -(-total // BUCKET)))
+    over = length - HALF
+    marked = rows.withColumn("mark", F.xxhash64("text"))  # tells rows of one id apart
+
+    def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(parts, *keys).sortWithinPartitions(*keys, "id")
+
+    def gathered(df: DataFrame, name: str, **kinds: int) -> tuple[DataFrame, str]:
+        lists = [F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "val"))).alias(c) for c, k in kinds.items()]
+        return stage(df.groupBy("id", "mark").agg(*lists), name)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, ends in _work(batch):
                 w = words_at(data)
                 at, _, _ = anchors(w, ends, length)
-                if not len(at):
-                    continue
-                row = np.searchsorted(ends, at, "right")
-                pos = (at - np.concatenate([[0], ends[:-1]])[row]).astype("<u4")
-                sent = list(_sent(buckets, ranks(w, at, SEED), row, part.column("id").to_numpy(), _marks(part, data, ends), around(w, data, ends, at, row), *sides(w, ends, at, row), pos))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*sent, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "cols", "docs"])
+                if len(at):
+                    row = np.searchsorted(ends, at, "right")
+                    yield _batch(["a", "b", "id", "mark", "pos"], w[at].view(np.int64), w[at + 8].view(np.int64), part.column("id").to_numpy()[row], part.column("mark").to_numpy()[row], (at - np.r_[0, ends[:-1]][row]).astype(np.int32))
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    one = sorted_by(marked.mapInArrow(find, "a long, b long, id long, mark long, pos int"), "a", "b").mapInArrow(_round_1, PLACES)
+    one, old = gathered(one, "ranks_of_16", ranked=RIGHT)
 
-    def gathered(df: DataFrame, name: str) -> DataFrame:
-        kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("pos"))).alias(c) for k, c in enumerate(("repeat", "left", "right", "start"))]
-        return staged(df.groupBy("id", "mark").agg(*kinds), name)
-
-    found = gathered(dealt(rows.mapInArrow(find, RANKED)).mapInArrow(_rounds_1_2, PLACES), "anchors")
-    marked = rows.withColumn("mark", F.crc32(F.col("text").cast("binary")))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pair_32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs at offset 16 to both sides; `r` is twice the rank, and one more to the right. o1, o2: what lies further out, 0 where the text ends before."""
         for batch in batches:
             for part, data, ends in _work(batch):
-                w = words_at(data)
-                at, lo, hi = anchors(w, ends, length)
-                starts = np.concatenate([[0], ends[:-1]])
-                left, right = (np.isin(at, np.concatenate([_places(u) + s for u, s in zip(part.column(c).to_pylist(), starts, strict=True)])) for c in ("left", "right"))
-                k = np.flatnonzero(left | right)
-                if not len(k):
-                    continue
-                # windows that reach `half` to the left of the anchor start at `turn` or before, those to the right at it or after
-                turn = at[k] - half
-                lo = np.where(left[k], lo[k], np.maximum(lo[k], turn))
-                hi = np.where(right[k], hi[k], np.minimum(hi[k], turn))
-                n = np.maximum(hi - lo + 1, 0)
-                s = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                if not len(s):
-                    continue
-                row = np.searchsorted(ends, s, "right")
-                sent = list(_sent(buckets, ranks(w, s, length), row, part.column("id").to_numpy(), part.column("mark").to_numpy(), (s - starts[row]).astype("<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "cols", "docs"])
+                w, begins = words_at(data), np.r_[0, ends[:-1]]
+                at, row, rank = _located(part.column("ranked").to_pylist(), begins, 1)
+                rank, pos, o = rank[:, 0] * 2, (at - begins[row]).astype(np.int32), np.zeros((2, len(at)), np.uint64)
+                whole = (at - SEED - over >= begins[row]) & (at + HALF + over <= ends[row])
+                x, h = at[whole], np.stack([np.full(whole.sum(), m) for m in (M1, M2)])
+                for k in [*range(0, over - 7, 8), over - 8]:
+                    for base in (x - SEED - over, x + HALF):
+                        h = mixed((h ^ w[base + k]) * np.stack([M2 | np.uint64(1), M1 | np.uint64(1)])[:, None] + h)
+                o[:, whole] = h | np.uint64(1)
+                o, ids, marks = o.view(np.int64), part.column("id").to_numpy()[row], part.column("mark").to_numpy()[row]
+                for side, ok, y in ((1, at + HALF <= ends[row], at + SEED), (0, at - SEED >= begins[row], at - SEED)):
+                    y = y[ok]
+                    yield _batch(["r", "a", "b", "id", "mark", "pos", "o1", "o2"], rank[ok] + side, w[y].view(np.int64), w[y + 8].view(np.int64), ids[ok], marks[ok], pos[ok], *(o[:, ok] if side else np.zeros((2, ok.sum()), np.int64)))
+
+    two = marked.join(one, ["id", "mark"]).select("id", "mark", "text", "ranked").mapInArrow(pair_32, "r long, a long, b long, id long, mark long, pos int, o1 long, o2 long")
+    two, older = gathered(sorted_by(two, "r", "a", "b").mapInArrow(_round_2, PLACES), "ranks_of_32", left=LEFT, right=RIGHT)
+    remove(spark, old)
+
+    def pair_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for i, m, left, right in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "left", "right")), strict=True):
+                (pl, vl), (pr, vr) = _valued(left, 3), _valued(right, 3)
+                pos, kl, kr = np.intersect1d(pl, pr, assume_unique=True, return_indices=True)
+                vr = vr[kr]
+                k = vr[:, 1] != 0
+                held.append((vl[kl][k, 0], vr[k, 0], vr[k, 1], vr[k, 2], np.full(k.sum(), i), np.full(k.sum(), m), pos[k].astype(np.int32)))
+            if held:
+                yield _batch(["a", "b", "o1", "o2", "id", "mark", "pos"], *map(np.concatenate, zip(*held, strict=True)))
+
+    three = sorted_by(two.mapInArrow(pair_all, "a long, b long, o1 long, o2 long, id long, mark long, pos int"), "a", "b", "o1", "o2").mapInArrow(_round_3, PLACES)
+    three, _ = gathered(three, "repeats", repeat=REPEAT)
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What rounds 2 and 3 left: rank of 32 bytes, how many bytes of a window lie before these, `over` bytes on both sides, place of the 32 bytes."""
+        for batch in batches:
+            for part, data, ends in _work(batch):
+                begins = np.r_[0, ends[:-1]]
+                at, lo, hi = anchors(words_at(data), ends, length)
+                gone = np.isin(at, np.concatenate([_places([x["pos"] for x in u or ()]) + s for u, s in zip(part.column("repeat").to_pylist(), begins, strict=True)]))
+                at, lo, hi = at[~gone], lo[~gone], hi[~gone]
+                padded = np.concatenate([np.zeros(over, np.uint8), data, np.zeros(HALF + over, np.uint8)])
+                # to the right of the anchor: windows that start `over` or fewer bytes before it; the others cover the 32 bytes from 16 before it
+                for c, back_ in (("right", 0), ("left", SEED)):
+                    x, row, val = _located(part.column(c).to_pylist(), begins, 3)
+                    k = np.searchsorted(at, x)
+                    k[k == len(at)] = 0
+                    ok = at[k] == x if len(at) else np.zeros(len(x), bool)
+                    x, row, val, k = x[ok], row[ok], val[ok], k[ok]
+                    start, most = x - back_, np.minimum(x - lo[k], over if c == "right" else length)
+                    least = np.maximum(x - hi[k], 0 if c == "right" else over + 1)
+                    ok = least <= most
+                    x, row, val, start, least, most = x[ok], row[ok], val[ok], start[ok], least[ok] - back_, most[ok] - back_
+                    if len(x):
+                        near = padded[start[:, None] + np.r_[np.arange(over), over + HALF + np.arange(over)]]
+                        yield _batch(["r", "least", "most", "sides", "id", "mark", "pos"], val[:, 0], least.astype(np.int32), most.astype(np.int32), [b.tobytes() for b in near], part.column("id").to_numpy()[row], part.column("mark").to_numpy()[row], (start - begins[row]).astype(np.int32))
+
+    left = two.join(three, ["id", "mark"], "left")
+    four = marked.join(left, ["id", "mark"]).select("id", "mark", "text", "left", "right", "repeat").mapInArrow(positions, "r long, least int, most int, sides binary, id long, mark long, pos int")
+    four, _ = gathered(sorted_by(four, "r").mapInArrow(_round_4(length, most), PLACES), "starts", start=START, big=BIG)
+    remove(spark, older)
+
+    words = -(-(over + 1) // 8)
+    names = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", "m"][:words]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, m, big in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "big")), strict=True):
+                pos, val = _valued(big, 1 + words)
+                yield _batch(["r", *names, "id", "mark", "pos"], *val.T, np.full(len(pos), i), np.full(len(pos), m), pos.astype(np.int32))
 
-    unsure = found.where((F.size("left") > 0) | (F.size("right") > 0)).select("id", "mark", "left", "right")
-    starts_ = gathered(dealt(marked.join(unsure, ["id", "mark"]).select("id", "mark", "text", "left", "right").mapInArrow(look, RANKED)).mapInArrow(_round_3, PLACES), "starts")
+    big = four.where(F.size("big") > 0)
+    starts_ = four.select("id", "mark", "start")
+    if big.limit(1).count():
+        five = big.mapInArrow(unpack, f"r long, {', '.join(n + ' long' for n in names)}, id long, mark long, pos int")
+        five, _ = gathered(sorted_by(five, "r", *names).mapInArrow(_round_5(names), PLACES), "more_starts", more=START)
+        starts_ = starts_.join(five, ["id", "mark"], "full").select("id", "mark", F.concat(F.coalesce("start", F.array().cast(starts_.schema["start"].dataType)), F.coalesce("more", F.array().cast(starts_.schema["start"].dataType))).alias("start"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, ends in _work(batch):
                 begins = np.concatenate([[0], ends[:-1]])
-                repeat, start = part.column("repeat").to_pylist(), part.column("start").to_pylist()
+                repeat, start = ([[x["pos"] for x in u or ()] for u in part.column(c).to_pylist()] for c in ("repeat", "start"))
                 gone = np.zeros(len(data) + 1, np.int32)
                 if any(repeat):
                     at, lo, hi = anchors(words_at(data), ends, length)
@@ -322,7 +489,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    places = found.select("id", "mark", "repeat").join(starts_.select("id", "mark", "start"), ["id", "mark"], "full")
+    places = three.join(starts_, ["id", "mark"], "full")
     joined = marked.join(places, ["id", "mark"], "left").select("id", "text", "repeat", "start")
     out = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
     return out.select(back(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")

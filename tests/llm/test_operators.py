@@ -366,3 +366,45 @@ def test_mix_in_order(docs):
     for n in range(1, total):
         for k in range(len(need)):
             assert abs(want[:n].count(k) - n * need[k] / total) < 4
+
+
+def test_runs_of_any_length(monkeypatch):
+    """Runs that go over several chunks, of one document and of more."""
+    import pyarrow as pa
+
+    from mosaiq.llm import suffix_dedup as S
+
+    rng = random.Random(6)
+    rows = sorted((rng.choice([1, 1, 1, 2, 3, 4, 5, 6, 7]), rng.choice([8, 9]), rng.randint(0, 3) if k % 3 else 0) for k in range(400))
+    rows = [*rows, *[(9, 9, 5)] * 50, *[(9, 10, 5)] * 40, (9, 10, 6)]
+    ids = {}
+    for a, b, i in rows:
+        ids.setdefault((a, b), []).append(i)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(S, "CHUNK", size)
+        batches = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows[n : n + 5]] for k, c in enumerate(("a", "b", "id"))}) for n in range(0, len(rows), 5)]
+        got = [r for c in S.Run(["a", "b"]).shared(iter(batches)) for r in zip(*(c[k].tolist() for k in ("a", "b", "id", "run")), strict=True)]
+        assert sorted(g[:3] for g in got) == sorted(r for r in rows if len({*ids[r[:2]]}) > 1)
+        assert len({g[3] for g in got}) == len({(g[:2], g[3]) for g in got}) == sum(len({*v}) > 1 for v in ids.values())
+        got = [r for c in S.Run(["a", "b"]).later(iter(batches)) for r in zip(*(c[k].tolist() for k in ("a", "b", "id")), strict=True)]
+        assert sorted(got) == sorted(r for r in rows if r[2] > min(ids[r[:2]]))
+
+
+@pytest.mark.parametrize(("length", "most"), [(50, 2), (48, 50_000), (77, 50_000)])
+def test_repeats_of_ranks_in_many_places(docs, rows, spark, length, most):
+    """The windows of a rank in more than `most` places go through rows; other lengths."""
+    from mosaiq.llm.suffix_dedup import remove_repeats
+
+    first, texts = {}, [(r[0], (r[1] or "").encode()) for r in rows]
+    for i, t in texts:
+        for k in range(len(t) - length + 1):
+            first[t[k : k + length]] = min(i, first.get(t[k : k + length], i))
+    want = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if first[t[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
+        want.append((i, sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g)))
+    got = [(r.doc_id, r.n_removed, bytes(r.kept)) for r in remove_repeats(docs, length=length, most=most).collect()]
+    assert sorted(got) == sorted(want)
