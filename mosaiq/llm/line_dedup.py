@@ -1,15 +1,17 @@
 """Line deduplication with two Bloom filters.
 
 One filter holds the hashes of lines seen once, the other of those seen twice or more.
-Each task sends the set places of both, cut into slices; merging puts into `twice` what
-either has there and what two `once` filters share, so no repeated line is missed. Only
-lines that `twice` suspects are counted exactly: each task sends a suspected key once,
-with its number of documents and its first place.
+Both are cut into slices of 65,536 bits by a hash's high bits; all of a hash's places are
+in its slice. Each task sends the places of its lines to their slices; merging a slice puts
+into `twice` what either has there and what two `once` filters share, so no repeated line
+is missed. The filters grow with the number of lines. Up to `max_bits`, `twice` goes to all
+tasks; beyond, slices stay where they are and lines' hashes meet them there (those that a
+task has seen twice itself need not). Only lines that `twice` suspects are counted exactly,
+by 128-bit digests of their keys, and have their first place chosen.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.shared import back, groups, keyed, staged
+from mosaiq.llm.shared import NULL_ID, keyed, met, mixed, staged
 
 SPACE = b" \t\n\x0b\x0c\r"
 SLICE, HASHES = 1 << 16, 3
+#: Lines that a task looks at together.
+CHUNK = 2_000_000
 
 
 def _keys(text: str | None) -> list[bytes]:
@@ -28,49 +32,50 @@ def _keys(text: str | None) -> list[bytes]:
     return [line.strip(SPACE).lower() for line in (text or "").encode().split(b"\n")]
 
 
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES places for each hash, (HASHES, n)."""
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1) for i in range(HASHES)])
-
-
 def _hashes(keys) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
 
-def _sliced(h: np.ndarray, bits: int) -> dict[int, bytes]:
-    places = np.unique(_places(h, bits))
+def _slice(h: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash; slices: a power of two."""
+    return (h >> np.uint64(32)) & np.uint64(slices - 1)
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    """HASHES places in its slice for each hash, (HASHES, n)."""
+    x = mixed(h)
+    return np.stack([(x >> np.uint64(16 * i)) & np.uint64(SLICE - 1) for i in range(HASHES)])
+
+
+def _sliced(h: np.ndarray, slices: int) -> dict[int, bytes]:
+    places = np.unique((_slice(h, slices) * np.uint64(SLICE) + _places(h)).ravel())
     which = places // np.uint64(SLICE)
     cut = np.flatnonzero(np.diff(which)) + 1
     return {int(p[0]) // SLICE: (p % np.uint64(SLICE)).astype("<u2").tobytes() for p in np.split(places, cut) if len(p)}
 
 
-def _filter(rows: DataFrame, bits: int) -> np.ndarray:
-    """The bits (packed) of the filter of lines that were seen twice."""
+def _filter(rows: DataFrame, slices: int) -> DataFrame:
+    """slice, bits: the (packed) bits of the filter of lines that were seen twice; a slice without lines has no row."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            once, twice = _sliced(h, bits), _sliced(h[n > 1], bits)
+            once, twice = _sliced(h, slices), _sliced(h[n > 1], slices)
             return pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array(list(once.values()), pa.binary()), pa.array([twice.get(k, b"") for k in once], pa.binary())], ["slice", "once", "twice"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.append(_hashes({k for k in _keys(text) if k}))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > CHUNK:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
-            yield t
-
-    def _runs(batches):
         now, once, twice = None, None, None
         for b in batches:
             for s, o, t in zip(b.column("slice").to_pylist(), b.column("once").to_pylist(), b.column("twice").to_pylist(), strict=True):
@@ -86,60 +91,149 @@ def _filter(rows: DataFrame, bits: int) -> np.ndarray:
             yield _row(now, twice)
 
     def _row(s: int, twice: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["slice", "twice"])
+        return pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["slice", "bits"])
 
-    spark = rows.sparkSession
     parts = rows.mapInArrow(local, "slice long, once binary, twice binary")
-    merged = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice long, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / 8 bytes at most
-        out[row["slice"] * SLICE // 8 :][: SLICE // 8] = np.frombuffer(row["twice"], np.uint8)
-    return out
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice long, bits binary")
 
 
-def _suspected(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    p = _places(h, len(bits) * 8)
-    return ((bits[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1).all(0)
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether all of each column's places are set in packed bits."""
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(0)
 
 
-def repeated_lines(rows: DataFrame, min_docs: int, max_bits: int = 1 << 28) -> tuple[DataFrame, object]:
-    """(key, n_docs, first_id, first_line) of each key in min_docs documents at least, exactly; and the filter, broadcast.
+def _suspected(h: np.ndarray, bits: np.ndarray, slices: int) -> np.ndarray:
+    return _set(bits, _slice(h, slices) * np.uint64(SLICE) + _places(h))
 
-    rows: id, text. The filters have 12 bits and more a line, max_bits at most (32 MB);
-    beyond some 20 million lines they suspect more lines than they need, never fewer.
-    """
-    spark = rows.sparkSession
-    n = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    bits = min(max_bits, max(SLICE, 1 << int(12 * n).bit_length()))
-    twice = spark.sparkContext.broadcast(_filter(rows.select("text"), bits).tobytes())
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_, found = np.frombuffer(twice.value, np.uint8), {}
+SUSPECT = "key binary, id long, mark long, line long"
 
-        def out() -> pa.RecordBatch:
-            n_, i, k = zip(*found.values(), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(n_, pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64())], ["key", "n", "first_id", "first_line"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys: dict[bytes, int] = {}
-                for i, k in enumerate(_keys(text)):
-                    if k:
-                        keys.setdefault(k, i)
-                if not keys:
-                    continue
-                for (k, i), hit in zip(keys.items(), _suspected(_hashes(keys), bits_), strict=True):
-                    if hit:
-                        m, d, j = found.get(k, (0, doc, i))
-                        found[k] = (m + 1, *min((d, j), (doc, i)))
-            if len(found) > 200_000:
+class Suspects:
+    """The lines of rows (id, mark, text) that the filter suspects."""
+
+    def __init__(self, rows: DataFrame, max_bits: int):
+        self.rows, spark = rows, rows.sparkSession
+        n = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+        self.slices = max(1, (1 << int(12 * n).bit_length()) // SLICE)
+        self.table, self.shared = _filter(rows.select("text"), self.slices), None
+        if self.slices * SLICE <= max_bits:
+            out = np.zeros(self.slices * SLICE // 8, np.uint8)
+            for row in self.table.toLocalIterator():  # max_bits / 8 bytes at most
+                out[row["slice"] * SLICE // 8 :][: SLICE // 8] = np.frombuffer(row["bits"], np.uint8)
+            self.shared = spark.sparkContext.broadcast(out.tobytes())
+        else:
+            self.met = staged(self._met(), "suspects")
+
+    def _met(self) -> DataFrame:
+        """Lines' hashes at their slices: each key once a chunk of lines, unless the chunk has it in two documents, which is suspicion enough."""
+        slices = self.slices
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                keys, ids, marks, lines = zip(*held, strict=True)
+                h = _hashes(keys)
+                n = np.unique(h, return_inverse=True, return_counts=True)
+                sure = n[2][n[1]] > 1
+                # those that are sure pass by any slice
+                slice_ = np.where(sure, np.arange(len(h)) % slices, _slice(h, slices).astype(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(slice_), pa.array(sure), pa.array(h.view(np.int64)), pa.array(map(xxhash.xxh3_128_digest, keys), pa.binary()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(lines, pa.int64())], ["slice", "sure", "h", "key", "id", "mark", "line"])
+
+            for b in batches:
+                for doc, mark, text in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    held += [(k, doc, mark, i) for i, k in enumerate(_keys(text)) if k]
+                    if len(held) > CHUNK // 8:
+                        yield out()
+                        held.clear()
+            if held:
+                yield out()
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, bits = None, None
+            for b in batches:
+                which = b.column("slice").to_numpy()
+                keep = np.zeros(len(which), bool)
+                cut = np.flatnonzero(np.diff(which)) + 1
+                for x, y in zip(np.r_[0, cut], np.r_[cut, len(which)], strict=True):
+                    part = b.slice(x, y - x)
+                    if which[x] != now:
+                        now, bits = which[x], None
+                    own = part.column("bits").drop_null()
+                    if len(own):
+                        bits = np.frombuffer(own[0].as_py(), np.uint8)
+                    asked = part.column("h").is_valid().to_numpy(zero_copy_only=False)
+                    sure = part.column("sure").fill_null(False).to_numpy(zero_copy_only=False)
+                    ok = sure & asked
+                    test = np.flatnonzero(asked & ~sure)
+                    if bits is not None and len(test):
+                        ok[test] = _set(bits, _places(part.column("h").take(pa.array(test)).to_numpy().view(np.uint64)))
+                    keep[x:y] = ok
+                yield b.select(["key", "id", "mark", "line"]).take(pa.array(np.flatnonzero(keep)))
+
+        asked = self.rows.mapInArrow(ask, "slice long, sure boolean, h long, key binary, id long, mark long, line long")
+        both = asked.withColumn("bits", F.lit(None).cast("binary")).unionByName(self.table, allowMissingColumns=True)
+        n = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # a slice's bits come first: their h is null
+        return both.repartition(n, "slice").sortWithinPartitions("slice", "h").mapInArrow(answer, SUSPECT)
+
+    def counted(self) -> DataFrame:
+        """key (digest), n_docs, first (id, line) of each suspected key, exactly."""
+        if self.shared is None:
+            each = self.met.groupBy("key", "id", "mark").agg(F.min("line").alias("line"))
+            rows = self.rows.groupBy("id", "mark").agg(F.count("*").alias("rows"))  # rows alike in id and text are documents each
+            repeated = rows.where("rows > 1")
+            each = each.join(repeated, ["id", "mark"], "left").select("key", F.coalesce("rows", F.lit(1)).alias("n"), F.struct(F.col("id").alias("first_id"), F.col("line").alias("first_line")).alias("first"))
+            return each.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"))
+        shared, slices = self.shared, self.slices
+
+        def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, found = np.frombuffer(shared.value, np.uint8), {}
+
+            def out() -> pa.RecordBatch:
+                n_, i, k = zip(*found.values(), strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(n_, pa.int64()), pa.array(i, pa.int64()), pa.array(k, pa.int64())], ["key", "n", "first_id", "first_line"])
+
+            for batch in batches:
+                for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    keys: dict[bytes, int] = {}
+                    for i, k in enumerate(_keys(text)):
+                        if k:
+                            keys.setdefault(k, i)
+                    if not keys:
+                        continue
+                    for (k, i), hit in zip(keys.items(), _suspected(_hashes(keys), bits, slices), strict=True):
+                        if hit:
+                            k = xxhash.xxh3_128_digest(k)
+                            m, d, j = found.get(k, (0, doc, i))
+                            found[k] = (m + 1, *min((d, j), (doc, i)))
+                if len(found) > 200_000:
+                    yield out()
+                    found.clear()
+            if found:
                 yield out()
-                found.clear()
-        if found:
-            yield out()
 
-    counted = rows.mapInArrow(suspects, "key binary, n long, first_id long, first_line long").groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("first_id", "first_line")).alias("first"))
-    return staged(counted.where(F.col("n_docs") >= min_docs).select("key", "n_docs", "first.first_id", "first.first_line"), "lines"), twice
+        return self.rows.select("id", "text").mapInArrow(suspects, "key binary, n long, first_id long, first_line long").groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("first_id", "first_line")).alias("first"))
+
+    def lines(self) -> DataFrame:
+        """key, id, mark, line of all suspected lines."""
+        if self.shared is None:
+            return self.met
+        shared, slices = self.shared, self.slices
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                rows_ = []
+                for doc, mark, text in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    keys = _keys(text)
+                    rows_ += [(xxhash.xxh3_128_digest(k), doc, mark, i) for i, (k, s) in enumerate(zip(keys, _suspected(_hashes(keys), bits, slices), strict=True)) if s and k]
+                if rows_:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "id", "mark", "line"])
+
+        return self.rows.mapInArrow(places, SUSPECT)
 
 
 def drop_lines(docs: DataFrame, *, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = 1_000_000, max_bits: int = 1 << 28) -> DataFrame:
@@ -150,14 +244,16 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 2, keep: str = "first", id_co
     line. Blank lines always stay. Null and empty texts are one empty line; null stays
     null. Rows that repeat count as documents of their own; of rows with one id, each
     keeps a first line. The input's columns live in `row`, so none can clash. An empty
-    table gives no rows. The keys to drop are broadcast (as 128-bit hashes) if they are
+    table gives no rows. A filter of up to max_bits (32 MB) is broadcast; a larger one stays
+    cut over tasks, where lines meet it. The keys to drop are broadcast (as 128-bit hashes) if they are
     no more than broadcast_keys; else documents meet their lines in a join.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
-    drops, twice = repeated_lines(rows, min_docs, max_bits)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).alias("text"))
-    schema = f"row {held.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
+    rows = keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))  # tells rows of one id apart
+    suspects = Suspects(rows, max_bits)
+    drops = suspects.counted().where(F.col("n_docs") >= min_docs).select("key", "n_docs", "first.first_id", "first.first_line")
+    drops = staged(drops, "lines")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     from pyspark.sql import types as T
 
     schema = T.StructType([held.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -173,7 +269,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 2, keep: str = "first", id_co
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
     if drops.count() <= broadcast_keys:
-        firsts = spark.sparkContext.broadcast({digest(bytes(r["key"])): (r["first_id"], r["first_line"]) if keep == "first" else None for r in drops.toLocalIterator()})
+        firsts = spark.sparkContext.broadcast({bytes(r["key"]): (r["first_id"], r["first_line"]) if keep == "first" else None for r in drops.toLocalIterator()})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = firsts.value
@@ -186,29 +282,17 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 2, keep: str = "first", id_co
 
         return held.mapInArrow(apply, schema)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_ = np.frombuffer(twice.value, np.uint8)
-        for batch in batches:
-            rows_ = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys = _keys(text)
-                hit = _suspected(_hashes(keys), bits_)
-                mark = zlib.crc32((text or "").encode())
-                rows_ += [(doc, mark, i, k) for i, (k, s) in enumerate(zip(keys, hit, strict=True)) if s and k]
-            if rows_:
-                a, b, c, d = zip(*rows_, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["id", "mark", "line", "key"])
-
     def apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield emit(batch, [cut(t, set(x or ())) for t, x in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True)])
 
-    lines = rows.mapInArrow(places, "id long, mark long, line long, key binary").join(drops, "key")
+    lines = staged(suspects.lines(), "suspected_lines")
+    lines = met(lines, "key", drops.select("key", "first_id", "first_line"), lines.count()).where("first_id is not null")
     if keep == "first":
         lines = lines.where("not (id = first_id and line = first_line)")
     lines = lines.groupBy("id", "mark").agg(F.collect_set("line").alias("drop"))
-    marked = held.withColumn("mark", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    marked = held.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     return marked.join(lines, ["id", "mark"], "left").select("row", "text", "drop").mapInArrow(apply_joined, schema)
 
 

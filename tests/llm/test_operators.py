@@ -408,3 +408,12 @@ def test_repeats_of_ranks_in_many_places(docs, rows, spark, length, most):
         want.append((i, sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g)))
     got = [(r.doc_id, r.n_removed, bytes(r.kept)) for r in remove_repeats(docs, length=length, most=most).collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(("keep", "limit"), [("none", 1000), ("first", 0)])
+def test_lines_meet_a_filter_that_is_cut_over_tasks(docs, rows, none, keep, limit, monkeypatch):
+    from mosaiq.llm.line_dedup import drop_lines
+
+    same = lambda **o: sorted((r.row.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in drop_lines(docs, min_docs=3, keep=keep, broadcast_keys=limit, **o).collect())
+    assert same(max_bits=0) == same() and any(r[3] for r in same())
+    assert drop_lines(none, max_bits=0).count() == 0
