@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.shared import keyed
+from mosaiq.llm.shared import keyed, staged
 
 BITS, STEMS, EDGE = 20, (4, 5, 6), b".,;:!?\"'()[]"
 #: Texts that score this much and more are toxic, for op6 and for the pipeline.
@@ -71,11 +71,9 @@ class Machine:
         return round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 6)
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray, limit: int) -> np.ndarray:
-    """The buckets whose presence differs most between the classes: chi-square over 15, in 4 rows at least, `limit` at most."""
-    pos = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
-    neg = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if not t] or [np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
-    p, n = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+def telling(pos: np.ndarray, neg: np.ndarray, p: int, n: int, limit: int) -> np.ndarray:
+    """The buckets whose presence differs most between p toxic rows and n others: chi-square over 15, in 4 rows at least, `limit` at most."""
+    pos, neg, p, n = pos.astype(float), neg.astype(float), max(p, 1), max(n, 1)
     df = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (pos * n - neg * p) ** 2 * (p + n) / (p * n * df * (p + n - df))
@@ -84,6 +82,12 @@ def choose(rows: list[np.ndarray], y: np.ndarray, limit: int) -> np.ndarray:
     return best[chi[best] > 15]
 
 
+def choose(rows: list[np.ndarray], y: np.ndarray, limit: int) -> np.ndarray:
+    """telling() of rows of buckets."""
+    count = lambda k: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == k] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
+    return telling(count(1), count(0), int(y.sum()), int(len(y) - y.sum()), limit)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, *, k: int = 6, columns: int = 4096, steps: int = 150, rate: float = 0.05, l2: float = 2e-4, seed: int = 3) -> Machine:
     """Train on rows of buckets by Adam on the whole (weighted) log loss. Without both classes: a constant."""
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -133,7 +137,30 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 12_000, id_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([known.of(t).astype("<u4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "y", "terms"])
 
-    rows = keyed(docs, id_col, text_col).join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(hashed, "id long, y int, terms binary").collect()
+    labelled = keyed(docs, id_col, text_col).join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(hashed, "id long, y int, terms binary")
+    # ids may repeat: no more rows than ids
+    labelled = staged(labelled.orderBy(F.xxhash64(F.lit(11), "id"), "id", "y", "terms").limit(most), "labelled")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 << BITS), np.int64)
+        for b in batches:
+            for y, t in zip(b.column("y").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                n[y, np.frombuffer(t, "<u4")] += 1
+        k = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[1, k]), pa.array(n[0, k])], ["bucket", "pos", "neg"])
+
+    n = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for r in labelled.mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 4").toLocalIterator():  # a row a bucket at most
+        counts[:, r["bucket"]] = r["pos"], r["neg"]
+    buckets = np.sort(telling(counts[0], counts[1], n.get(1, 0), n.get(0, 0), options.get("columns", 4096)))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms_ = [t[np.isin(t, buckets)].astype("<u4").tobytes() for t in (np.frombuffer(x, "<u4") for x in b.column("terms").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(terms_, pa.binary())], ["id", "y", "terms"])
+
+    rows = labelled.mapInArrow(kept, "id long, y int, terms binary").collect()  # `most` rows of `columns` terms at most
     rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["terms"])))
     return fit([np.frombuffer(bytes(r["terms"]), "<u4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], np.int64), **options)
 
