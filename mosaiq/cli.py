@@ -9,9 +9,10 @@ import argparse
 
 from mosaiq.kernels import blend as B
 from mosaiq.kernels.detect import KINDS
-from mosaiq.plans.mosaic import Config, run_and_save, run_many
+from mosaiq.plans.mosaic import Config, outputs, run_and_save, run_many
 
 
+#: Flags, choices and defaults.
 def parser() -> argparse.ArgumentParser:
     d, p = Config(), argparse.ArgumentParser(prog="python -m mosaiq", description="Joins photographs of one plane into a mosaic.")
     source = p.add_mutually_exclusive_group(required=True)
@@ -43,10 +44,9 @@ def main(argv: list[str] | None = None) -> int:
     cfg = config(a)
     spark = SparkSession.builder.getOrCreate()
     if a.images:
-        out = a.out if a.out.lower().endswith((".jpg", ".jpeg", ".png")) else f"{a.out.rstrip('/')}/stitched.jpg"
-        stem = out.rsplit(".", 1)[0]
-        cfg.seam_debug_path = f"{stem}_seams.jpg" if a.debug_seams else None
-        done = [run_and_save(spark, a.images, out, cfg, f"{stem}_report.json" if a.report else None)]
+        to = outputs(a.out)
+        cfg.seam_debug_path = to["seams"] if a.debug_seams else None
+        done = [run_and_save(spark, a.images, to["picture"], cfg, to["report"] if a.report else None)]
     else:
         try:
             done = run_many(spark, a.data_root, a.out.rstrip("/"), cfg, a.report, seams=a.debug_seams)
@@ -56,5 +56,12 @@ def main(argv: list[str] | None = None) -> int:
             done = []
     if not a.quiet:
         for r in done:
-            print(f"{r['store']}: {r['n_images_used']} of {r['n_images']} placed")
-    return 1 if not done else 0 if all(r["n_images_used"] == r["n_images"] for r in done) else 2
+            print(f"{r['store']}: {r.get('error') or str(r['n_images_used']) + ' of ' + str(r['n_images']) + ' placed'}")
+    return status(done)
+
+
+def status(done: list[dict]) -> int:
+    """What the process ends with."""
+    if not done:
+        return 1
+    return 2 if any(r["n_images_used"] < r["n_images"] for r in done) else 0

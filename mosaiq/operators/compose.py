@@ -140,32 +140,48 @@ def crop_boxes(mosaic: DataFrame) -> DataFrame:
     return mosaic.groupBy("store").agg(F.min("cy0").alias("cy0"), F.max("cy1").alias("cy1"), F.min("cx0").alias("cx0"), F.max("cx1").alias("cx1"))
 
 
+def opened(m: np.ndarray, k: int) -> np.ndarray:
+    """Without specks that a k x k square doesn't fit into."""
+    return dilated(eroded(m, k), k)
+
+
 def completeness(mosaic: DataFrame, small: DataFrame, seam_scale: float = 0.25) -> DataFrame:
     """store, union_px, filled_px, missing_pct, complete: canvas pixels that some image covers (at seam_scale) against those filled.
 
-    Union pixels are counted at the small scale after a 5 x 5 erosion; complete: under 0.5 % missing.
+    The union is eroded by 5 x 5 (its rim is shaved by warping and cropping); of what is
+    missing in it, specks that 5 x 5 doesn't fit into don't count. complete: under 0.5 % missing.
     """
-    def union(df: pd.DataFrame) -> pd.DataFrame:
-        h, w = int((df.y0 + df.h).max()), int((df.x0 + df.w).max())
-        on = np.zeros((h, w), bool)
-        for r in df.itertuples():
+    def count(m: pd.DataFrame, df: pd.DataFrame) -> pd.DataFrame:
+        cols = ["store", "union_px", "filled_px"]
+        if not len(m) or not len(df):
+            return pd.DataFrame(columns=cols)
+        h, w = int((m.y0 + m.h).max()), int((m.x0 + m.w).max())
+        on, filled = np.zeros((h, w), bool), np.zeros((h, w), bool)
+        for r in m.itertuples():
             on[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] |= _bits(r.mask, r.h, r.w)
-        return pd.DataFrame([(df.store.iloc[0], np.packbits(eroded(on, 5)).tobytes(), h, w)], columns=["store", "on", "uh", "uw"])
+        for r in df.itertuples():
+            part = _bits(r.filled, r.fh, r.fw)[: max(h - r.fy, 0), : max(w - r.fx, 0)]
+            filled[r.fy : r.fy + part.shape[0], r.fx : r.fx + part.shape[1]] = part
+        on = eroded(on, 5)
+        missing = opened(on & ~filled, 5)
+        return pd.DataFrame([(m.store.iloc[0], int(on.sum()), int(on.sum() - missing.sum()))], columns=cols)
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             out = []
             for r in df.itertuples(index=False):
-                on, px = _bits(r.on, r.uh, r.uw), grey(pixels(r.bgr, r.h, r.w)) > 0
-                y = np.arange(int(np.ceil(r.y0 * seam_scale)), min(r.uh, int(np.ceil((r.y0 + r.h) * seam_scale))))
-                x = np.arange(int(np.ceil(r.x0 * seam_scale)), min(r.uw, int(np.ceil((r.x0 + r.w) * seam_scale))))
-                want = on[np.ix_(y, x)]
+                px = grey(pixels(r.bgr, r.h, r.w)) > 0
+                y = np.arange(int(np.ceil(r.y0 * seam_scale)), int(np.ceil((r.y0 + r.h) * seam_scale)))
+                x = np.arange(int(np.ceil(r.x0 * seam_scale)), int(np.ceil((r.x0 + r.w) * seam_scale)))
                 at = lambda v, o, n: np.clip((v / seam_scale).astype(int) - o, 0, n - 1)
-                out.append((r.store, int(want.sum()), int((want & dilated(px, 3)[np.ix_(at(y, r.y0, r.h), at(x, r.x0, r.w))]).sum())))
-            yield pd.DataFrame(out, columns=["store", "u", "f"])
-
-    on = small.select("store", "x0", "y0", "h", "w", "mask").groupBy("store").applyInPandas(union, "store string, on binary, uh int, uw int")
-    got = mosaic.select("store", "y0", "x0", "h", "w", "bgr").join(on, "store").mapInPandas(count, "store string, u long, f long").groupBy("store").agg(F.sum("u").alias("union_px"), F.sum("f").alias("filled_px"))
+                got = px[np.ix_(at(y, r.y0, r.h), at(x, r.x0, r.w))]
+                if got.size:
+                    out.append((r.store, int(y[0]), int(x[0]), len(y), len(x), np.packbits(got).tobytes()))
+            yield pd.DataFrame(out, columns=["store", "fy", "fx", "fh", "fw", "filled"])
+
+    masks = small.select("store", "x0", "y0", "h", "w", "mask").groupBy("store")
+    there = mosaic.select("store", "y0", "x0", "h", "w", "bgr").mapInPandas(sample, "store string, fy int, fx int, fh int, fw int, filled binary").groupBy("store")
+    got = masks.cogroup(there).applyInPandas(count, "store string, union_px long, filled_px long")
     pct = F.coalesce(F.try_divide((F.col("union_px") - F.col("filled_px")) * F.lit(100.0), "union_px"), F.lit(0.0))
     return got.withColumn("missing_pct", pct).withColumn("complete", F.col("missing_pct") < 0.5)
 

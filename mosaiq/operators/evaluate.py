@@ -18,3 +18,49 @@ def residual_metrics(errors: DataFrame, keys: list[str], err: str) -> DataFrame:
     """Root mean square, median and 95th percentile of pooled errors; one row of nulls and n = 0 without rows and keys."""
     e = F.col(err)
     return errors.groupBy(*keys).agg(F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rms"), F.percentile(e, F.lit(0.5)).alias("median"), F.percentile(e, F.lit(0.95)).alias("p95"))
+
+
+def pair_scores(agreement: DataFrame, keys: list[str], ncc: str = "ncc", overlap: str = "overlap") -> DataFrame:
+    """n_pairs_scored, mean_overlap_ncc, min_overlap_ncc, mean_overlap_frac: every pair weighs the same."""
+    return agreement.groupBy(*keys).agg(F.count("*").alias("n_pairs_scored"), F.avg(ncc).alias("mean_overlap_ncc"), F.min(ncc).alias("min_overlap_ncc"), F.avg(overlap).alias("mean_overlap_frac"))
+
+
+def pooled_errors(pairs: DataFrame, errors: str, keys: list[str]) -> DataFrame:
+    """keys, err: the errors of all pairs (an array a pair) as one pool; null arrays have none."""
+    return pairs.select(*keys, F.explode(errors).alias("err"))
+
+
+def overlap_fraction(pixels: Column, width: Column, height: Column) -> Column:
+    """Mask pixels as a share of the frame that they lie in; 0 for an empty frame."""
+    return F.coalesce(F.try_divide(pixels.cast("double"), width.cast("double") * height.cast("double")), F.lit(0.0))
+
+
+def coverage(mask: Column) -> Column:
+    """The share of a canvas's pixels that are set, as an aggregate; unset: null, false or 0."""
+    return F.avg(F.coalesce((mask > 0).cast("double"), F.lit(0.0)))
+
+
+def content_box(pixels: DataFrame, keys: list[str], x: Column, y: Column, grey: Column, width: Column, height: Column, pad: int = 0) -> DataFrame:
+    """keys, x0, x1, y0, y1: the box of pixels that aren't black, `pad` wider, inside the picture; the whole picture if all are black."""
+    lit = grey > 0
+    b = pixels.groupBy(*keys).agg(*[f(F.when(lit, c)).alias(n) for n, f, c in (("_x0", F.min, x), ("_x1", F.max, x), ("_y0", F.min, y), ("_y1", F.max, y))], F.max(width).alias("_w"), F.max(height).alias("_h"))
+    low = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c) - pad, F.lit(0)))
+    high = lambda c, n: F.least(F.col(n), F.coalesce(F.col(c) + 1 + pad, F.col(n)))
+    return b.select(*keys, low("_x0").alias("x0"), high("_x1", "_w").alias("x1"), low("_y0").alias("y0"), high("_y1", "_h").alias("y1"))
+
+
+def local_agreement(pixels: DataFrame, keys: list[str], covered: Column, a: Column, b: Column, share: float = 0.9) -> DataFrame:
+    """keys (a window), ncc: correlation in windows of which `share` is covered at least; null in others, 0 without variance."""
+    on = F.coalesce(covered.cast("double"), F.lit(0.0))
+    return pixels.groupBy(*keys).agg(F.when(F.avg(on) >= share, guarded_correlation(a, b)).alias("ncc"))
+
+
+def local_summary(windows: DataFrame, keys: list[str], good: float = 0.4) -> DataFrame:
+    """Of windows that count (ncc not null): how many, median, p10, p90, and the share above `good`."""
+    n = F.col("ncc")
+    return windows.groupBy(*keys).agg(F.count(n).alias("windows"), *[F.percentile(n, F.lit(q)).alias(c) for q, c in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))], F.avg((n > good).cast("double")).alias("share_good"))
+
+
+def area_ratio(width: Column, height: Column, first_width: Column, first_height: Column) -> Column:
+    """How many times a picture is as large as one of its inputs, to two places; above 1, something was joined."""
+    return F.round(F.try_divide((width * height).cast("double"), (first_width * first_height).cast("double")), 2)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def both_ways(edges: DataFrame, i: str, j: str, keep: list) -> DataFrame:
@@ -12,30 +14,55 @@ def both_ways(edges: DataFrame, i: str, j: str, keep: list) -> DataFrame:
     return there.unionByName(edges.select(F.col(j).alias("a"), F.col(i).alias("b"), *[r.alias(n) for n, _, r in keep]))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`; in local mode one of this machine where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or "file:///tmp/checkpoints").rstrip("/")
+
+
+def _staged(df: DataFrame) -> tuple[DataFrame, object]:
+    """df written to the shared folder and read from there, and its path; the path goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/mosaiq-{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex[:12]}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString()), path
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return df.checkpoint()
+    return _staged(df)[0]
+
+
+def _gone(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): nodes has `node`; edges a, b, both ways. Isolated nodes stand alone.
 
     Labels take the smallest label of the neighbours, then the label's own label, so
-    long chains need few rounds.
+    long chains need few rounds. Edges are staged once and each round's labels once; what
+    a round replaces is removed. A step over edges is a partial minimum, so a hub's edges
+    are never in one task.
     """
-    label = _kept(nodes.select("node", F.col("node").alias("component")))
+    spark = nodes.sparkSession
+    edges, old = _staged(edges.select("a", "b").distinct())
+    label = nodes.select("node", F.col("node").alias("component"))
+    before = None
     while True:
         seen = label.select(F.col("node").alias("b"), F.col("component").alias("seen"))
         low = edges.join(seen, "b").groupBy("a").agg(F.min("seen").alias("low")).withColumnRenamed("a", "node")
-        step = label.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = _kept(step.join(up, "component").select("node", F.col("up").alias("component")))
-        moved = step.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        label = step
-        if not moved:
+        step = label.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("up"), F.col("component").alias("was"))
+        root = label.select(F.col("node").alias("up"), F.col("component").alias("root"))
+        now, path = _staged(step.join(root, "up").select("node", F.col("root").alias("component"), (F.col("root") < F.col("was")).alias("moved")))
+        if before is not None:
+            _gone(spark, before)
+        label, before = now.select("node", "component"), path
+        if not now.where("moved").limit(1).count():
+            _gone(spark, old)
             return label
 
 

@@ -15,62 +15,101 @@ def root_normalised(desc: Column) -> Column:
     return F.transform(desc, lambda v: F.sqrt(v / total))
 
 
-def mutual_matches(features: DataFrame, ratio: float, block: int = 512) -> DataFrame:
+def _nearest_two(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a: the id of its nearest row of b (ties: the smaller id), and the distances of the nearest two (inf: none).
+
+    Products find what may be among the nearest two; those distances are then taken exactly.
+    """
+    sq, sb = (a * a).sum(1), (b * b).sum(1)
+    d = sq[:, None] + sb[None, :] - 2 * a @ b.T
+    second = np.partition(d, 1, 1)[:, 1] if len(b) > 1 else np.full(len(a), np.inf)
+    r, c = np.nonzero(d <= (second + 1e-9 * (1 + sq + sb.max()))[:, None])
+    exact = np.sqrt(((a[r] - b[c]) ** 2).sum(1))
+    order = np.lexsort((ids[c], exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    two = np.full(len(a), np.inf)
+    if len(b) > 1:
+        two = exact[first + 1]
+    return ids[c[first]], exact[first], two
+
+
+def mutual_matches(features: DataFrame, ratio: float, block: int = 2048) -> DataFrame:
     """group_i < group_j, id_i, id_j, d: rows of two groups that are each other's nearest, both clearly.
 
-    features: grp, id, desc (array). A row of a group matches its nearest row of another
-    group if that is nearer than `ratio` times the second nearest; both directions must
-    agree. Rows of each two groups are dealt as blocks; distances are taken block by block
-    as matrix products, so no pair of rows is ever a row.
+    features: grp, id, desc (array), and store, if only groups of one store are to be
+    matched. A row of a group matches its nearest row of another group (ties: the smaller
+    id) if that is nearer than `ratio` times the second nearest; both directions must agree.
+    Groups are cut into blocks of about `block` rows, a packed row each; two blocks of two
+    groups are a unit of work, of which each row's nearest two leave, to be merged. So a
+    group may be of any size, and no pair of rows is ever a row.
     """
-    ids = features.select("grp").distinct()
-    pairs = ids.select(F.col("grp").alias("i")).join(ids.select(F.col("grp").alias("j")), F.col("i") < F.col("j"))
-    sides = pairs.select("i", "j", F.explode(F.array("i", "j")).alias("grp"))
-    rows = features.select("grp", "id", F.col("desc").cast("array<double>").alias("desc")).join(sides, "grp")
-
-    def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row of a: place of its nearest in b, and the distances of the nearest two."""
-        best, d1, d2 = [], [], []
-        for k in range(0, len(a), block):
-            d = np.stack([((b - x) ** 2).sum(1) for x in a[k : k + block]])
-            first = d.argmin(1)
-            r = np.arange(len(d))
-            one = d[r, first].copy()
-            d[r, first] = np.inf
-            best.append(first)
-            d1.append(np.sqrt(one))
-            d2.append(np.sqrt(d.min(1)))
-        return np.concatenate(best), np.concatenate(d1), np.concatenate(d2)
-
-    def match(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        grp, key = table["grp"].to_numpy(), table["id"].to_numpy()
-        x = np.array(table["desc"].to_pylist())
-        a, b = np.flatnonzero(grp == i), np.flatnonzero(grp == j)
-        a, b = a[np.argsort(key[a], kind="stable")], b[np.argsort(key[b], kind="stable")]
-        out = pa.table({"group_i": pa.array([], pa.int64()), "group_j": pa.array([], pa.int64()), "id_i": pa.array([], pa.int64()), "id_j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        if len(a) < 2 or len(b) < 2:
-            return out
-        ab, d1, d2 = nearest(x[a], x[b])
-        ba, e1, e2 = nearest(x[b], x[a])
-        k = np.flatnonzero((d1 < ratio * d2) & (ba[ab] == np.arange(len(a))) & (e1 < ratio * e2)[ab])
-        return pa.table({"group_i": np.full(len(k), i, np.int64), "group_j": np.full(len(k), j, np.int64), "id_i": key[a[k]].astype(np.int64), "id_j": key[b[ab[k]]].astype(np.int64), "d": d1[k]})
-
-    return rows.groupBy("i", "j").applyInArrow(match, "group_i long, group_j long, id_i long, id_j long, d double")
+    rows = features.select(F.col("store") if "store" in features.columns else F.lit(0).alias("store"), "grp", "id", F.col("desc").cast("array<double>").alias("desc"))
+    sizes = rows.groupBy("store", "grp").agg(F.expr(f"(count(*) + {block - 1}) div {block}").alias("n_blocks"))
+    dealt = rows.join(sizes, ["store", "grp"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
+
+    def pack(t: pa.Table) -> pa.Table:
+        x = t["desc"].combine_chunks()
+        flat = x.flatten().to_numpy().astype("<f8")
+        return pa.table({"store": t["store"][:1], "grp": t["grp"][:1], "blk": t["blk"][:1], "n": pa.array([len(t)], pa.int64()), "ids": pa.array([t["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "x": pa.array([flat.tobytes()], pa.binary())})
+
+    kind = rows.schema["store"].dataType.simpleString()
+    blocks = dealt.groupBy("store", "grp", "blk").applyInArrow(pack, f"store {kind}, grp long, blk long, n long, ids binary, x binary")
+    side = lambda k: blocks.select("store", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "n", "ids", "x")])
+    units = side("i").join(side("j"), "store").where("grp_i < grp_j")
+    units = units.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("grp_i", "grp_j", "ids_i", "ids_j"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u in batch.to_pylist():
+                (ids_i, a), (ids_j, b) = ((np.frombuffer(u[f"ids_{k}"], "<i8"), np.frombuffer(u[f"x_{k}"], "<f8").reshape(u[f"n_{k}"], -1)) for k in "ij")
+                for back, (p, x, q, y) in enumerate(((ids_i, a, ids_j, b), (ids_j, b, ids_i, a))):
+                    best, d1, d2 = _nearest_two(x, y, q)
+                    n = len(p)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (u["grp_i"], u["grp_j"], back)] + [pa.array(p), pa.array(best), pa.array(d1), pa.array(d2)], ["grp_i", "grp_j", "back", "id", "best", "d1", "d2"])
+
+    found = units.mapInArrow(nearest, "grp_i long, grp_j long, back long, id long, best long, d1 double, d2 double")
+    near = F.array_sort(F.collect_list(F.struct("d1", "best", "d2")))  # one a block of the other group
+    merged = found.groupBy("grp_i", "grp_j", "back", "id").agg(near.alias("near"))
+    merged = merged.select("grp_i", "grp_j", "back", "id", F.col("near")[0]["best"].alias("best"), F.col("near")[0]["d1"].alias("d"), F.least(F.col("near")[0]["d2"], F.try_element_at("near", F.lit(2))["d1"]).alias("second"))
+    # groups of one row have no second nearest, and so no match
+    clear = merged.where((F.col("second") < float("inf")) & (F.col("d") < F.lit(ratio) * F.col("second")))
+    there = clear.where("back = 0").select("grp_i", "grp_j", F.col("id").alias("id_i"), F.col("best").alias("id_j"), "d")
+    here = clear.where("back = 1").select("grp_i", "grp_j", F.col("best").alias("id_i"), F.col("id").alias("id_j"))
+    both = there.join(here, ["grp_i", "grp_j", "id_i", "id_j"])
+    return both.select(F.col("grp_i").alias("group_i"), F.col("grp_j").alias("group_j"), "id_i", "id_j", "d")
 
 
 def edge_score(ok: Column, inliers: Column, ncc: Column) -> Column:
     return F.when(ok, F.sqrt(inliers) * F.pow(F.greatest(ncc, F.lit(0.0)), F.lit(2.0))).otherwise(0.0)
 
 
-def best_mode(modes: DataFrame, keys: list[str], score: str, mode: str, viable: Column) -> DataFrame:
-    """The viable mode of the highest score (ties: the earliest) of each key, and whether it overrules mode `min`."""
+def best_mode(modes: DataFrame, keys: list[str], score: str, mode: str, viable: Column, plausible: Column | None = None) -> DataFrame:
+    """The viable mode of the highest score (ties: the earliest) of each key, and whether it overrules the first plausible mode.
+
+    plausible: which modes count as candidates at all (None: all); a viable mode is plausible too.
+    """
+    ok = F.lit(True) if plausible is None else F.coalesce(plausible, F.lit(False))
     w = W.partitionBy(*keys)
-    first = F.min(mode).over(w)
-    ranked = modes.withColumn("first_mode", first).where(viable).withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(mode))))
+    first = F.min(F.when(ok, F.col(mode))).over(w)
+    ranked = modes.withColumn("first_mode", first).where(viable & ok).withColumn("_r", F.row_number().over(w.orderBy(F.col(score).desc(), F.col(mode))))
     return ranked.where("_r = 1").withColumn("overruled", F.col(mode) != F.col("first_mode")).drop("_r")
 
 
+def best_effort(modes: DataFrame, keys: list[str], ncc: str, mode: str, plausible: Column) -> DataFrame:
+    """What a pair without a viable mode reports: one row a key, its `ncc` as it counts.
+
+    The first mode stands at first; an implausible one with a correlation of 0. Any later
+    plausible mode of a strictly higher correlation takes its place, so of equals the
+    earliest stays, and an implausible mode stays only if it came first.
+    """
+    w = W.partitionBy(*keys)
+    fine = F.coalesce(plausible, F.lit(False))
+    held = modes.withColumn("_fine", fine).withColumn("_first", F.min(mode).over(w)).where(F.col("_fine") | (F.col(mode) == F.col("_first")))
+    held = held.withColumn(ncc, F.when(F.col("_fine"), F.col(ncc)).otherwise(0.0))
+    return held.withColumn("_r", F.row_number().over(w.orderBy(F.col(ncc).desc(), F.col(mode)))).where("_r = 1").withColumn("plausible", F.col("_fine")).drop("_r", "_fine", "_first")
+
+
 def acceptance(n_matches: Column, n_inliers: Column, ncc: Column, *, min_inliers: int = 40, min_ratio: float = 0.1, min_ncc: float = 0.25) -> Column:
     """The first gate that a pair fails, or 'ok'."""
     ratio = F.try_divide(n_inliers.cast("double"), n_matches)
@@ -81,3 +120,74 @@ def grid_sample(points: DataFrame, cell: list[str], order: list[Column], n: int)
     """Round-robin over grid cells: the first of each cell, then the second of each, up to n."""
     depth = F.row_number().over(W.partitionBy(*cell).orderBy(*order))
     return points.withColumn("depth", depth).orderBy("depth", *cell).limit(n)
+
+
+def viable(overlap: Column, n_inliers: Column, *, min_overlap: float = 0.04, min_inliers: int = 40) -> Column:
+    """Whether a plausible mode may win: its views overlap enough and enough matches agree; nulls don't."""
+    return F.coalesce((overlap >= min_overlap) & (n_inliers >= min_inliers), F.lit(False))
+
+
+def rescue_reason(n_confident: Column, n_inliers: Column, fault: Column, overlap: Column, ncc: Column, *, min_inliers: int = 40, min_ratio: float = 0.1, min_overlap: float = 0.04, min_ncc: float = 0.25) -> Column:
+    """The verdict on a rescuer's pair, 'loftr' if it passes: gates in its own order, inliers before ratio before overlap before ncc.
+
+    fault: why its homography is implausible, 'ok' if it isn't, null if there is none.
+    """
+    ratio = F.try_divide(n_inliers.cast("double"), n_confident.cast("double"))
+    why = (
+        F.when(n_confident < min_inliers, F.format_string("only %d confident matches", n_confident))
+        .when(fault.isNull(), "no model")
+        .when(fault != "ok", fault)
+        .when(n_inliers < min_inliers, F.format_string(f"%d inliers < {min_inliers}", n_inliers))
+        .when(ratio < min_ratio, F.format_string("inlier ratio %.2f low", ratio))
+        .when(overlap < min_overlap, F.format_string("overlap %.3f low", overlap))
+        .when(ncc < min_ncc, F.format_string(f"ncc %.2f < {min_ncc:g}", ncc))
+    )
+    return F.coalesce(F.concat(F.lit("loftr: "), why), F.lit("loftr"))
+
+
+def confident(matches: DataFrame, confidence: str = "confidence", least: float = 0.6) -> DataFrame:
+    """A rescuer's matches that it is sure enough of; null confidences aren't."""
+    return matches.where(F.col(confidence) >= least)
+
+
+def gathered(matches: DataFrame, side_i: DataFrame, side_j: DataFrame, on_i: list[str], on_j: list[str]) -> DataFrame:
+    """matches with the places of both their keypoints: two equi-joins, on the keys of each side."""
+    return matches.join(side_i, on_i).join(side_j, on_j)
+
+
+def replaced(pairs: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs, those that `saved` has too in its version."""
+    return pairs.join(saved.select(*keys), keys, "left_anti").unionByName(saved.select(*pairs.columns))
+
+
+def enumerated(modes: DataFrame, plausible: Column, *, n_inliers: str = "n_inliers", ncc: str = "ncc", overlap: str = "overlap", least: int = 25) -> DataFrame:
+    """All modes of `least` inliers, for a diagnosis: implausible ones stay, with correlation and overlap 0."""
+    fine = F.coalesce(plausible, F.lit(False))
+    return modes.where(F.col(n_inliers) >= least).withColumns({"plausible": fine, ncc: F.when(fine, F.col(ncc)).otherwise(0.0), overlap: F.when(fine, F.col(overlap)).otherwise(0.0)})
+
+
+def marked_modes(modes: DataFrame, keys: list[str], mode: str, ncc: str, good: float = 0.25) -> DataFrame:
+    """modes with `mark`: which one has the most inliers (the first), and which the best correlation (ties: the earliest) if that is above `good`."""
+    w = W.partitionBy(*keys)
+    first = F.col(mode) == F.min(mode).over(w)
+    best = F.row_number().over(w.orderBy(F.col(ncc).desc(), F.col(mode))) == 1
+    mark = F.concat(F.when(first, " [top-inliers]").otherwise(""), F.when(best & (F.col(ncc) > good), " [best-ncc]").otherwise(""))
+    return modes.withColumn("mark", mark)
+
+
+def demo_pair(modes: DataFrame, keys: list[str], mode: str = "mode_no", ncc: str = "ncc", n_inliers: str = "n_inliers", min_gap: float = 0.05) -> DataFrame:
+    """One row: the pair where the best correlated mode is not the first and is better by most (above min_gap); else that whose first mode has most inliers.
+
+    modes: of enumerated(); pairs without a plausible mode don't count; ties: the first pair. No pair: no row.
+    """
+    first, top = F.min(F.struct(F.col(mode), F.col(ncc).alias("c"), F.col(n_inliers).alias("n"))), F.max(F.struct(F.col(ncc).alias("c"), (-F.col(mode)).alias("m")))
+    pairs = modes.groupBy(*keys).agg(first.alias("f"), top.alias("t"), F.bool_or("plausible").alias("any")).where("any")
+    pairs = pairs.select(*keys, F.col("f.n").alias("first_inliers"), (F.col("t.c") - F.col("f.c")).alias("gap"), (-F.col("t.m") != F.col(f"f.{mode}")).alias("other"))
+    split = F.col("other") & (F.col("gap") > min_gap)
+    rank = [split.desc(), F.when(split, F.col("gap")).desc_nulls_last(), F.col("first_inliers").desc(), *keys]
+    return pairs.withColumn("why", F.when(split, "inliers and pixels disagree").otherwise("strongest pair")).orderBy(*rank).limit(1).select(*keys, "first_inliers", "gap", "why")
+
+
+def sampled(rows: DataFrame, n: int, key: Column, seed: int = 0) -> DataFrame:
+    """n rows without replacement, by the order of a seeded hash of a key that tells them apart; fewer rows: all."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), key).limit(n)

@@ -13,7 +13,7 @@ from mosaiq.functions.homography import dehomogenised, implausible, inverse, pro
 from mosaiq.kernels import fit
 from mosaiq.kernels.detect import detect
 from mosaiq.kernels.raster import apply, correlation, frame
-from mosaiq.operators.evaluate import residual_metrics
+from mosaiq.operators.evaluate import pair_scores, residual_metrics
 from mosaiq.operators.matching import edge_score
 
 _PAIR = "store string, i int, j int, mode_no int, n_matches int, n_inliers int, h array<double>, pts binary"
@@ -160,12 +160,15 @@ def accepted(scored: DataFrame, *, least: int = 40, min_ratio: float = 0.1, min_
     best = lambda ms: F.reduce(ms, F.element_at(ms, 1), lambda a, m: F.when(m["ncc"] > a["ncc"], m).otherwise(a))
     plausible = F.filter("modes", lambda m: m["why"] == "ok")
     d = scored.withColumn("_v", F.filter("modes", viable)).withColumn("_p", plausible)
-    pick = F.when(F.size("_v") > 0, best(F.col("_v"))).when(F.size("_p") > 0, best(F.col("_p"))).when(F.size("modes") > 0, F.element_at("modes", 1))
+    # without a viable one: the first mode (0, if it is implausible), unless a plausible one has a higher correlation
+    head = F.element_at("modes", 1)
+    tried = F.filter("modes", lambda m: (m["why"] == "ok") | (m["mode_no"] == head["mode_no"]))
+    pick = F.when(F.size("_v") > 0, best(F.col("_v"))).when(F.size("modes") > 0, best(tried))
     d = d.withColumn("m", pick).withColumn("inlier_ratio", F.coalesce(F.try_divide(F.col("m.n_inliers").cast("double"), "n_matches"), F.lit(0.0)))
     fault = (
         F.when(F.col("n_matches") < least, F.format_string("only %d raw matches", "n_matches"))
         .when(F.size("modes") == 0, "no homography with enough inliers")
-        .when((F.size("_v") == 0) & (F.size("_p") == 0), F.col("m.why"))
+        .when((F.size("_v") == 0) & (F.col("m.why") != "ok"), F.col("m.why"))
         .when(F.size("_v") == 0, F.format_string("overlap %.3f < %.3f", F.col("m.overlap"), F.lit(min_overlap)))
         .when(F.col("inlier_ratio") < min_ratio, F.format_string("inlier ratio %.3f < %.3f", "inlier_ratio", F.lit(min_ratio)))
         .when(F.col("m.ncc") < min_ncc, F.format_string("ncc %.3f < %.3f", F.col("m.ncc"), F.lit(min_ncc)))
@@ -237,35 +240,72 @@ def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: fl
     return meta.groupBy("store").cogroup(good.groupBy("store")).applyInPandas(run, "store string, idx int, h array<double>, is_anchor boolean, position int, component int, rms_before double, rms_after double")
 
 
+def scorable(pairs: DataFrame, layout: DataFrame, keys: tuple[str, ...] = ("store",), n_points: Column | None = None, least: int = 4) -> DataFrame:
+    """Pairs that are ok, have `least` points and both of whose ends are placed, with the ends' homographies as h_i and h_j.
+
+    layout: keys, idx, h (null: not placed). n_points: how many points a pair has (by its packed `pts`, if not given).
+    """
+    n = F.length("pts") / 32 if n_points is None else n_points
+    at = layout.where("h IS NOT NULL").select(*keys, "idx", "h")
+    end = lambda s: at.select(*keys, F.col("idx").alias(s), F.col("h").alias(f"h_{s}"))
+    good = pairs.where(F.col("ok") & (n >= least))
+    return good.drop("h").join(end("i"), [*keys, "i"]).join(end("j"), [*keys, "j"])
+
+
+def transfer(h_i: list[Column], h_j: list[Column]) -> list[Column]:
+    """From i's pixels to j's under a layout: inverse(h_j) h_i."""
+    return product(inverse(h_j), h_i)
+
+
+def all_residuals(points: DataFrame, h_i: list[Column], h_j: list[Column], guard: float | None = None) -> DataFrame:
+    """points (xi, yi, xj, yj, ...) with err: how far (xi, yi) lands from (xj, yj) under a layout. Without a guard, at infinity: null."""
+    x, y = dehomogenised(transfer(h_i, h_j), F.col("xi"), F.col("yi"), guard)
+    return points.withColumn("err", F.hypot(x - F.col("xj"), y - F.col("yj")))
+
+
 def residuals(layout: DataFrame, pairs: DataFrame) -> DataFrame:
-    """store, i, j, err: distance in j's pixels of each correspondence of accepted, placed pairs under a layout."""
-    at = layout.where("h IS NOT NULL").select("store", "idx", "h")
-    end = lambda s: at.select("store", F.col("idx").alias(s), F.col("h").alias(f"h_{s}"))
+    """store, i, j, err: distance in j's pixels of each correspondence of scorable pairs under a layout."""
 
     def unpack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             for r in df.itertuples(index=False):
                 q = np.frombuffer(r.pts).reshape(-1, 4)
-                yield pd.DataFrame({"store": r.store, "i": r.i, "j": r.j, "xi": q[:, 0], "yi": q[:, 1], "xj": q[:, 2], "yj": q[:, 3]})
+                yield pd.DataFrame({"store": r.store, "i": r.i, "j": r.j, "h_i": [r.h_i] * len(q), "h_j": [r.h_j] * len(q), "xi": q[:, 0], "yi": q[:, 1], "xj": q[:, 2], "yj": q[:, 3]})
 
-    points = pairs.where("ok").select("store", "i", "j", "pts").mapInPandas(unpack, "store string, i int, j int, xi double, yi double, xj double, yj double")
-    both = points.join(end("i"), ["store", "i"]).join(end("j"), ["store", "j"])
-    x, y = dehomogenised(product(inverse(nine("h_j")), nine("h_i")), F.col("xi"), F.col("yi"), 1e-9)
-    return both.select("store", "i", "j", F.hypot(x - F.col("xj"), y - F.col("yj")).alias("err"))
+    points = scorable(pairs, layout).select("store", "i", "j", "h_i", "h_j", "pts").mapInPandas(unpack, "store string, i int, j int, h_i array<double>, h_j array<double>, xi double, yi double, xj double, yj double")
+    return all_residuals(points, nine("h_i"), nine("h_j"), 1e-9).select("store", "i", "j", "err")
 
 
-def layout_metrics(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row per store: pooled rms, median, p95 of residuals; means and least of pairs' ncc and overlap; nulls and 0 without pairs."""
-    errors = residuals(layout, pairs)
-    scored = errors.groupBy("store", "i", "j").agg(F.count("*").alias("n_points"))
-    pooled = residual_metrics(errors, ["store"], "err")
-    by_pair = pairs.join(scored, ["store", "i", "j"], "left_semi").groupBy("store").agg(F.count("*").alias("n_pairs_scored"), F.avg("ncc").alias("mean_overlap_ncc"), F.min("ncc").alias("min_overlap_ncc"), F.avg("overlap").alias("mean_overlap_frac"))
-    out = work.select("store").distinct().join(pooled, "store", "left").join(by_pair, "store", "left")
-    return out.select("store", F.coalesce("n_pairs_scored", F.lit(0)).alias("n_pairs_scored"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), F.col("p95").alias("reproj_p95_px"), "mean_overlap_ncc", "min_overlap_ncc", "mean_overlap_frac")
+def layout_agreement(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> DataFrame:
+    """store, i, j, ncc, overlap of scorable pairs under the *layout*, not under the pair's own fit: an adjustment moves both."""
+    px = work.select("store", "idx", "h", "w", "bgr")
+    side = lambda s: px.select("store", F.col("idx").alias(s), *[F.col(c).alias(f"p{c}_{s}") for c in ("h", "w", "bgr")])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            out = []
+            for r in df.itertuples(index=False):
+                ncc, overlap = correlation(pixels(r.pbgr_i, r.ph_i, r.pw_i), pixels(r.pbgr_j, r.ph_j, r.pw_j), np.array(r.h, float).reshape(3, 3))
+                out.append((r.store, r.i, r.j, ncc, overlap))
+            yield pd.DataFrame(out, columns=["store", "i", "j", "ncc", "overlap"])
+
+    both = scorable(pairs, layout).select("store", "i", "j", F.array(*transfer(nine("h_i"), nine("h_j"))).alias("h"))
+    return both.join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]).mapInPandas(run, "store string, i int, j int, ncc double, overlap double")
 
 
-def pair_metrics(layout: DataFrame, pairs: DataFrame) -> DataFrame:
-    """store, i, j, n_points, reproj_rms_px, reproj_median_px, overlap_ncc, overlap_frac of scored pairs."""
+def pair_metrics(layout: DataFrame, pairs: DataFrame, work: DataFrame | None = None) -> DataFrame:
+    """store, i, j, n_points, reproj_rms_px, reproj_median_px, overlap_ncc, overlap_frac of scorable pairs under the layout; the last two need `work`, else null."""
     m = residual_metrics(residuals(layout, pairs), ["store", "i", "j"], "err")
-    more = pairs.select("store", "i", "j", F.col("ncc").alias("overlap_ncc"), F.col("overlap").alias("overlap_frac"))
+    if work is None:
+        more = m.select("store", "i", "j", F.lit(None).cast("double").alias("overlap_ncc"), F.lit(None).cast("double").alias("overlap_frac"))
+    else:
+        more = layout_agreement(work, layout, pairs).withColumnsRenamed({"ncc": "overlap_ncc", "overlap": "overlap_frac"})
     return m.join(more, ["store", "i", "j"]).select("store", "i", "j", F.col("n").alias("n_points"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), "overlap_ncc", "overlap_frac")
+
+
+def layout_metrics(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row per store: pooled rms, median, p95 of residuals; means and least of pairs' ncc and overlap under the layout; nulls and 0 without pairs."""
+    pooled = residual_metrics(residuals(layout, pairs), ["store"], "err")
+    by_pair = pair_scores(layout_agreement(work, layout, pairs), ["store"])
+    out = work.select("store").distinct().join(pooled, "store", "left").join(by_pair, "store", "left")
+    return out.select("store", F.coalesce("n_pairs_scored", F.lit(0)).alias("n_pairs_scored"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), F.col("p95").alias("reproj_p95_px"), "mean_overlap_ncc", "min_overlap_ncc", "mean_overlap_frac")

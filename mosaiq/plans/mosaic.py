@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from mosaiq.kernels import blend as B
 from mosaiq.kernels.detect import KINDS
 from mosaiq.operators import compose as C, pairing as P
 from mosaiq.operators.graph import _kept
+from mosaiq.operators.matching import replaced
 from mosaiq.sources import images as S
 
 
+#: Names and defaults of all settings.
 @dataclass
 class Config:
     """Settings of a run; wrong names of methods are refused at once."""
@@ -61,6 +67,7 @@ class Geometry:
     scored: DataFrame
     pairs: DataFrame
     layout: DataFrame
+    rescued: DataFrame | None = None  # store, i, j of pairs that the rescuer saved
 
 
 #: A matcher for pairs that join separate components: (pairs, work) -> pairs of the same columns.
@@ -74,20 +81,44 @@ def bridges(pairs: DataFrame, layout: DataFrame) -> DataFrame:
     return pairs.where("NOT ok").join(end("i"), ["store", "i"]).join(end("j"), ["store", "j"]).where("_i <> _j").drop("_i", "_j").orderBy(F.col("ncc").desc(), "store", "i", "j")
 
 
+def rescued(pairs: DataFrame, layout: DataFrame, work: DataFrame, rescue: Rescuer) -> tuple[DataFrame, DataFrame]:
+    """(pairs with those that the rescuer saved, the saved ones).
+
+    Round by round, each store's most promising bridge goes to the rescuer. If it is saved,
+    components are found anew, so other bridges to an image that is joined aren't paid for;
+    if not, the next one is tried. A pair is tried once.
+    """
+    keys, tried, saved = ["store", "i", "j"], None, None
+    while True:
+        left = bridges(pairs, layout)
+        if tried is not None:
+            left = left.join(tried, keys, "left_anti")
+        turn = F.row_number().over(W.partitionBy("store").orderBy(F.col("ncc").desc(), "i", "j"))
+        first = _kept(left.withColumn("_t", turn).where("_t = 1").drop("_t"))
+        if not first.limit(1).count():
+            return pairs, pairs.limit(0) if saved is None else saved
+        tried = first.select(keys) if tried is None else _kept(tried.unionByName(first.select(keys)))
+        good = _kept(rescue(first, work).where("ok"))
+        if good.limit(1).count():
+            saved = good if saved is None else _kept(saved.unionByName(good))
+            pairs = _kept(replaced(pairs, good, keys))
+            layout = _kept(P.layouts(work, pairs, adjust=False))
+
+
 def solve(images: DataFrame, cfg: Config, rescue: Rescuer | None = None) -> Geometry:
-    """Features, pairs and layouts of all stores. rescue: tried once on bridges, if any, before layouts are made again."""
+    """Features, pairs and layouts of all stores. rescue: tried on bridges between components, if any."""
     work = _kept(S.work_images(images, cfg.work_max_dim))
     feats = _kept(P.features(work, cfg.detector, cfg.n_features))
     modes = _kept(P.pair_modes(feats, ratio=cfg.ratio, within=cfg.ransac_thresh, least=cfg.min_inliers, most=cfg.n_hypotheses))
     scored = _kept(P.judged(modes, work, gate=cfg.plausibility_gate, least=cfg.min_inliers, min_overlap=cfg.min_overlap, polish=cfg.ecc_refine))
     pairs = _kept(P.accepted(scored, least=cfg.min_inliers, min_ratio=cfg.min_inlier_ratio, min_ncc=cfg.min_ncc, min_overlap=cfg.min_overlap))
     layout = _kept(P.layouts(work, pairs, adjust=cfg.bundle, huber=cfg.huber_px))
+    saved = None
     if rescue is not None and cfg.use_deep_fallback:
-        saved = _kept(rescue(bridges(pairs, layout), work).where("ok"))
+        pairs, saved = rescued(pairs, layout, work, rescue)
         if saved.limit(1).count():
-            pairs = _kept(pairs.join(saved, ["store", "i", "j"], "left_anti").unionByName(saved))
             layout = _kept(P.layouts(work, pairs, adjust=cfg.bundle, huber=cfg.huber_px))
-    return Geometry(images, work, feats, scored, pairs, layout)
+    return Geometry(images, work, feats, scored, pairs, layout, saved)
 
 
 def render(g: Geometry, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -112,8 +143,15 @@ def report(g: Geometry, cut: DataFrame, plan: DataFrame) -> DataFrame:
     pairs = g.pairs.join(short("i"), ["store", "i"]).join(short("j"), ["store", "j"]).groupBy("store").agg(F.count_if("ok").alias("n_pairs_verified"), F.transform(F.array_sort(F.collect_list(F.struct(F.col("i").alias("a"), F.col("j").alias("b"), item.alias("pair")))), lambda s: s["pair"]).alias("pairs"))
     shares = cut.groupBy("store").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.round("share", 4).alias("share"))))).alias("source_pixel_share"), F.array_sort(F.collect_list(F.when(F.col("share") < 0.01, F.col("name")))).alias("low_contribution"))
     size = plan.groupBy("store").agg(F.max("cw").alias("canvas_w"), F.max("ch").alias("canvas_h"), F.max("render_scale").alias("render_scale"))
-    m = P.layout_metrics(g.work, g.layout, g.pairs)
+    m = _kept(P.layout_metrics(g.work, g.layout, g.pairs))
     rounded = m.select("store", F.struct("n_pairs_scored", *[F.round(c, 3).alias(c) for c in m.columns if c not in ("store", "n_pairs_scored")]).alias("metrics"))
+    each = P.pair_metrics(g.layout, g.pairs, g.work).join(short("i"), ["store", "i"]).join(short("j"), ["store", "j"])
+    each = each.select("store", "i", "j", F.struct(F.concat("n_i", F.lit("->"), "n_j").alias("pair"), *[F.round(c, 3).alias(c) for c in ("reproj_rms_px", "reproj_median_px", "overlap_ncc", "overlap_frac")], "n_points").alias("m"))
+    each = each.groupBy("store").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "m"))), lambda s: s["m"]).alias("per_pair"))
+    base = base.join(each, "store", "left")
+    if g.rescued is not None:
+        again = g.rescued.join(short("i"), ["store", "i"]).join(short("j"), ["store", "j"]).groupBy("store").agg(F.array_sort(F.collect_list(F.concat("n_i", F.lit("->"), "n_j"))).alias("deep_rescued_pairs"))
+        base = base.join(again, "store", "left")
     out = base.join(comps, "store", "left").join(pairs, "store", "left").join(shares, "store", "left").join(size, "store", "left").join(rounded, "store", "left")
     return out.withColumn("n_pairs_verified", F.coalesce("n_pairs_verified", F.lit(0)))
 
@@ -136,7 +174,8 @@ def stitch_store(spark: SparkSession, folder: str, cfg: Config | None = None, re
     images = S.read_images(spark, folder)
     if len(first) == 1:
         r = images.first()
-        return P.pixels(r.bgr, r.full_h, r.full_w), {"store": r.store, "n_images": 1, "n_images_used": 1, "images": [r.name], "seconds": round(time.time() - t, 1)}
+        nothing = {"pairs": [], "n_pairs_verified": 0, "components": [], "dropped_images": [], "anchor": "", "order": [], "metrics": {}, "per_pair": [], "deep_rescued_pairs": [], "bundle_rms_before": None, "bundle_rms_after": None}
+        return P.pixels(r.bgr, r.full_h, r.full_w), {"store": r.store, "n_images": 1, "n_images_used": 1, "images": [r.name], **nothing, "output_shape": [r.full_h, r.full_w, 3], "seconds": round(time.time() - t, 1)}
     mosaic, reports, _, seams = stitch(spark, images, cfg, rescue)
     out = C.assembled(mosaic, first[0].store, cfg.crop)
     rep = reports.first().asDict(recursive=True)
@@ -155,24 +194,56 @@ def run_and_save(spark: SparkSession, folder: str, out: str, cfg: Config | None
     return rep
 
 
+def outputs(out: str, store: str | None = None) -> dict[str, str]:
+    """Where a run's picture, report and seam map go: in a folder by the store's name, or beside the picture that `out` names."""
+    picture = f"{out}/{store}.jpg" if store else out if re.search(r"\.(jpe?g|png)$", out, re.I) else f"{out.rstrip('/')}/stitched.jpg"
+    base, _ = os.path.splitext(picture)
+    return {"picture": picture, "report": base + "_report.json", "seams": base + "_seams.jpg"}
+
+
 def run_many(spark: SparkSession, root: str, out: str, cfg: Config | None = None, reports: bool = True, quality: int = 95, seams: bool = False) -> list[dict]:
-    """Every store_*/images folder in one plan; the driver only writes, one store at a time. Undecodable files are skipped."""
+    """Every store_*/images folder in one plan; the driver only writes, one store at a time. Undecodable files are skipped.
+
+    If the plan of all stores fails, stores run one by one, and one that fails is a row:
+    store, n_images, n_images_used (0) and error.
+    """
     cfg = cfg or Config()
-    mosaic, table, _, maps = stitch(spark, S.read_images(spark, root, many=True, on_bad="skip"), cfg)
+    images = S.read_images(spark, root, many=True, on_bad="skip")
+    try:
+        return _saved(spark, images, out, cfg, reports, quality, seams)
+    except PythonException as e:
+        first = str(e)
+    done = []
+    for r in S.list_images(spark, root, many=True).groupBy("store").count().orderBy("store").toLocalIterator():
+        try:
+            done += _saved(spark, images.where(F.col("store") == r.store), out, cfg, reports, quality, seams)
+        except PythonException as e:
+            done.append({"store": r.store, "n_images": r["count"], "n_images_used": 0, "error": (str(e) or first)[:500]})
+    return done
+
+
+def _saved(spark: SparkSession, images: DataFrame, out: str, cfg: Config, reports: bool, quality: int, seams: bool) -> list[dict]:
+    mosaic, table, _, maps = stitch(spark, images, cfg)
     done = []
     for r in _kept(table).orderBy("store").toLocalIterator():
-        rep = r.asDict(recursive=True)
+        rep, to = r.asDict(recursive=True), outputs(out, r.store)
         image = C.assembled(mosaic, r.store, cfg.crop)
-        S.write_image(spark, f"{out}/{r.store}.jpg", image, quality)
+        S.write_image(spark, to["picture"], image, quality)
         if reports:
-            S.write_report(spark, f"{out}/{r.store}_report.json", {"config": asdict(cfg), "report": rep | {"output_shape": list(image.shape)}})
+            S.write_report(spark, to["report"], {"config": asdict(cfg), "report": rep | {"output_shape": list(image.shape)}})
         if seams:
             s = maps.where(F.col("store") == r.store).first()
-            S.write_image(spark, f"{out}/{r.store}_seams.jpg", P.pixels(s.bgr, s.h, s.w))
+            S.write_image(spark, to["seams"], P.pixels(s.bgr, s.h, s.w), quality)
         done.append(rep)
     return done
 
 
+def bundled(spark: SparkSession, image: np.ndarray, rep: dict, seams: np.ndarray | None = None, quality: int = 95) -> bytes:
+    """A ZIP file of a mosaic, its report and, if there is one, its seam map."""
+    parts = {"panorama.jpg": S.encode(spark, image, "jpg", quality), "report.json": json.dumps(rep, indent=2, default=str).encode()}
+    return S.bundle(parts | ({} if seams is None else {"seam_map.jpg": S.encode(spark, seams, "jpg", quality)}))
+
+
 #: What each ablation changes.
 ABLATIONS: dict[str, dict] = {
     "full pipeline": {},
@@ -197,10 +268,11 @@ RENDERINGS: dict[str, dict] = {
 }
 
 
-def ablate(spark: SparkSession, root: str, changes: dict[str, dict] | None = None, out: str | None = None, quality: int = 88) -> DataFrame:
+def ablate(spark: SparkSession, root: str, changes: dict[str, dict] | None = None, out: str | None = None, quality: int = 88, log: str | None = None) -> DataFrame:
     """config, store, n, used, rms, ncc, min_ncc, seconds, error: geometry of all stores under each change; a failed run is a row.
 
     With `out`, the changes (RENDERINGS, if none are given) are rendered as well, to <out>/<config>_<store>.jpg.
+    log: where the rows go as a JSON list, too.
     """
     rows = []
     for name, change in ((RENDERINGS if out else ABLATIONS) if changes is None else changes).items():
@@ -217,6 +289,9 @@ def ablate(spark: SparkSession, root: str, changes: dict[str, dict] | None = Non
                 rows.append((name, r.store, r.n, r.used, r.reproj_rms_px, r.mean_overlap_ncc, r.min_overlap_ncc, time.time() - t, None))
         except Exception as e:  # noqa: BLE001 - one configuration's failure is a result
             rows.append((name, None, None, None, None, None, None, time.time() - t, str(e)[:500]))
+    if log:
+        names = ("config", "store", "n", "used", "rms", "ncc", "min_ncc", "seconds", "error")
+        S.write_report(spark, log, [dict(zip(names, r, strict=True)) for r in rows])
     return spark.createDataFrame(rows, "config string, store string, n long, used long, rms double, ncc double, min_ncc double, seconds double, error string")
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from mosaiq.functions.homography import corners, dehomogenised, implausible, inverse, rescaled, to_render
-from mosaiq.operators.evaluate import guarded_correlation, residual_metrics
+from mosaiq.functions.homography import corners, dehomogenised, implausible, inverse, product, rescaled, to_render
+from mosaiq.operators.evaluate import area_ratio, content_box, coverage, guarded_correlation, local_agreement, local_summary, overlap_fraction, pair_scores as scores_of_pairs, pooled_errors as pooled, residual_metrics
 from mosaiq.operators.graph import anchors, both_ways, components, hops, maximum_spanning_tree
-from mosaiq.operators.matching import acceptance, best_mode, edge_score, grid_sample, mutual_matches, root_normalised
+from mosaiq.operators.matching import acceptance, best_effort, best_mode, confident, demo_pair, edge_score, enumerated, gathered, grid_sample, marked_modes, mutual_matches, replaced, rescue_reason, root_normalised, sampled, viable
+from mosaiq.operators.pairing import all_residuals, scorable, transfer
+from mosaiq.sources.images import by_short_name
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,12 +197,12 @@ def acceptance_reasons(spark, sf):
 
 
 KEY4 = "l_linenumber, l_partkey, l_suppkey"
-MODES = f"""m AS (SELECT l_orderkey, l_extendedprice, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY {KEY4}) AS mode FROM lineitem)"""
+MODES = f"""m AS (SELECT l_orderkey, l_extendedprice, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY {KEY4}) AS mode, l_discount, l_tax FROM lineitem)"""
 
 
 def modes(spark, sf) -> DataFrame:
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", F.row_number().over(w).cast("long").alias("mode"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", F.row_number().over(w).cast("long").alias("mode"), "l_discount", "l_tax")
 
 
 @query(f"WITH {MODES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, mode) AS k FROM m WHERE l_quantity >= 10) SELECT l_orderkey, mode, l_extendedprice FROM r WHERE k = 1")
@@ -208,18 +210,21 @@ def mode_argmax(spark, sf):
     return best_mode(modes(spark, sf), ["l_orderkey"], "l_extendedprice", "mode", F.col("l_quantity") >= 10).select("l_orderkey", "mode", "l_extendedprice")
 
 
-@query(f"WITH {MODES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, mode) AS k FROM m WHERE l_quantity >= 10) SELECT l_orderkey, mode, mode <> 1 AS overruled FROM r WHERE k = 1")
+@query(f"""WITH {MODES}, p AS (SELECT *, min(CASE WHEN l_discount < 0.08 THEN mode END) OVER (PARTITION BY l_orderkey) AS first_mode FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, mode) AS k FROM p WHERE l_quantity >= 10 AND l_discount < 0.08) SELECT l_orderkey, mode, mode <> first_mode AS overruled FROM r WHERE k = 1""")
 def mode_overruled(spark, sf):
-    return best_mode(modes(spark, sf), ["l_orderkey"], "l_extendedprice", "mode", F.col("l_quantity") >= 10).select("l_orderkey", "mode", "overruled")
+    """Whether the winner is another than the first plausible mode; implausible ones don't count."""
+    fine = F.col("l_discount") < 0.08
+    return best_mode(modes(spark, sf), ["l_orderkey"], "l_extendedprice", "mode", F.col("l_quantity") >= 10, fine).select("l_orderkey", "mode", "overruled")
 
 
-@query(f"""WITH {MODES}, k AS (SELECT *, l_quantity >= 10 AS fine FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, mode) AS j FROM k WHERE fine OR mode = 1)
-SELECT l_orderkey, CASE WHEN fine THEN 'ncc' ELSE 'implausible' END AS reason, mode FROM r WHERE j = 1""")
+@query(f"""WITH {MODES}, k AS (SELECT *, l_quantity >= 25 AS fine, CASE WHEN l_quantity >= 25 THEN round(l_discount * 10 - 0.4, 6) ELSE 0.0::DOUBLE END AS ncc FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ncc DESC, mode) AS j FROM k WHERE fine OR mode = 1) SELECT l_orderkey, CASE WHEN fine THEN 'ncc' ELSE 'implausible' END AS reason, ncc, mode FROM r WHERE j = 1""")
 def best_effort_reason(spark, sf):
-    """What to report of a rejected pair: its best plausible mode; an implausible one only if it came first."""
-    m = modes(spark, sf).withColumn("fine", F.col("l_quantity") >= 10)
-    b = best_mode(m, ["l_orderkey"], "l_extendedprice", "mode", F.col("fine") | (F.col("mode") == 1))
-    return b.select("l_orderkey", F.when(F.col("fine"), "ncc").otherwise("implausible").alias("reason"), "mode")
+    """What to report of a rejected pair: its best plausible mode; an implausible first one counts 0."""
+    m = modes(spark, sf).withColumn("ncc", F.round(F.col("l_discount") * 10 - 0.4, 6))
+    b = best_effort(m, ["l_orderkey"], "ncc", "mode", F.col("l_quantity") >= 25)
+    return b.select("l_orderkey", F.when(F.col("plausible"), "ncc").otherwise("implausible").alias("reason"), "ncc", "mode")
 
 
 CORR = "CASE WHEN n < {least} OR vx <= 1e-12 OR vy <= 1e-12 THEN 0.0 ELSE c / sqrt(vx * vy) END"
@@ -316,3 +321,214 @@ def ablation_rollup(spark, sf):
     done = F.col("o_orderstatus") == "F"
     s = o.groupBy(F.col("o_orderpriority").alias("config"), F.col("c_mktsegment").alias("store")).agg(F.count("*").alias("n"), F.count_if(done).alias("used"), F.avg(F.when(done, F.col("o_totalprice"))).alias("rms"), F.sum("o_totalprice").alias("secs"))
     return s.groupBy("config").agg(F.sum("used").alias("used"), F.sum("n").alias("n"), F.round(F.avg("rms"), 4).alias("mean_rms"), F.round(F.min("rms"), 4).alias("least"), F.round(F.sum("secs"), 2).alias("secs"))
+
+
+#: Two homographies a part: a general one and one near it.
+PARTS_H = """h AS (SELECT p_partkey, (1 + p_size * 0.01)::DOUBLE AS a0, 0.02::DOUBLE AS a1, (p_size * 3)::DOUBLE AS a2, -0.01::DOUBLE AS a3, (1 - p_size * 0.005)::DOUBLE AS a4, -7.0::DOUBLE AS a5, 0.00001::DOUBLE AS a6, 0.00002::DOUBLE AS a7, 1.0::DOUBLE AS a8,
+ 0.9::DOUBLE AS b0, (p_partkey % 5 * 0.01)::DOUBLE AS b1, 5.0::DOUBLE AS b2, 0.03::DOUBLE AS b3, 1.1::DOUBLE AS b4, (p_partkey % 7)::DOUBLE AS b5, 0.0::DOUBLE AS b6, 0.00003::DOUBLE AS b7, 1.0::DOUBLE AS b8 FROM part)"""
+
+
+def parts_h() -> tuple[list[Column], list[Column]]:
+    k, s, f = F.col("p_partkey"), F.col("p_size"), lambda v: F.lit(float(v))
+    a = [1 + s * 0.01, f(0.02), (s * 3).cast("double"), f(-0.01), 1 - s * 0.005, f(-7), f(0.00001), f(0.00002), f(1)]
+    return a, [f(0.9), k % 5 * 0.01, f(5), f(0.03), f(1.1), (k % 7).cast("double"), f(0), f(0.00003), f(1)]
+
+
+@query(f"WITH {PARTS_H} SELECT p_partkey, {', '.join(f'round(a{3 * i} * b{j} + a{3 * i + 1} * b{3 + j} + a{3 * i + 2} * b{6 + j}, 6) AS m{3 * i + j}' for i in range(3) for j in range(3))} FROM h")
+def composed_homographies(spark, sf):
+    a, b = parts_h()
+    return table(spark, sf, "part").select("p_partkey", *[r6(c).alias(f"m{k}") for k, c in enumerate(product(a, b))])
+
+
+INV_B = ["(b4 * b8 - b5 * b7)", "(b2 * b7 - b1 * b8)", "(b1 * b5 - b2 * b4)", "(b5 * b6 - b3 * b8)", "(b0 * b8 - b2 * b6)", "(b2 * b3 - b0 * b5)", "(b3 * b7 - b4 * b6)", "(b1 * b6 - b0 * b7)", "(b0 * b4 - b1 * b3)"]
+
+
+@query(f"WITH {PARTS_H}, t AS (SELECT p_partkey, {', '.join(f'({INV_B[3 * i]} * a{j} + {INV_B[3 * i + 1]} * a{3 + j} + {INV_B[3 * i + 2]} * a{6 + j}) / {INV_B[8]} AS t{3 * i + j}' for i in range(3) for j in range(3))} FROM h), q AS (SELECT p_partkey, (t0 * 300 + t1 * 200 + t2) / nullif(t6 * 300 + t7 * 200 + t8, 0) - 310 AS x, (t3 * 300 + t4 * 200 + t5) / nullif(t6 * 300 + t7 * 200 + t8, 0) - 190 AS y FROM t) SELECT p_partkey, round(sqrt(x * x + y * y), 6) AS err FROM q")
+def layout_residuals(spark, sf):
+    """How far a point of i lands from its partner in j under inverse(h_j) h_i, unguarded."""
+    a, b = parts_h()
+    f = lambda v: F.lit(float(v))
+    p = table(spark, sf, "part").withColumns({"xi": f(300), "yi": f(200), "xj": f(310), "yj": f(190)})
+    return all_residuals(p, a, b).select("p_partkey", r6(F.col("err")).alias("err"))
+
+
+@query(f"WITH {PARTS_H}, s AS (SELECT h.*, 0.25::DOUBLE + p_size * 0.01 AS s, 0.5::DOUBLE AS sa, 0.8::DOUBLE AS r FROM h JOIN part USING (p_partkey)) SELECT p_partkey, {', '.join(f'round(a{k} * s * r / sa, 6) AS m{k}' for k in (0, 1, 3, 4))}, round(a2 * r / sa, 6) AS m2, round(a5 * r / sa, 6) AS m5, round(a6 * s * 1e4, 6) AS m6, round(a7 * s * 1e4, 6) AS m7 FROM s")
+def render_frames(spark, sf):
+    """Work pixels of images of different scales to render pixels of the anchor: R / Sa H S."""
+    a, _ = parts_h()
+    m = to_render(a, 0.25 + F.col("p_size") * 0.01, F.lit(0.5), F.lit(0.8))
+    return table(spark, sf, "part").select("p_partkey", *[r6(m[k] * (1e4 if k > 5 else 1)).alias(f"m{k}") for k in range(8)])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_discount >= 0.04 AND l_quantity >= 20")
+def viable_modes(spark, sf):
+    i = table(spark, sf, "lineitem").where(viable(F.col("l_discount"), F.col("l_quantity"), min_inliers=20))
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(f"""WITH {TRADE}, p AS (SELECT a, b, n AS m, floor(n * disc * 8)::BIGINT AS k, CASE WHEN a % 11 = 0 THEN 'sliver' WHEN a % 7 <> 6 THEN 'ok' END AS fault, b / 100.0::DOUBLE AS overlap, disc * 5 AS ncc FROM trade)
+SELECT a, b, CASE WHEN m < 40 THEN 'loftr: only ' || m || ' confident matches' WHEN fault IS NULL THEN 'loftr: no model' WHEN fault <> 'ok' THEN 'loftr: ' || fault WHEN k < 40 THEN 'loftr: ' || k || ' inliers < 40' WHEN k / m < 0.1 THEN 'loftr: inlier ratio ' || printf('%.2f', k / m) || ' low' WHEN overlap < 0.04 THEN 'loftr: overlap ' || printf('%.3f', overlap) || ' low' WHEN ncc < 0.25 THEN 'loftr: ncc ' || printf('%.2f', ncc) || ' < 0.25' ELSE 'loftr' END AS reason FROM p""")
+def rescuer_gates(spark, sf):
+    t = trade(spark, sf).withColumn("k", F.floor(F.col("n") * F.col("disc") * 8))
+    fault = F.when(F.col("a") % 11 == 0, "sliver").when(F.col("a") % 7 != 6, "ok")
+    return t.select("a", "b", rescue_reason(F.col("n"), F.col("k"), fault, F.col("b") / F.lit(100.0), F.col("disc") * 5).alias("reason"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_discount * 10 >= 0.6 GROUP BY 1")
+def confident_matches(spark, sf):
+    i = table(spark, sf, "lineitem").withColumn("confidence", F.col("l_discount") * 10)
+    return confident(i).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+#: Nations as placed images (two in three), trade as pairs.
+PLACED = "l AS (SELECT n_nationkey::BIGINT AS idx FROM nation WHERE n_nationkey % 3 <> 0)"
+
+
+@query(f"WITH {TRADE}, {PLACED} SELECT t.a AS i, t.b AS j, t.n, t.a * 2.0::DOUBLE AS ti, t.b * 2.0::DOUBLE AS tj FROM trade t JOIN l x ON t.a = x.idx JOIN l y ON t.b = y.idx WHERE t.disc > 0.049 AND t.n >= 4")
+def scorable_pairs(spark, sf):
+    """Accepted pairs of four points and more whose ends are both placed, with the ends' homographies."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    layout = table(spark, sf, "nation").select(F.lit("s").alias("store"), F.col("n_nationkey").cast("long").alias("idx"), F.when(F.col("n_nationkey") % 3 != 0, F.array(one, zero, F.col("n_nationkey") * 2.0, zero, one, zero, zero, zero, one)).alias("h"))
+    pairs = trade(spark, sf).select(F.lit("s").alias("store"), F.col("a").alias("i"), F.col("b").alias("j"), "n", (F.col("disc") > 0.049).alias("ok"))
+    return scorable(pairs, layout, n_points=F.col("n")).select("i", "j", "n", F.col("h_i")[2].alias("ti"), F.col("h_j")[2].alias("tj"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_size::DOUBLE AS xi, p_retailprice AS yi, s_nationkey::DOUBLE AS xj, s_acctbal AS yj FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
+def gathered_keypoints(spark, sf):
+    """Matches (line items) with the places of their keypoints (parts and suppliers)."""
+    m = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    i = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("xi"), F.col("p_retailprice").alias("yi"))
+    j = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("double").alias("xj"), F.col("s_acctbal").alias("yj"))
+    return gathered(m, i, j, ["l_partkey"], ["l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "xi", "yi", "xj", "yj")
+
+
+@query(f"WITH {TRADE} SELECT a, b, CASE WHEN a % 4 = 1 THEN n * 10 ELSE n END AS n, CASE WHEN a % 4 = 1 THEN 'loftr' ELSE '' END AS reason FROM trade")
+def rescued_pairs(spark, sf):
+    t = trade(spark, sf).select("a", "b", "n", F.lit("").alias("reason"))
+    return replaced(t, t.where("a % 4 = 1").select("a", "b", (F.col("n") * 10).alias("n"), F.lit("loftr").alias("reason")), ["a", "b"])
+
+
+@query("SELECT l_returnflag AS layout, count(*) AS n, round(sum(l_quantity), 3) AS total FROM lineitem GROUP BY 1")
+def pooled_errors(spark, sf):
+    """Errors as an array a pair (an order's items), pooled again by layout; rows of one order and layout may be any number."""
+    i = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("layout"), "l_orderkey").agg(F.collect_list("l_quantity").alias("e"))
+    return pooled(i, "e", ["layout"]).groupBy("layout").agg(F.count("*").alias("n"), F.round(F.sum("err"), 3).alias("total"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, l_orderkey, avg(l_discount) AS ncc, sum(l_quantity) / 400 AS overlap FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) AS n_pairs_scored, round(avg(ncc), 6) AS mean_overlap_ncc, round(min(ncc), 6) AS min_overlap_ncc, round(avg(overlap), 6) AS mean_overlap_frac FROM p GROUP BY 1""")
+def pair_weighted_scores(spark, sf):
+    """Correlation and overlap of each pair under the layout, then over pairs, which weigh the same."""
+    p = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.avg("l_discount").alias("ncc"), (F.sum("l_quantity") / 400).alias("overlap"))
+    s = scores_of_pairs(p, ["l_returnflag"])
+    return s.select("l_returnflag", "n_pairs_scored", *[r6(c).alias(c) for c in ("mean_overlap_ncc", "min_overlap_ncc", "mean_overlap_frac")])
+
+
+@query("""WITH e AS (SELECT l_returnflag, l_orderkey, l_quantity * l_discount AS x FROM lineitem WHERE l_orderkey % 3 = 0) SELECT l_returnflag, l_orderkey, count(x) AS n, round(sqrt(avg(x * x)), 6) AS rms, round(quantile_cont(x, 0.5), 6) AS median FROM e GROUP BY ALL HAVING count(x) >= 2""")
+def pairwise_metrics(spark, sf):
+    """Residuals of each pair of an orders' third: an aggregate a pair."""
+    e = table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select("l_returnflag", "l_orderkey", (F.col("l_quantity") * F.col("l_discount")).alias("x"))
+    m = residual_metrics(e, ["l_returnflag", "l_orderkey"], "x").where("n >= 2")
+    return m.select("l_returnflag", "l_orderkey", "n", r6("rms").alias("rms"), r6("median").alias("median"))
+
+
+EVENT_PX = "p AS (SELECT event_type AS layer, user_id::BIGINT AS x, floor(value / 5)::BIGINT AS y, event_id FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)"
+
+
+def event_px(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events").where("user_id is not null and value is not null")
+    return e.select(F.col("event_type").alias("layer"), F.col("user_id").cast("long").alias("x"), F.floor(F.col("value") / 5).alias("y"), "event_id")
+
+
+@query(f"WITH {EVENT_PX} SELECT layer, round(count(DISTINCT (x, y)) / ((SELECT max(x) - min(x) + 1 FROM p) * (SELECT max(y) - min(y) + 1 FROM p))::DOUBLE, 9) AS overlap FROM p GROUP BY 1")
+def overlap_share(spark, sf):
+    """Pixels of a mask over the frame's pixels."""
+    p = event_px(spark, sf)
+    frame = p.agg((F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+    n = p.select("layer", "x", "y").distinct().groupBy("layer").agg(F.count("*").alias("px"))
+    return n.join(F.broadcast(frame)).select("layer", F.round(overlap_fraction(F.col("px"), F.col("w"), F.col("h")), 9).alias("overlap"))  # the frame is one row
+
+
+@query(f"WITH {EVENT_PX}, c AS (SELECT x, y, max(CASE WHEN layer = 'click' THEN 1 ELSE 0 END) AS mask FROM p GROUP BY x, y) SELECT count(*) AS canvas_px, round(avg(CASE WHEN mask > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage FROM c")
+def canvas_coverage(spark, sf):
+    c = event_px(spark, sf).groupBy("x", "y").agg(F.max((F.col("layer") == "click").cast("int")).alias("mask"))
+    return c.agg(F.count("*").alias("canvas_px"), r6(coverage(F.col("mask"))).alias("coverage"))
+
+
+@query(f"""WITH {EVENT_PX}, b AS (SELECT layer, min(CASE WHEN y >= 10 AND layer <> 'view' THEN x END) AS x0, max(CASE WHEN y >= 10 AND layer <> 'view' THEN x END) AS x1, min(CASE WHEN y >= 10 AND layer <> 'view' THEN y END) AS y0, max(CASE WHEN y >= 10 AND layer <> 'view' THEN y END) AS y1 FROM p GROUP BY 1)
+SELECT layer, greatest(0, coalesce(x0 - 2, 0))::BIGINT AS x0, least(100000, coalesce(x1 + 3, 100000))::BIGINT AS x1, greatest(0, coalesce(y0 - 2, 0))::BIGINT AS y0, least(1000, coalesce(y1 + 3, 1000))::BIGINT AS y1 FROM b""")
+def content_boxes(spark, sf):
+    """Boxes of non-black pixels, two wider, inside the picture; a picture that is all black stays whole."""
+    lit = F.when((F.col("y") >= 10) & (F.col("layer") != "view"), 200).otherwise(0)
+    return content_box(event_px(spark, sf), ["layer"], F.col("x"), F.col("y"), lit, F.lit(100000).cast("long"), F.lit(1000).cast("long"), 2)
+
+
+WINDOWS = f"""p AS (SELECT l_orderkey % 97 AS wx, l_linenumber AS wy, CASE WHEN l_tax > 0.005 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c, l_discount AS x, l_extendedprice AS y FROM lineitem),
+s AS (SELECT wx, wy, avg(c) AS cover, count(*)::DOUBLE AS n, sum(x * y) - sum(x) * sum(y) / count(*) AS c, sum(x * x) - sum(x) * sum(x) / count(*) AS vx, sum(y * y) - sum(y) * sum(y) / count(*) AS vy FROM p GROUP BY ALL),
+w AS (SELECT wx, wy, CASE WHEN cover >= 0.9 THEN {CORR.format(least=2)} END AS ncc FROM s)"""
+
+
+def windows(spark, sf) -> DataFrame:
+    i = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).alias("wx"), F.col("l_linenumber").alias("wy"), (F.col("l_tax") > 0.005).alias("on"), "l_discount", "l_extendedprice")
+    return local_agreement(i, ["wx", "wy"], F.col("on"), F.col("l_discount"), F.col("l_extendedprice"))
+
+
+@query(f"WITH {WINDOWS} SELECT wx, wy, round(ncc, 5) AS ncc FROM w")
+def covered_windows(spark, sf):
+    """Local correlation where a window is covered by nine tenths; null elsewhere."""
+    return windows(spark, sf).select("wx", "wy", F.round("ncc", 5).alias("ncc"))
+
+
+@query(f"WITH {WINDOWS} SELECT wy, count(ncc) AS windows, round(quantile_cont(ncc, 0.5), 5) AS median, round(quantile_cont(ncc, 0.1), 5) AS p10, round(quantile_cont(ncc, 0.9), 5) AS p90, round(avg(CASE WHEN ncc IS NOT NULL THEN CASE WHEN ncc > 0.4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END), 6) AS share_good FROM w GROUP BY wy")
+def local_summaries(spark, sf):
+    s = local_summary(windows(spark, sf), ["wy"])
+    return s.select("wy", "windows", *[F.round(c, 5).alias(c) for c in ("median", "p10", "p90")], r6("share_good").alias("share_good"))
+
+
+#: Modes of pairs (orders): plausible by tax; an implausible one has correlation 0.
+DIAGNOSED = f"""{MODES}, d AS (SELECT l_orderkey, mode, l_quantity AS n, l_tax >= 0.02 AS plausible, CASE WHEN l_tax >= 0.02 THEN round(l_discount * 10 - 0.3, 6) ELSE 0.0::DOUBLE END AS ncc, CASE WHEN l_tax >= 0.02 THEN l_discount ELSE 0.0::DOUBLE END AS overlap FROM m WHERE l_quantity >= 25)"""
+
+
+def diagnosed(spark, sf) -> DataFrame:
+    m = modes(spark, sf).select("l_orderkey", "mode", F.col("l_quantity").alias("n"), "l_tax", F.round(F.col("l_discount") * 10 - 0.3, 6).alias("ncc"), F.col("l_discount").alias("overlap"))
+    return enumerated(m, F.col("l_tax") >= 0.02, n_inliers="n")
+
+
+@query(f"WITH {DIAGNOSED} SELECT l_orderkey, mode, n, plausible, ncc, overlap FROM d")
+def enumerated_modes(spark, sf):
+    """All modes of 25 inliers, implausible ones as 0."""
+    return diagnosed(spark, sf).select("l_orderkey", "mode", "n", "plausible", "ncc", "overlap")
+
+
+@query(f"""WITH {DIAGNOSED}, r AS (SELECT *, min(mode) OVER (PARTITION BY l_orderkey) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY ncc DESC, mode) AS k FROM d)
+SELECT l_orderkey, mode, CASE WHEN mode = f THEN ' [top-inliers]' ELSE '' END || CASE WHEN k = 1 AND ncc > 0.25 THEN ' [best-ncc]' ELSE '' END AS mark FROM r""")
+def mode_listing(spark, sf):
+    return marked_modes(diagnosed(spark, sf), ["l_orderkey"], "mode", "ncc").select("l_orderkey", "mode", "mark")
+
+
+@query(f"""WITH {DIAGNOSED}, g AS (SELECT l_orderkey, arg_min(ncc, mode) AS c0, arg_min(n, mode) AS n0, min(mode) AS m0, max(ncc) AS c1, bool_or(plausible) AS ok FROM d GROUP BY 1), h AS (SELECT g.*, (SELECT min(d.mode) FROM d WHERE d.l_orderkey = g.l_orderkey AND d.ncc = g.c1) AS m1 FROM g WHERE ok),
+p AS (SELECT l_orderkey, n0 AS first_inliers, c1 - c0 AS gap, m1 <> m0 AND c1 - c0 > 0.05 AS split FROM h)
+SELECT l_orderkey, first_inliers, round(gap, 6) AS gap, CASE WHEN split THEN 'inliers and pixels disagree' ELSE 'strongest pair' END AS why FROM p ORDER BY split DESC, CASE WHEN split THEN gap END DESC NULLS LAST, first_inliers DESC, l_orderkey LIMIT 1""")
+def demo_pairs(spark, sf):
+    """The pair that shows best how pixels overrule inliers."""
+    d = demo_pair(diagnosed(spark, sf), ["l_orderkey"], "mode", "ncc", "n")
+    return d.select("l_orderkey", "first_inliers", r6("gap").alias("gap"), "why")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('5:' || o_orderkey::VARCHAR), o_orderkey LIMIT 200")
+def sampled_matches(spark, sf):
+    """200 matches to draw, without replacement."""
+    return sampled(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 200, F.col("o_orderkey"), 5)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE substr(p_name, 1, 8) = (SELECT min(substr(p_name, 1, 8)) FROM part)")
+def short_names(spark, sf):
+    """Look-up by the short name that reports give."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    return by_short_name(p, p.agg(F.min(F.substring("p_name", 1, 8))).first()[0], "p_name")
+
+
+@query("SELECT p_partkey, round(CASE WHEN (p_partkey % 5) * 40 > 0 THEN (p_size * 30 * 40)::DOUBLE / ((p_partkey % 5) * 40)::DOUBLE END, 2) AS ratio FROM part")
+def area_ratios(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", area_ratio(F.col("p_size") * 30, F.lit(40), F.col("p_partkey") % 5, F.lit(40)).alias("ratio"))

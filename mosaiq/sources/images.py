@@ -35,8 +35,50 @@ def _plain(path) -> F.Column:
     return F.regexp_replace(path, r"^file:/+", "file:/")
 
 
+def orientation(head: bytes | None) -> int:
+    """The EXIF orientation (1 to 8) that a JPEG's first bytes name; 1 if they name none."""
+    if not head or head[:2] != b"\xff\xd8":
+        return 1
+    at = 2
+    while at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] not in (0xDA, 0xD9):
+        size = int.from_bytes(head[at + 2 : at + 4], "big")
+        if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            t = head[at + 10 : at + 2 + size]
+            order = "little" if t[:2] == b"II" else "big"
+            n = lambda o, k: int.from_bytes(t[o : o + k], order)  # noqa: E731, B023
+            first = n(4, 4)
+            for e in range(first + 2, first + 2 + 12 * n(first, 2), 12):
+                if n(e, 2) == 0x0112 and 1 <= n(e + 8, 2) <= 8:
+                    return n(e + 8, 2)
+            return 1
+        at += 2 + size
+    return 1
+
+
+def upright(a: np.ndarray, turn: int) -> np.ndarray:
+    """A picture as its EXIF orientation wants it shown."""
+    if turn in (5, 6, 7, 8):
+        a = a.swapaxes(0, 1)
+    if turn in (2, 3, 6, 7):
+        a = a[:, ::-1]
+    if turn in (3, 4, 7, 8):
+        a = a[::-1]
+    return a
+
+
+def by_short_name(images: DataFrame, short: str, name: str = "name") -> DataFrame:
+    """The images whose names begin with the eight (or fewer) letters of a short name, which is how reports name them."""
+    return images.where(F.substring(name, 1, 8) == short)
+
+
+def preview(bgr: np.ndarray, most: int = 1600) -> np.ndarray:
+    """A picture for display: an area average whose longest side is at most `most`."""
+    h, w, s = fitted(bgr.shape[0], bgr.shape[1], most)
+    return bgr if s == 1 else np.clip(np.rint(resample(bgr, h, w)), 0, 255).astype(np.uint8)
+
+
 def read_images(spark: SparkSession, path: str, many: bool = False, on_bad: str = "fail") -> DataFrame:
-    """store, idx, path, name, full_h, full_w, bgr (row-major bytes), reason.
+    """store, idx, path, name, full_h, full_w, bgr (row-major bytes), reason. Pictures stand as their EXIF orientation says.
 
     on_bad: a file that can't be decoded ends the job ('fail'), or stays as a row without
     pixels that names the reason ('report'), or goes ('skip'). idx counts the files that stay.
@@ -46,7 +88,9 @@ def read_images(spark: SparkSession, path: str, many: bool = False, on_bad: str
     names = list_images(spark, path, many)
     where = f"{path.rstrip('/')}/store_*/images" if many else path
     raw = spark.read.format("image").option("pathGlobFilter", GLOB).load(where).select(_plain("image.origin").alias("_at"), "image.height", "image.width", "image.nChannels", "image.data")
-    rows = names.withColumn("_at", _plain("path")).join(raw, "_at", "left").drop("_at")
+    # the beginnings of files: an EXIF block is within the first 64 KB
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(where).select(_plain("path").alias("_at"), F.substring("content", 1, 1 << 17).alias("head"))
+    rows = names.withColumn("_at", _plain("path")).join(raw, "_at", "left").join(heads, "_at", "left").drop("_at")
 
     def three(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
@@ -61,7 +105,11 @@ def read_images(spark: SparkSession, path: str, many: bool = False, on_bad: str
                 if ok and r.nChannels != 3:
                     a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
                     px = (np.repeat(a, 3, 2) if r.nChannels == 1 else a[..., :3]).tobytes()
-                out.append((r.store, r.idx, r.path, r.name, r.height if ok else None, r.width if ok else None, px, None if ok else "cannot be decoded"))
+                hh, ww = r.height, r.width
+                if ok and (turn := orientation(r.head)) > 1:
+                    a = np.ascontiguousarray(upright(np.frombuffer(px, np.uint8).reshape(hh, ww, 3), turn))
+                    hh, ww, px = a.shape[0], a.shape[1], a.tobytes()
+                out.append((r.store, r.idx, r.path, r.name, hh if ok else None, ww if ok else None, px, None if ok else "cannot be decoded"))
             yield pd.DataFrame(out, columns=["store", "idx", "path", "name", "full_h", "full_w", "bgr", "reason"]).astype({"full_h": "Int32", "full_w": "Int32"})
 
     out = rows.mapInPandas(three, "store string, idx int, path string, name string, full_h int, full_w int, bgr binary, reason string")
@@ -149,7 +197,7 @@ def write_image(spark: SparkSession, path: str, bgr: np.ndarray, quality: int =
     write_bytes(spark, path, encode(spark, bgr, path.rsplit(".", 1)[-1].lower(), quality))
 
 
-def write_report(spark: SparkSession, path: str, report: dict) -> None:
+def write_report(spark: SparkSession, path: str, report: dict | list) -> None:
     write_bytes(spark, path, json.dumps(report, indent=2, default=str).encode())
 
 
