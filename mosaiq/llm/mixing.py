@@ -78,7 +78,7 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow)
     s = s.withColumn("hi", F.floor(F.sum("need").over(upto) / F.lit(float(max(n, 1))) * UNIT)).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0)))
     s = staged(s.select("sid", "need", "lo", "hi"), "shares")
-    chunk = F.shiftright("t", 16)
+    chunk = F.shiftright("t", 12)
     points = _points(s, n, 0, n)
     have = points.groupBy("sid").agg(F.count("*").alias("have"))
     late = staged(s.join(have, "sid", "left").where("need > coalesce(have, 0)").select(s.columns), "late_sources")
