@@ -22,6 +22,8 @@ Round 4, the threshold: of what is left, documents of one rank of 32 bytes are p
   together, and each window is told by that rank, its place and its other 18 bytes; those
   that a smaller document has too are repeats.
 
+Of documents that are copies as wholes, the one of the smallest id takes part.
+
 Tasks stream through sorted pairs and hold one position's document at a time, never all
 that share a rank. Only round 4 holds the windows of one rank; of a rank in more than
 CLASS positions they become rows that Spark sorts.
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.shared import back, keyed, mixed, remove, stage, text_bytes
+from mosaiq.llm.shared import FEW, back, keyed, met, mixed, remove, stage, staged, text_bytes
 
 SEED, HALF = 16, 32
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -321,25 +323,21 @@ def _round_4(length: int, most: int):
     return run
 
 
-def _places(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in blobs])).astype(np.int64) if blobs else np.zeros(0, np.int64)
-
-
-def _valued(rows: list | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places, sorted, and their values, (n, width). Rows of one id and text share a list, in which each place comes once a row: one stands for all."""
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, width), np.int64)
-    pos = np.concatenate([np.frombuffer(r["pos"], "<u4") for r in rows]).astype(np.int64)
-    val = np.concatenate([np.frombuffer(r["val"], "<i8").reshape(-1, width) for r in rows])
-    pos, first = np.unique(pos, return_index=True)
-    return pos, val[first]
+def _listed(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of (pos, val): the row of each place, the place, and its values (n, width), by row and place.
 
-
-def _located(rows: list, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch's texts: places in the bytes of all, their texts' numbers, and values."""
-    each = [_valued(r, width) for r in rows]
-    row = np.repeat(np.arange(len(each)), [len(p) for p, _ in each])
-    return np.concatenate([p for p, _ in each]) + begins[row], row, np.concatenate([v for _, v in each])
+    Rows of one id and text share a list, in which each place comes once a row: one stands for all.
+    """
+    each, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
+    blobs, ends = text_bytes(each.field("pos"))
+    pos = blobs.view("<u4").astype(np.int64)
+    values = text_bytes(each.field("val"))[0].view("<i8").reshape(len(pos), width) if width else np.zeros((len(pos), 0), np.int64)
+    n = np.diff(ends[np.r_[0, np.cumsum(sizes)]] // 4)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])][: len(pos)]
+    return row[new], pos[new], values[order[new]]
 
 
 def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
@@ -357,11 +355,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
     """
     assert 48 <= length <= 128
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+    # of whole copies (by 128 bits) the smallest id stands for all; the others are repeats from end to end
+    rows = keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")).withColumn("mark2", F.xxhash64(F.lit(1), "text"))
+    copied = rows.where(F.octet_length("text") >= length).groupBy("mark", "mark2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copied = staged(copied, "copied")
+    rows = rows.join(F.broadcast(copied), ["mark", "mark2"], "left") if copied.count() <= FEW else met(rows, ["mark", "mark2"], copied, rows.count())
+    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    copies = rows.where(copy).select("id", F.octet_length("text").cast("long").alias("n"))
+    copies = copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(F.array(F.lit(0).cast("long"), "n")).alias("spans"), F.lit(b"").alias("kept"))
+    marked = rows.where(~copy).select("id", "mark", "text")  # `mark` tells rows of one id apart
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(MOST, max(64, -(-total // BUCKET)))
     over = length - HALF
-    marked = rows.withColumn("mark", F.xxhash64("text"))  # tells rows of one id apart
 
     def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, "id")
@@ -387,8 +392,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
         for batch in batches:
             for part, data, ends in _work(batch):
                 w, begins = words_at(data), np.r_[0, ends[:-1]]
-                at, row, rank = _located(part.column("ranked").to_pylist(), begins, 1)
-                rank, pos, o = rank[:, 0] * 2, (at - begins[row]).astype(np.int32), np.zeros((2, len(at)), np.uint64)
+                row, pos, rank = _listed(part.column("ranked"), 1)
+                at, rank, pos, o = pos + begins[row], rank[:, 0] * 2, pos.astype(np.int32), np.zeros((2, len(pos)), np.uint64)
                 whole = (at - SEED - over >= begins[row]) & (at + HALF + over <= ends[row])
                 x, h = at[whole], np.stack([np.full(whole.sum(), m) for m in (M1, M2)])
                 for k in [*range(0, over - 7, 8), over - 8]:
@@ -406,15 +411,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
 
     def pair_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
-            for i, m, left, right in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "left", "right")), strict=True):
-                (pl, vl), (pr, vr) = _valued(left, 3), _valued(right, 3)
-                pos, kl, kr = np.intersect1d(pl, pr, assume_unique=True, return_indices=True)
-                vr = vr[kr]
-                k = vr[:, 1] != 0
-                held.append((vl[kl][k, 0], vr[k, 0], vr[k, 1], vr[k, 2], np.full(k.sum(), i), np.full(k.sum(), m), pos[k].astype(np.int32)))
-            if held:
-                yield _batch(["a", "b", "o1", "o2", "id", "mark", "pos"], *map(np.concatenate, zip(*held, strict=True)))
+            if batch.num_rows:
+                (rl, pl, vl), (rr, pr, vr) = (_listed(batch.column(c), 3) for c in ("left", "right"))
+                _, kl, kr = np.intersect1d(rl << 32 | pl, rr << 32 | pr, assume_unique=True, return_indices=True)
+                whole = vr[kr, 1] != 0
+                kl, kr = kl[whole], kr[whole]
+                yield _batch(["a", "b", "o1", "o2", "id", "mark", "pos"], vl[kl, 0], vr[kr, 0], vr[kr, 1], vr[kr, 2], batch.column("id").to_numpy()[rr[kr]], batch.column("mark").to_numpy()[rr[kr]], pr[kr].astype(np.int32))
 
     three = sorted_by(two.mapInArrow(pair_all, "a long, b long, o1 long, o2 long, id long, mark long, pos int"), "a", "b", "o1", "o2").mapInArrow(_round_3, PLACES)
     three, _ = gathered(three, "repeats", repeat=REPEAT)
@@ -425,12 +427,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
             for part, data, ends in _work(batch):
                 begins = np.r_[0, ends[:-1]]
                 at, lo, hi = anchors(words_at(data), ends, length)
-                gone = np.isin(at, np.concatenate([_places([x["pos"] for x in u or ()]) + s for u, s in zip(part.column("repeat").to_pylist(), begins, strict=True)]))
+                row, pos, _ = _listed(part.column("repeat"), 0)
+                gone = np.isin(at, pos + begins[row])
                 at, lo, hi = at[~gone], lo[~gone], hi[~gone]
                 padded = np.concatenate([np.zeros(over, np.uint8), data, np.zeros(HALF + over, np.uint8)])
                 # to the right of the anchor: windows that start `over` or fewer bytes before it; the others cover the 32 bytes from 16 before it
                 for c, back_ in (("right", 0), ("left", SEED)):
-                    x, row, val = _located(part.column(c).to_pylist(), begins, 3)
+                    row, x, val = _listed(part.column(c), 3)
+                    x = x + begins[row]
                     k = np.searchsorted(at, x)
                     k[k == len(at)] = 0
                     ok = at[k] == x if len(at) else np.zeros(len(x), bool)
@@ -453,9 +457,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, m, big in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "big")), strict=True):
-                pos, val = _valued(big, 1 + words)
-                yield _batch(["r", *names, "id", "mark", "pos"], *val.T, np.full(len(pos), i), np.full(len(pos), m), pos.astype(np.int32))
+            if batch.num_rows:
+                row, pos, val = _listed(batch.column("big"), 1 + words)
+                yield _batch(["r", *names, "id", "mark", "pos"], *val.T, batch.column("id").to_numpy()[row], batch.column("mark").to_numpy()[row], pos.astype(np.int32))
 
     big = four.where(F.size("big") > 0)
     starts_ = four.select("id", "mark", "start")
@@ -468,15 +472,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
         for batch in batches:
             for part, data, ends in _work(batch):
                 begins = np.concatenate([[0], ends[:-1]])
-                repeat, start = ([[x["pos"] for x in u or ()] for u in part.column(c).to_pylist()] for c in ("repeat", "start"))
                 gone = np.zeros(len(data) + 1, np.int32)
-                if any(repeat):
+                row, pos, _ = _listed(part.column("repeat"), 0)
+                if len(pos):
                     at, lo, hi = anchors(words_at(data), ends, length)
-                    want = np.concatenate([_places(u) + s for u, s in zip(repeat, begins, strict=True)])
-                    k = np.isin(at, want)
+                    k = np.isin(at, pos + begins[row])
                     np.add.at(gone, lo[k], 1)
                     np.add.at(gone, hi[k] + length, -1)
-                s = np.concatenate([_places(u) + b for u, b in zip(start, begins, strict=True)]).astype(np.int64)
+                row, pos, _ = _listed(part.column("start"), 0)
+                s = pos + begins[row]
                 np.add.at(gone, s, 1)
                 np.add.at(gone, s + length, -1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -492,7 +496,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
     places = three.join(starts_, ["id", "mark"], "full")
     joined = marked.join(places, ["id", "mark"], "left").select("id", "text", "repeat", "start")
     out = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
-    return out.select(back(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
+    return out.unionByName(copies).select(back(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
