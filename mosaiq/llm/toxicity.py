@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 12_000, id_col: str
 
     n = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
     counts = np.zeros((2, 1 << BITS), np.int64)
-    for r in labelled.mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 4").toLocalIterator():  # a row a bucket at most
-        counts[:, r["bucket"]] = r["pos"], r["neg"]
+    sums = labelled.mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 4").toArrow()  # a row a bucket at most
+    counts[:, sums["bucket"].to_numpy()] = sums["pos"].to_numpy(), sums["neg"].to_numpy()
     buckets = np.sort(telling(counts[0], counts[1], n.get(1, 0), n.get(0, 0), options.get("columns", 4096)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
