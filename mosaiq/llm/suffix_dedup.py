@@ -223,13 +223,15 @@ def _round_1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.end()
 
 
-def _round_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, base = _Out(), _number()
-    for c in Run(["r", "a", "b"]).shared(batches):
-        right = (c["r"] & 1).astype(bool)
-        for kind, k in ((LEFT, ~right), (RIGHT, right)):
-            yield from out.add(kind, c["id"][k], c["mark"][k], c["pos"][k], c["run"][k] + base, c["o1"][k], c["o2"][k])
-    yield from out.end()
+def _round_2(side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranks of the two sides differ: they are odd to the right."""
+        out, base = _Out(), _number()
+        for c in Run(["r", "a", "b"]).shared(batches):
+            yield from out.add(side, c["id"], c["mark"], c["pos"], (c["run"] + base) * 2 + (side == RIGHT), *((c["o1"], c["o2"]) if side == RIGHT else ()))
+        yield from out.end()
+
+    return run
 
 
 def _round_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,14 +407,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                     y = y[ok]
                     yield _batch(["r", "a", "b", "id", "mark", "pos", "o1", "o2"], rank[ok] + side, w[y].view(np.int64), w[y + 8].view(np.int64), ids[ok], marks[ok], pos[ok], *(o[:, ok] if side else np.zeros((2, ok.sum()), np.int64)))
 
-    two = marked.join(one, ["id", "mark"]).select("id", "mark", "text", "ranked").mapInArrow(pair_32, "r long, a long, b long, id long, mark long, pos int, o1 long, o2 long")
-    two, older = gathered(sorted_by(two, "r", "a", "b").mapInArrow(_round_2, PLACES), "ranks_of_32", left=LEFT, right=RIGHT)
+    # staged, and one side after the other, so that texts, pairs and ranks aren't all on disk together
+    pairs, pairs_at = stage(marked.join(one, ["id", "mark"]).select("id", "mark", "text", "ranked").mapInArrow(pair_32, "r long, a long, b long, id long, mark long, pos int, o1 long, o2 long"), "pairs")
     remove(spark, old)
+    right, right_at = gathered(sorted_by(pairs.where("r % 2 = 1"), "r", "a", "b").mapInArrow(_round_2(RIGHT), PLACES), "right_ranks", right=RIGHT)
+    left, left_at = gathered(sorted_by(pairs.where("r % 2 = 0"), "r", "a", "b").mapInArrow(_round_2(LEFT), PLACES), "left_ranks", left=LEFT)
+    remove(spark, pairs_at)
+    two = left.join(right, ["id", "mark"], "full")
 
     def pair_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                (rl, pl, vl), (rr, pr, vr) = (_listed(batch.column(c), 3) for c in ("left", "right"))
+                (rl, pl, vl), (rr, pr, vr) = _listed(batch.column("left"), 1), _listed(batch.column("right"), 3)
                 _, kl, kr = np.intersect1d(rl << 32 | pl, rr << 32 | pr, assume_unique=True, return_indices=True)
                 whole = vr[kr, 1] != 0
                 kl, kr = kl[whole], kr[whole]
@@ -433,7 +439,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                 padded = np.concatenate([np.zeros(over, np.uint8), data, np.zeros(HALF + over, np.uint8)])
                 # to the right of the anchor: windows that start `over` or fewer bytes before it; the others cover the 32 bytes from 16 before it
                 for c, back_ in (("right", 0), ("left", SEED)):
-                    row, x, val = _listed(part.column(c), 3)
+                    row, x, val = _listed(part.column(c), 3 if c == "right" else 1)
                     x = x + begins[row]
                     k = np.searchsorted(at, x)
                     k[k == len(at)] = 0
@@ -447,10 +453,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                         near = padded[start[:, None] + np.r_[np.arange(over), over + HALF + np.arange(over)]]
                         yield _batch(["r", "least", "most", "sides", "id", "mark", "pos"], val[:, 0], least.astype(np.int32), most.astype(np.int32), [b.tobytes() for b in near], part.column("id").to_numpy()[row], part.column("mark").to_numpy()[row], (start - begins[row]).astype(np.int32))
 
-    left = two.join(three, ["id", "mark"], "left")
-    four = marked.join(left, ["id", "mark"]).select("id", "mark", "text", "left", "right", "repeat").mapInArrow(positions, "r long, least int, most int, sides binary, id long, mark long, pos int")
+    four = marked.join(two.join(three, ["id", "mark"], "left"), ["id", "mark"]).select("id", "mark", "text", "left", "right", "repeat").mapInArrow(positions, "r long, least int, most int, sides binary, id long, mark long, pos int")
     four, _ = gathered(sorted_by(four, "r").mapInArrow(_round_4(length, most), PLACES), "starts", start=START, big=BIG)
-    remove(spark, older)
+    remove(spark, left_at)
+    remove(spark, right_at)
 
     words = -(-(over + 1) // 8)
     names = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", "m"][:words]
