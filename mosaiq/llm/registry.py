@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mosaiq.llm.filter_audit import OP11_SQL, op11_filter_audit
 from mosaiq.llm.line_dedup import OP8_SQL, op8_line_dedup
 from mosaiq.llm.mixing import OP1_SQL, op1_mixing
 from mosaiq.llm.ngram_join import op3_ngram_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_filter_audit": op11_filter_audit,
 }
-SQL = {"op1_mixing": OP1_SQL, "op7_vector_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op7_vector_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
