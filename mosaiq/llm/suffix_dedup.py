@@ -22,7 +22,8 @@ Round 4, the threshold: of what is left, documents of one rank of 32 bytes are p
   together, and each window is told by that rank, its place and its other 18 bytes; those
   that a smaller document has too are repeats.
 
-Of documents that are copies as wholes, the one of the smallest id takes part.
+Of documents that are copies as wholes, the one of the smallest id takes part; of rows
+alike in id and text one takes part, and its result is given for each.
 
 Tasks stream through sorted pairs and hold one position's document at a time, never all
 that share a rank. Only round 4 holds the windows of one rank; of a rank in more than
@@ -45,6 +46,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WORK, BUCKET, MOST = 1 << 20, 16 << 20, 16_384
 #: Positions of one rank whose windows are compared in memory at most; rows that are worked on at once.
 CLASS, CHUNK = 50_000, 1 << 16
+#: Rows of a run of one document id that are held back at most.
+PENDING = 1 << 20
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -165,8 +168,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 class Run:
     """Runs of equal keys in rows that come sorted by keys and id: streams through them, of any length.
 
-    shared(): the rows of runs in two documents or more, with the run's number. later():
-    the rows of larger documents than the run's first.
+    shared(): the rows of runs in two documents or more, with the run's number; runs of
+    more than PENDING rows of one id pass too, so that none is held (a later round drops
+    them: ranks of one id alone never make a repeat). later(): the rows of larger documents
+    than the run's first.
     """
 
     def __init__(self, keys: list[str]):
@@ -207,6 +212,10 @@ class Run:
             if not many[top]:  # of one document so far
                 self.pending.append({k: v[run == top] for k, v in c.items()})
             self.first, self.many, self.number = first[top], many[top], self.number + int(top)
+            if sum(len(p["id"]) for p in self.pending) > PENDING:
+                for p in self.pending:
+                    yield p | {"run": np.full(len(p["id"]), self.number)}
+                self.pending, self.many = [], True
 
 
 def _number() -> int:
@@ -326,10 +335,7 @@ def _round_4(length: int, most: int):
 
 
 def _listed(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a column of lists of (pos, val): the row of each place, the place, and its values (n, width), by row and place.
-
-    Rows of one id and text share a list, in which each place comes once a row: one stands for all.
-    """
+    """Of a column of lists of (pos, val): the row of each place, the place, and its values (n, width), by row and place."""
     each, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
     blobs, ends = text_bytes(each.field("pos"))
     pos = blobs.view("<u4").astype(np.int64)
@@ -346,26 +352,44 @@ def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
+def _with(rows: DataFrame, keys: list[str], table: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of a staged table by keys: broadcast where it is small, else no task gets all rows of a key."""
+    return rows.join(F.broadcast(table), keys, "left") if table.count() <= FEW else met(rows, keys, table, total)
+
+
 def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of begin, end), kept (binary).
 
     A byte goes if a string of `length` (48 to 128) bytes over it also starts in a document
     of smaller id; what stays may not be valid UTF-8. Null and empty texts have no bytes;
     shorter texts lose nothing. Of rows that share an id none is smaller; each keeps its own
-    result. Null ids come last. An empty table gives no rows. most: positions of one rank
+    result, worked out once for rows alike in id and text. Null ids come last. An empty table gives no rows. most: positions of one rank
     whose windows are compared in memory.
     """
     assert 48 <= length <= 128
     spark = docs.sparkSession
     # of whole copies (by 128 bits) the smallest id stands for all; the others are repeats from end to end
     rows = keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")).withColumn("mark2", F.xxhash64(F.lit(1), "text"))
-    copied = rows.where(F.octet_length("text") >= length).groupBy("mark", "mark2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copied = staged(copied, "copied")
-    rows = rows.join(F.broadcast(copied), ["mark", "mark2"], "left") if copied.count() <= FEW else met(rows, ["mark", "mark2"], copied, rows.count())
+    keys = staged(rows.select("id", "mark", "mark2", (F.octet_length("text") >= length).alias("long")), "keys")
+    copied = staged(keys.where("long").groupBy("mark", "mark2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    # rows alike in id and text: one stands for all of them until the end
+    alike = staged(keys.groupBy("id", "mark", "mark2").agg(F.count("*").alias("n")).where("n > 1"), "alike")
+    repeats = alike.count()
+    n_rows = keys.count()
+    rows = _with(rows, ["mark", "mark2"], copied, n_rows)
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     copies = rows.where(copy).select("id", F.octet_length("text").cast("long").alias("n"))
     copies = copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.array(F.array(F.lit(0).cast("long"), "n")).alias("spans"), F.lit(b"").alias("kept"))
-    marked = rows.where(~copy).select("id", "mark", "text")  # `mark` tells rows of one id apart
+    marked = rows.where(~copy).select("id", "mark", "mark2", "text").withColumn("n", F.lit(1).cast("long"))  # `mark` tells rows of one id apart
+    if repeats:
+        held = _with(marked.drop("n"), ["id", "mark", "mark2"], alike, n_rows)
+        single = held.where("n is null").withColumn("n", F.lit(1).cast("long"))
+        marked = staged(single.unionByName(held.where("n > 1").groupBy("id", "mark", "mark2").agg(F.any_value("text").alias("text"), F.any_value("n").alias("n"))), "distinct_rows")
+    # different texts of one id and one mark are told apart by the other half of the 128 bits
+    clash = staged(keys.groupBy("id", "mark").agg(F.min("mark2").alias("least"), F.max("mark2").alias("most")).where("least < most").select("id", "mark", F.lit(True).alias("clash")), "clashes")
+    if clash.limit(1).count():
+        marked = _with(marked, ["id", "mark"], clash, n_rows).withColumn("mark", F.when(F.col("clash"), F.xxhash64("mark2", "mark")).otherwise(F.col("mark"))).drop("clash")
+    marked = marked.select("id", "mark", "text", "n")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(MOST, max(64, -(-total // BUCKET)))
     over = length - HALF
@@ -497,11 +521,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                     out.append((int(b - a), int(g.sum()), len(edges) // 2, edges.reshape(-1, 2).tolist(), data[a:b][~g].tobytes()))
                 cols = zip(*out, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     places = three.join(starts_, ["id", "mark"], "full")
-    joined = marked.join(places, ["id", "mark"], "left").select("id", "text", "repeat", "start")
-    out = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    joined = marked.join(places, ["id", "mark"], "left").select("id", "n", "text", "repeat", "start")
+    out = joined.mapInArrow(cut, "id long, n long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    if repeats:  # each result as often as its row comes; very many are dealt over tasks
+        out = staged(out, "results")
+        runs = out.where("n > 1").withColumn("run", F.explode(F.expr("sequence(0L, (n - 1) div 4096)"))).repartition("id", "n_bytes", "run")
+        many = runs.withColumn("each", F.explode(F.expr("sequence(run * 4096, least(n, (run + 1) * 4096) - 1)")))
+        out = out.where("n = 1").unionByName(many.select(out.columns))
+    out = out.drop("n")
     return out.unionByName(copies).select(back(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
