@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 from mosaiq.kernels.raster import apply, blur, grey, warp
@@ -147,69 +149,77 @@ def spread(p: np.ndarray, most: int, rng: np.random.Generator, grid: int = 8) ->
     return order[np.lexsort((cell[order], depth))][:most]
 
 
-def _residuals(hi: np.ndarray, hj: np.ndarray, a: np.ndarray, b: np.ndarray, w: float) -> np.ndarray:
-    """Weighted transfer errors in both frames, (2n, 2)."""
+def pair_system(hi: np.ndarray, hj: np.ndarray, a: np.ndarray, b: np.ndarray, w: float, huber: float):
+    """A pair's part of the joint adjustment: (16 x 16 normal matrix, gradient, Huber cost, sum of squares, numbers).
+
+    Errors are the weighted transfer errors in both frames; unknowns are the first eight
+    entries of i's and then of j's homography. None if one has no inverse or a point goes to infinity.
+    """
     try:
-        r = np.concatenate([apply(np.linalg.solve(hj, hi), a) - b, apply(np.linalg.solve(hi, hj), b) - a]) * w
+        ii, jj = np.linalg.inv(hi), np.linalg.inv(hj)
     except np.linalg.LinAlgError:
-        r = np.full((2 * len(a), 2), 1e6)
-    return np.nan_to_num(r, nan=1e6, posinf=1e6, neginf=1e6)
+        return None
+    jac, err, n = [], [], len(a)
+    for k, (x, y, inv, m) in enumerate(((a, b, jj, jj @ hi), (b, a, ii, ii @ hj))):
+        x = np.column_stack([x, np.ones(n)])
+        q = x @ m.T
+        if not np.isfinite(q).all() or (np.abs(q[:, 2]) < 1e-12).any():
+            return None
+        p, d = q[:, :2] / q[:, 2:], np.zeros((n, 2, 3))
+        d[:, 0, 0] = d[:, 1, 1] = 1 / q[:, 2]
+        d[:, :, 2] = -p / q[:, 2:]
+        d = d @ inv
+        # d(inv M x) for a change of M, which moves the point, and of the frame it moves to
+        own = (d[..., None] * x[:, None, None]).reshape(n, 2, 9)[..., :8]
+        other = -(d[..., None] * q[:, None, None]).reshape(n, 2, 9)[..., :8]
+        jac.append(np.concatenate([own, other] if k == 0 else [other, own], 2).reshape(-1, 16))
+        err.append((p - y).ravel())
+    j, e = np.concatenate(jac) * w, np.concatenate(err) * w
+    size = np.abs(e)
+    soft = np.minimum(1, huber / np.maximum(size, 1e-12))
+    return (j * soft[:, None]).T @ j, j.T @ (soft * e), float(np.where(size <= huber, e * e, 2 * huber * size - huber**2).sum()), float(e @ e), e.size
+
+
+def sampled(store: str, i: int, j: int, q: np.ndarray, ncc: float, most: int = 600) -> tuple[np.ndarray, float] | None:
+    """(up to `most` of the correspondences (n, 4), weight) of a pair in the joint adjustment; None with under four. Chance depends on store, i and j alone."""
+    if len(q) < 4:
+        return None
+    rng = np.random.default_rng(zlib.crc32(f"{store}/{i}/{j}".encode()))
+    return q[spread(q[:, :2], most, rng)], float(np.sqrt(max(ncc, 0.0)))
 
 
-def adjusted(start: dict[int, np.ndarray], pairs: list, anchor: int, huber: float = 3.0, most: int = 600, rounds: int = 200, seed: int = 0):
+def adjusted(start: dict[int, np.ndarray], pairs: list, anchor: int, huber: float = 3.0, most: int = 600, rounds: int = 200, store: str = ""):
     """All homographies but the anchor's, moved to the least Huber cost of both-way transfer errors (Levenberg-Marquardt).
 
     pairs: (i, j, points in i, points in j, ncc). Pairs with an end outside the layout, or
-    of under four points, are left out. A result of a larger error than the start is refused.
-    Returns homographies and a dict of statistics.
+    of under four points, are left out. A step that makes a homography singular is refused, and
+    so is a result of a larger error than the start. Returns homographies and a dict of statistics.
     """
-    rng, data = np.random.default_rng(seed), []
-    for i, j, a, b, ncc in pairs:
-        if i in start and j in start and len(a) >= 4:
-            k = spread(a, most, rng)
-            data.append((i, j, a[k], b[k], float(np.sqrt(max(ncc, 0.0)))))
+    some = [(i, j, sampled(store, i, j, np.column_stack([a, b]), ncc, most)) for i, j, a, b, ncc in pairs if i in start and j in start]
+    data = [(i, j, x[0][:, :2], x[0][:, 2:], x[1]) for i, j, x in some if x is not None]
     free = sorted(set(start) - {anchor})
     stats = {"rms_before": 0.0, "rms_after": 0.0, "n_points": sum(len(d[2]) for d in data), "accepted": True}
-    if not free or not data:
-        return dict(start), stats
     at = {v: 8 * k for k, v in enumerate(free)}
+    h = {k: v / v[2, 2] for k, v in start.items()}
+    h[anchor] = np.eye(3)
 
     def measured(h):
-        return [_residuals(h[i], h[j], a, b, w) for i, j, a, b, w in data]
-
-    def cost(rs):
-        e = np.concatenate(rs)
-        n = np.abs(e)
-        return float(np.where(n <= huber, e * e, 2 * huber * n - huber**2).sum())
+        return [pair_system(h[i], h[j], a, b, w, huber) for i, j, a, b, w in data]
 
-    def rms(rs):
-        return float(np.sqrt(np.mean(np.concatenate(rs) ** 2) * 2))
+    def rms(found):  # fixed: the weighted error of both frames, a point's two numbers together
+        return float(np.sqrt(sum(f[3] for f in found) / max(sum(f[4] for f in found), 1) * 2))
 
-    scale = np.array([1e-4, 1e-4, 1e-1, 1e-4, 1e-4, 1e-1, 1e-7, 1e-7])
-    h = {k: v / v[2, 2] for k, v in start.items()}
-    h[anchor] = np.eye(3)
-    rs = measured(h)
-    now, first, damp, quiet = cost(rs), rms(rs), 1e-3, 0
+    found = measured(h)
+    if not free or not data or any(f is None for f in found):
+        return dict(start), stats
+    now, first, damp, quiet = sum(f[2] for f in found), rms(found), 1e-3, 0
     for _ in range(rounds):
         full, side = np.zeros((8 * len(free),) * 2), np.zeros(8 * len(free))
-        for (i, j, a, b, w), r in zip(data, rs, strict=True):
-            ends = [v for v in (i, j) if v != anchor]
-            cols = []
-            for v in ends:
-                for k in range(8):
-                    d = np.zeros(9)
-                    d[k] = scale[k]
-                    d = d.reshape(3, 3)
-                    more = _residuals(h[i] + d if v == i else h[i], h[j] + d if v == j else h[j], a, b, w)
-                    less = _residuals(h[i] - d if v == i else h[i], h[j] - d if v == j else h[j], a, b, w)
-                    cols.append(((more - less) / (2 * scale[k])).ravel())
-            if not cols:
-                continue
-            jac, e = np.stack(cols, 1), r.ravel()
-            soft = np.minimum(1, huber / np.maximum(np.abs(e), 1e-12))
-            where = np.concatenate([np.arange(at[v], at[v] + 8) for v in ends])
-            full[np.ix_(where, where)] += (jac * soft[:, None]).T @ jac
-            side[where] += jac.T @ (soft * e)
+        for (i, j, *_), (block, gradient, *_) in zip(data, found, strict=True):
+            own = np.r_[np.arange(8) if i != anchor else [], np.arange(8, 16) if j != anchor else []].astype(int)
+            where = np.concatenate([np.arange(at[v], at[v] + 8) for v in (i, j) if v != anchor] or [np.zeros(0, int)])
+            full[np.ix_(where, where)] += block[np.ix_(own, own)]
+            side[where] += gradient[own]
         unit = np.sqrt(np.maximum(np.diag(full), 1e-30))
         better = False
         for _ in range(12):
@@ -217,15 +227,15 @@ def adjusted(start: dict[int, np.ndarray], pairs: list, anchor: int, huber: floa
             trial = dict(h)
             for v in free:
                 trial[v] = h[v] + np.append(step[at[v] : at[v] + 8], 0).reshape(3, 3)
-            r2 = measured(trial)
-            c2 = cost(r2)
-            if c2 < now:
+            again = measured(trial)
+            cost = np.inf if any(f is None for f in again) else sum(f[2] for f in again)
+            if cost < now:
                 better, damp = True, max(damp / 10, 1e-12)
-                quiet = quiet + 1 if now - c2 < 1e-10 * max(now, 1e-12) else 0
-                h, rs, now = trial, r2, c2
+                quiet = quiet + 1 if now - cost < 1e-10 * max(now, 1e-12) else 0
+                h, found, now = trial, again, cost
                 break
             damp *= 10
         if not better or quiet >= 2:
             break
-    stats |= {"rms_before": first, "rms_after": rms(rs), "accepted": rms(rs) <= first}
+    stats |= {"rms_before": first, "rms_after": rms(found), "accepted": rms(found) <= first}
     return (h if stats["accepted"] else dict(start)), stats

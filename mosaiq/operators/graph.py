@@ -1,11 +1,16 @@
-"""Layout graphs: components, hops, anchors, maximum spanning trees."""
+"""Graphs of any size: tables in the shared folder, look-ups that no hot key slows, components."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+#: Rows that are broadcast or joined up in one task at most, and edges that a task joins up together.
+FEW, CHUNK = 500_000, 1 << 20
 
 
 def both_ways(edges: DataFrame, i: str, j: str, keep: list) -> DataFrame:
@@ -22,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or "file:///tmp/checkpoints").rstrip("/")
 
 
-def _staged(df: DataFrame) -> tuple[DataFrame, object]:
+def kept(df: DataFrame) -> tuple[DataFrame, object]:
     """df written to the shared folder and read from there, and its path; the path goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/mosaiq-{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex[:12]}")
@@ -33,86 +38,114 @@ def _staged(df: DataFrame) -> tuple[DataFrame, object]:
 
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that all executors share."""
-    return _staged(df)[0]
+    return kept(df)[0]
 
 
-def _gone(spark: SparkSession, path) -> None:
+def gone(spark: SparkSession, path) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node): nodes has `node`; edges a, b, both ways. Isolated nodes stand alone.
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, few: int = FEW) -> DataFrame:
+    """rows with what table (staged; one row a key at most) has for them, nulls where it has nothing; keys are never null.
 
-    Labels take the smallest label of the neighbours, then the label's own label, so
-    long chains need few rounds. Edges are staged once and each round's labels once; what
-    a round replaces is removed. A step over edges is a partial minimum, so a hub's edges
-    are never in one task.
+    A table of up to `few` rows is broadcast. Of a larger one, the rows of keys that come in
+    over a thousandth of all rows are (a thousand keys at most), and their rows stay where
+    they are; all others shuffle. So no task gets all rows of a key.
+    """
+    more = [c for c in table.columns if c not in keys]
+    if table.count() <= few:
+        return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *more)
+    total = rows.count()
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > max(total, 1000)).select(*keys, F.lit(True).alias("_hot"))
+    told = rows.join(F.broadcast(hot.join(table, keys, "left")), keys, "left")
+    rest = told.where("_hot is null").select(*rows.columns).join(table.hint("merge"), keys, "left")
+    return told.where("_hot").select(*rows.columns, *more).unionByName(rest.select(*rows.columns, *more))
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the smallest node that each is joined with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, low = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (low[x] != low[y]).any():
+        np.minimum.at(low, np.maximum(low[x], low[y]), np.minimum(low[x], low[y]))
+        while (low != low[low]).any():
+            low = low[low]
+    return nodes, nodes[low]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) to (a, the smallest node that a task's edges join it with), a chunk of edges at a time."""
+    a, b, n = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        x, y = roots(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
+
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n > CHUNK:
+            yield out()
+            a, b, n = [], [], 0
+    if n:
+        yield out()
+
+
+def components(nodes: DataFrame, edges: DataFrame, few: int = FEW) -> DataFrame:
+    """node, component (its smallest node): nodes has `node`; edges a, b. Isolated nodes stand alone.
+
+    Each task joins up its own edges, which leaves an edge a node at most. What is left, up
+    to `few` edges, is joined up in one task. More goes through rounds: labels take the
+    smallest label of the neighbours, then the label's own label, so long chains need few
+    rounds. A step is a partial minimum, and look-ups spread hot keys, so a hub's edges are
+    never in one task. Rounds are staged, and what one replaces is removed.
     """
     spark = nodes.sparkSession
-    edges, old = _staged(edges.select("a", "b").distinct())
-    label = nodes.select("node", F.col("node").alias("component"))
-    before = None
+    near, old = kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_joined, "a long, b long"))
+    total = near.count()
+    if total <= few:
+        table, path = kept(near.coalesce(1).mapInArrow(_joined, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root")))
+        gone(spark, old)
+        return looked_up(nodes.select("node"), ["node"], table, max(few, total)).select("node", F.coalesce("root", "node").alias("component"))
+    near, path = kept(both_ways(near, "a", "b", []).distinct())
+    gone(spark, old)
+    label, before = kept(nodes.select("node", F.col("node").alias("component")))
     while True:
         seen = label.select(F.col("node").alias("b"), F.col("component").alias("seen"))
-        low = edges.join(seen, "b").groupBy("a").agg(F.min("seen").alias("low")).withColumnRenamed("a", "node")
-        step = label.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("up"), F.col("component").alias("was"))
+        low, low_path = kept(looked_up(near, ["b"], seen, few).groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("low")))
+        step = looked_up(label, ["node"], low, few).select("node", F.least("component", F.coalesce("low", "component")).alias("up"), F.col("component").alias("was"))
         root = label.select(F.col("node").alias("up"), F.col("component").alias("root"))
-        now, path = _staged(step.join(root, "up").select("node", F.col("root").alias("component"), (F.col("root") < F.col("was")).alias("moved")))
-        if before is not None:
-            _gone(spark, before)
-        label, before = now.select("node", "component"), path
+        now, after = kept(looked_up(step, ["up"], root, few).select("node", F.col("root").alias("component"), (F.col("root") < F.col("was")).alias("moved")))
+        gone(spark, before)
+        gone(spark, low_path)
+        label, before = now.select("node", "component"), after
         if not now.where("moved").limit(1).count():
-            _gone(spark, old)
+            gone(spark, path)
             return label
 
 
-def hops(edges: DataFrame, key: str = "store") -> DataFrame:
-    """key, node, ecc, degree, component_size: the largest hop distance inside a node's component. One group a store."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set] = {}
-        for a, b in zip(g["a"], g["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        rows = []
-        for start in sorted(near):
-            far, front, depth = {start}, [start], 0
-            while front:
-                nxt = sorted({b for a in front for b in near[a]} - far)
-                if not nxt:
-                    break
-                far.update(nxt)
-                front, depth = nxt, depth + 1
-            rows.append((g[key].iloc[0], start, depth, len(near[start]), len(far)))
-        return pd.DataFrame(rows, columns=[key, "node", "ecc", "degree", "component_size"])
-
-    return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, node long, ecc long, degree long, component_size long")
-
-
-def anchors(stats: DataFrame, key: str = "store") -> DataFrame:
-    """The node of the smallest eccentricity of each store; ties: more edges, more strength, the smaller node."""
-    best = F.max(F.struct(-F.col("ecc"), F.col("degree"), F.col("strength"), -F.col("node"))).alias("m")
-    return stats.groupBy(key).agg(best).select(key, (-F.col("m").getField("col4")).alias("anchor"))
-
-
-def maximum_spanning_tree(edges: DataFrame, key: str = "store") -> DataFrame:
-    """key, a, b, weight: the edges (a < b) of a maximum spanning forest of each store; ties: smaller (a, b) first."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept = []
-        for r in g.sort_values(["weight", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            x, y = find(r.a), find(r.b)
-            if x != y:
-                root[x] = y
-                kept.append((g[key].iloc[0], r.a, r.b, r.weight))
-        return pd.DataFrame(kept, columns=[key, "a", "b", "weight"])
-
-    return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, a long, b long, weight double")
+def numbered(rows: DataFrame, keys: list[str], name: str = "node") -> DataFrame:
+    """Distinct keys with a number each, staged: what stands for them in graphs."""
+    return kept(rows.select(*keys).distinct().withColumn(name, F.monotonically_increasing_id()))[0]
+
+
+
+def ranked(rows: DataFrame, by: list, name: str = "place") -> DataFrame:
+    """rows with their place (from 0) in the order of some columns: ranges of rows are sorted each for itself, and counts of ranges give their starts.
+
+    Rows that tie go in any order. Only the counts, a row a range, are summed in one task.
+    """
+    held, _ = kept(rows.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()))
+    # the number of a range in the high bits, the place in it in the low 33
+    held = held.withColumn("_range", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = held.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
+    return held.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_at", "_range", "_in", "_start")
+
+
+def ranked_within(rows: DataFrame, key: str, by: list, name: str = "place", few: int = FEW) -> DataFrame:
+    """rows with their place (from 0) among those of their key; a key may have any number of rows."""
+    every, _ = kept(ranked(rows, [key, *by], "_place"))
+    first, _ = kept(every.groupBy(key).agg(F.min("_place").alias("_first")))
+    return looked_up(every, [key], first, few).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

@@ -9,12 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mosaiq.functions.homography import dehomogenised, implausible, inverse, product
+from mosaiq.functions.homography import corners, dehomogenised, implausible, inverse, product
 from mosaiq.kernels import fit
 from mosaiq.kernels.detect import detect
 from mosaiq.kernels.raster import apply, correlation, frame
+from mosaiq.operators import adjust as A
 from mosaiq.operators.evaluate import pair_scores, residual_metrics
+from mosaiq.operators.forest import framed, spanning
+from mosaiq.operators.graph import FEW, both_ways, components, kept, looked_up, ranked_within
 from mosaiq.operators.matching import edge_score
+from mosaiq.operators.reach import anchors
 
 _PAIR = "store string, i int, j int, mode_no int, n_matches int, n_inliers int, h array<double>, pts binary"
 _MODE = "struct<mode_no:int,n_inliers:int,h:array<double>,pts:binary,why:string,ncc:double,overlap:double>"
@@ -213,13 +217,32 @@ def lay_out(nodes: list[int], edges: list[tuple[int, int, np.ndarray, float]]) -
     return placed, anchor, comps
 
 
-def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: float = 3.0) -> DataFrame:
+_LAYOUT = "store string, idx int, h array<double>, is_anchor boolean, position int, component int, rms_before double, rms_after double"
+
+
+def centroid(h: list[Column], w: Column, ht: Column) -> Column:
+    """The mean x of an image's four corners under h: images go from left to right by it."""
+    return sum((dehomogenised(h, x, y)[0] for x, y in corners(w, ht)[1:]), dehomogenised(h, *corners(w, ht)[0])[0]) / 4
+
+
+def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: float = 3.0, most: int = 200, few: int = FEW) -> DataFrame:
     """store, idx, h, is_anchor, position, component, rms_before, rms_after: a row per image; h and position are null where it isn't placed.
 
-    One group is one store: sizes of its images, and points of its accepted pairs.
+    Stores of up to `most` images are laid out in a task each; larger ones by tables that
+    meet in joins (large_layouts), so a store may have any number of images.
     """
     meta = work.select("store", "idx", "h", "w")
     good = pairs.where("ok AND h IS NOT NULL").select("store", "i", "j", "h", "ncc", "score", "pts")
+    large = meta.groupBy("store").count().where(F.col("count") > most).select("store")
+    if not large.limit(1).count():
+        return small_layouts(meta, good, adjust=adjust, huber=huber)
+    large, _ = kept(large)
+    part = lambda df, how: df.join(F.broadcast(large) if large.count() <= few else large, "store", how)
+    return small_layouts(part(meta, "left_anti"), part(good, "left_anti"), adjust=adjust, huber=huber).unionByName(large_layouts(part(meta, "left_semi"), part(good, "left_semi"), adjust=adjust, huber=huber, few=few))
+
+
+def small_layouts(meta: DataFrame, good: DataFrame, *, adjust: bool = True, huber: float = 3.0) -> DataFrame:
+    """layouts() of stores that fit into a task each: sizes of a store's images, and points of its accepted pairs."""
 
     def run(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         cols = ["store", "idx", "h", "is_anchor", "position", "component", "rms_before", "rms_after"]
@@ -231,13 +254,45 @@ def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: fl
         stats = {"rms_before": None, "rms_after": None}
         if adjust:
             pts = [(r.i, r.j, *np.split(np.frombuffer(r.pts).reshape(-1, 4), 2, 1), r.ncc) for r in p.itertuples()]
-            h, stats = fit.adjusted(h, pts, anchor, huber)
+            h, stats = fit.adjusted(h, pts, anchor, huber, store=m["store"].iloc[0])
         size = {r.idx: (r.h, r.w) for r in m.itertuples()}
         order = sorted(h, key=lambda v: (apply(h[v], frame(*size[v]))[:, 0].mean(), v))
         place, comp = {v: k for k, v in enumerate(order)}, {v: k for k, c in enumerate(comps) for v in c}
         return pd.DataFrame([(m["store"].iloc[0], v, h[v].ravel().tolist() if v in h else None, v == anchor, place.get(v), comp[v], stats["rms_before"], stats["rms_after"]) for v in m["idx"]], columns=cols).astype({"position": "Int32"})
 
-    return meta.groupBy("store").cogroup(good.groupBy("store")).applyInPandas(run, "store string, idx int, h array<double>, is_anchor boolean, position int, component int, rms_before double, rms_after double")
+    return meta.groupBy("store").cogroup(good.groupBy("store")).applyInPandas(run, _LAYOUT)
+
+
+def large_layouts(meta: DataFrame, good: DataFrame, *, adjust: bool = True, huber: float = 3.0, few: int = FEW) -> DataFrame:
+    """layouts() of stores of any size: components, anchors, trees, adjustment and order are joins and partial sums over tables of numbered images."""
+    nodes, _ = kept(meta.orderBy("store", "idx").withColumn("node", F.monotonically_increasing_id()))  # numbers ascend as images do
+    number = lambda s: nodes.select("store", F.col("idx").alias(s), F.col("node").alias(f"n{s}"))
+    edges, _ = kept(good.join(number("i"), ["store", "i"]).join(number("j"), ["store", "j"]).select("store", F.col("ni").alias("a"), F.col("nj").alias("b"), F.col("score").alias("weight"), "h", "pts", "ncc"))
+    comp, _ = kept(components(nodes, edges, few))
+    size, _ = kept(comp.groupBy("component").agg(F.count("*").alias("size")))
+    own, _ = kept(looked_up(nodes.join(comp, "node"), ["component"], size, few))
+    # components of a store: the largest first, of equals that of the smallest image
+    turn, _ = kept(ranked_within(own.where("node = component").select("store", "component", (-F.col("size")).alias("by")), "store", ["by", "component"], "turn", few).select("component", "turn"))
+    placed, _ = kept(looked_up(own, ["component"], turn, few))
+    main, _ = kept(placed.where("turn = 0").select("node", "component"))
+    inside = edges.join(main.select(F.col("node").alias("a")).hint("merge"), "a")
+    both, _ = kept(both_ways(inside, "a", "b", [("strength", F.col("weight"), F.col("weight"))]))
+    anchor, _ = kept(anchors(main, both, few).select("anchor"))
+    _, at = spanning(inside, few=few, placed=True)
+    frames = framed(at, anchor, few)
+    alone = anchor.join(at.select(F.col("node").alias("anchor")), "anchor", "left_anti").select(F.col("anchor").alias("node"), "anchor", F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]).alias("h"))
+    start, _ = kept(frames.unionByName(alone).join(nodes.select("node", "store"), "node").select("store", "node", "h", (F.col("node") == F.col("anchor")).alias("fixed")))
+    if adjust:
+        moved, stats = A.adjusted(start, inside.select("store", F.col("a").alias("i"), F.col("b").alias("j"), "pts", "ncc"), huber=huber, few=few)
+        moved = moved.select("node", "h").join(start.select("node", "fixed"), "node")
+    else:
+        moved, stats = start.select("node", "h", "fixed"), start.select("store", F.lit(None).cast("double").alias("rms_before"), F.lit(None).cast("double").alias("rms_after")).limit(0)
+    moved, _ = kept(moved)
+    wide = nodes.select("node", "store", F.col("h").cast("double").alias("ht"), F.col("w").cast("double").alias("wd")).join(moved, "node")
+    order, _ = kept(ranked_within(wide.select("store", "node", centroid(nine("h"), F.col("wd"), F.col("ht")).alias("cx")), "store", ["cx", "node"], "position", few).select("node", "position"))
+    out = placed.select("node", "store", "idx", "turn").join(moved, "node", "left").join(order, "node", "left")
+    out = looked_up(out, ["store"], kept(stats.select("store", "rms_before", "rms_after"))[0], few)
+    return out.select("store", "idx", "h", F.coalesce("fixed", F.lit(False)).alias("is_anchor"), F.col("position").cast("int").alias("position"), F.col("turn").cast("int").alias("component"), "rms_before", "rms_after")
 
 
 def scorable(pairs: DataFrame, layout: DataFrame, keys: tuple[str, ...] = ("store",), n_points: Column | None = None, least: int = 4) -> DataFrame:
