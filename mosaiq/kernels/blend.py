@@ -21,43 +21,61 @@ def _common(a: Piece, b: Piece):
     return tuple((slice(y0 - p[1], y1 - p[1]), slice(x0 - p[0], x1 - p[0])) for p in (a, b))
 
 
+#: Fixed: the widths of the differences of means and of the distance from 1, as factors of squares.
+CLOSE, EVEN = 2 / 10.0**2, 1 / 0.1**2
+
+
+def grid_shape(h: int, w: int, kind: str, block: int = 32) -> tuple[int, int]:
+    """Rows and columns of a piece's factors."""
+    return (-(-h // block), -(-w // block)) if kind == "blocks" else (1, 1)
+
+
+def pair_means(a: Piece, b: Piece, kind: str, block: int = 32):
+    """Where two pieces overlap: unit of a, unit of b, pixels, means of a and of b (n, 3); None where they don't. gain: means of grey."""
+    cut = _common(a, b)
+    if cut is None:
+        return None
+    both = a[3][cut[0]] & b[3][cut[1]]
+    y, x = np.nonzero(both)
+    if not len(y):
+        return None
+    shape = [grid_shape(*p[3].shape, kind, block) for p in (a, b)]
+    unit = [(y + c[0].start) // block * s[1] + (x + c[1].start) // block if kind == "blocks" else np.zeros(len(y), int) for c, s in zip(cut, shape, strict=True)]
+    size = shape[1][0] * shape[1][1]
+    key, inv = np.unique(unit[0] * size + unit[1], return_inverse=True)
+    n = np.bincount(inv).astype(float)
+    va, vb = a[2][cut[0]][both], b[2][cut[1]][both]
+    if kind == "gain":
+        va, vb = (np.repeat(grey(v)[:, None], 3, 1) for v in (va, vb))
+    ma, mb = (np.stack([np.bincount(inv, v[:, c]) / n for c in range(3)], 1) for v in (va, vb))
+    return key // size, key % size, n, ma, mb
+
+
+def solved_gains(means: list, size: int) -> np.ndarray:
+    """Factors (size, 3) for units numbered over all pieces; means: (unit, unit, pixels, means, means) of pairs. Units without an overlap: 1."""
+    out = np.ones((size, 3))
+    if means:
+        a, b, n, ma, mb = (np.concatenate(v) for v in zip(*means, strict=True))
+        for c in range(3):
+            out[:, c] = _solved(a, b, n, ma[:, c], mb[:, c], size)
+    return out
+
+
+def softened(grid: np.ndarray, kind: str) -> np.ndarray:
+    return _soft(_soft(grid)) if kind == "blocks" else grid
+
+
 def gains(pieces: list[Piece], kind: str, block: int = 32) -> list[np.ndarray]:
     """Of each piece a grid (rows, columns, 3) of factors that bring overlaps to like brightness.
 
     gain: one factor a piece, from grey means. blocks: a factor for each block and channel,
     smoothed. Least squares of differences of means (sigma 10) and of distance from 1 (sigma 0.1).
     """
-    shape = [(1, 1) if kind != "blocks" else tuple(-(-n // block) for n in p[3].shape) for p in pieces]
+    shape = [grid_shape(*p[3].shape, kind, block) for p in pieces]
     base = np.concatenate([[0], np.cumsum([h * w for h, w in shape])])
-    out = np.ones((base[-1], 3))
-    if kind != "none":
-        sums: list = []
-        for i, a in enumerate(pieces):
-            for j in range(i + 1, len(pieces)):
-                cut = _common(a, pieces[j])
-                if cut is None:
-                    continue
-                both = a[3][cut[0]] & pieces[j][3][cut[1]]
-                y, x = np.nonzero(both)
-                if not len(y):
-                    continue
-                unit = [base[k] + ((y + c[0].start) // block * shape[k][1] + (x + c[1].start) // block if kind == "blocks" else 0) for k, c in ((i, cut[0]), (j, cut[1]))]
-                key, inv = np.unique(np.broadcast_to(unit[0], y.shape) * base[-1] + np.broadcast_to(unit[1], y.shape), return_inverse=True)
-                n = np.bincount(inv).astype(float)
-                va, vb = a[2][cut[0]][both], pieces[j][2][cut[1]][both]
-                if kind == "gain":
-                    va, vb = (np.repeat(grey(v)[:, None], 3, 1) for v in (va, vb))
-                mean = [np.stack([np.bincount(inv, v[:, c]) / n for c in range(3)], 1) for v in (va, vb)]
-                sums.append((key // base[-1], key % base[-1], n, *mean))
-        if sums:
-            a, b, n, ma, mb = (np.concatenate(v) for v in zip(*sums, strict=True))
-            for c in range(3):
-                out[:, c] = _solved(a, b, n, ma[:, c], mb[:, c], base[-1])
-    grids = [out[base[k] : base[k + 1]].reshape(*shape[k], 3) for k in range(len(pieces))]
-    if kind == "blocks":
-        for _ in range(2):
-            grids = [_soft(g) for g in grids]
-    return grids
+    found = [(i, j, pair_means(pieces[i], pieces[j], kind, block)) for i in range(len(pieces)) for j in range(i + 1, len(pieces)) if kind != "none"]
+    out = solved_gains([(m[0] + base[i], m[1] + base[j], *m[2:]) for i, j, m in found if m is not None], base[-1])
+    return [softened(out[base[k] : base[k + 1]].reshape(*shape[k], 3), kind) for k in range(len(pieces))]
 
 
 def _soft(g: np.ndarray) -> np.ndarray:
@@ -68,7 +86,7 @@ def _soft(g: np.ndarray) -> np.ndarray:
 
 def _solved(a, b, n, ma, mb, size: int) -> np.ndarray:
     """Conjugate gradients on the normal equations, which are as sparse as the overlaps."""
-    sn, sg = 2 / 10.0**2, 1 / 0.1**2
+    sn, sg = CLOSE, EVEN
     count = lambda k, v: np.bincount(k, v, size)
     diag = count(a, n * (ma * ma * sn + sg)) + count(b, n * (mb * mb * sn + sg))
     off = -n * ma * mb * sn
@@ -103,27 +121,35 @@ def gain_at(grid: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
     return top * (1 - dy) + (grid[y1][:, x0] * (1 - dx) + grid[y1][:, x1] * dx) * dy
 
 
+def pair_seam(a: Piece, b: Piece, kind: str):
+    """(slices of a and b that cover their common rectangle, where a stays in it); None where they don't overlap. Pieces have like brightness."""
+    cut = _common(a, b)
+    if cut is None:
+        return None
+    both = a[3][cut[0]] & b[3][cut[1]]
+    if not both.any():
+        return None
+    if kind == "voronoi":
+        return cut, inner_distance(a[3])[cut[0]] >= inner_distance(b[3])[cut[1]]
+    return cut, _cut(a, b, cut, both, kind)
+
+
+def decided(masks: dict[int, np.ndarray], cuts: list[tuple]) -> None:
+    """Take from masks (on one window each) what pairs' cuts (i, j, slices of i and j, where i stays) give to the other, pair by pair; each covered pixel stays covered."""
+    for i, j, (at_i, at_j), first in cuts:
+        mi, mj = masks[i][at_i], masks[j][at_j]
+        both = mi & mj
+        mi[both & ~first] = False
+        mj[both & first] = False
+
+
 def seams(pieces: list[Piece], kind: str) -> list[np.ndarray]:
     """Masks of which no two overlap (kind none: the masks as they are); each covered pixel stays covered."""
-    masks = [p[3].copy() for p in pieces]
-    if kind == "none":
-        return masks
-    for i in range(len(pieces)):
-        for j in range(i + 1, len(pieces)):
-            cut = _common(pieces[i], pieces[j])
-            if cut is None:
-                continue
-            mi, mj = masks[i][cut[0]], masks[j][cut[1]]
-            both = mi & mj
-            if not both.any():
-                continue
-            if kind == "voronoi":
-                first = inner_distance(masks[i])[cut[0]] >= inner_distance(masks[j])[cut[1]]
-            else:
-                first = _cut(pieces[i], pieces[j], cut, both, kind)
-            mi[both & ~first] = False
-            mj[both & first] = False
-    return masks
+    masks = {k: p[3].copy() for k, p in enumerate(pieces)}
+    if kind != "none":
+        found = [(i, j, pair_seam(pieces[i], pieces[j], kind)) for i in range(len(pieces)) for j in range(i + 1, len(pieces))]
+        decided(masks, [(i, j, *f) for i, j, f in found if f is not None])
+    return list(masks.values())
 
 
 def _cut(a: Piece, b: Piece, cut, both: np.ndarray, kind: str) -> np.ndarray:

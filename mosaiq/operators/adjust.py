@@ -75,14 +75,17 @@ def _summed(df: DataFrame, key: str, **widths: int) -> DataFrame:
     return flat.select(key, *[F.array(*[F.col(f"{c}_{k}") for k in range(n)]).alias(c) for c, n in widths.items()])
 
 
-def _start(damp: float):
+STATE = "node long, a array<double>, inv array<double>, x array<double>, r array<double>, p array<double>"
+
+
+def _start(damp: float, k: int):
     """(node, a, g) to the first vectors: the damped block and its inverse, x = 0, r = -g, p = the preconditioned r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, g = _rows(batch.column("a"), 64).reshape(-1, 8, 8).copy(), _rows(batch.column("g"), 8)
-                d = np.arange(8)
+                a, g = _rows(batch.column("a"), k * k).reshape(-1, k, k).copy(), _rows(batch.column("g"), k)
+                d = np.arange(k)
                 unit = np.sqrt(np.maximum(a[:, d, d], 1e-30))
                 a[:, d, d] += damp * unit**2
                 scale = unit[:, :, None] * unit[:, None, :]
@@ -93,55 +96,62 @@ def _start(damp: float):
     return run
 
 
-STATE = "node long, a array<double>, inv array<double>, x array<double>, r array<double>, p array<double>"
+def _product(k: int):
+    """(to, m, p) to (to, v): what blocks give to each row of unknowns, summed within a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                to, at = np.unique(batch.column("to").to_numpy(), return_inverse=True)
+                v = np.zeros((len(to), k))
+                np.add.at(v, at, np.einsum("nij,nj->ni", _rows(batch.column("m"), k * k).reshape(-1, k, k), _rows(batch.column("p"), k)))
+                yield pa.RecordBatch.from_arrays([pa.array(to), _lists(v)], ["to", "v"])
+
+    return run
 
 
-def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(to, m, p) to (to, v): what blocks give to each image, summed within a batch."""
-    for batch in batches:
-        if batch.num_rows:
-            to, at = np.unique(batch.column("to").to_numpy(), return_inverse=True)
-            v = np.zeros((len(to), 8))
-            np.add.at(v, at, np.einsum("nij,nj->ni", _rows(batch.column("m"), 64).reshape(-1, 8, 8), _rows(batch.column("p"), 8)))
-            yield pa.RecordBatch.from_arrays([pa.array(to), _lists(v)], ["to", "v"])
+def _measured(k: int):
+    """The state with y = A p, and this row's part of the scalars that the next step needs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, inv = (_rows(batch.column(c), k * k).reshape(-1, k, k) for c in ("a", "inv"))
+                r, p, v = (_rows(batch.column(c), k) for c in ("r", "p", "v"))
+                y = np.einsum("nij,nj->ni", a, p) + v
+                z, w = np.einsum("nij,nj->ni", inv, r), np.einsum("nij,nj->ni", inv, y)
+                dots = [(p * y).sum(1), (r * z).sum(1), (y * z).sum(1), (y * w).sum(1)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "a", "inv", "x", "r", "p")], _lists(y), *map(pa.array, dots)], ["node", "a", "inv", "x", "r", "p", "y", "py", "rz", "yz", "yw"])
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state with y = A p, and this image's part of the scalars that the next step needs."""
-    for batch in batches:
-        n = batch.num_rows
-        if n:
-            a, inv = (_rows(batch.column(c), 64).reshape(-1, 8, 8) for c in ("a", "inv"))
-            r, p, v = (_rows(batch.column(c), 8) for c in ("r", "p", "v"))
-            y = np.einsum("nij,nj->ni", a, p) + v
-            z, w = np.einsum("nij,nj->ni", inv, r), np.einsum("nij,nj->ni", inv, y)
-            dots = [(p * y).sum(1), (r * z).sum(1), (y * z).sum(1), (y * w).sum(1)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "a", "inv", "x", "r", "p")], _lists(y), *map(pa.array, dots)], ["node", "a", "inv", "x", "r", "p", "y", "py", "rz", "yz", "yw"])
+    return run
 
 
-def _moved(alpha: float, beta: float):
+def _moved(alpha: float, beta: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                inv = _rows(batch.column("inv"), 64).reshape(-1, 8, 8)
-                x, r, p, y = (_rows(batch.column(c), 8) for c in ("x", "r", "p", "y"))
+                inv = _rows(batch.column("inv"), k * k).reshape(-1, k, k)
+                x, r, p, y = (_rows(batch.column(c), k) for c in ("x", "r", "p", "y"))
                 r = r - alpha * y
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "a", "inv")], *map(_lists, (x + alpha * p, r, np.einsum("nij,nj->ni", inv, r) + beta * p))], ["node", "a", "inv", "x", "r", "p"])
 
     return run
 
 
-def solved(diag: DataFrame, off: DataFrame, damp: float, *, tolerance: float = 1e-3, most: int = 200, few: int = FEW) -> tuple[DataFrame, int]:
-    """(node, x) with (A + damp * diag A) x = -g, and the iterations it took. diag: node, a, g; off: to, from, m; both staged."""
+def solved(diag: DataFrame, off: DataFrame, damp: float = 0.0, *, width: int = 8, tolerance: float = 1e-3, most: int = 200, few: int = FEW) -> tuple[DataFrame, int]:
+    """(node, x) with (A + damp * diag A) x = -g, and the iterations it took.
+
+    A row stands for `width` unknowns. diag: node, a (width x width), g; off: to, from, m; both staged. A is positive definite.
+    """
     spark = diag.sparkSession
-    state, path, first = diag.mapInArrow(_start(damp), STATE), None, None
+    state, path, first = diag.mapInArrow(_start(damp, width), STATE), None, None
+    zero = F.array(*[F.lit(0.0)] * width)
     for done in range(most + 1):
         p = state.select(F.col("node").alias("from"), "p")
         # vectors that are small go to the blocks, or else blocks and vectors shuffle
         near = looked_up(off, ["from"], p, few).where("p is not null").select("to", "m", "p")
-        v = _summed(near.mapInArrow(_product, "to long, v array<double>"), "to", v=8).withColumnRenamed("to", "node")
-        zero = F.array(*[F.lit(0.0)] * 8)
-        now, new = kept(state.join(v, "node", "left").withColumn("v", F.coalesce("v", zero)).mapInArrow(_measured, STATE + ", y array<double>, py double, rz double, yz double, yw double"))
+        v = _summed(near.mapInArrow(_product(width), "to long, v array<double>"), "to", v=width).withColumnRenamed("to", "node")
+        now, new = kept(state.join(v, "node", "left").withColumn("v", F.coalesce("v", zero)).mapInArrow(_measured(width), STATE + ", y array<double>, py double, rz double, yz double, yw double"))
         s = now.agg(*[F.sum(c).alias(c) for c in ("py", "rz", "yz", "yw")]).first()
         if path is not None:
             gone(spark, path)
@@ -151,7 +161,7 @@ def solved(diag: DataFrame, off: DataFrame, damp: float, *, tolerance: float = 1
         alpha = s.rz / s.py
         # the next r'z is known from sums that are here already
         beta = max(0.0, (s.rz - 2 * alpha * s.yz + alpha * alpha * s.yw) / s.rz)
-        state = now.mapInArrow(_moved(alpha, beta), STATE)
+        state = now.mapInArrow(_moved(alpha, beta, width), STATE)
 
 
 def adjusted(places: DataFrame, pairs: DataFrame, *, huber: float = 3.0, most: int = 600, rounds: int = 30, tolerance: float = 1e-3, few: int = FEW) -> tuple[DataFrame, DataFrame]:

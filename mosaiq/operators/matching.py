@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from mosaiq.operators.graph import kept
+
 
 def root_normalised(desc: Column) -> Column:
     """Square roots of a non-negative vector over its sum (plus 1e-7)."""
@@ -34,16 +36,8 @@ def _nearest_two(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     return ids[c[first]], exact[first], two
 
 
-def mutual_matches(features: DataFrame, ratio: float, block: int = 2048) -> DataFrame:
-    """group_i < group_j, id_i, id_j, d: rows of two groups that are each other's nearest, both clearly.
-
-    features: grp, id, desc (array), and store, if only groups of one store are to be
-    matched. A row of a group matches its nearest row of another group (ties: the smaller
-    id) if that is nearer than `ratio` times the second nearest; both directions must agree.
-    Groups are cut into blocks of about `block` rows, a packed row each; two blocks of two
-    groups are a unit of work, of which each row's nearest two leave, to be merged. So a
-    group may be of any size, and no pair of rows is ever a row.
-    """
+def blocks_of(features: DataFrame, block: int) -> DataFrame:
+    """store, grp, blk, n, ids, x: features (grp, id, desc, and store, if there is one) in packed blocks of about `block` rows."""
     rows = features.select(F.col("store") if "store" in features.columns else F.lit(0).alias("store"), "grp", "id", F.col("desc").cast("array<double>").alias("desc"))
     sizes = rows.groupBy("store", "grp").agg(F.expr(f"(count(*) + {block - 1}) div {block}").alias("n_blocks"))
     dealt = rows.join(sizes, ["store", "grp"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n_blocks")))
@@ -54,7 +48,30 @@ def mutual_matches(features: DataFrame, ratio: float, block: int = 2048) -> Data
         return pa.table({"store": t["store"][:1], "grp": t["grp"][:1], "blk": t["blk"][:1], "n": pa.array([len(t)], pa.int64()), "ids": pa.array([t["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "x": pa.array([flat.tobytes()], pa.binary())})
 
     kind = rows.schema["store"].dataType.simpleString()
-    blocks = dealt.groupBy("store", "grp", "blk").applyInArrow(pack, f"store {kind}, grp long, blk long, n long, ids binary, x binary")
+    return dealt.groupBy("store", "grp", "blk").applyInArrow(pack, f"store {kind}, grp long, blk long, n long, ids binary, x binary")
+
+
+def mutual(nearest: DataFrame, ratio: float) -> DataFrame:
+    """group_i, group_j, id_i, id_j, d: rows of nearest (grp_i, grp_j, back, id, best, d, second) that are clear and agree in both directions."""
+    # groups of one row have no second nearest, and so no match
+    clear = nearest.where((F.col("second") < float("inf")) & (F.col("d") < F.lit(ratio) * F.col("second")))
+    there = clear.where("back = 0").select("grp_i", "grp_j", F.col("id").alias("id_i"), F.col("best").alias("id_j"), "d")
+    here = clear.where("back = 1").select("grp_i", "grp_j", F.col("best").alias("id_i"), F.col("id").alias("id_j"))
+    both = there.join(here, ["grp_i", "grp_j", "id_i", "id_j"])
+    return both.select(F.col("grp_i").alias("group_i"), F.col("grp_j").alias("group_j"), "id_i", "id_j", "d")
+
+
+def mutual_matches(features: DataFrame, ratio: float, block: int = 2048) -> DataFrame:
+    """group_i < group_j, id_i, id_j, d: rows of two groups that are each other's nearest, both clearly.
+
+    features: grp, id, desc (array), and store, if only groups of one store are to be
+    matched. A row of a group matches its nearest row of another group (ties: the smaller
+    id) if that is nearer than `ratio` times the second nearest; both directions must agree.
+    Groups are cut into blocks of about `block` rows, a packed row each; two blocks of two
+    groups are a unit of work, of which each row's nearest two leave, to be merged. So a
+    group may be of any size, and no pair of rows is ever a row.
+    """
+    blocks, _ = kept(blocks_of(features, block))
     side = lambda k: blocks.select("store", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "n", "ids", "x")])
     units = side("i").join(side("j"), "store").where("grp_i < grp_j")
     units = units.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("grp_i", "grp_j", "ids_i", "ids_j"))
@@ -72,12 +89,8 @@ def mutual_matches(features: DataFrame, ratio: float, block: int = 2048) -> Data
     near = F.array_sort(F.collect_list(F.struct("d1", "best", "d2")))  # one a block of the other group
     merged = found.groupBy("grp_i", "grp_j", "back", "id").agg(near.alias("near"))
     merged = merged.select("grp_i", "grp_j", "back", "id", F.col("near")[0]["best"].alias("best"), F.col("near")[0]["d1"].alias("d"), F.least(F.col("near")[0]["d2"], F.try_element_at("near", F.lit(2))["d1"]).alias("second"))
-    # groups of one row have no second nearest, and so no match
-    clear = merged.where((F.col("second") < float("inf")) & (F.col("d") < F.lit(ratio) * F.col("second")))
-    there = clear.where("back = 0").select("grp_i", "grp_j", F.col("id").alias("id_i"), F.col("best").alias("id_j"), "d")
-    here = clear.where("back = 1").select("grp_i", "grp_j", F.col("best").alias("id_i"), F.col("id").alias("id_j"))
-    both = there.join(here, ["grp_i", "grp_j", "id_i", "id_j"])
-    return both.select(F.col("grp_i").alias("group_i"), F.col("grp_j").alias("group_j"), "id_i", "id_j", "d")
+    # staged: both directions of a match read it
+    return mutual(kept(merged)[0], ratio)
 
 
 def edge_score(ok: Column, inliers: Column, ncc: Column) -> Column:

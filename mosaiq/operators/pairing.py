@@ -20,7 +20,7 @@ from mosaiq.operators.graph import FEW, both_ways, components, kept, looked_up,
 from mosaiq.operators.matching import edge_score
 from mosaiq.operators.reach import anchors
 
-_PAIR = "store string, i int, j int, mode_no int, n_matches int, n_inliers int, h array<double>, pts binary"
+_PAIR = "store string, i int, j int, mode_no int, n_matches int, n_inliers int, h array<double>, pts binary, error string"
 _MODE = "struct<mode_no:int,n_inliers:int,h:array<double>,pts:binary,why:string,ncc:double,overlap:double>"
 
 
@@ -28,18 +28,26 @@ def pixels(data: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(h, w, 3)
 
 
+def fault(e: Exception) -> str:
+    """A kernel's failure as a value: it costs its own row only."""
+    return f"{type(e).__name__}: {e}"[:300]
+
+
 def features(work: DataFrame, kind: str = "rootsift", most: int = 12000) -> DataFrame:
-    """store, idx, n, xy, response, desc: a row per image, its keypoints packed (float64, float64, float32)."""
+    """store, idx, n, xy, response, desc, error: a row per image, its keypoints packed (float64, float64, float32); none where it fails."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             out = []
             for r in df.itertuples(index=False):
-                xy, s, d = detect(pixels(r.bgr, r.h, r.w), kind, most)
-                out.append((r.store, r.idx, len(xy), xy.astype(float).tobytes(), s.astype(float).tobytes(), d.tobytes()))
-            yield pd.DataFrame(out, columns=["store", "idx", "n", "xy", "response", "desc"])
+                try:
+                    xy, s, d = detect(pixels(r.bgr, r.h, r.w), kind, most)
+                    out.append((r.store, r.idx, len(xy), xy.astype(float).tobytes(), s.astype(float).tobytes(), d.tobytes(), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((r.store, r.idx, 0, b"", b"", b"", fault(e)))
+            yield pd.DataFrame(out, columns=["store", "idx", "n", "xy", "response", "desc", "error"])
 
-    return work.select("store", "idx", "h", "w", "bgr").mapInPandas(run, "store string, idx int, n int, xy binary, response binary, desc binary")
+    return work.select("store", "idx", "h", "w", "bgr").mapInPandas(run, "store string, idx int, n int, xy binary, response binary, desc binary, error string")
 
 
 def keypoints(packed: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def matched(a: np.ndarray, b: np.ndarray, ratio: float) -> np.ndarray:
 
 
 def pair_modes(packed: DataFrame, *, ratio: float = 0.85, within: float = 3.0, least: int = 40, most: int = 6) -> DataFrame:
-    """A row per homography that fits matches of two images of a store (i < j); mode_no is -1 if none does.
+    """A row per homography that fits matches of two images of a store (i < j); mode_no is -1 if none does, or if it fails (error).
 
     Each pair of images is one row that meets both packed sides, so keypoints are never
     shuffled one by one and a large store is spread over all tasks. Chance depends on store, i and j alone.
@@ -94,16 +102,19 @@ def pair_modes(packed: DataFrame, *, ratio: float = 0.85, within: float = 3.0, l
         for df in it:
             out = []
             for r in df.itertuples(index=False):
-                m = np.zeros((0, 2), int)
-                if r.n_i > 1 and r.n_j > 1:
-                    m = matched(np.frombuffer(r.d_i, np.float32).reshape(r.n_i, -1), np.frombuffer(r.d_j, np.float32).reshape(r.n_j, -1), ratio)
-                a, b = np.frombuffer(r.xy_i).reshape(-1, 2)[m[:, 0]], np.frombuffer(r.xy_j).reshape(-1, 2)[m[:, 1]]
-                found = fit.modes(a, b, zlib.crc32(f"{r.store}/{r.i}/{r.j}".encode()), most, least, within) if len(m) >= least else []
-                for k, (h, good) in enumerate(found):
-                    out.append((r.store, r.i, r.j, k, len(m), len(good), h.ravel().tolist(), np.concatenate([a[good], b[good]], 1).tobytes()))
-                if not found:
-                    out.append((r.store, r.i, r.j, -1, len(m), 0, None, None))
-            yield pd.DataFrame(out, columns=["store", "i", "j", "mode_no", "n_matches", "n_inliers", "h", "pts"])
+                try:
+                    m = np.zeros((0, 2), int)
+                    if r.n_i > 1 and r.n_j > 1:
+                        m = matched(np.frombuffer(r.d_i, np.float32).reshape(r.n_i, -1), np.frombuffer(r.d_j, np.float32).reshape(r.n_j, -1), ratio)
+                    a, b = np.frombuffer(r.xy_i).reshape(-1, 2)[m[:, 0]], np.frombuffer(r.xy_j).reshape(-1, 2)[m[:, 1]]
+                    found = fit.modes(a, b, zlib.crc32(f"{r.store}/{r.i}/{r.j}".encode()), most, least, within) if len(m) >= least else []
+                    for k, (h, good) in enumerate(found):
+                        out.append((r.store, r.i, r.j, k, len(m), len(good), h.ravel().tolist(), np.concatenate([a[good], b[good]], 1).tobytes(), None))
+                    if not found:
+                        out.append((r.store, r.i, r.j, -1, len(m), 0, None, None, None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((r.store, r.i, r.j, -1, 0, 0, None, None, fault(e)))
+            yield pd.DataFrame(out, columns=["store", "i", "j", "mode_no", "n_matches", "n_inliers", "h", "pts", "error"])
 
     return pairs.join(one, ["store", "i"]).join(two, ["store", "j"]).mapInPandas(run, _PAIR)
 
@@ -114,7 +125,7 @@ def nine(h: str | Column) -> list[Column]:
 
 
 def judged(modes: DataFrame, work: DataFrame, *, gate: bool = True, least: int = 40, min_overlap: float = 0.04, polish: bool = False) -> DataFrame:
-    """store, i, j, n_matches, modes (array): each mode with why ('ok' or its fault), ncc and overlap.
+    """store, i, j, n_matches, modes (array), error: each mode with why ('ok' or its fault), ncc and overlap; no modes where it fails.
 
     The geometric gate is made of columns and comes first; pixels are only compared for modes
     that pass. polish: the best viable mode is moved for a higher correlation, and kept if it has one.
@@ -123,35 +134,42 @@ def judged(modes: DataFrame, work: DataFrame, *, gate: bool = True, least: int =
     why = F.when(F.col("h").isNull(), F.lit(None)).otherwise(implausible(nine("h"), F.col("_w"), F.col("_h")) if gate else F.lit("ok"))
     item = F.struct("mode_no", "n_inliers", "h", "pts", "why", F.lit(0.0).alias("ncc"), F.lit(0.0).alias("overlap"))
     flat = modes.join(size, ["store", "i"]).withColumn("why", why)
-    rows = flat.groupBy("store", "i", "j", "n_matches").agg(F.array_sort(F.collect_list(F.when(F.col("mode_no") >= 0, item))).alias("modes"))
+    rows = flat.groupBy("store", "i", "j", "n_matches").agg(F.array_sort(F.collect_list(F.when(F.col("mode_no") >= 0, item))).alias("modes"), (F.max("error") if "error" in modes.columns else F.lit(None).cast("string")).alias("error"))
     px = work.select("store", "idx", "h", "w", "bgr")
     side = lambda s: px.select("store", F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("h", "w", "bgr")])
 
+    def judge(r) -> list[dict]:
+        a, b, got = pixels(r.bgr_i, r.h_i, r.w_i), pixels(r.bgr_j, r.h_j, r.w_j), []
+        for m in (m.asDict() if hasattr(m, "asDict") else dict(m) for m in r.modes):
+            m["h"] = [float(v) for v in m["h"]]
+            if m["why"] == "ok":
+                m["ncc"], m["overlap"] = correlation(a, b, np.array(m["h"]).reshape(3, 3))
+            got.append(m)
+        fine = [m for m in got if m["why"] == "ok" and m["overlap"] >= min_overlap and m["n_inliers"] >= least]
+        if polish and fine:
+            best = max(fine, key=lambda m: (m["ncc"], -m["mode_no"]))
+            h = fit.polished(a, b, np.array(best["h"]).reshape(3, 3))
+            if h is not None:
+                ncc, overlap = correlation(a, b, h)
+                if ncc > best["ncc"] and overlap >= min_overlap:
+                    best.update(h=h.ravel().tolist(), ncc=ncc, overlap=overlap)
+        return got
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             out = []
             for r in df.itertuples(index=False):
-                a, b, got = pixels(r.bgr_i, r.h_i, r.w_i), pixels(r.bgr_j, r.h_j, r.w_j), []
-                for m in (m.asDict() if hasattr(m, "asDict") else dict(m) for m in r.modes):
-                    m["h"] = [float(v) for v in m["h"]]
-                    if m["why"] == "ok":
-                        m["ncc"], m["overlap"] = correlation(a, b, np.array(m["h"]).reshape(3, 3))
-                    got.append(m)
-                fine = [m for m in got if m["why"] == "ok" and m["overlap"] >= min_overlap and m["n_inliers"] >= least]
-                if polish and fine:
-                    best = max(fine, key=lambda m: (m["ncc"], -m["mode_no"]))
-                    h = fit.polished(a, b, np.array(best["h"]).reshape(3, 3))
-                    if h is not None:
-                        ncc, overlap = correlation(a, b, h)
-                        if ncc > best["ncc"] and overlap >= min_overlap:
-                            best.update(h=h.ravel().tolist(), ncc=ncc, overlap=overlap)
-                out.append((r.store, r.i, r.j, r.n_matches, got))
-            yield pd.DataFrame(out, columns=["store", "i", "j", "n_matches", "modes"])
+                try:
+                    got, error = judge(r), None
+                except Exception as e:  # noqa: BLE001
+                    got, error = [], fault(e)
+                out.append((r.store, r.i, r.j, r.n_matches, got, error))
+            yield pd.DataFrame(out, columns=["store", "i", "j", "n_matches", "modes", "error"])
 
     none = rows.where(F.size("modes") == 0)
     some = rows.where(F.size("modes") > 0).join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]).select("store", "i", "j", "n_matches", "modes", "h_i", "w_i", "bgr_i", "h_j", "w_j", "bgr_j")
-    done = some.mapInPandas(run, f"store string, i int, j int, n_matches int, modes array<{_MODE}>")
-    return done.unionByName(none.select("store", "i", "j", "n_matches", F.col("modes").cast(f"array<{_MODE}>").alias("modes")))
+    done = some.mapInPandas(run, f"store string, i int, j int, n_matches int, modes array<{_MODE}>, error string")
+    return done.unionByName(none.select("store", "i", "j", "n_matches", F.col("modes").cast(f"array<{_MODE}>").alias("modes"), "error"))
 
 
 def accepted(scored: DataFrame, *, least: int = 40, min_ratio: float = 0.1, min_ncc: float = 0.25, min_overlap: float = 0.04) -> DataFrame:
@@ -163,14 +181,16 @@ def accepted(scored: DataFrame, *, least: int = 40, min_ratio: float = 0.1, min_
     viable = lambda m: (m["why"] == "ok") & (m["overlap"] >= min_overlap) & (m["n_inliers"] >= least)
     best = lambda ms: F.reduce(ms, F.element_at(ms, 1), lambda a, m: F.when(m["ncc"] > a["ncc"], m).otherwise(a))
     plausible = F.filter("modes", lambda m: m["why"] == "ok")
-    d = scored.withColumn("_v", F.filter("modes", viable)).withColumn("_p", plausible)
+    held = scored if "error" in scored.columns else scored.withColumn("error", F.lit(None).cast("string"))
+    d = held.withColumn("_v", F.filter("modes", viable)).withColumn("_p", plausible)
     # without a viable one: the first mode (0, if it is implausible), unless a plausible one has a higher correlation
     head = F.element_at("modes", 1)
     tried = F.filter("modes", lambda m: (m["why"] == "ok") | (m["mode_no"] == head["mode_no"]))
     pick = F.when(F.size("_v") > 0, best(F.col("_v"))).when(F.size("modes") > 0, best(tried))
     d = d.withColumn("m", pick).withColumn("inlier_ratio", F.coalesce(F.try_divide(F.col("m.n_inliers").cast("double"), "n_matches"), F.lit(0.0)))
-    fault = (
-        F.when(F.col("n_matches") < least, F.format_string("only %d raw matches", "n_matches"))
+    why = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), "error"))
+        .when(F.col("n_matches") < least, F.format_string("only %d raw matches", "n_matches"))
         .when(F.size("modes") == 0, "no homography with enough inliers")
         .when((F.size("_v") == 0) & (F.col("m.why") != "ok"), F.col("m.why"))
         .when(F.size("_v") == 0, F.format_string("overlap %.3f < %.3f", F.col("m.overlap"), F.lit(min_overlap)))
@@ -178,7 +198,7 @@ def accepted(scored: DataFrame, *, least: int = 40, min_ratio: float = 0.1, min_
         .when(F.col("m.ncc") < min_ncc, F.format_string("ncc %.3f < %.3f", F.col("m.ncc"), F.lit(min_ncc)))
     )
     note = F.when(F.col("m.mode_no") != F.col("_p")[0]["mode_no"], "ncc overruled top-inlier mode").otherwise("")
-    d = d.withColumn("_f", fault).withColumn("ok", F.col("_f").isNull())
+    d = d.withColumn("_f", why).withColumn("ok", F.col("_f").isNull())
     n, ncc = F.coalesce("m.n_inliers", F.lit(0)), F.coalesce("m.ncc", F.lit(0.0))
     return d.select("store", "i", "j", F.col("m.h").alias("h"), "n_matches", n.alias("n_inliers"), "inlier_ratio", F.coalesce("m.overlap", F.lit(0.0)).alias("overlap"), ncc.alias("ncc"), edge_score(F.col("ok"), n, ncc).alias("score"), "ok", F.coalesce("_f", note).alias("reason"), F.col("m.pts").alias("pts"))
 
@@ -217,7 +237,7 @@ def lay_out(nodes: list[int], edges: list[tuple[int, int, np.ndarray, float]]) -
     return placed, anchor, comps
 
 
-_LAYOUT = "store string, idx int, h array<double>, is_anchor boolean, position int, component int, rms_before double, rms_after double"
+_LAYOUT = "store string, idx int, h array<double>, is_anchor boolean, position int, component int, rms_before double, rms_after double, error string"
 
 
 def centroid(h: list[Column], w: Column, ht: Column) -> Column:
@@ -226,9 +246,9 @@ def centroid(h: list[Column], w: Column, ht: Column) -> Column:
 
 
 def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: float = 3.0, most: int = 200, few: int = FEW) -> DataFrame:
-    """store, idx, h, is_anchor, position, component, rms_before, rms_after: a row per image; h and position are null where it isn't placed.
+    """store, idx, h, is_anchor, position, component, rms_before, rms_after, error: a row per image; h and position are null where it isn't placed.
 
-    Stores of up to `most` images are laid out in a task each; larger ones by tables that
+    A store whose layout fails has none of its images placed, and says why in `error`. Stores of up to `most` images are laid out in a task each; larger ones by tables that
     meet in joins (large_layouts), so a store may have any number of images.
     """
     meta = work.select("store", "idx", "h", "w")
@@ -244,11 +264,9 @@ def layouts(work: DataFrame, pairs: DataFrame, *, adjust: bool = True, huber: fl
 def small_layouts(meta: DataFrame, good: DataFrame, *, adjust: bool = True, huber: float = 3.0) -> DataFrame:
     """layouts() of stores that fit into a task each: sizes of a store's images, and points of its accepted pairs."""
 
-    def run(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        cols = ["store", "idx", "h", "is_anchor", "position", "component", "rms_before", "rms_after"]
-        if not len(m):
-            return pd.DataFrame(columns=cols)
-        m, p = m.sort_values("idx"), p.sort_values(["i", "j"])
+    cols = [c.split()[0] for c in _LAYOUT.split(", ")]
+
+    def lay(m: pd.DataFrame, p: pd.DataFrame) -> list[tuple]:
         rows = [(r.i, r.j, np.array(r.h, float).reshape(3, 3), r.score) for r in p.itertuples()]
         h, anchor, comps = lay_out([int(v) for v in m["idx"]], rows)
         stats = {"rms_before": None, "rms_after": None}
@@ -258,7 +276,15 @@ def small_layouts(meta: DataFrame, good: DataFrame, *, adjust: bool = True, hube
         size = {r.idx: (r.h, r.w) for r in m.itertuples()}
         order = sorted(h, key=lambda v: (apply(h[v], frame(*size[v]))[:, 0].mean(), v))
         place, comp = {v: k for k, v in enumerate(order)}, {v: k for k, c in enumerate(comps) for v in c}
-        return pd.DataFrame([(m["store"].iloc[0], v, h[v].ravel().tolist() if v in h else None, v == anchor, place.get(v), comp[v], stats["rms_before"], stats["rms_after"]) for v in m["idx"]], columns=cols).astype({"position": "Int32"})
+        return [(m["store"].iloc[0], v, h[v].ravel().tolist() if v in h else None, v == anchor, place.get(v), comp[v], stats["rms_before"], stats["rms_after"], None) for v in m["idx"]]
+
+    def run(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        m, p = m.sort_values("idx"), p.sort_values(["i", "j"])
+        try:
+            rows = lay(m, p) if len(m) else []
+        except Exception as e:  # noqa: BLE001
+            rows = [(m["store"].iloc[0], v, None, False, None, k, None, None, fault(e)) for k, v in enumerate(m["idx"])]
+        return pd.DataFrame(rows, columns=cols).astype({"position": "Int32"})
 
     return meta.groupBy("store").cogroup(good.groupBy("store")).applyInPandas(run, _LAYOUT)
 
@@ -292,7 +318,7 @@ def large_layouts(meta: DataFrame, good: DataFrame, *, adjust: bool = True, hube
     order, _ = kept(ranked_within(wide.select("store", "node", centroid(nine("h"), F.col("wd"), F.col("ht")).alias("cx")), "store", ["cx", "node"], "position", few).select("node", "position"))
     out = placed.select("node", "store", "idx", "turn").join(moved, "node", "left").join(order, "node", "left")
     out = looked_up(out, ["store"], kept(stats.select("store", "rms_before", "rms_after"))[0], few)
-    return out.select("store", "idx", "h", F.coalesce("fixed", F.lit(False)).alias("is_anchor"), F.col("position").cast("int").alias("position"), F.col("turn").cast("int").alias("component"), "rms_before", "rms_after")
+    return out.select("store", "idx", "h", F.coalesce("fixed", F.lit(False)).alias("is_anchor"), F.col("position").cast("int").alias("position"), F.col("turn").cast("int").alias("component"), "rms_before", "rms_after", F.lit(None).cast("string").alias("error"))
 
 
 def scorable(pairs: DataFrame, layout: DataFrame, keys: tuple[str, ...] = ("store",), n_points: Column | None = None, least: int = 4) -> DataFrame:
@@ -348,19 +374,25 @@ def layout_agreement(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> Da
     return both.join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]).mapInPandas(run, "store string, i int, j int, ncc double, overlap double")
 
 
-def pair_metrics(layout: DataFrame, pairs: DataFrame, work: DataFrame | None = None) -> DataFrame:
-    """store, i, j, n_points, reproj_rms_px, reproj_median_px, overlap_ncc, overlap_frac of scorable pairs under the layout; the last two need `work`, else null."""
-    m = residual_metrics(residuals(layout, pairs), ["store", "i", "j"], "err")
+def pair_metrics(layout: DataFrame, pairs: DataFrame, work: DataFrame | None = None, errors: DataFrame | None = None, agreement: DataFrame | None = None) -> DataFrame:
+    """store, i, j, n_points, reproj_rms_px, reproj_median_px, overlap_ncc, overlap_frac of scorable pairs under the layout; the last two need `work`, else null.
+
+    errors, agreement: residuals() and layout_agreement(), if they are there already.
+    """
+    m = residual_metrics(residuals(layout, pairs) if errors is None else errors, ["store", "i", "j"], "err")
     if work is None:
         more = m.select("store", "i", "j", F.lit(None).cast("double").alias("overlap_ncc"), F.lit(None).cast("double").alias("overlap_frac"))
     else:
-        more = layout_agreement(work, layout, pairs).withColumnsRenamed({"ncc": "overlap_ncc", "overlap": "overlap_frac"})
+        more = (layout_agreement(work, layout, pairs) if agreement is None else agreement).withColumnsRenamed({"ncc": "overlap_ncc", "overlap": "overlap_frac"})
     return m.join(more, ["store", "i", "j"]).select("store", "i", "j", F.col("n").alias("n_points"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), "overlap_ncc", "overlap_frac")
 
 
-def layout_metrics(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row per store: pooled rms, median, p95 of residuals; means and least of pairs' ncc and overlap under the layout; nulls and 0 without pairs."""
-    pooled = residual_metrics(residuals(layout, pairs), ["store"], "err")
-    by_pair = pair_scores(layout_agreement(work, layout, pairs), ["store"])
+def layout_metrics(work: DataFrame, layout: DataFrame, pairs: DataFrame, errors: DataFrame | None = None, agreement: DataFrame | None = None) -> DataFrame:
+    """A row per store: pooled rms, median, p95 of residuals; means and least of pairs' ncc and overlap under the layout; nulls and 0 without pairs.
+
+    errors, agreement: as for pair_metrics().
+    """
+    pooled = residual_metrics(residuals(layout, pairs) if errors is None else errors, ["store"], "err")
+    by_pair = pair_scores(layout_agreement(work, layout, pairs) if agreement is None else agreement, ["store"])
     out = work.select("store").distinct().join(pooled, "store", "left").join(by_pair, "store", "left")
     return out.select("store", F.coalesce("n_pairs_scored", F.lit(0)).alias("n_pairs_scored"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), F.col("p95").alias("reproj_p95_px"), "mean_overlap_ncc", "min_overlap_ncc", "mean_overlap_frac")

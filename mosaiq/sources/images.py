@@ -141,15 +141,18 @@ def from_bytes(spark: SparkSession, files: list[tuple[str, bytes]], folder: str,
 
 
 def work_images(images: DataFrame, most: int = 1600) -> DataFrame:
-    """store, idx, name, full_h, full_w, h, w, scale, bgr: area averages whose longest side is at most `most`."""
+    """store, idx, name, full_h, full_w, h, w, scale, bgr: area averages whose longest side is at most `most`; no pixels where that fails."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             out = []
             for r in df.itertuples(index=False):
-                h, w, s = fitted(r.full_h, r.full_w, most)
-                a = np.frombuffer(r.bgr, np.uint8).reshape(r.full_h, r.full_w, 3)
-                out.append((r.store, r.idx, r.name, r.full_h, r.full_w, h, w, s, (a if s == 1 else resample(a, h, w)).tobytes()))
+                try:
+                    h, w, s = fitted(r.full_h, r.full_w, most)
+                    a = np.frombuffer(r.bgr, np.uint8).reshape(r.full_h, r.full_w, 3)
+                    out.append((r.store, r.idx, r.name, r.full_h, r.full_w, h, w, s, (a if s == 1 else resample(a, h, w)).tobytes()))
+                except Exception:  # noqa: BLE001 - looking for features in no pixels will say so
+                    out.append((r.store, r.idx, r.name, r.full_h, r.full_w, 0, 0, 1.0, b""))
             yield pd.DataFrame(out, columns=["store", "idx", "name", "full_h", "full_w", "h", "w", "scale", "bgr"])
 
     return images.where("bgr IS NOT NULL").select("store", "idx", "name", "full_h", "full_w", "bgr").mapInPandas(run, "store string, idx int, name string, full_h int, full_w int, h int, w int, scale double, bgr binary")

@@ -41,11 +41,10 @@ def best_forest(edges):
     return out
 
 
-GRAPHS = {"sparse": random_graph(1, 80, 90), "dense": random_graph(2, 30, 300), "chain": [(k, k + 1, float(k % 5)) for k in range(70)], "star": [(0, k, 1.0) for k in range(1, 60)] + [(100, 101, 2.0)], "one": [(3, 9, 1.0)]}
+GRAPHS = {"sparse": random_graph(1, 40, 40), "dense": random_graph(2, 30, 300), "chain": [(k, k + 1, float(k % 5)) for k in range(9)], "star": [(0, k, 1.0) for k in range(1, 60)] + [(100, 101, 2.0)], "one": [(3, 9, 1.0)]}
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-@pytest.mark.parametrize("name", ["sparse", "chain"])
+@pytest.mark.parametrize("name,few", [("sparse", 0), ("sparse", 500_000), ("chain", 0)])
 def test_components(spark, name, few):
     edges = GRAPHS[name]
     g = near(edges)
@@ -54,11 +53,10 @@ def test_components(spark, name, few):
     assert got == {k: min(hops(g, k)) if k in g else k for k in range(110)}
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-@pytest.mark.parametrize("name", ["sparse", "dense", "star", "one"])
+@pytest.mark.parametrize("name,few", [("sparse", 0), ("dense", 500_000), ("star", 0), ("one", 500_000)])
 def test_spanning_forest(spark, name, few):
     edges = GRAPHS[name]
-    tree, _ = forest.spanning(spark.createDataFrame(edges, "a long, b long, weight double").repartition(3), few=few, alone=few)
+    tree, _ = forest.spanning(spark.createDataFrame(edges, "a long, b long, weight double").repartition(3), few=few, alone=few if name == "one" else 0)
     assert sorted(map(tuple, tree.collect())) == sorted(best_forest(edges))
 
 
@@ -71,8 +69,7 @@ def test_no_edges(spark):
     assert reach.eccentricities(none.select("a", "b")).collect() == []
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-@pytest.mark.parametrize("name", ["sparse", "chain", "star"])
+@pytest.mark.parametrize("name,few", [("sparse", 0), ("chain", 500_000), ("star", 500_000)])
 def test_homographies_along_the_forest(spark, name, few):
     edges, rng = GRAPHS[name], np.random.default_rng(4)
     nodes = sorted(near(edges))
@@ -95,8 +92,7 @@ def test_homographies_along_the_forest(spark, name, few):
         assert r.node != r.anchor or r.h == forest.ONE
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-@pytest.mark.parametrize("name", ["sparse", "dense", "chain", "star"])
+@pytest.mark.parametrize("name,few", [("sparse", 500_000), ("dense", 0), ("chain", 500_000), ("star", 500_000)])
 def test_eccentricities_and_anchors(spark, name, few):
     edges = GRAPHS[name]
     g = near(edges)
@@ -136,12 +132,11 @@ def worst(got, true):
     return max(np.abs(apply(got[k], corners) - apply(true[k], corners)).max() for k in true)
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_joint_adjustment_over_rows(spark, few):
-    true, pairs, start = scene(2, 3, points=20)
+def test_joint_adjustment_over_rows(spark):
+    true, pairs, start = scene(2, 2, points=20)
     places = spark.createDataFrame([("s", k, (h / h[2, 2]).ravel().tolist(), k == 0) for k, h in start.items()], "store string, node long, h array<double>, fixed boolean")
     rows = spark.createDataFrame([("s", i, j, np.column_stack([a, b]).tobytes(), ncc) for i, j, a, b, ncc in pairs] + [("s", 0, 1, b"", 0.9)], "store string, i long, j long, pts binary, ncc double").repartition(2)
-    out, stats = adjust.adjusted(places, rows, few=few, rounds=8)
+    out, stats = adjust.adjusted(places, rows, rounds=5, tolerance=1e-2)
     got = {r.node: np.array(r.h).reshape(3, 3) for r in out.collect()}
     s = stats.first()
     assert worst(got, true) < 0.5 and (got[0] == np.eye(3)).all() and s.accepted and s.rms_after < 0.1 < s.rms_before
@@ -149,6 +144,21 @@ def test_joint_adjustment_over_rows(spark, few):
     assert worst(local, true) < 0.5
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_a_step_solves_the_whole_system(spark, few):
+    """Blocks of three images beside a dense solution."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(30, 24))
+    full, g, damp = m.T @ m + 3 * np.eye(24), rng.normal(size=24), 0.1
+    diag = [(k, full[8 * k : 8 * k + 8, 8 * k : 8 * k + 8].ravel().tolist(), g[8 * k : 8 * k + 8].tolist()) for k in range(3)]
+    off = [(i, j, full[8 * i : 8 * i + 8, 8 * j : 8 * j + 8].ravel().tolist()) for i in range(3) for j in range(3) if i != j]
+    d, o = graph.kept(spark.createDataFrame(diag, "node long, a array<double>, g array<double>"))[0], graph.kept(spark.createDataFrame(off, "to long, from long, m array<double>"))[0]
+    x, n = adjust.solved(d, o, damp, tolerance=1e-2 if few else 1e-1, few=few)
+    got = np.concatenate([r.x for r in x.orderBy("node").collect()])
+    want = np.linalg.solve(full + damp * np.diag(np.diag(full)), -g)
+    assert 0 < n <= 24 and np.linalg.norm(got - want) < (0.05 if few else 0.5) * np.linalg.norm(want)
+
+
 def test_adjustment_without_pairs_or_gain(spark):
     true, pairs, _ = scene(1, 3)
     places = spark.createDataFrame([("s", k, h.ravel().tolist(), k == 0) for k, h in true.items()], "store string, node long, h array<double>, fixed boolean")
@@ -156,7 +166,7 @@ def test_adjustment_without_pairs_or_gain(spark):
     out, stats = adjust.adjusted(places, none)
     assert {r.node: r.h for r in out.collect()} == {k: h.ravel().tolist() for k, h in true.items()} and stats.collect() == []
     rows = spark.createDataFrame([("s", i, j, np.column_stack([a, b]).tobytes(), ncc) for i, j, a, b, ncc in pairs], none.schema)
-    out, _ = adjust.adjusted(places, rows, rounds=2)
+    out, _ = adjust.adjusted(places, rows, rounds=1)
     assert worst({r.node: np.array(r.h).reshape(3, 3) for r in out.collect()}, true) < 1e-3
 
 

@@ -57,7 +57,7 @@ def test_many_stores_and_exit_code(spark, root, tmp_path):
     assert main(["--data-root", root, "--out", str(tmp_path), "--debug-seams", "--quiet"]) == 2
     rep = json.loads((tmp_path / "store_2_report.json").read_text())["report"]
     assert rep["n_images_used"] == 1 and rep["dropped_images"] == ["y"] and rep["metrics"]["reproj_rms_px"] is None
-    assert (tmp_path / "store_1.jpg").stat().st_size > 1000 and (tmp_path / "store_1_seams.jpg").exists()
+    assert (tmp_path / "store_1_stitched.jpg").stat().st_size > 1000 and (tmp_path / "store_1_seams.jpg").exists()
     assert main(["--data-root", str(tmp_path), "--out", str(tmp_path), "--quiet"]) == 1
 
 
