@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from mosaiq.kernels.raster import blur, grey, inner_distance, sobel
+from mosaiq.kernels.raster import grey, halved, inner_distance, sobel
 
 EXPOSURES, SEAMS, BLENDS = ("blocks", "gain", "none"), ("graphcut", "dp", "voronoi", "none"), ("multiband", "feather", "none")
 
@@ -253,7 +253,7 @@ def blended(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str,
 
 
 def _down(a: np.ndarray) -> np.ndarray:
-    return blur(a, 1.0)[::2, ::2]
+    return halved(a, 1.0)
 
 
 def _up(a: np.ndarray, shape) -> np.ndarray:

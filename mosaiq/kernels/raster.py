@@ -17,19 +17,36 @@ def blur(a: np.ndarray, sigma: float) -> np.ndarray:
     return _along(_along(a.astype(np.float32), k / k.sum(), 0), k / k.sum(), 1)
 
 
-def _along(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
+def _along(a: np.ndarray, k: np.ndarray, axis: int, step: int = 1) -> np.ndarray:
+    """Weighted sums along an axis (of every step-th place), mirrored edges; some rows at a time, so that they stay in the cache."""
     r, n = len(k) // 2, a.shape[axis]
     pad = [(0, 0)] * a.ndim
     pad[axis] = (r, r)
     p = np.pad(a, pad, mode="reflect" if n > r else "edge")
-    cut = [slice(None)] * a.ndim
-    out = np.zeros_like(a)
-    for i, w in enumerate(k):
-        cut[axis] = slice(i, i + n)
-        out += w * p[tuple(cut)]
+    shape = list(a.shape)
+    shape[axis] = -(-n // step)
+    out = np.empty(shape, a.dtype)
+    rows = max(8, (1 << 18) // max(out[:1].nbytes, 1))
+    for y in range(0, len(out), rows):
+        part = out[y : y + rows]
+        one = np.empty_like(part)
+        for i, w in enumerate(k):
+            src = p[y * step + i : (y + len(part) - 1) * step + i + 1 : step] if axis == 0 else p[y : y + len(part), i : i + n : step]
+            if i:
+                np.multiply(src, w, out=one)
+                part += one
+            else:
+                np.multiply(src, w, out=part)
     return out
 
 
+def halved(a: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Every second pixel of blur(), without working the others out."""
+    r = max(1, int(round(3 * sigma)))
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma)).astype(np.float32)
+    return _along(_along(a.astype(np.float32, copy=False), k / k.sum(), 0, 2), k / k.sum(), 1, 2)
+
+
 def sobel(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d, s = np.array([-1, 0, 1], np.float32), np.array([1, 2, 1], np.float32)
     return _along(_along(g, d, 1), s, 0), _along(_along(g, d, 0), s, 1)

@@ -138,10 +138,11 @@ def _moved(alpha: float, beta: float, k: int):
     return run
 
 
-def solved(diag: DataFrame, off: DataFrame, damp: float = 0.0, *, width: int = 8, tolerance: float = 1e-3, most: int = 200, few: int = FEW) -> tuple[DataFrame, int]:
+def solved(diag: DataFrame, off: DataFrame, damp: float = 0.0, *, width: int = 8, tolerance: float = 1e-3, least: float = 0.0, most: int = 200, few: int = FEW) -> tuple[DataFrame, int]:
     """(node, x) with (A + damp * diag A) x = -g, and the iterations it took.
 
     A row stands for `width` unknowns. diag: node, a (width x width), g; off: to, from, m; both staged. A is positive definite.
+    It ends when the preconditioned residual has fallen by `tolerance`, or to `least`.
     """
     spark = diag.sparkSession
     state, path, first = diag.mapInArrow(_start(damp, width), STATE), None, None
@@ -156,7 +157,7 @@ def solved(diag: DataFrame, off: DataFrame, damp: float = 0.0, *, width: int = 8
         if path is not None:
             gone(spark, path)
         path, first = new, first or s.rz
-        if done == most or not s.rz or not s.py > 0 or s.rz <= tolerance**2 * first:
+        if done == most or not s.rz or not s.py > 0 or s.rz <= max(tolerance**2 * first, least):
             return now.select("node", "x"), done
         alpha = s.rz / s.py
         # the next r'z is known from sums that are here already
@@ -164,7 +165,7 @@ def solved(diag: DataFrame, off: DataFrame, damp: float = 0.0, *, width: int = 8
         state = now.mapInArrow(_moved(alpha, beta, width), STATE)
 
 
-def adjusted(places: DataFrame, pairs: DataFrame, *, huber: float = 3.0, most: int = 600, rounds: int = 30, tolerance: float = 1e-3, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+def adjusted(places: DataFrame, pairs: DataFrame, *, huber: float = 3.0, most: int = 600, rounds: int = 30, tolerance: float = 1e-2, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(node, store, h), moved to the least Huber cost of all pairs' transfer errors, and (store, rms_before, rms_after, accepted).
 
     places: store, node, h, fixed (the anchor of each layout); pairs: store, i, j (nodes),
@@ -188,7 +189,10 @@ def adjusted(places: DataFrame, pairs: DataFrame, *, huber: float = 3.0, most: i
         off, off_path = kept(off.join(free.withColumnRenamed("node", "to").hint("merge"), "to").join(free.withColumnRenamed("node", "from").hint("merge"), "from").select("to", "from", "m"))
         gain = None
         for _ in range(8):
-            x, _ = solved(diag, off, damp, tolerance=tolerance, few=few)
+            # a step of this size would gain nothing that can be told from the cost
+            x, took = solved(diag, off, damp, tolerance=tolerance, least=1e-8 * cost + 1e-9, few=few)
+            if not took:
+                break
             step = F.transform(F.arrays_zip("h", F.concat("x", F.array(F.lit(0.0)))), lambda z: z["h"] + z["1"])
             trial, trial_path = kept(here.join(x, "node", "left").select("store", "node", F.when(F.col("x").isNull(), F.col("h")).otherwise(step).alias("h"), "fixed"))
             new, new_path = kept(linearised(points, trial, huber, few))

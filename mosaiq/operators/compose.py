@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from mosaiq.functions.homography import corners, dehomogenised, to_render
 from mosaiq.kernels import blend as B
 from mosaiq.kernels.raster import apply, dilated, eroded, frame, grey, hues, warp
+from mosaiq.operators.graph import dealt
 from mosaiq.operators.pairing import fault, nine, pixels
 from mosaiq.operators.seams import bits_of as _bits, cuts  # noqa: F401
 
@@ -63,7 +64,7 @@ def thumbs(images: DataFrame, plan: DataFrame, seam_scale: float = 0.25) -> Data
             yield pd.DataFrame(out, columns=["store", "idx", "name", "x0", "y0", "h", "w", "bgr", "mask", "error"])
 
     rows = images.select("store", "idx", "full_h", "full_w", "bgr").join(plan, ["store", "idx"])
-    return rows.mapInPandas(run, "store string, idx int, name string, x0 int, y0 int, h int, w int, bgr binary, mask binary, error string")
+    return dealt(rows, "store", "idx").mapInPandas(run, "store string, idx int, name string, x0 int, y0 int, h int, w int, bgr binary, mask binary, error string")
 
 
 def tiles(images: DataFrame, plan: DataFrame, cut: DataFrame, *, blend: str = "multiband", strength: float = 5.0, seam_scale: float = 0.25, tile: int = 1024) -> DataFrame:
@@ -101,7 +102,14 @@ def tiles(images: DataFrame, plan: DataFrame, cut: DataFrame, *, blend: str = "m
             for tx in range(max(x0 - m, 0) // tile, (min(x0 + w + m, r.cw) - 1) // tile + 1):
                 left, top = tx * tile - m, ty * tile - m
                 wide, high = min((tx + 1) * tile, r.cw) + m - left, min((ty + 1) * tile, r.ch) + m - top
-                part, mask = warp(px, h, left, top, high, wide)
+                # what of the window the image can reach, and a rim that the erosion needs
+                a, b = max(y0 - 2, top), min(y0 + hh + 2, top + high)
+                c, d = max(x0 - 2, left), min(x0 + w + 2, left + wide)
+                if a >= b or c >= d:
+                    continue
+                part, mask = np.zeros((high, wide, 3), np.float32), np.zeros((high, wide), bool)
+                inner = (slice(a - top, b - top), slice(c - left, d - left))
+                part[inner], mask[inner] = warp(px, h, c, a, b - a, d - c)
                 mask = eroded(mask, 3)
                 if not mask.any():
                     continue
@@ -132,8 +140,8 @@ def tiles(images: DataFrame, plan: DataFrame, cut: DataFrame, *, blend: str = "m
         return pd.DataFrame([(r.store, y0, x0, out.shape[0], out.shape[1], out.tobytes(), int(covered[m:-m, m:-m].sum()), *box, None)], columns=ends)
 
     rows = images.select("store", "idx", "full_h", "full_w", "bgr").join(plan.drop("name"), ["store", "idx"]).join(cut.where("error IS NULL").drop("name", "error"), ["store", "idx"])
-    flat = rows.mapInPandas(patches, "store string, ty int, tx int, idx int, cw int, ch int, h int, w int, bgr binary, mask binary, weight binary, error string")
-    return flat.groupBy("store", "ty", "tx").applyInPandas(mix, "store string, y0 int, x0 int, h int, w int, bgr binary, covered long, cy0 int, cy1 int, cx0 int, cx1 int, error string")
+    flat = dealt(rows, "store", "idx").mapInPandas(patches, "store string, ty int, tx int, idx int, cw int, ch int, h int, w int, bgr binary, mask binary, weight binary, error string")
+    return dealt(flat, "store", "ty", "tx").groupBy("store", "ty", "tx").applyInPandas(mix, "store string, y0 int, x0 int, h int, w int, bgr binary, covered long, cy0 int, cy1 int, cx0 int, cx1 int, error string")
 
 
 def canvas_statistics(mosaic: DataFrame, plan: DataFrame) -> DataFrame:

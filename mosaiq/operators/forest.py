@@ -135,7 +135,7 @@ def spanning(edges: DataFrame, *, few: int = FEW, alone: int = FEW, placed: bool
         there = looked_up(looked_up(now, ["ca"], end("a"), few), ["cb"], end("b"), few).where("ra <> rb")
         if placed:
             there = there.withColumn("ta", _back("ta")).withColumn("h", _times("h", "ta")).withColumn("h", _times("tb", "h"))
-            nodes, old = kept(looked_up(nodes.withColumnRenamed("root", "ca"), ["ca"], end("a"), few).select("node", F.col("ra").alias("root"), _times("ta", "h").alias("h")))
+            nodes, old = kept(looked_up(nodes.withColumnRenamed("root", "ca"), ["ca"], end("a"), few).select("node", F.coalesce("ra", "ca").alias("root"), F.when(F.col("ra").isNull(), F.col("h")).otherwise(_times("ta", "h")).alias("h")))  # whole trees have no pointers any more
             gone(spark, node_path)
             node_path = old
         # of the edges between two components the best is enough

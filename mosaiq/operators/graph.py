@@ -45,6 +45,11 @@ def gone(spark: SparkSession, path) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows spread over tasks by keys: for few rows of much work each, which Spark would put together by their bytes."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, few: int = FEW) -> DataFrame:
     """rows with what table (staged; one row a key at most) has for them, nulls where it has nothing; keys are never null.
 

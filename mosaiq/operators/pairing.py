@@ -16,7 +16,7 @@ from mosaiq.kernels.raster import apply, correlation, frame
 from mosaiq.operators import adjust as A
 from mosaiq.operators.evaluate import pair_scores, residual_metrics
 from mosaiq.operators.forest import framed, spanning
-from mosaiq.operators.graph import FEW, both_ways, components, kept, looked_up, ranked_within
+from mosaiq.operators.graph import FEW, both_ways, components, dealt, kept, looked_up, ranked_within
 from mosaiq.operators.matching import edge_score
 from mosaiq.operators.reach import anchors
 
@@ -47,7 +47,7 @@ def features(work: DataFrame, kind: str = "rootsift", most: int = 12000) -> Data
                     out.append((r.store, r.idx, 0, b"", b"", b"", fault(e)))
             yield pd.DataFrame(out, columns=["store", "idx", "n", "xy", "response", "desc", "error"])
 
-    return work.select("store", "idx", "h", "w", "bgr").mapInPandas(run, "store string, idx int, n int, xy binary, response binary, desc binary, error string")
+    return dealt(work.select("store", "idx", "h", "w", "bgr"), "store", "idx").mapInPandas(run, "store string, idx int, n int, xy binary, response binary, desc binary, error string")
 
 
 def keypoints(packed: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def pair_modes(packed: DataFrame, *, ratio: float = 0.85, within: float = 3.0, l
                     out.append((r.store, r.i, r.j, -1, 0, 0, None, None, fault(e)))
             yield pd.DataFrame(out, columns=["store", "i", "j", "mode_no", "n_matches", "n_inliers", "h", "pts", "error"])
 
-    return pairs.join(one, ["store", "i"]).join(two, ["store", "j"]).mapInPandas(run, _PAIR)
+    return dealt(pairs.join(one, ["store", "i"]).join(two, ["store", "j"]), "store", "i", "j").mapInPandas(run, _PAIR)
 
 
 def nine(h: str | Column) -> list[Column]:
@@ -168,7 +168,7 @@ def judged(modes: DataFrame, work: DataFrame, *, gate: bool = True, least: int =
 
     none = rows.where(F.size("modes") == 0)
     some = rows.where(F.size("modes") > 0).join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]).select("store", "i", "j", "n_matches", "modes", "h_i", "w_i", "bgr_i", "h_j", "w_j", "bgr_j")
-    done = some.mapInPandas(run, f"store string, i int, j int, n_matches int, modes array<{_MODE}>, error string")
+    done = dealt(some, "store", "i", "j").mapInPandas(run, f"store string, i int, j int, n_matches int, modes array<{_MODE}>, error string")
     return done.unionByName(none.select("store", "i", "j", "n_matches", F.col("modes").cast(f"array<{_MODE}>").alias("modes"), "error"))
 
 
@@ -371,7 +371,7 @@ def layout_agreement(work: DataFrame, layout: DataFrame, pairs: DataFrame) -> Da
             yield pd.DataFrame(out, columns=["store", "i", "j", "ncc", "overlap"])
 
     both = scorable(pairs, layout).select("store", "i", "j", F.array(*transfer(nine("h_i"), nine("h_j"))).alias("h"))
-    return both.join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]).mapInPandas(run, "store string, i int, j int, ncc double, overlap double")
+    return dealt(both.join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"]), "store", "i", "j").mapInPandas(run, "store string, i int, j int, ncc double, overlap double")
 
 
 def pair_metrics(layout: DataFrame, pairs: DataFrame, work: DataFrame | None = None, errors: DataFrame | None = None, agreement: DataFrame | None = None) -> DataFrame:

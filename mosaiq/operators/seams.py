@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mosaiq.kernels import blend as B
 from mosaiq.operators.adjust import _summed, solved
-from mosaiq.operators.graph import FEW, kept, looked_up, numbered
+from mosaiq.operators.graph import FEW, dealt, kept, looked_up, numbered
 from mosaiq.operators.pairing import fault, pixels
 
 #: Pixels of a coarse cell's side, and of a tile's, at the seams' scale.
@@ -41,7 +41,7 @@ def near_pairs(small: DataFrame, cell: int = CELL) -> DataFrame:
 def _both(pairs: DataFrame, small: DataFrame, more: list[str]) -> DataFrame:
     side = lambda s: small.select("store", F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("x0", "y0", "h", "w", *more)])
     both = pairs.join(side("i"), ["store", "i"]).join(side("j"), ["store", "j"])
-    return both.repartition(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), "store", "i", "j")  # a pair's pixels are much work, and pairs are few
+    return dealt(both, "store", "i", "j")
 
 
 def _piece(r, s: str) -> B.Piece:
