@@ -291,9 +291,9 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 2, keep: str = "first", id_co
     lines = met(lines, "key", drops.select("key", "first_id", "first_line"), lines.count()).where("first_id is not null")
     if keep == "first":
         lines = lines.where("not (id = first_id and line = first_line)")
-    lines = lines.groupBy("id", "mark").agg(F.collect_set("line").alias("drop"))
+    lines = staged(lines.groupBy("id", "mark").agg(F.collect_set("line").alias("drop")), "dropped_lines")
     marked = held.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(lines, ["id", "mark"], "left").select("row", "text", "drop").mapInArrow(apply_joined, schema)
+    return met(marked, ["id", "mark"], lines, docs.count()).select("row", "text", "drop").mapInArrow(apply_joined, schema)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -302,10 +302,11 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Rows that repeat are documents of their own, so lines belong to a row's number.
 OP8_SQL = r"""
-WITH l AS (SELECT doc_id, i, x[i] AS line, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
- FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
-r AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(r.k)::BIGINT AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.k IS NULL), '')) AS kept_sha256
-FROM l LEFT JOIN r ON l.k = r.k GROUP BY l.doc_id
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT k, doc_id, i, x[i] AS line, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT k, doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)),
+r AS (SELECT w FROM l WHERE w <> '' GROUP BY w HAVING count(DISTINCT k) >= 10)
+SELECT any_value(l.doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(r.w)::BIGINT AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.w IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN r ON l.w = r.w GROUP BY l.k
 """

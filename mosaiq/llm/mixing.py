@@ -117,7 +117,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     named, n = sources.select(name, *[c for c in sources.columns if c != "source"]), sources.count()
     rows = sizes.select("*", name)
     rows = rows.join(F.broadcast(named), "name") if n <= 100_000 else met(rows, "name", named, sizes.count())
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(back(F.col("id")).cast("string"), F.lit("null"))).cast("binary"))
+    # rows without an id come last, by a hash of the row (after all hexadecimal digits), so they are not one bucket
+    told = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
+    key = F.when(F.col("id") == NULL_ID, F.concat(F.lit("g"), told(F.col("tie")))).otherwise(told(F.col("id")))
     rows = rows.drop("name").withColumn("key", key).withColumn("bucket", F.substring("key", 1, 4))
     bases = _bases(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "bucket", F.substring("bucket", 1, 2))
     before = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("key", "id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
@@ -136,18 +138,23 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them: a row stands for each pass that takes over half of its words.
 
-    Whole documents, so a source is off its target by half a document at most. Each
-    partition's rows are in the order of their first slots; a document's partition is
-    chance, so each partition is a thinned schedule.
+    Whole documents, so a source is off its target by half a document at most. Rows are in
+    the order of their first slots: partitions are ranges of slots, one after the other, so
+    each is a run of the schedule, and a file that is written of it has the mix's shares.
+    Null ids, texts and sources, repeats and empty tables are as for mix().
     """
     m = mix(docs, **options)
     passes = m.segments.groupBy("sid", "begin", "id", "tie", "size", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"), F.min("slot").alias("slot")).where("2 * n > size")
     passes = passes.select(F.coalesce("id", F.lit(NULL_ID)).alias("_id"), F.col("tie").alias("_tie"), "slot")
+    slots = staged(passes.groupBy("_id", "_tie").agg(F.collect_list("slot").alias("_slots")), "slots")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(options.get("id_col", "doc_id")).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(*columns).alias("_tie"))
+    total = m.documents.count()
     if m.documents.groupBy("id", "tie").count().where("count > 1").limit(1).count():  # rows alike in all columns: one stands for all
         held = held.dropDuplicates(["_id", "_tie"])
-    return held.join(passes, ["_id", "_tie"]).sortWithinPartitions("slot").select("row.*")
+    taken = met(held, ["_id", "_tie"], slots, total).select("row", F.explode("_slots").alias("_slot"))
+    n = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return taken.repartitionByRange(n, "_slot").sortWithinPartitions("_slot").select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +178,7 @@ g AS (SELECT t, t % 2147483648 * 1327217885 % 2147483648 AS u FROM (SELECT unnes
 j AS (SELECT sid, need, t, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS rank FROM g JOIN l ON u >= lo AND u < hi),
 h AS (SELECT sid, rank, row_number() OVER (ORDER BY t) - 1 AS slot FROM j WHERE rank < need),
 p AS (SELECT d.doc_id, d.size, a.sid, a.b, a.source_size, a.target, a.take AS given,
- (sum(d.size) OVER (PARTITION BY a.sid ORDER BY md5('1:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS x FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+ (sum(d.size) OVER (PARTITION BY a.sid ORDER BY coalesce(md5('1:' || d.doc_id::VARCHAR), 'g'), d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS x FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 q AS (SELECT *, greatest(0, least(x + size, given) - x) AS one, greatest(0, least(x + source_size + size, given) - x - source_size) AS two FROM p)
 SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken, h.slot AS first_slot,
  (CASE WHEN one > 0 THEN (x + one - 1) // b - x // b + 1 ELSE 0 END + CASE WHEN two > 0 THEN (x + source_size + two - 1) // b - (x + source_size) // b + 1 ELSE 0 END)::BIGINT AS n_pieces

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from mosaiq.llm.shared import NULL_ID, WordHash, back, components, groups, keyed, mixed, staged
+from mosaiq.llm.shared import NULL_ID, WordHash, back, components, groups, keyed, met, mixed, staged
 from mosaiq.llm.tiles import tiled
 
 TILE, DENSE = 2048, 8
@@ -225,8 +225,28 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     sets and link with nothing. Rows that share an id count as one document: a link of
     one is a link of all; null ids are one document, listed with the smallest other id
     reachable, or null. Rows with equal sets are one class. An empty table: no rows.
+
+    Where ids repeat, rows are numbered first and linked by their numbers, so that rows of
+    one id are dealt over tiles like others.
     """
     rows = keyed(docs, id_col, text_col)
+    if not rows.groupBy("id").count().where("count > 1").limit(1).count():
+        out = _linked(rows, words, percent)
+        return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.col("root")).alias("component_id"))
+    # by id and a hash of the text, then by row: a staged number that ascends with ids
+    held = rows.select("id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    numbered = staged(held.orderBy("id", "_hash", "_at").select(F.monotonically_increasing_id().alias("_n"), "id", "text"), "numbered_rows")
+    linked = staged(_linked(numbered.select(F.col("_n").alias("id"), "text"), words, percent), "linked_rows")
+    every, total = numbered.select(F.col("_n").alias("id"), F.col("id").alias("doc")), numbered.count()
+    linked = staged(linked.join(every.hint("merge"), "id"), "linked_documents")
+    tops = staged(linked.select(F.col("root").alias("id")).distinct().join(every.hint("merge"), "id").select(F.col("id").alias("root"), F.col("doc").alias("top")), "roots")
+    known = staged(met(linked, "root", tops, total).select("doc", "n", "top"), "known_documents")
+    roots = staged(components(known.where("doc <> top").select(F.col("doc").alias("a"), F.col("top").alias("b")), "documents").select(F.col("node").alias("doc"), "root"), "document_roots")
+    return met(known, "doc", roots, total).select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "doc")).alias("component_id"))
+
+
+def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, n, root: the size of each row's set, and the smallest id reachable; rows: id (each once), text."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, columns, seen = WordHash(), Columns(percent), {}
@@ -257,7 +277,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     hubs = posts.withColumn("hub", F.min("id").over(W.partitionBy("digest"))).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     hubs = hubs.unionByName(sets.select(F.col("id").alias("a"), F.explode("near").alias("b")))
     blocks = components(hubs, "blocks").select(F.col("node").alias("id"), F.col("root").alias("grp"))
-    # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones; an id with rows of several sizes is in several
+    # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(percent, 99) * 1.000001))).cast("int")
     sizes = sets.where("n > 0 and same is null").select("id", band.alias("band")).distinct()
     members = staged(blocks.join(sizes.hint("merge"), "id").select("id", "grp", "band"), "members")
@@ -277,7 +297,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     links = staged(found, "links").unionByName(sets.where("same is not null").select(F.col("id").alias("a"), F.col("same").alias("b")))
     roots = components(links, "linked")
     out = sets.select("id", "n").join(roots, sets["id"] == roots["node"], "left")
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "id")).alias("component_id"))
+    return out.select("id", "n", F.coalesce("root", "id").alias("root"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
