@@ -162,6 +162,12 @@ def restore(data: bytes) -> tuple[bytes, str]:
 
 
 def op5_ogg(spark, sf_dir: str) -> DataFrame:
+    """Each text, padded, as Ogg media and what is read back of it.
+
+    Null and empty texts are 192 spaces; null ids stay null; rows that repeat have a row
+    each, with equal values. A task holds one text and its media at a time; an empty table
+    gives no rows.
+    """
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

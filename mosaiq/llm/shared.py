@@ -87,7 +87,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) only: null ids become NULL_ID, null texts empty. Other columns can't clash."""
+    """(id, text) only: null ids become NULL_ID (2**63 - 1, which no row may have itself), null texts empty. Other columns can't clash."""
     small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

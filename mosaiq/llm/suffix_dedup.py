@@ -42,8 +42,8 @@ from mosaiq.llm.shared import FEW, back, keyed, met, mixed, remove, stage, stage
 
 SEED, HALF = 16, 32
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Text a batch of work holds, and text that a partition of pairs stands for; partitions at most.
-WORK, BUCKET, MOST = 1 << 20, 16 << 20, 16_384
+#: Text a batch of work holds (so that what is worked out of it stays in the cache), and text that a partition of pairs stands for; partitions at most.
+WORK, BUCKET, MOST = 1 << 17, 16 << 20, 16_384
 #: Positions of one rank whose windows are compared in memory at most; rows that are worked on at once.
 CLASS, CHUNK = 50_000, 1 << 16
 #: Rows of a run of one document id that are held back at most.
@@ -51,13 +51,14 @@ PENDING = 1 << 20
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as an integer (zeros past the end)."""
+    """The 8 bytes from each position as an integer (zeros past the end): a view that overlaps itself, byte by byte."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    out = np.empty(len(data) + 8, np.uint64)
-    for i in range(8):
-        part = padded[i : i + (len(padded) - i) // 8 * 8].view("<u8")
-        out[i::8] = part[: len(out[i::8])]
-    return out[: len(data)]
+    return np.ndarray(len(data), "<u8", padded, 0, (1,))
+
+
+def _order(w: np.ndarray) -> np.ndarray:
+    """What anchors are the least of."""
+    return ((w * M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -78,7 +79,7 @@ def anchors(w: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     n, span = len(w), length - SEED + 1
     if n < length:
         return (np.zeros(0, np.int64),) * 3
-    order = ((w * M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    order = _order(w)
     # the place itself in the low bits would not be the same in other texts: ties go to the first place of a window
     least = _sliding(order, span, np.minimum)[: n - length + 1]
     starts = np.concatenate([[0], ends[:-1]])
@@ -106,6 +107,19 @@ def anchors(w: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
     return owner[cut], s[cut], s[np.r_[cut[1:] - 1, len(s) - 1]] if len(s) else s
 
 
+def owned(w: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last window start that each of some anchors x owns, as anchors() gives them, from what lies around x alone."""
+    span = length - SEED + 1
+    own, lo, hi = _order(w[x]), np.maximum(x - span + 1, begin), np.minimum(x, end - length)
+    for d in range(1, span):
+        j = x - d
+        # an equal or lesser place before it takes the windows that hold both, and a lesser one behind it
+        np.maximum(lo, j + 1, out=lo, where=(j >= begin) & (_order(w[np.maximum(j, 0)]) <= own))
+        j = x + d
+        np.minimum(hi, j - span, out=hi, where=(j < end) & (_order(w[np.minimum(j, len(w) - 1)]) < own))
+    return lo, hi
+
+
 def _work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of about WORK bytes, with their bytes and the texts' ends."""
     data, offsets = text_bytes(batch.column("text"))
@@ -455,22 +469,19 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
         """What rounds 2 and 3 left: rank of 32 bytes, how many bytes of a window lie before these, `over` bytes on both sides, place of the 32 bytes."""
         for batch in batches:
             for part, data, ends in _work(batch):
-                begins = np.r_[0, ends[:-1]]
-                at, lo, hi = anchors(words_at(data), ends, length)
+                begins, w = np.r_[0, ends[:-1]], words_at(data)
                 row, pos, _ = _listed(part.column("repeat"), 0)
-                gone = np.isin(at, pos + begins[row])
-                at, lo, hi = at[~gone], lo[~gone], hi[~gone]
+                gone = pos + begins[row]
                 padded = np.concatenate([np.zeros(over, np.uint8), data, np.zeros(HALF + over, np.uint8)])
                 # to the right of the anchor: windows that start `over` or fewer bytes before it; the others cover the 32 bytes from 16 before it
                 for c, back_ in (("right", 0), ("left", SEED)):
                     row, x, val = _listed(part.column(c), 3 if c == "right" else 1)
                     x = x + begins[row]
-                    k = np.searchsorted(at, x)
-                    k[k == len(at)] = 0
-                    ok = at[k] == x if len(at) else np.zeros(len(x), bool)
-                    x, row, val, k = x[ok], row[ok], val[ok], k[ok]
-                    start, most = x - back_, np.minimum(x - lo[k], over if c == "right" else length)
-                    least = np.maximum(x - hi[k], 0 if c == "right" else over + 1)
+                    ok = ~np.isin(x, gone)
+                    x, row, val = x[ok], row[ok], val[ok]
+                    lo, hi = owned(w, x, begins[row], ends[row], length)
+                    start, most = x - back_, np.minimum(x - lo, over if c == "right" else length)
+                    least = np.maximum(x - hi, 0 if c == "right" else over + 1)
                     ok = least <= most
                     x, row, val, start, least, most = x[ok], row[ok], val[ok], start[ok], least[ok] - back_, most[ok] - back_
                     if len(x):
@@ -505,10 +516,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                 gone = np.zeros(len(data) + 1, np.int32)
                 row, pos, _ = _listed(part.column("repeat"), 0)
                 if len(pos):
-                    at, lo, hi = anchors(words_at(data), ends, length)
-                    k = np.isin(at, pos + begins[row])
-                    np.add.at(gone, lo[k], 1)
-                    np.add.at(gone, hi[k] + length, -1)
+                    lo, hi = owned(words_at(data), pos + begins[row], begins[row], ends[row], length)
+                    np.add.at(gone, lo, 1)
+                    np.add.at(gone, hi + length, -1)
                 row, pos, _ = _listed(part.column("start"), 0)
                 s = pos + begins[row]
                 np.add.at(gone, s, 1)
