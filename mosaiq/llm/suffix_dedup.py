@@ -70,45 +70,28 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(x[: len(x) - (w - done)], x[w - done :]) if w > done else x
 
 
-def anchors(w: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts laid end to end (ends: each one's end): places, and the first and last window start that has each.
+def anchors(w: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Anchors of texts laid end to end (ends: each one's end): the places that are least in a window; windows do not cross texts.
 
-    A window start is owned by its first least place; windows do not cross texts. A
-    start belongs to one anchor, and an anchor to the run of starts that it owns.
+    A window start is owned by its first least place (owned() tells which); of equal places
+    one may own none.
     """
     n, span = len(w), length - SEED + 1
     if n < length:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64)
     order = _order(w)
     # the place itself in the low bits would not be the same in other texts: ties go to the first place of a window
-    least = _sliding(order, span, np.minimum)[: n - length + 1]
-    starts = np.concatenate([[0], ends[:-1]])
-    bad = np.zeros(n + 1, np.int32)
-    np.add.at(bad, np.maximum(starts, ends - length + 1), 1)
-    np.add.at(bad, ends, -1)
-    ok = np.cumsum(bad[: n - length + 1]) == 0
-    # places that are least in one window at least
-    top = np.where(ok, least, 0)
+    top = _sliding(order, span, np.minimum)[: n - length + 1]
+    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):  # of windows that cross an end
+        top[max(a, b - length + 1) : b] = 0
     pad = np.zeros(span - 1, np.uint32)
     most = _sliding(np.concatenate([pad, top, pad]), span, np.maximum)
-    hit = np.zeros(n, bool)
     m = min(len(most), n)
-    hit[:m] = (most[:m] == order[:m]) & (most[:m] > 0)
-    places = np.flatnonzero(hit)
-    # the owner of a window: the first place from its start that has its least value
-    s = np.flatnonzero(ok)
-    k = np.searchsorted(places, s)
-    wrong = np.flatnonzero(order[places[np.minimum(k, len(places) - 1)]] != least[s]) if len(places) else s
-    while len(wrong):
-        k[wrong] += 1
-        wrong = wrong[order[places[k[wrong]]] != least[s[wrong]]]
-    owner = places[k]
-    cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    return owner[cut], s[cut], s[np.r_[cut[1:] - 1, len(s) - 1]] if len(s) else s
+    return np.flatnonzero((most[:m] == order[:m]) & (most[:m] > 0))
 
 
 def owned(w: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first and last window start that each of some anchors x owns, as anchors() gives them, from what lies around x alone."""
+    """The first and last window start that each of some anchors x owns, from what lies around x alone; the last is before the first if there is none."""
     span = length - SEED + 1
     own, lo, hi = _order(w[x]), np.maximum(x - span + 1, begin), np.minimum(x, end - length)
     for d in range(1, span):
@@ -419,7 +402,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
         for batch in batches:
             for part, data, ends in _work(batch):
                 w = words_at(data)
-                at, _, _ = anchors(w, ends, length)
+                at = anchors(w, ends, length)
                 if len(at):
                     row = np.searchsorted(ends, at, "right")
                     yield _batch(["a", "b", "id", "mark", "pos"], w[at].view(np.int64), w[at + 8].view(np.int64), part.column("id").to_numpy()[row], part.column("mark").to_numpy()[row], (at - np.r_[0, ends[:-1]][row]).astype(np.int32))
@@ -517,6 +500,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, most: int = CLASS, id_c
                 row, pos, _ = _listed(part.column("repeat"), 0)
                 if len(pos):
                     lo, hi = owned(words_at(data), pos + begins[row], begins[row], ends[row], length)
+                    lo, hi = lo[lo <= hi], hi[lo <= hi]
                     np.add.at(gone, lo, 1)
                     np.add.at(gone, hi + length, -1)
                 row, pos, _ = _listed(part.column("start"), 0)
