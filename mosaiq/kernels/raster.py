@@ -167,7 +167,7 @@ def inner_distance(mask: np.ndarray) -> np.ndarray:
 def correlation(a: np.ndarray, b: np.ndarray, h: np.ndarray, least: int = 2000) -> tuple[float, float]:
     """Correlation of gradient magnitudes of a (warped by h) and b, and the share of b's frame that a covers.
 
-    Fewer than `least` common pixels, or no variance: correlation 0.
+    Fixed: the widths of the blur and of the rim, and the least numbers of pixels. Fewer than `least` common pixels, or no variance: correlation 0.
     """
     hh, ww = b.shape[:2]
     if not np.isfinite(h).all() or abs(np.linalg.det(h)) < 1e-12:

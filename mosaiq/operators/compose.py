@@ -47,6 +47,36 @@ def _region(h: np.ndarray, size: tuple[int, int], cw: int, ch: int) -> tuple[int
     return (int(x0), int(y0), int(x1 - x0), int(y1 - y0)) if x1 > x0 and y1 > y0 else (0, 0, 1, 1)
 
 
+def from_work(h: list, scale) -> list:
+    """From work pixels to the canvas, of a homography from full pixels to the canvas: each is `scale` of a full pixel."""
+    return [F.try_divide(v, scale) if k % 3 < 2 else v for k, v in enumerate(h)]
+
+
+def work_canvas(work: DataFrame, layout: DataFrame, render_scale: float = 1.0, most_mp: float = 60.0) -> DataFrame:
+    """canvas() with hr from work pixels, for previews that are made of the work images."""
+    plan = canvas(work, layout, render_scale, most_mp)
+    rows = plan.join(work.select("store", "idx", "scale"), ["store", "idx"])
+    return rows.withColumn("hr", F.array(*from_work(nine("hr"), F.col("scale")))).select(plan.columns)
+
+
+def warped(images: DataFrame, plan: DataFrame, tile: int = 1024) -> DataFrame:
+    """store, idx, y0, x0, h, w, bgr, mask (bits): each image on the whole canvas, in the tiles that it reaches; images: h, w, bgr."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            for r in df.itertuples(index=False):
+                h, px = np.array(r.hr).reshape(3, 3), pixels(r.bgr, r.ih, r.iw)
+                x0, y0, w, hh = _region(h, (r.ih, r.iw), r.cw, r.ch)
+                for y in range(y0 // tile * tile, y0 + hh, tile):
+                    for x in range(x0 // tile * tile, x0 + w, tile):
+                        part, mask = warp(px, h, x, y, min(tile, r.ch - y), min(tile, r.cw - x))
+                        if mask.any():
+                            yield pd.DataFrame([(r.store, r.idx, y, x, *mask.shape, np.rint(part).astype(np.uint8).tobytes(), np.packbits(mask).tobytes())], columns=["store", "idx", "y0", "x0", "h", "w", "bgr", "mask"])
+
+    rows = images.select("store", "idx", F.col("h").alias("ih"), F.col("w").alias("iw"), "bgr").join(plan.drop("name"), ["store", "idx"])
+    return dealt(rows, "store", "idx").mapInPandas(run, "store string, idx int, y0 int, x0 int, h int, w int, bgr binary, mask binary")
+
+
 def thumbs(images: DataFrame, plan: DataFrame, seam_scale: float = 0.25) -> DataFrame:
     """store, idx, name, x0, y0, h, w, bgr, mask, error: each placed image warped onto the canvas at seam_scale; no pixels where that fails."""
 

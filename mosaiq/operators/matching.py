@@ -146,7 +146,7 @@ def rescue_reason(n_confident: Column, n_inliers: Column, fault: Column, overlap
     fault: why its homography is implausible, 'ok' if it isn't, null if there is none.
     """
     ratio = F.try_divide(n_inliers.cast("double"), n_confident.cast("double"))
-    why = (
+    why = (  # fixed values: what reports say
         F.when(n_confident < min_inliers, F.format_string("only %d confident matches", n_confident))
         .when(fault.isNull(), "no model")
         .when(fault != "ok", fault)
@@ -184,6 +184,7 @@ def marked_modes(modes: DataFrame, keys: list[str], mode: str, ncc: str, good: f
     w = W.partitionBy(*keys)
     first = F.col(mode) == F.min(mode).over(w)
     best = F.row_number().over(w.orderBy(F.col(ncc).desc(), F.col(mode))) == 1
+    # fixed values: what listings say
     mark = F.concat(F.when(first, " [top-inliers]").otherwise(""), F.when(best & (F.col(ncc) > good), " [best-ncc]").otherwise(""))
     return modes.withColumn("mark", mark)
 

@@ -62,11 +62,19 @@ def _two(q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
     return near, far
 
 
-def forest_matches(features: DataFrame, ratio: float, *, trees: int = 5, checks: int = 64, leaf: int = 16, block: int = 4096, seed: int = 0) -> DataFrame:
-    """As mutual_matches(), but nearest neighbours are looked for among about `checks` rows a block, not all of them.
+def forest_matches(features: DataFrame, ratio: float, **options) -> DataFrame:
+    """As mutual_matches(), but nearest neighbours are looked for by forest_nearest(), not among all rows.
 
     A match may be missed, or let through because its second nearest was not seen; distances
-    that are given are exact. Trees hang on the seed, the group and its rows alone.
+    that are given are exact.
+    """
+    return mutual(forest_nearest(features, **options), ratio)
+
+
+def forest_nearest(features: DataFrame, *, trees: int = 5, checks: int = 64, leaf: int = 16, block: int = 4096, seed: int = 0) -> DataFrame:
+    """grp_i, grp_j, back, id, best, d, second, looked_at: of each row of a group (grp_j's, if back) the nearest two rows of the other that a forest finds among about `checks` a block; staged.
+
+    looked_at: how many distances it took. Trees hang on the seed, the group and its rows alone.
     """
     packed, packed_at = kept(blocks_of(features, block))
     kind = packed.schema["store"].dataType.simpleString()
@@ -130,6 +138,4 @@ def forest_matches(features: DataFrame, ratio: float, *, trees: int = 5, checks:
     merged, merged_at = kept(merged.select("grp_i", "grp_j", "back", "id", F.col("near")[0]["i"].alias("best"), F.col("near")[0]["d"].alias("d"), F.coalesce(F.try_element_at("near", F.lit(2))["d"], F.lit(float("inf"))).alias("second"), "looked_at"))
     gone(spark, packed_at)
     gone(spark, index_at)
-    out = mutual(merged, ratio)
-    out.looked_at = merged  # how many distances each query took, for whoever wants to know
-    return out
+    return merged

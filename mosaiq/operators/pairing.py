@@ -14,7 +14,7 @@ from mosaiq.kernels import fit
 from mosaiq.kernels.detect import detect
 from mosaiq.kernels.raster import apply, correlation, frame
 from mosaiq.operators import adjust as A
-from mosaiq.operators.evaluate import pair_scores, residual_metrics
+from mosaiq.operators.evaluate import pair_scores, residual_metrics, residual_metrics_of_any_size
 from mosaiq.operators.forest import framed, spanning
 from mosaiq.operators.graph import FEW, both_ways, components, dealt, kept, looked_up, ranked_within
 from mosaiq.operators.matching import edge_score
@@ -392,7 +392,7 @@ def layout_metrics(work: DataFrame, layout: DataFrame, pairs: DataFrame, errors:
 
     errors, agreement: as for pair_metrics().
     """
-    pooled = residual_metrics(residuals(layout, pairs) if errors is None else errors, ["store"], "err")
+    pooled = residual_metrics(residuals(layout, pairs), ["store"], "err") if errors is None else residual_metrics_of_any_size(errors, ["store"], "err")
     by_pair = pair_scores(layout_agreement(work, layout, pairs) if agreement is None else agreement, ["store"])
     out = work.select("store").distinct().join(pooled, "store", "left").join(by_pair, "store", "left")
     return out.select("store", F.coalesce("n_pairs_scored", F.lit(0)).alias("n_pairs_scored"), F.col("rms").alias("reproj_rms_px"), F.col("median").alias("reproj_median_px"), F.col("p95").alias("reproj_p95_px"), "mean_overlap_ncc", "min_overlap_ncc", "mean_overlap_frac")

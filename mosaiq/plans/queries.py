@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from mosaiq.functions.homography import corners, dehomogenised, implausible, inverse, product, rescaled, to_render
-from mosaiq.operators.evaluate import area_ratio, content_box, coverage, guarded_correlation, local_agreement, local_summary, overlap_fraction, pair_scores as scores_of_pairs, pooled_errors as pooled, residual_metrics
+from mosaiq.operators.compose import from_work
+from mosaiq.operators.evaluate import area_ratio, content_box, coverage, guarded_correlation, local_agreement, local_summary, overlap_fraction, pair_scores as scores_of_pairs, pooled_errors as pooled, quantiles, residual_metrics
 from mosaiq.operators.forest import framed, spanning
 from mosaiq.operators.graph import both_ways, components, kept, looked_up, ranked, ranked_within
 from mosaiq.operators.matching import acceptance, best_effort, best_mode, confident, demo_pair, edge_score, enumerated, gathered, grid_sample, marked_modes, mutual_matches, replaced, rescue_reason, root_normalised, sampled, viable
+from mosaiq.operators.neighbours import forest_matches
 from mosaiq.operators.pairing import all_residuals, centroid, scorable, transfer
 from mosaiq.operators.reach import anchors, eccentricities
 from mosaiq.sources.images import by_short_name
@@ -64,6 +66,16 @@ def knn_ratio_mutual(spark, sf):
     return m.withColumn("d", r6("d"))
 
 
+def knn_forest(spark, sf):
+    """The matches of knn_ratio_mutual that a forest of k-d trees finds: no SQL says which leaves it looks into (tests hold its recall)."""
+    e = table(spark, sf, "embeddings").where("label is not null and embedding is not null")
+    m = forest_matches(e.select(F.col("label").cast("long").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("desc")), 0.95)
+    return m.withColumn("d", r6("d"))
+
+
+QUERIES["knn_forest"] = knn_forest
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings), p AS (SELECT vec_id, list_sum(v) + 1e-7 AS s, v, unnest(range(1, len(v) + 1)) AS k FROM e)
 SELECT vec_id, (k - 1)::INT AS pos, round(sqrt(v[k] / s), 6) AS value FROM p""")
 def root_normalise(spark, sf):
@@ -292,6 +304,16 @@ def layout_metrics(spark, sf):
     return residual_metrics(e, ["l_returnflag"], "x").select("l_returnflag", "n", *[F.round(c, 3).alias(c) for c in ("rms", "median", "p95")])
 
 
+@query("""WITH e AS (SELECT l_returnflag, l_linestatus, l_extendedprice * (1 - l_discount) - 30000 AS x FROM lineitem), q AS (SELECT unnest([0.0, 0.05, 0.5, 0.95, 1.0])::DOUBLE AS share),
+g AS (SELECT l_returnflag, l_linestatus, list(x ORDER BY x) AS v FROM e GROUP BY ALL), k AS (SELECT *, share * (len(v) - 1) AS r FROM g, q)
+SELECT l_returnflag, l_linestatus, share, round(v[floor(r)::BIGINT + 1] + (v[ceil(r)::BIGINT + 1] - v[floor(r)::BIGINT + 1]) * (r - floor(r)), 4) AS quantile FROM k""")
+def rank_quantiles(spark, sf):
+    """Quantiles of a few very large groups, by passes of counts: no task holds a group's values."""
+    e = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000).alias("x"))
+    q = quantiles(e, ["l_returnflag", "l_linestatus"], "x", [0.0, 0.05, 0.5, 0.95, 1.0])
+    return q.withColumn("quantile", F.round("quantile", 4))
+
+
 @query("""WITH e AS (SELECT l_returnflag, l_linestatus, l_quantity * l_discount AS x FROM lineitem), g AS (SELECT l_returnflag, l_linestatus, sqrt(avg(x * x)) AS rms, avg(x) AS m FROM e GROUP BY ALL)
 SELECT count(*) AS pairs, round(avg(m), 6) AS mean_of_pairs, round(min(m), 6) AS least, round((SELECT sqrt(avg(x * x)) FROM e), 6) AS pooled_rms FROM g""")
 def pair_then_layout_metrics(spark, sf):
@@ -420,6 +442,14 @@ def render_frames(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *[r6(m[k] * (1e4 if k > 5 else 1)).alias(f"m{k}") for k in range(8)])
 
 
+@query(f"WITH {PARTS_H}, s AS (SELECT h.*, 0.25::DOUBLE + p_size * 0.01 AS s FROM h JOIN part USING (p_partkey)) SELECT p_partkey, {', '.join(f'round(a{k} / s, 6) AS m{k}' for k in (0, 1, 3, 4))}, round(a2, 6) AS m2, round(a5, 6) AS m5, round(a6 / s * 1e4, 6) AS m6, round(a7 / s * 1e4, 6) AS m7 FROM s")
+def work_frames(spark, sf):
+    """Work pixels to a canvas that full pixels are mapped to: H S^-1."""
+    a, _ = parts_h()
+    m = from_work(a, 0.25 + F.col("p_size") * 0.01)
+    return table(spark, sf, "part").select("p_partkey", *[r6(m[k] * (1e4 if k > 5 else 1)).alias(f"m{k}") for k in range(8)])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_discount >= 0.04 AND l_quantity >= 20")
 def viable_modes(spark, sf):
     i = table(spark, sf, "lineitem").where(viable(F.col("l_discount"), F.col("l_quantity"), min_inliers=20))

@@ -18,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, con, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     cols = sorted(got.columns)

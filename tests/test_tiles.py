@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.kernels.raster import eroded
 from mosaiq.operators import compose as C
-from mosaiq.operators.matching import mutual_matches
-from mosaiq.operators.neighbours import forest_matches, grown, leaf_bounds
+from mosaiq.operators.matching import mutual, mutual_matches
+from mosaiq.operators.neighbours import forest_matches, forest_nearest, grown, leaf_bounds
 
 
 @pytest.mark.parametrize("tile", [16, 37, 64, 1024])
@@ -47,9 +47,9 @@ def clouds(spark, sizes, dims=24):
 def test_a_forest_finds_what_matters(spark):
     features = clouds(spark, [600, 500, 700])
     exact = {tuple(r)[:4] for r in mutual_matches(features, 0.85).collect()}
-    out = forest_matches(features, 0.85, checks=64)
-    got = {tuple(r)[:4] for r in out.collect()}
-    took = out.looked_at.agg(F.sum("looked_at")).first()[0]
+    near = forest_nearest(features, checks=64)
+    got = {tuple(r)[:4] for r in mutual(near, 0.85).collect()}
+    took = near.agg(F.sum("looked_at")).first()[0]
     every = 2 * (600 * 500 + 600 * 700 + 500 * 700)
     assert len(exact) > 400 and len(got & exact) >= 0.95 * len(exact) and took < every / 4
     again = {tuple(r)[:4] for r in forest_matches(features.repartition(2), 0.85, checks=64).collect()}
@@ -135,3 +135,26 @@ def test_pairs_of_near_boxes_alone(spark):
     df = spark.createDataFrame(boxes, "store string, idx int, x0 int, y0 int, h int, w int")
     for cell in (64, 5000):
         assert {(r.i, r.j) for r in near_pairs(df, cell).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [64, 1024])
+def test_work_images_on_the_canvas(spark, tile):
+    """Work pixels land where full pixels do, and tiles are the whole warp."""
+    from mosaiq.kernels.raster import warp
+    from test_layout import texture
+
+    img = texture(90, 120)
+    work = spark.createDataFrame([("s", k, f"n{k}", 180, 240, 90, 120, 0.5, img.tobytes()) for k in range(2)], "store string, idx int, name string, full_h int, full_w int, h int, w int, scale double, bgr binary")
+    hs = [np.eye(3), np.array([[1.02, 0.01, 60], [-0.01, 0.98, 9], [1e-5, 0, 1]])]
+    layout = spark.createDataFrame([("s", k, h.ravel().tolist(), k == 0) for k, h in enumerate(hs)], "store string, idx int, h array<double>, is_anchor boolean")
+    full, plan = ({r.idx: r for r in p.collect()} for p in (C.canvas(work, layout, 0.5), C.work_canvas(work, layout, 0.5)))
+    for k in range(2):
+        a, b = (np.array(p[k].hr).reshape(3, 3) for p in (full, plan))
+        assert np.abs(a @ np.diag([2, 2, 1.0]) - b).max() < 1e-9 and (full[k].cw, full[k].ch) == (plan[k].cw, plan[k].ch)
+    for k in range(2):
+        px, mask = warp(img, np.array(plan[k].hr).reshape(3, 3), 0, 0, plan[k].ch, plan[k].cw)
+        got, on = np.zeros_like(px), np.zeros_like(mask)
+        for r in C.warped(work, C.work_canvas(work, layout, 0.5), tile).where(F.col("idx") == k).collect():
+            at = (slice(r.y0, r.y0 + r.h), slice(r.x0, r.x0 + r.w))
+            got[at], on[at] = np.frombuffer(r.bgr, np.uint8).reshape(r.h, r.w, 3), C._bits(r.mask, r.h, r.w)
+        assert (on == mask).all() and mask.any() and np.abs(got - px)[mask].max() <= 0.5
