@@ -22,6 +22,10 @@ All of a digest's n-grams must agree, so frequent n-grams (lines, passages) brin
 rows together. Rows of one batch that share a digest are joined there and post it once, so
 a digest that very many rows have comes once a batch to the task that joins it.
 
+Digests are most of what an input asks of the disk, so they are on it once, as they travel:
+packed by ranges, 8 bytes each and about one for the id. The task of a range has it in
+memory, so ranges grow in number with the texts, and only pairs of ids leave.
+
 What meets is decided exactly: the product of a row block accumulates overlap counts
 (rare columns pair by pair, frequent ones as dense slabs), in tiles of bounded size,
 and pairs below their bound are discarded. Only a spanning forest of the links leaves.
@@ -35,7 +39,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from mosaiq.llm.shared import NULL_ID, WordHash, back, components, groups, keyed, met, mixed, staged
 from mosaiq.llm.tiles import tiled
@@ -43,6 +47,8 @@ from mosaiq.llm.tiles import tiled
 TILE, DENSE = 2048, 8
 #: Strips for sets that differ in at most 0 to 4 n-grams, and how often a set is dealt again.
 COVER, LEVELS = (1, 3, 5, 7, 8), 8
+#: Characters of text a range of digests: a digest comes to 8 characters in long texts, to 2 in short ones.
+RANGE = 1 << 24
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -245,10 +251,34 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     return met(known, "doc", roots, total).select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "doc")).alias("component_id"))
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids as differences, the bytes of one place side by side: ids that hardly change compress to hardly anything."""
+    return np.diff(ids.astype("<i8"), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel().cumsum()
+
+
+def hubs_of(digests: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, the smallest id that has a digest with it), each pair once."""
+    order = np.argsort(digests)
+    digests, ids = digests[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1]])
+    hub = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.r_[starts, len(ids)]))
+    other = ids != hub
+    pairs = np.unique(np.stack([ids[other], hub[other]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, root: the size of each row's set, and the smallest id reachable; rows: id (each once), text."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE))
+    told_as = pa.schema([("range", pa.int32()), ("id", pa.int64()), ("same", pa.int64()), ("near", pa.list_(pa.int64())), ("n", pa.int64()), ("digests", pa.binary()), ("ids", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a set, and one a range of a batch's digests: its digests and the ids that have them, packed."""
         known, columns, seen = WordHash(), Columns(percent), {}
         for batch in batches:
             if not batch.num_rows:
@@ -267,14 +297,47 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
             told = [list(x) for x in near]
             for i, j in links[links[:, 0] != links[:, 1]].tolist():
                 told[i].append(ids[j])
-            offsets = np.r_[0, np.cumsum(np.bincount(owner[~again], minlength=len(ids)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] if x else None for x in near], pa.int64()), pa.array([x[len(y) :] for x, y in zip(told, near, strict=True)], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(every[~again].view(np.int64)))], ["id", "same", "near", "n", "digests"])
+            every, owner = every[~again], owner[~again]
+            at = (((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(at, kind="stable")  # owners of a range ascend
+            at, every, owner = at[order], every[order], np.array(ids, np.int64)[owner[order]]
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+            runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False))
+            rest, none = len(ids), [None] * len(runs)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[np.arange(rest) % ranges, at[starts]], pa.int32()),
+                    pa.array(ids + none, pa.int64()),
+                    pa.array([x[0] if x else None for x in near] + none, pa.int64()),
+                    pa.array([x[len(y) :] for x, y in zip(told, near, strict=True)] + none, pa.list_(pa.int64())),
+                    pa.array(n + none, pa.int64()),
+                    pa.array([None] * rest + [every[a:b].astype("<u8").tobytes() for a, b in runs], pa.binary()),
+                    pa.array([None] * rest + [packed_ids(owner[a:b]) for a, b in runs], pa.binary()),
+                ],
+                schema=told_as,
+            )
             if len(seen) > 200_000:  # a set that comes again later posts again
                 seen.clear()
 
-    sets = staged(rows.mapInArrow(post, "id long, same long, near array<long>, n long, digests array<long>"), "sets")
-    posts = sets.select(F.explode("digests").alias("digest"), "id")
-    hubs = posts.withColumn("hub", F.min("id").over(W.partitionBy("digest"))).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets' rows as they come, then pairs (id, hub) of the ranges of this task."""
+        digests, owner = [], []
+        for batch in batches:
+            some = batch.filter(batch.column("digests").is_valid())
+            digests += [np.frombuffer(x, "<u8") for x in some.column("digests").to_pylist()]
+            owner += [unpacked_ids(x) for x in some.column("ids").to_pylist()]
+            sets = batch.filter(batch.column("digests").is_null())
+            yield pa.RecordBatch.from_arrays([*[sets.column(c) for c in ("id", "same", "near", "n")], pa.nulls(sets.num_rows, pa.int64())], ["id", "same", "near", "n", "hub"])
+        if digests:
+            ids, hub = hubs_of(np.concatenate(digests), np.concatenate(owner))
+            for k in range(0, len(ids), 1 << 16):
+                m = len(ids[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.array(hub[k : k + m])], ["id", "same", "near", "n", "hub"])
+
+    posts = rows.mapInArrow(post, "range int, id long, same long, near array<long>, n long, digests binary, ids binary")
+    told = staged(posts.repartitionById(ranges, "range").mapInArrow(meet, "id long, same long, near array<long>, n long, hub long"), "sets")
+    sets = told.where("hub is null").drop("hub")
+    hubs = told.where("hub is not null").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     hubs = hubs.unionByName(sets.select(F.col("id").alias("a"), F.explode("near").alias("b")))
     blocks = components(hubs, "blocks").select(F.col("node").alias("id"), F.col("root").alias("grp"))
     # sets of linked rows are of one size class (of ratio 100 / percent) or of neighbouring ones

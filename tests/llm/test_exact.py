@@ -159,3 +159,40 @@ def test_rows_without_an_id_share_no_bucket(spark):
     assert len(d) == 2000 and d.begin[d["size"] > 0].nunique() == 2000 and abs(d.taken.sum() - d.target.iloc[0]) <= 0.5
     again = mix(docs.repartition(7), share=0.5).documents.toPandas()
     assert Counter(zip(d.tie, d.begin, d.taken, strict=True)) == Counter(zip(again.tie, again.begin, again.taken, strict=True))
+
+
+def test_digests_travel_packed_and_are_not_staged(spark, monkeypatch):
+    """What a set posts is on disk once, as it travels; ranges of digests grow in number with the texts."""
+    import numpy as np
+
+    from mosaiq.llm import ngram_join
+
+    tables, real = [], ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name, *a: tables.append((name, df)) or real(df, name, *a))
+    monkeypatch.setattr(ngram_join, "RANGE", 300)  # some 90 ranges, of 4 partitions otherwise
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 30, 60]))] for _ in range(20)]
+    rows = []
+    for i in range(150):
+        t = list(rng.choice(base))
+        if rng.random() < 0.5:
+            t[rng.randrange(len(t))] = f"changed{i}"
+        rows.append((rng.choice([-1, 1]) * (i + 1) * 7_000_000_007, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == jaccard(rows, 5, 80)
+    sets = dict(tables)["sets"]
+    assert "digests" not in {c for _, df in tables for c in df.columns} and sets.rdd.getNumPartitions() > 40
+    ids = np.array([2**63 - 1, -(2**62), 5, 5, 6, 10**12], np.int64)
+    assert ngram_join.unpacked_ids(ngram_join.packed_ids(ids)).tolist() == ids.tolist()
+    a, b = ngram_join.hubs_of(np.array([9, 2**64 - 1, 9, 4, 9, 2**64 - 1], np.uint64), np.array([5, 8, 3, 1, 5, -2]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 3), (8, -2)]
+
+
+def test_pipeline_drops_what_its_next_stage_has_read(spark, folder, monkeypatch):  # noqa: F811
+    import corpus_pipeline
+
+    gone, real = [], corpus_pipeline.remove
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", lambda s, docs, d: docs) for k in range(4)])
+    monkeypatch.setattr(corpus_pipeline, "remove", lambda s, path: gone.append(path) or real(s, path))
+    assert corpus_pipeline.run(spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert [p.split("/")[-1].split("-")[0] for p in gone] == ["s0", "s1", "s2"]
