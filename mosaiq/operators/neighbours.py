@@ -2,11 +2,12 @@
 
 Groups are cut into blocks. Each block has a few trees: a node splits its rows at the
 median of a coordinate that is drawn from those of the largest variance, so every tree cuts
-space in its own way. A tree's leaves are rows of a table (store, grp, blk, tree, leaf).
+space in its own way. A block and its trees are a row of a table (store, grp, blk), which
+lists the block's rows leaf after leaf.
 Queries are sent down all trees of a block at once: the sum of squared distances to the
 splits on the way bounds from below how near a leaf can be, and each query visits the leaves
-of the least bounds, of all trees together, as many as its checks allow. Queries of one leaf travel
-packed and meet it by an equi-join, where their distances are exact.
+of the least bounds, of all trees together, as many as its checks allow. Queries come packed
+to the block, where their distances are exact; only the nearest two leave the task.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from mosaiq.operators.graph import gone, kept
-from mosaiq.operators.matching import blocks_of, mutual
+from mosaiq.operators.graph import gone
+from mosaiq.operators.matching import blocks_of, laid_out, mutual, nearest_by_blocks
 
 #: Coordinates of the largest variance that a split is drawn from.
 VARIED = 5
@@ -76,12 +77,12 @@ def forest_nearest(features: DataFrame, *, trees: int = 5, checks: int = 64, lea
 
     looked_at: how many distances it took. Trees hang on the seed, the group and its rows alone.
     """
-    packed, packed_at = kept(blocks_of(features, block))
+    packed, packed_at = laid_out(blocks_of(features, block))
     kind = packed.schema["store"].dataType.simpleString()
     spark = features.sparkSession
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a tree (leaf -1: its splits), and one a leaf."""
+        """A row a block: its rows, and of its trees the splits, the order of rows by leaves and where each leaf ends."""
         for batch in batches:
             for b in batch.to_pylist():
                 ids, x = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["x"], "<f8").reshape(b["n"], -1)
@@ -90,52 +91,37 @@ def forest_nearest(features: DataFrame, *, trees: int = 5, checks: int = 64, lea
                 out = []
                 for t in range(trees):
                     dims, cuts, at = grown(x, leaf, np.random.default_rng([seed, t, zlib.crc32(f"{b['store']}/{b['grp']}/{b['blk']}".encode())]))
-                    out.append((t, -1, len(dims), dims.tobytes(), cuts.tobytes()))
-                    for k in np.unique(at):
-                        own = np.flatnonzero(at == k)
-                        out.append((t, int(k), len(own), ids[own].tobytes(), x[own].tobytes()))
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([b[c]] * n, batch.schema.field(c).type) for c in ("store", "grp", "blk")] + [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["store", "grp", "blk", "tree", "leaf", "n", "one", "two"])
-
-    index, index_at = kept(packed.mapInArrow(grow, f"store {kind}, grp long, blk long, tree long, leaf long, n long, one binary, two binary"))
-    splits = index.where("leaf = -1").groupBy("store", F.col("grp").alias("to"), F.col("blk").alias("blk_to")).agg(F.array_sort(F.collect_list(F.struct("tree", "one", "two"))).alias("splits"))
-    units = packed.join(splits, "store").where("grp <> to")
-    units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("grp", "blk", "to", "blk_to"))
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for u in batch.to_pylist():
-                ids, x = np.frombuffer(u["ids"], "<i8"), np.frombuffer(u["x"], "<f8").reshape(u["n"], -1)
-                bounds = [leaf_bounds(x, np.frombuffer(s["one"], np.int32), np.frombuffer(s["two"])) for s in u["splits"]]
-                leaves, every = bounds[0].shape[1], np.concatenate(bounds, 1)
-                m = min(max(1, checks // leaf), every.shape[1])
-                best = np.argpartition(every, m - 1, 1)[:, :m] if m < every.shape[1] else np.broadcast_to(np.arange(m), (len(x), m))
-                query, where = np.repeat(np.arange(len(x)), m), best.ravel()
-                order = np.argsort(where, kind="stable")
-                query, where = query[order], where[order]
-                start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-                parts = [(int(where[a]) // leaves, int(where[a]) % leaves, b - a, ids[query[a:b]].tobytes(), x[query[a:b]].tobytes()) for a, b in zip(start, np.r_[start[1:], len(where)], strict=True)]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([u[c]] * n, batch.schema.field(c).type) for c in ("store", "grp", "to", "blk_to")] + [pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["store", "grp", "to", "blk_to", "tree", "leaf", "asked", "q_ids", "q"])
-
-    asked = units.mapInArrow(descend, f"store {kind}, grp long, to long, blk_to long, tree long, leaf long, asked long, q_ids binary, q binary")
-    leaves = index.where("leaf >= 0").select("store", F.col("grp").alias("to"), F.col("blk").alias("blk_to"), "tree", "leaf", "n", F.col("one").alias("ids"), F.col("two").alias("x"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, x = np.frombuffer(r["q"]).reshape(r["asked"], -1), np.frombuffer(r["x"]).reshape(r["n"], -1)
-                near, far = _two(q, x, np.frombuffer(r["ids"], "<i8"))
-                n = r["asked"]
-                cols = [pa.array(np.full(n, min(r["grp"], r["to"]))), pa.array(np.full(n, max(r["grp"], r["to"]))), pa.array(np.full(n, int(r["grp"] > r["to"]))), pa.array(np.frombuffer(r["q_ids"], "<i8")), pa.array(near[:, 0]), pa.array(far[:, 0]), pa.array(near[:, 1]), pa.array(far[:, 1]), pa.array(np.full(n, r["n"]))]
-                yield pa.RecordBatch.from_arrays(cols, ["grp_i", "grp_j", "back", "id", "a", "da", "b", "db", "looked_at"])
-
-    found = asked.join(leaves, ["store", "to", "blk_to", "tree", "leaf"]).mapInArrow(measure, "grp_i long, grp_j long, back long, id long, a long, da double, b long, db double, looked_at long")
-    # trees may find one row twice; of what is left the nearest two count
-    pair = lambda d, i: F.struct(F.col(d).alias("d"), F.col(i).alias("i"))
-    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(pair("da", "a"), pair("db", "b"))))))
-    merged = found.groupBy("grp_i", "grp_j", "back", "id").agg(F.filter(seen, lambda s: s["i"] >= 0).alias("near"), F.sum("looked_at").alias("looked_at"))
-    merged, merged_at = kept(merged.select("grp_i", "grp_j", "back", "id", F.col("near")[0]["i"].alias("best"), F.col("near")[0]["d"].alias("d"), F.coalesce(F.try_element_at("near", F.lit(2))["d"], F.lit(float("inf"))).alias("second"), "looked_at"))
+                    out.append((dims, cuts, np.argsort(at, kind="stable").astype(np.int32), np.bincount(at, minlength=len(dims) + 1).cumsum().astype(np.int32)))
+                cols = [pa.array([b[c]], batch.schema.field(c).type) for c in ("store", "grp", "blk")]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array([v.tobytes()], pa.binary()) for v in (ids, x, *[np.concatenate(v) for v in zip(*out, strict=True)])]], ["store", "grp", "blk", "ids", "x", "dims", "cuts", "rows", "ends"])
+
+    index, index_at = laid_out(packed.mapInArrow(grow, f"store {kind}, grp long, blk long, ids binary, x binary, dims binary, cuts binary, rows binary, ends binary"))
+
+    def search(q: np.ndarray, to: dict) -> tuple[np.ndarray, ...]:
+        read = lambda c, kind: np.frombuffer(to[c].as_buffer(), kind)
+        ids = read("ids", "<i8")
+        x, (dims, cuts, rows, ends) = read("x", "<f8").reshape(len(ids), -1), (read(c, k).reshape(trees, -1) for c, k in (("dims", np.int32), ("cuts", np.float64), ("rows", np.int32), ("ends", np.int32)))
+        leaves, every = ends.shape[1], np.concatenate([leaf_bounds(q, *t) for t in zip(dims, cuts, strict=True)], 1)
+        m = min(max(1, checks // leaf), every.shape[1])
+        where = (np.argpartition(every, m - 1, 1)[:, :m] if m < every.shape[1] else np.broadcast_to(np.arange(m), (len(q), m))).ravel()
+        order = np.argsort(where, kind="stable")
+        start = np.flatnonzero(np.r_[True, where[order][1:] != where[order][:-1]])
+        near, far, took = np.full((len(where), 2), -1), np.full((len(where), 2), np.inf), np.zeros(len(where), np.int64)
+        for a, b in zip(start, np.r_[start[1:], len(where)], strict=True):
+            visits, (t, k) = order[a:b], divmod(int(where[order[a]]), leaves)
+            own = rows[t, ends[t, k - 1] if k else 0 : ends[t, k]]
+            if len(own):
+                near[visits], far[visits] = _two(q[visits // m], x[own], ids[own])
+                took[visits] = len(own)
+        # trees may find one row twice
+        near, far = near.reshape(len(q), -1), far.reshape(len(q), -1)
+        far[np.isnan(far)] = np.inf
+        d = far.min(1)
+        best = np.where((far == d[:, None]) & (near >= 0), near, np.iinfo(np.int64).max).min(1)
+        second = np.where(near != best[:, None], far, np.inf).min(1)
+        return np.where(d < np.inf, best, -1), d, second, took.reshape(len(q), -1).sum(1)
+
+    merged = nearest_by_blocks(packed, index, search, "store" in features.columns)
     gone(spark, packed_at)
     gone(spark, index_at)
     return merged

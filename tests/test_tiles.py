@@ -158,3 +158,24 @@ def test_work_images_on_the_canvas(spark, tile):
             at = (slice(r.y0, r.y0 + r.h), slice(r.x0, r.x0 + r.w))
             got[at], on[at] = np.frombuffer(r.bgr, np.uint8).reshape(r.h, r.w, 3), C._bits(r.mask, r.h, r.w)
         assert (on == mask).all() and mask.any() and np.abs(got - px)[mask].max() <= 0.5
+
+
+def shuffled(df):
+    """Exchanges in the plan of what df reads and does."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_two_blocks_are_not_shuffled(spark, monkeypatch):
+    """Blocks meet where they are staged; a row's nearest two of a group leave a task once, however many blocks the group has."""
+    from mosaiq.operators import matching
+
+    plans, real = [], matching.kept
+    monkeypatch.setattr(matching, "kept", lambda df: plans.append((df.columns, shuffled(df))) or real(df))
+    features = clouds(spark, [300, 260], dims=6)
+    for found in (mutual_matches(features, 0.8, 8), forest_matches(features, 0.8, checks=10_000, block=8)):
+        assert found.count() > 50
+    merged = [plan for columns, plan in plans if "second" in columns]
+    assert len(merged) == 2
+    for plan in merged:
+        product = plan[plan.index("MapInArrow") :]
+        assert "CartesianProduct" in product and "Exchange" not in product
