@@ -50,15 +50,15 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, few: int = FEW) -> DataFrame:
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, few: int = FEW, n: int | None = None) -> DataFrame:
     """rows with what table (staged; one row a key at most) has for them, nulls where it has nothing; keys are never null.
 
     A table of up to `few` rows is broadcast. Of a larger one, the rows of keys that come in
     over a thousandth of all rows are (a thousand keys at most), and their rows stay where
-    they are; all others shuffle. So no task gets all rows of a key.
+    they are; all others shuffle. So no task gets all rows of a key. n: the table's rows, if they were counted.
     """
     more = [c for c in table.columns if c not in keys]
-    if table.count() <= few:
+    if (table.count() if n is None else n) <= few:
         return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *more)
     total = rows.count()
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 > max(total, 1000)).select(*keys, F.lit(True).alias("_hot"))

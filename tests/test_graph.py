@@ -193,3 +193,21 @@ def test_lookups_of_hot_keys(spark):
         got = graph.looked_up(rows, ["k"], table, few)
         assert got.columns == ["k", "v", "other", "t"] and got.count() == 5000
         assert got.where("k = 7 and t = 70").count() == 2500 and got.where("t = k * 10").count() == 2500 + 1250 and got.where(F.col("t").isNull()).count() == 1250
+
+
+def test_forest_rounds_thin_edges_where_they_lie(spark, monkeypatch):
+    """Between rounds edges aren't shuffled: each task drops those that a heavier cycle of its own closes among components."""
+    plans, real = [], forest.kept
+
+    def watched(df):
+        out = real(df)
+        if "ca" in df.columns:
+            plans.append((df._jdf.queryExecution().executedPlan().toString(), out[0].count(), out[0].select("ca").union(out[0].select("cb")).distinct().count()))
+        return out
+
+    monkeypatch.setattr(forest, "kept", watched)
+    edges = [(a, b, float((a * 31 + b * 17) % 101)) for a in range(50) for b in range(a + 1, 50)]
+    tree, _ = forest.spanning(spark.createDataFrame(edges, "a long, b long, weight double").repartition(3), alone=0)
+    a, b, w = (np.array(x) for x in zip(*edges, strict=True))
+    assert {(r.a, r.b) for r in tree.collect()} == {edges[k][:2] for k in forest.kruskal(a, b, w)} and plans
+    assert all("hashpartitioning" not in plan and n <= 4 * max(nodes - 1, 0) for plan, n, nodes in plans)
