@@ -23,9 +23,15 @@ rows together. Rows of one batch that share a digest are joined there and post i
 a digest that very many rows have comes once a batch to the task that joins it.
 
 Digests are most of what an input asks of the disk, so they are on it once, as they travel:
-packed by ranges, 8 bytes each and about one for the id. The task of a range has it in
+packed by ranges, 8 bytes each and about one for the id (sketches, below, are also staged). The task of a range has it in
 memory, so ranges grow in number with the texts, and only pairs of ids leave.
 
+Two rows that are much alike share many digests, which lie in as many ranges, and each range
+would tell of them. So a first pass posts a few digests a row (its sketch), and what shares
+one of these is joined up; then all rows post all digests, under the smallest id that theirs
+is joined with. What is joined already is told by no range, however many there are. The
+first pass need not find any pair: what it misses meets in the second.
+
 What meets is decided exactly: the product of a row block accumulates overlap counts
 (rare columns pair by pair, frequent ones as dense slabs), in tiles of bounded size,
 and pairs below their bound are discarded. Only a spanning forest of the links leaves.
@@ -39,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mosaiq.llm.shared import NULL_ID, WordHash, back, components, groups, keyed, met, mixed, staged
 from mosaiq.llm.tiles import tiled
@@ -49,6 +55,8 @@ TILE, DENSE = 2048, 8
 COVER, LEVELS = (1, 3, 5, 7, 8), 8
 #: Characters of text a range of digests: a digest comes to 8 characters in long texts, to 2 in short ones.
 RANGE = 1 << 24
+#: A sketch has so many digests of a small set, and those of so many blocks of a larger one, a size class.
+SKETCH, FIRST = 8, 4
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -99,21 +107,73 @@ class Columns:
 
     def digests(self, s: np.ndarray) -> np.ndarray:
         """Digests for a set's own size class and those that a larger partner can be in; s is sorted."""
-        out = []
-        for c in range(self._class(len(s)), self._class(len(s) * 100 // self.percent) + 1):
-            seed = self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-            h, t = self.differ(self.tops[c]), s
-            for level in range(LEVELS):
-                if level:
-                    t = np.sort(mixed(t + np.uint64(0x2545F4914F6CDD1D)))
-                    seed = (seed + 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF
+        return self.of([s])[0]
+
+    def of(self, sets: list[np.ndarray], few: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The digests of many sets, and the place of the set that each is of.
+
+        few: their sketches, some of these digests; sets much alike probably have one of them in common.
+        """
+        out, place, large = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+
+        def keep(some: np.ndarray, at: np.ndarray | int) -> None:
+            out.append(some)
+            place.append(np.full(len(some), at, np.int64))
+
+        for i, s in enumerate(sets):
+            for c in range(self._class(len(s)), self._class(len(s) * 100 // self.percent) + 1) if len(s) else ():
+                seed, h = self.tops[c] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, self.differ(self.tops[c])
+                if h >= len(COVER):
+                    large.append((i, h, seed))
+                elif few:
+                    keep(np.sort(self._covers(s, h, seed)[0])[:SKETCH], i)
+                else:
+                    keep(self._levels(s, h, seed), i)
+        for k in range(0, len(large), 512):
+            some = large[k : k + 512]
+            digest, both, job = self._many_blocks([sets[i] for i, _, _ in some], np.array([self._dealt(h) for _, h, _ in some]).sum(1), np.array([x for _, _, x in some], np.uint64), few)
+            spare, least = np.array([self._dealt(h)[1] for _, h, _ in some]), both.min(1)
+            floor = np.zeros(len(some), np.int64)
+            for f in (1, 2, 3):
+                floor[np.bincount(job[least < f], minlength=len(some)) <= spare] = f
+            held = both >= (3 if few else np.maximum(floor, 1)[job][:, None])
+            out.append(digest[held])
+            place.append(np.array([i for i, _, _ in some])[np.broadcast_to(job[:, None], held.shape)[held]])
+            for j in () if few else np.flatnonzero(floor == 0):
+                keep(self._levels(sets[some[j][0]], *some[j][1:], 1), some[j][0])
+        return np.concatenate(out), np.concatenate(place)
+
+    def _levels(self, s: np.ndarray, h: int, seed: int, level: int = 0) -> np.ndarray:
+        """A set's digests for one class from this level on."""
+        out, t = [], s
+        for k in range(LEVELS):
+            if k:
+                t = np.sort(mixed(t + np.uint64(0x2545F4914F6CDD1D)))
+                seed = (seed + 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF
+            if k >= level:
                 some, whole = self._covers(t, h, seed) if h < len(COVER) else self._blocks(t, h, seed)
                 out.append(some)
                 if whole:
-                    break
-            else:
-                out.append(mixed(t + np.uint64(seed)))
-        return np.concatenate(out)
+                    return np.concatenate(out)
+        return np.concatenate([*out, mixed(t + np.uint64(seed))])
+
+    def _many_blocks(self, sets: list[np.ndarray], n: np.ndarray, seeds: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_pairs of each set in n blocks (few: of the first ones), a row a block, and each row's set."""
+        m = np.minimum(n, FIRST) if few else n
+        if few:
+            sets = [s if k <= FIRST else s[: s.searchsorted(np.uint64(-(-(FIRST << 32) // k) << 32))] for s, k in zip(sets, n.tolist(), strict=True)]
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        base = np.cumsum(3 * m) - 3 * m
+        at = base[of] + (((every >> np.uint64(32)) * (3 * n).astype(np.uint64)[of]) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+        sums, held = np.zeros(3 * m.sum(), np.uint64), np.zeros(3 * m.sum(), np.int64)
+        if len(at):
+            sums[at[starts]] = np.add.reduceat(mixed(every + np.uint64(0x2545F4914F6CDD1D)), starts)
+            held[at[starts]] = np.diff(np.r_[starts, len(at)])
+        job = np.repeat(np.arange(len(sets)), m)
+        sums = mixed(sums + (np.arange(len(sums)) - np.repeat(base, 3 * m)).astype(np.uint64))
+        digest, both = self._pairs(sums, held, (np.arange(len(job)) - base[job] // 3).astype(np.uint64) + seeds[job])
+        return digest.T, both.T, job
 
     @staticmethod
     def _strips(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +202,32 @@ class Columns:
         The fuller of two linked sets so posts enough for the pair, unless both are short of
         n-grams even then.
         """
-        need = h // 2 + 1
-        spare = -(-need * 3 // 20) if need >= 4 else 0
-        n = need + spare
-        sums, held = self._strips(s, 3 * n)
-        sums, held = sums.reshape(n, 3), held.reshape(n, 3)
-        salt = np.arange(n, dtype=np.uint64) + np.uint64(seed)
-        digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
-        both = np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
+        need, spare = self._dealt(h)
+        digest, both = self._pairs(*self._strips(s, 3 * (need + spare)), np.arange(need + spare, dtype=np.uint64) + np.uint64(seed))
         least = both.min(0)
         floor = next((f for f in (3, 2, 1) if (least < f).sum() <= spare), 0)
         return digest[both >= max(floor, 1)], floor > 0
 
+    @staticmethod
+    def _dealt(h: int) -> tuple[int, int]:
+        """How many blocks two linked sets need, and how many more there are."""
+        need = h // 2 + 1
+        return need, -(-need * 3 // 20) if need >= 4 else 0
+
+    def _pairs(self, sums: np.ndarray, held: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of blocks of three strips: a digest of each two strips, and how many n-grams these hold."""
+        sums, held = sums.reshape(-1, 3), held.reshape(-1, 3)
+        digest = np.stack([mixed(sums[:, i] * np.uint64(3) + sums[:, j] + mixed(salt * np.uint64(3) + np.uint64(k))) for k, (i, j) in enumerate(self.STRIPS)])
+        return digest, np.stack([held[:, i] + held[:, j] for i, j in self.STRIPS])
+
+
+def posted_once(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each digest of a batch's rows once, one row that has it, and pairs (another row that has it, this row)."""
+    first, back_ = np.unique(every, return_index=True, return_inverse=True)[1:]
+    again = first[back_] != np.arange(len(every))
+    links = np.unique(np.stack([owner[again], owner[first[back_]][again]], 1), axis=0)
+    return every[~again], owner[~again], links[links[:, 0] != links[:, 1]]
+
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
     """Overlap counts of the rows `a` with the rows `b` (None: with a itself)."""
@@ -271,9 +345,43 @@ def hubs_of(digests: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
+def _sketched(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, lead: the smallest id reachable through sketches, for rows that share a digest of theirs; rows: id (each once), text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, digest), and (id, hub) for what rows of one batch share and for sets that come again."""
+        known, columns, seen = WordHash(), Columns(percent), {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, sets, copies = batch.column("id").to_numpy(), [], []
+            for i, s in zip(ids.tolist(), text_sets(batch.column("text").to_pylist(), known, words), strict=True):
+                first = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i) if len(s) else i
+                if first != i:
+                    copies.append((i, first))
+                sets.append(s if first == i else s[:0])
+            every, owner, links = posted_once(*columns.of(sets, few=True))
+            near = np.concatenate([ids[links], np.array(copies, np.int64).reshape(-1, 2)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[ids[owner], near[:, 0]]),
+                    pa.concat_arrays([pa.array(every.view(np.int64)), pa.nulls(len(near), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(len(every), pa.int64()), pa.array(np.ascontiguousarray(near[:, 1]))]),
+                ],
+                ["id", "sketch", "hub"],
+            )
+            if len(seen) > 200_000:
+                seen.clear()
+
+    told = staged(rows.mapInArrow(sketch, "id long, sketch long, hub long"), "sketches")
+    shared = told.where("hub is null").select(F.col("id").alias("a"), F.min("id").over(W.partitionBy("sketch")).alias("b")).where("a <> b")
+    found = shared.unionByName(told.where("hub is not null").select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
+    return components(found, "sketched").select(F.col("node").alias("id"), F.col("root").alias("lead"))
+
+
 def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, root: the size of each row's set, and the smallest id reachable; rows: id (each once), text."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars, total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE))
     told_as = pa.schema([("range", pa.int32()), ("id", pa.int64()), ("same", pa.int64()), ("near", pa.list_(pa.int64())), ("n", pa.int64()), ("digests", pa.binary()), ("ids", pa.binary())])
 
@@ -283,24 +391,23 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, n, near, digests = batch.column("id").to_pylist(), [], [], []
+            ids, n, near, sets = batch.column("id").to_pylist(), [], [], []
+            lead = [i if x is None else x for i, x in zip(ids, batch.column("lead").to_pylist(), strict=True)]
             for i, s in zip(ids, text_sets(batch.column("text").to_pylist(), known, words), strict=True):
                 first = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i) if len(s) else i
                 n.append(len(s))
                 near.append((first,) if first != i else ())
-                digests.append(columns.digests(s) if len(s) and first == i else np.zeros(0, np.uint64))
-            # what rows of this batch share is posted once; the others point at the row that does
-            every, owner = np.concatenate(digests), np.repeat(np.arange(len(ids)), [len(d) for d in digests])
-            first, back_ = np.unique(every, return_index=True, return_inverse=True)[1:]
-            again = first[back_] != np.arange(len(every))
-            links = np.unique(np.stack([owner[again], owner[first[back_]][again]], 1), axis=0)
-            told = [list(x) for x in near]
-            for i, j in links[links[:, 0] != links[:, 1]].tolist():
-                told[i].append(ids[j])
-            every, owner = every[~again], owner[~again]
+                sets.append(s if first == i else s[:0])
+            # what rows of this batch share is posted once; the others point at the lead of the row that does, and at their own
+            every, owner, links = posted_once(*columns.of(sets))
+            told = [[x] if x != i and not y else [] for i, x, y in zip(ids, lead, near, strict=True)]
+            for i, j in links.tolist():
+                if lead[i] != lead[j]:
+                    told[i].append(lead[j])
             at = (((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(at, kind="stable")  # owners of a range ascend
-            at, every, owner = at[order], every[order], np.array(ids, np.int64)[owner[order]]
+            owner = np.array(lead, np.int64)[owner]
+            order = np.lexsort((owner, at))  # owners of a range ascend
+            at, every, owner = at[order], every[order], owner[order]
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
             runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False))
             rest, none = len(ids), [None] * len(runs)
@@ -309,7 +416,7 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.array(np.r_[np.arange(rest) % ranges, at[starts]], pa.int32()),
                     pa.array(ids + none, pa.int64()),
                     pa.array([x[0] if x else None for x in near] + none, pa.int64()),
-                    pa.array([x[len(y) :] for x, y in zip(told, near, strict=True)] + none, pa.list_(pa.int64())),
+                    pa.array(told + none, pa.list_(pa.int64())),
                     pa.array(n + none, pa.int64()),
                     pa.array([None] * rest + [every[a:b].astype("<u8").tobytes() for a, b in runs], pa.binary()),
                     pa.array([None] * rest + [packed_ids(owner[a:b]) for a, b in runs], pa.binary()),
@@ -334,7 +441,7 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 m = len(ids[k : k + (1 << 16)])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.array(hub[k : k + m])], ["id", "same", "near", "n", "hub"])
 
-    posts = rows.mapInArrow(post, "range int, id long, same long, near array<long>, n long, digests binary, ids binary")
+    posts = met(rows, "id", _sketched(rows, words, percent), total).mapInArrow(post, "range int, id long, same long, near array<long>, n long, digests binary, ids binary")
     told = staged(posts.repartitionById(ranges, "range").mapInArrow(meet, "id long, same long, near array<long>, n long, hub long"), "sets")
     sets = told.where("hub is null").drop("hub")
     hubs = told.where("hub is not null").select(F.col("id").alias("a"), F.col("hub").alias("b"))

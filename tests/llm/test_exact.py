@@ -188,6 +188,49 @@ def test_digests_travel_packed_and_are_not_staged(spark, monkeypatch):
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 3), (8, -2)]
 
 
+def test_what_ranges_tell_does_not_grow_with_their_number(spark, monkeypatch):
+    """Near copies share digests in every range; a range tells of two rows only where nothing has joined them before."""
+    from mosaiq.llm import ngram_join
+
+    tables, real = {}, ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name, *a: tables.setdefault(name, real(df, name, *a)))
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(400)] for _ in range(3)]
+    rows = []
+    for i in range(120):
+        t = list(base[i % 3])
+        for _ in range(4):
+            t[rng.randrange(len(t))] = f"changed{i}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    told = []
+    for chars in (1 << 24, 2000):  # 4 ranges, some 160
+        tables.clear()
+        monkeypatch.setattr(ngram_join, "RANGE", chars)
+        assert Counter(map(tuple, ngram_join.jaccard_components(docs, words=4, percent=85).collect())) == jaccard(rows, 4, 85)
+        told.append(tables["sets"].count())
+    assert told[0] <= told[1] <= 2 * len(rows)
+
+
+def test_digests_of_many_sets_are_those_of_each():
+    """Larger sets' blocks are worked on together; sketches are some of a set's digests."""
+    from mosaiq.llm.ngram_join import COVER, Columns
+
+    rng = np.random.default_rng(8)
+    for percent in (85, 80, 50):
+        c = Columns(percent)
+        # uneven ones leave strips empty, so they are dealt again
+        sets = [np.unique(rng.integers(0, 2**63, n, np.int64).view(np.uint64) >> np.uint64(rng.integers(0, 4))) for n in [*range(0, 90), 150, 400, 1500]]
+        every, place = c.of(sets)
+        few, few_place = c.of(sets, few=True)
+        for i, s in enumerate(sets):
+            want = [np.zeros(0, np.uint64)]
+            for k in range(c._class(len(s)), c._class(len(s) * 100 // percent) + 1) if len(s) else ():
+                want.append(c._levels(s, c.differ(c.tops[k]), c.tops[k] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            assert np.array_equal(np.sort(every[place == i]), np.sort(np.concatenate(want))), (percent, len(s))
+            assert np.isin(few[few_place == i], every[place == i]).all() and (c.differ(max(len(s), 1)) >= len(COVER) or (few_place == i).any() == (len(s) > 0))
+
+
 def test_pipeline_drops_what_its_next_stage_has_read(spark, folder, monkeypatch):  # noqa: F811
     import corpus_pipeline
 
