@@ -57,6 +57,8 @@ COVER, LEVELS = (1, 3, 5, 7, 8), 8
 RANGE = 1 << 24
 #: A sketch has so many digests of a small set, and those of so many blocks of a larger one, a size class.
 SKETCH, FIRST = 8, 4
+#: N-grams of larger sets that are dealt together, and rows of a tile whose links are told at once: both bound a task's memory.
+TOGETHER, AT_ONCE = 1 << 16, 256
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -129,8 +131,10 @@ class Columns:
                     keep(np.sort(self._covers(s, h, seed)[0])[:SKETCH], i)
                 else:
                     keep(self._levels(s, h, seed), i)
-        for k in range(0, len(large), 512):
-            some = large[k : k + 512]
+        held_to = np.cumsum([len(sets[i]) for i, _, _ in large]) // TOGETHER
+        cuts = np.r_[0, np.flatnonzero(np.diff(held_to)) + 1, len(large)] if large else [0]
+        for k, end in zip(cuts[:-1], cuts[1:], strict=True):
+            some = large[k:end]
             digest, both, job = self._many_blocks([sets[i] for i, _, _ in some], np.array([self._dealt(h) for _, h, _ in some]).sum(1), np.array([x for _, _, x in some], np.uint64), few)
             spare, least = np.array([self._dealt(h)[1] for _, h, _ in some]), both.min(1)
             floor = np.zeros(len(some), np.int64)
@@ -291,9 +295,12 @@ def links_of_block(ids: np.ndarray, side: np.ndarray, block: tuple[int, int], se
     sizes = np.array([len(s) for s in sets], np.int64)
     a = np.flatnonzero(side == block[0])
     b = None if block[0] == block[1] else np.flatnonzero(side == block[1])
-    c = overlaps(sets, a, b).astype(np.int64)
+    counts = overlaps(sets, a, b)
     other = a if b is None else b
-    linked = 100 * c >= percent * (sizes[a][:, None] + sizes[other][None, :] - c)
+    linked = np.empty(counts.shape, bool)
+    for k in range(0, len(a), AT_ONCE):
+        c = counts[k : k + AT_ONCE].astype(np.int64)
+        linked[k : k + AT_ONCE] = 100 * c >= percent * (sizes[a[k : k + AT_ONCE]][:, None] + sizes[other][None, :] - c)
     return [(int(ids[a[i]]), int(ids[other[j]])) for i, j in forest(linked)]
 
 
