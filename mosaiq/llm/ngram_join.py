@@ -57,8 +57,8 @@ COVER, LEVELS = (1, 3, 5, 7, 8), 8
 RANGE = 1 << 24
 #: A sketch has so many digests of a small set, and those of so many blocks of a larger one, a size class.
 SKETCH, FIRST = 8, 4
-#: N-grams of larger sets that are dealt together, and rows of a tile whose links are told at once: both bound a task's memory.
-TOGETHER, AT_ONCE = 1 << 16, 256
+#: N-grams of larger sets that are dealt together, rows of a tile whose links are told at once, and n-grams of a block that are multiplied at once: all bound a task's memory.
+TOGETHER, AT_ONCE, COLUMNS = 1 << 16, 256, 1 << 18
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -234,18 +234,29 @@ def posted_once(every: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
-    """Overlap counts of the rows `a` with the rows `b` (None: with a itself)."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cols, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    order = np.argsort(cols, kind="stable")
-    keep = df[cols[order]] > 1
-    rows, cols = rows[order][keep], cols[order][keep]
-    counts = np.zeros((len(sets), len(sets)), np.float32) if b is None else np.zeros((len(a), len(b)), np.float32)
+    """Overlap counts of the rows `a` with the rows `b` (None: with a itself); sets are sorted.
+
+    Overlaps add up over columns, so these come by ranges, with about COLUMNS n-grams of all rows each.
+    """
+    counts = np.zeros((len(a), len(a if b is None else b)), np.float32)
     place_a, place_b = np.full(len(sets), -1), np.full(len(sets), -1)
     place_a[a] = np.arange(len(a))
     place_b[a if b is None else b] = np.arange(len(a if b is None else b))
-    starts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else np.zeros(0, np.int64)
-    lens = np.diff(np.r_[starts, len(cols)])
+    ranges = max(1, -(-sum(map(len, sets)) // COLUMNS))
+    tops = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = np.array([[0, *s.searchsorted(tops), len(s)] for s in sets])
+    for k in range(ranges):
+        _add_overlaps(counts, [s[x:y] for s, x, y in zip(sets, cuts[:, k], cuts[:, k + 1], strict=True)], place_a, None if b is None else place_b)
+    return counts
+
+
+def _add_overlaps(counts: np.ndarray, sets: list[np.ndarray], place_a: np.ndarray, place_b: np.ndarray | None) -> None:
+    """Add the overlaps of sets at their places in counts, or at none (-1)."""
+    every = np.concatenate(sets)
+    order = np.argsort(every)
+    every, rows = every[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    lens = np.diff(np.r_[starts, len(every)])
     for d in range(2, DENSE + 1):
         at = starts[lens == d]
         if len(at):
@@ -253,19 +264,23 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray | None) -> np.
             for i in range(d):
                 for j in range(d):
                     if i != j:
-                        x, y = place_a[r[:, i]], place_b[r[:, j]]
+                        x, y = place_a[r[:, i]], (place_a if place_b is None else place_b)[r[:, j]]
                         ok = (x >= 0) & (y >= 0)
                         np.add.at(counts, (x[ok], y[ok]), 1)
     many = np.flatnonzero(lens > DENSE)
     slab = max(64, (4 << 20) // max(len(sets), 1))
+
+    def dense(place: np.ndarray, n: int) -> np.ndarray:
+        m, at = np.zeros((n, len(some)), np.float32), place[r]
+        m[at[at >= 0], c[at >= 0]] = 1
+        return m
+
     for i in range(0, len(many), slab):
         some = many[i : i + slab]
         r = np.concatenate([rows[starts[k] : starts[k] + lens[k]] for k in some])
         c = np.repeat(np.arange(len(some)), lens[some])
-        m = np.zeros((len(sets), len(some)), np.float32)
-        m[r, c] = 1
-        counts += m[a] @ (m[a] if b is None else m[b]).T
-    return counts
+        m = dense(place_a, counts.shape[0])
+        counts += m @ (m if place_b is None else dense(place_b, counts.shape[1])).T
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -462,8 +477,9 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = WordHash(), []
         for t in groups(batches, ["grp", "ti", "tj"]):
-            block = list(text_sets(t.column("text").to_pylist(), known, words))
+            block = [s for part in t.column("text").chunks for s in text_sets(part.to_pylist(), known, words)]
             out += links_of_block(t.column("id").to_numpy(), t.column("side").to_numpy(), (t["ti"][0].as_py(), t["tj"][0].as_py()), block, percent)
+            del t, block  # before the next ones come
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []

@@ -231,6 +231,29 @@ def test_digests_of_many_sets_are_those_of_each():
             assert np.isin(few[few_place == i], every[place == i]).all() and (c.differ(max(len(s), 1)) >= len(COVER) or (few_place == i).any() == (len(s) > 0))
 
 
+def test_a_block_is_multiplied_in_bounded_memory():
+    """What a product of a block holds beside its sets does not grow with their n-grams."""
+    import tracemalloc
+
+    from mosaiq.llm.ngram_join import overlaps
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, (4, 3000), np.uint64)
+    # near copies, and n-grams of one row or of a few
+    sets = [np.unique(np.r_[base[i % 4][rng.random(3000) < 0.95], base[(i + 1) % 4][: i % 7], rng.integers(0, 2**64, 900, np.uint64), np.arange(i // 3, i // 3 + 5, dtype=np.uint64)]) for i in range(400)]
+    sets[7] = sets[7][:0]
+    for a, b in ((np.arange(400), None), (np.arange(0, 400, 2), np.arange(1, 400, 2))):
+        tracemalloc.start()
+        counts = overlaps(sets, a, b)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 2 * sum(s.nbytes for s in sets)
+        for i in range(0, len(a), 9):
+            for j in range(0, len(a if b is None else b), 7):
+                if b is not None or i != j:
+                    assert counts[i, j] == len(np.intersect1d(sets[a[i]], sets[(a if b is None else b)[j]], assume_unique=True))
+
+
 def test_pipeline_drops_what_its_next_stage_has_read(spark, folder, monkeypatch):  # noqa: F811
     import corpus_pipeline
 
